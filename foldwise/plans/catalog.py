@@ -47,3 +47,378 @@ def constant_baseline_score(spark, sf_dir):
     train = FX.essays(spark, sf_dir, with_text=False)
     scored = M.align(train, sample_oof(train), ["text_id"])
     return round_doubles(M.mcrmse(scored))
+
+
+# ---------------------------------------------------------------------------
+# shared Spark inputs
+# ---------------------------------------------------------------------------
+T6 = list(TARGETS)
+T6_SQL = ", ".join(T6)
+
+
+def _folded(spark, sf_dir, seeds=(42, 43, 44), with_text=False):
+    from foldwise.operators.folds import assign_folds
+    return assign_folds(FX.essays(spark, sf_dir, with_text=with_text), seeds=seeds)
+
+
+def _own_fold_preds(folded, fold_subset=None):
+    """Prediction table of each fold model for its own validation rows."""
+    x = folded if fold_subset is None else folded.where(F.col("fold").isin(list(fold_subset)))
+    return x.select("seed", "text_id", "fold", *FX.fold_prediction_cols("fold"))
+
+
+def _oof(spark, sf_dir, seeds=(42, 43, 44), fold_subset=None):
+    from foldwise.operators.datasets import oof_template
+    folded = _folded(spark, sf_dir, seeds)
+    keys = ["seed", "text_id", "fold"]
+    template = oof_template(folded).drop(*T6)
+    oof = template.join(_own_fold_preds(folded, fold_subset), keys, "left")
+    return folded, oof
+
+
+def _scored_oof(spark, sf_dir, seeds=(42, 43, 44)):
+    folded, oof = _oof(spark, sf_dir, seeds)
+    return M.align(folded, oof, ["seed", "text_id", "fold"])
+
+
+OOF_SQL = f"""WITH {S.ESSAYS}, {S.folds_cte()},
+fe AS (SELECT f.seed, f.fold, e.* FROM folds f JOIN essays e USING (text_id)),
+p AS (SELECT seed, fold, text_id, {S.pred_sql('fold')} FROM fe)"""
+
+
+# --- V1 / V2 ----------------------------------------------------------------
+@register("stratified_folds", f"""
+WITH {S.ESSAYS}, {S.folds_cte()} SELECT seed, text_id, fold FROM folds
+""")
+def stratified_folds(spark, sf_dir):
+    return _folded(spark, sf_dir).select("seed", "text_id", "fold")
+
+
+# --- A14 --------------------------------------------------------------------
+@register("fold_balance", f"""
+WITH {S.ESSAYS}, {S.folds_cte()},
+fe AS (SELECT f.seed, f.fold, {", ".join("e." + t for t in T6)} FROM folds f JOIN essays e USING (text_id)),
+long AS (UNPIVOT fe ON {T6_SQL} INTO NAME target VALUE value)
+SELECT seed, target, value, fold, count(*) AS n_rows FROM long GROUP BY seed, target, value, fold
+""")
+def fold_balance_q(spark, sf_dir):
+    from foldwise.operators.folds import fold_balance
+    return fold_balance(_folded(spark, sf_dir))
+
+
+# --- P9 ---------------------------------------------------------------------
+_DOMAIN = [1.0 + 0.5 * i for i in range(9)]
+
+
+@register("label_one_hot", f"""
+WITH {S.ESSAYS}
+SELECT text_id, {", ".join(f'CAST(coalesce({t} = {v!r}, false) AS INTEGER) AS "{t}_{v!r}"' for t in T6 for v in _DOMAIN)}
+FROM essays
+""")
+def label_one_hot(spark, sf_dir):
+    from foldwise.operators.folds import one_hot_labels
+    return one_hot_labels(FX.essays(spark, sf_dir, with_text=False))
+
+
+# --- F1 / P2 / F2 / P4 / P1 P3 ------------------------------------------------
+_FOLDS42 = S.folds_cte(seeds=[42])
+
+
+@register("train_split", f"""
+WITH {S.ESSAYS}, {_FOLDS42}
+SELECT e.text_id, e.full_text, {", ".join("e." + t for t in T6)} FROM essays e JOIN folds f USING (text_id) WHERE f.fold <> 0
+""")
+def train_split(spark, sf_dir):
+    from foldwise.operators.splits import holdout
+    train, _ = holdout(_folded(spark, sf_dir, seeds=[42], with_text=True), 0)
+    return train.select("text_id", "full_text", *T6)
+
+
+@register("valid_split", f"""
+WITH {S.ESSAYS}, {_FOLDS42}
+SELECT e.text_id, e.full_text FROM essays e JOIN folds f USING (text_id) WHERE f.fold = 0
+""")
+def valid_split(spark, sf_dir):
+    from foldwise.operators.splits import holdout
+    _, valid = holdout(_folded(spark, sf_dir, seeds=[42], with_text=True), 0)
+    return valid.select("text_id", "full_text")
+
+
+@register("fold_subset", f"""
+WITH {S.ESSAYS}, {S.folds_cte()} SELECT seed, text_id, fold FROM folds WHERE fold IN (0, 1)
+""")
+def fold_subset_q(spark, sf_dir):
+    from foldwise.config import DEBUG_FOLDS
+    from foldwise.operators.splits import fold_subset
+    return fold_subset(_folded(spark, sf_dir), DEBUG_FOLDS).select("seed", "text_id", "fold")
+
+
+@register("oof_template", f"""
+WITH {S.ESSAYS}, {S.folds_cte()}
+SELECT seed, text_id, fold, {", ".join(f"CAST(NULL AS DOUBLE) AS {t}" for t in T6)} FROM folds
+""")
+def oof_template_q(spark, sf_dir):
+    from foldwise.operators.datasets import oof_template
+    return oof_template(_folded(spark, sf_dir))
+
+
+@register("sample_oof", f"""
+WITH {S.ESSAYS} SELECT text_id, {", ".join(f"CAST(3.0 AS DOUBLE) AS {t}" for t in T6)} FROM essays
+""")
+def sample_oof_q(spark, sf_dir):
+    from foldwise.operators.datasets import sample_oof
+    return sample_oof(FX.essays(spark, sf_dir, with_text=True).drop("full_text"))
+
+
+# --- V4 / V5 / V6 / X3 --------------------------------------------------------
+@register("debug_head", f"""
+WITH {S.ESSAYS}, {_FOLDS42}
+SELECT e.text_id, {", ".join("e." + t for t in T6)} FROM essays e JOIN folds f USING (text_id)
+WHERE f.fold <> 0 ORDER BY e.text_id LIMIT 300
+""")
+def debug_head(spark, sf_dir):
+    from foldwise.config import DEBUG_ROWS
+    from foldwise.operators.splits import head, holdout
+    train, _ = holdout(_folded(spark, sf_dir, seeds=[42]), 0)
+    return head(train.select("text_id", *T6), DEBUG_ROWS, ["text_id"])
+
+
+@register("head_per_fold", f"""
+WITH {S.ESSAYS}, {_FOLDS42}
+SELECT fold, text_id, {T6_SQL} FROM (
+  SELECT f.fold, e.*, row_number() OVER (PARTITION BY f.fold ORDER BY e.text_id) AS rn
+  FROM essays e JOIN folds f USING (text_id)) WHERE rn <= 300
+""")
+def head_per_fold(spark, sf_dir):
+    from foldwise.config import DEBUG_ROWS
+    from foldwise.operators.splits import head_per_group
+    folded = _folded(spark, sf_dir, seeds=[42])
+    return head_per_group(folded, ["fold"], ["text_id"], DEBUG_ROWS).select("fold", "text_id", *T6)
+
+
+@register("seeded_shuffle", f"""
+WITH {S.ESSAYS}, {_FOLDS42},
+tr AS (SELECT e.text_id FROM essays e JOIN folds f USING (text_id) WHERE f.fold <> 0),
+ep AS (SELECT CAST(unnest([0, 1, 2, 3]) AS INTEGER) AS epoch)
+SELECT epoch, text_id, row_number() OVER (PARTITION BY epoch ORDER BY md5('42:' || CAST(epoch AS VARCHAR) || ':' || text_id), text_id) - 1 AS rank
+FROM tr CROSS JOIN ep
+""")
+def seeded_shuffle(spark, sf_dir):
+    from foldwise.config import EPOCHS
+    from foldwise.operators.splits import holdout, seeded_order
+    train, _ = holdout(_folded(spark, sf_dir, seeds=[42]), 0)
+    x = train.select("text_id", F.explode(F.array(*[F.lit(e) for e in range(EPOCHS)])).alias("epoch"))
+    return seeded_order(x, 42, F.col("epoch"), group_cols=["epoch"], name="rank").select("epoch", "text_id", "rank")
+
+
+_BATCH_SQL = f"""WITH {S.ESSAYS}, {_FOLDS42},
+b AS (SELECT f.fold, e.text_id, (row_number() OVER (PARTITION BY f.fold ORDER BY e.text_id) - 1) // 4 AS batch_id
+      FROM essays e JOIN folds f USING (text_id))"""
+
+
+@register("batch_assign", _BATCH_SQL + " SELECT fold, text_id, batch_id FROM b")
+def batch_assign(spark, sf_dir):
+    from foldwise.config import BATCH_SIZE
+    from foldwise.operators.splits import batches
+    folded = _folded(spark, sf_dir, seeds=[42])
+    return batches(folded.select("fold", "text_id"), ["fold"], ["text_id"], BATCH_SIZE).select("fold", "text_id", "batch_id")
+
+
+# --- X1 / X2 ------------------------------------------------------------------
+TOKEN_LEN = 16
+_TOK_SQL = (f"tok AS (SELECT text_id, body, CAST(len(body) + 2 AS INTEGER) AS n_real FROM (SELECT text_id, "
+            f"list_filter(string_split_regex(full_text, '[ \\n\\t]+'), lambda x: x <> '')[1:{TOKEN_LEN - 2}] AS body FROM essays))")
+_SEQ_SQL = "array_to_string(list_concat(list_concat(['[CLS]'], body), ['[SEP]']), ' ')"
+
+
+@register("token_pad_mask", f"""
+WITH {S.ESSAYS}, {_TOK_SQL}
+SELECT text_id, n_real, CAST({TOKEN_LEN} AS INTEGER) AS n_tokens,
+       md5({_SEQ_SQL} || repeat(' [PAD]', {TOKEN_LEN} - n_real)) AS tokens_md5,
+       md5(repeat('1', n_real) || repeat('0', {TOKEN_LEN} - n_real)) AS mask_md5
+FROM tok
+""")
+def token_pad_mask(spark, sf_dir):
+    from foldwise.operators.tokens import mask_length, tokenize
+    t = tokenize(FX.essays(spark, sf_dir), TOKEN_LEN)
+    return t.select("text_id", mask_length(F.col("mask")).alias("n_real"), F.size("tokens").alias("n_tokens"),
+                    F.md5(F.array_join("tokens", " ")).alias("tokens_md5"),
+                    F.md5(F.array_join(F.col("mask").cast("array<string>"), "")).alias("mask_md5"))
+
+
+@register("batch_trim", _BATCH_SQL + f""", {_TOK_SQL},
+bt AS (SELECT b.fold, b.batch_id, b.text_id, t.body, t.n_real, max(t.n_real) OVER (PARTITION BY b.fold, b.batch_id) AS trim_len
+       FROM b JOIN tok t USING (text_id))
+SELECT fold, batch_id, text_id, trim_len, md5({_SEQ_SQL} || repeat(' [PAD]', trim_len - n_real)) AS tokens_md5 FROM bt
+""")
+def batch_trim(spark, sf_dir):
+    from foldwise.config import BATCH_SIZE
+    from foldwise.operators.splits import batches
+    from foldwise.operators.tokens import tokenize, trim_batches
+    folded = _folded(spark, sf_dir, seeds=[42], with_text=True)
+    b = batches(folded.select("fold", "text_id", "full_text"), ["fold"], ["text_id"], BATCH_SIZE)
+    t = trim_batches(tokenize(b, TOKEN_LEN), ["fold", "batch_id"])
+    return t.select("fold", "batch_id", "text_id", "trim_len", F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
+
+
+# --- X4 / X5 / X6 / X7 ------------------------------------------------------------
+_EMB_SQL = f"""t AS (SELECT label AS doc, vec_id, CAST(vec_id % {S.TOKEN_MASK_MOD} <> 0 AS INTEGER) AS mask, embedding,
+  row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos FROM embeddings),
+x AS (SELECT doc, pos, CAST(mask AS DOUBLE) AS m, len(embedding) AS d, CAST(unnest(range(len(embedding))) AS INTEGER) AS dim,
+  CAST(unnest(embedding) AS DOUBLE) AS v FROM t)"""
+_MEAN_SQL = "mp AS (SELECT doc, dim, sum(v * m) / greatest(sum(m), 1e-9) AS value FROM x GROUP BY doc, dim)"
+
+
+@register("mean_pool", f"WITH {_EMB_SQL}, {_MEAN_SQL} SELECT doc, dim, round(value, 6) AS value FROM mp")
+def mean_pool_q(spark, sf_dir):
+    from foldwise.operators.pooling import mean_pool
+    return round_doubles(mean_pool(FX.token_embeddings(spark, sf_dir)))
+
+
+@register("gem_cls_pool", f"""WITH {_EMB_SQL}
+SELECT doc, dim, round(v, 6) AS value FROM x WHERE pos = 0
+UNION ALL
+SELECT doc, CAST(dim + d AS INTEGER) AS dim,
+  round(pow(sum(pow(greatest(v, 1e-6), 3.0) * m) / greatest(sum(m), 1e-6), 1.0 / 3.0), 6) AS value
+FROM x WHERE pos > 0 GROUP BY doc, dim, d
+""")
+def gem_cls_pool_q(spark, sf_dir):
+    from foldwise.operators.pooling import gem_cls_pool
+    return round_doubles(gem_cls_pool(FX.token_embeddings(spark, sf_dir)))
+
+
+@register("position_slice", f"""WITH {_EMB_SQL}
+SELECT doc, CAST(pos - 1 AS INTEGER) AS slot, dim, round(v, 6) AS value FROM x WHERE pos BETWEEN 1 AND 6
+""")
+def position_slice_q(spark, sf_dir):
+    from foldwise.operators.pooling import position_slice
+    return round_doubles(position_slice(FX.token_embeddings(spark, sf_dir)))
+
+
+_W_SQL = "CAST(((dim * 7 + {i} * 3) % 11) - 5 AS DOUBLE) / 100"
+
+
+@register("linear_head", f"""WITH {_EMB_SQL}, {_MEAN_SQL}
+SELECT doc, {", ".join(f"round(sum(value * {_W_SQL.format(i=i)}) + 3.0, 6) AS {t}" for i, t in enumerate(T6))}
+FROM mp GROUP BY doc
+""")
+def linear_head_q(spark, sf_dir):
+    from foldwise.operators.pooling import linear_head, mean_pool
+    pooled = mean_pool(FX.token_embeddings(spark, sf_dir))
+    dim = 64
+    return round_doubles(linear_head(pooled, FX.head_weights(spark, dim), FX.HEAD_BIAS))
+
+
+# --- P5 / P6 --------------------------------------------------------------------
+@register("paragraph_dataset", f"""
+WITH {S.ESSAYS}, v AS (SELECT text_id, replace(replace(full_text, chr(10), chr(10) || chr(10)), chr(10) || chr(10), ' | ') AS t FROM essays)
+SELECT text_id, md5(t) AS full_text_md5, CAST(length(t) AS INTEGER) AS n_chars FROM v
+""")
+def paragraph_dataset(spark, sf_dir):
+    from foldwise.operators.datasets import with_variant
+    e = FX.essays(spark, sf_dir)
+    # fixture: the documents have single newlines only; make them blank lines first
+    e = e.withColumn("full_text", F.replace(F.col("full_text"), F.lit("\n"), F.lit("\n\n")))
+    v = with_variant(e, "paragraph", "train")
+    return v.select("text_id", F.md5("full_text").alias("full_text_md5"), F.length("full_text").alias("n_chars"))
+
+
+@register("reg_token_dataset", f"""
+WITH {S.ESSAYS}, {S.TEST}
+SELECT 'train' AS split, text_id, md5(' cohesion syntax vocabulary phraseology grammar conventions [SEP] ' || full_text) AS full_text_md5,
+  CAST(length(' cohesion syntax vocabulary phraseology grammar conventions [SEP] ' || full_text) AS INTEGER) AS n_chars FROM essays
+UNION ALL
+SELECT 'test' AS split, text_id, md5(full_text), CAST(length(full_text) AS INTEGER) FROM test
+""")
+def reg_token_dataset(spark, sf_dir):
+    from foldwise.operators.datasets import with_variant
+    tr = with_variant(FX.essays(spark, sf_dir), "reg_token", "train").select(F.lit("train").alias("split"), "text_id", "full_text")
+    te = with_variant(FX.test_texts(spark, sf_dir), "reg_token", "test").select(F.lit("test").alias("split"), "text_id", "full_text")
+    u = tr.unionByName(te)
+    return u.select("split", "text_id", F.md5("full_text").alias("full_text_md5"), F.length("full_text").alias("n_chars"))
+
+
+# --- J1 / F3 / S5 / U1 -------------------------------------------------------------
+_CORPUS_SQL = f"""{S.ESSAYS},
+labelled AS (SELECT * FROM essays WHERE doc_id IN (SELECT doc_id FROM labels)),
+corpus AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS text_id, doc_id, n_chars, text AS full_text FROM documents),
+cand AS (SELECT * FROM corpus c WHERE NOT EXISTS (SELECT 1 FROM labelled l WHERE l.text_id IS NOT DISTINCT FROM c.text_id))"""
+
+
+def _candidates(spark, sf_dir):
+    from foldwise.operators.joins import anti_join_null_safe
+    return anti_join_null_safe(FX.corpus(spark, sf_dir), FX.labelled_essays(spark, sf_dir).select("text_id"), "text_id")
+
+
+@register("pseudo_candidates", f"WITH {_CORPUS_SQL} SELECT text_id, md5(full_text) AS full_text_md5 FROM cand")
+def pseudo_candidates(spark, sf_dir):
+    return _candidates(spark, sf_dir).select("text_id", F.md5("full_text").alias("full_text_md5"))
+
+
+@register("table_shape", f"""WITH {_CORPUS_SQL}
+SELECT 'train' AS table_name, count(*) AS n_rows, CAST(8 AS INTEGER) AS n_cols FROM essays
+UNION ALL SELECT 'pseudo_base', count(*), CAST(8 AS INTEGER) FROM cand
+""")
+def table_shape(spark, sf_dir):
+    train = FX.essays(spark, sf_dir).select("text_id", "full_text", *T6)
+    base = _candidates(spark, sf_dir).select("text_id", "full_text", *[F.lit(None).cast("double").alias(t) for t in T6])
+
+    def shape(df, name):
+        return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(name).alias("table_name"), "n_rows", F.lit(len(df.columns)).alias("n_cols"))
+    return shape(train, "train").unionByName(shape(base, "pseudo_base"))
+
+
+@register("union_rows", f"""WITH {_CORPUS_SQL}
+SELECT text_id, 'train' AS origin, {T6_SQL} FROM labelled
+UNION ALL SELECT text_id, 'pseudo', {", ".join(f"CAST(NULL AS DOUBLE)" for _ in T6)} FROM cand
+""")
+def union_rows(spark, sf_dir):
+    a = FX.labelled_essays(spark, sf_dir).select("text_id", F.lit("train").alias("origin"), *T6)
+    b = _candidates(spark, sf_dir).select("text_id", F.lit("pseudo").alias("origin"),
+                                          *[F.lit(None).cast("double").alias(t) for t in T6])
+    return a.unionByName(b)
+
+
+# --- F5 ------------------------------------------------------------------------
+@register("valid_names", """
+SELECT c_custkey, regexp_full_match(c_name, '[a-zA-Z0-9-]+') AS name_valid,
+       regexp_full_match(replace(c_name, '#', '-'), '[a-zA-Z0-9-]+') AS dashed_valid FROM customer
+""")
+def valid_names(spark, sf_dir):
+    from foldwise.functions.text import valid_run_name
+    c = FX.table(spark, sf_dir, "customer")
+    return c.select("c_custkey", valid_run_name(F.col("c_name")).alias("name_valid"),
+                    valid_run_name(F.replace(F.col("c_name"), F.lit("#"), F.lit("-"))).alias("dashed_valid"))
+
+
+# --- A12 / J6 / A13 ------------------------------------------------------------------
+@register("step_count", f"""
+WITH {S.ESSAYS}, {S.folds_cte()},
+c AS (SELECT seed, fold, count(*) AS n_valid FROM folds GROUP BY seed, fold),
+t AS (SELECT seed, sum(n_valid) AS total FROM c GROUP BY seed)
+SELECT c.seed, c.fold, CAST(t.total - c.n_valid AS BIGINT) AS n_train, c.n_valid,
+  CAST(ceil((t.total - c.n_valid) / 4.0) * 4 AS BIGINT) AS n_steps FROM c JOIN t USING (seed)
+""")
+def step_count(spark, sf_dir):
+    return M.step_counts(_folded(spark, sf_dir))
+
+
+@register("seed_fold_grid", f"""
+WITH {S.ESSAYS}, {S.folds_cte()}, fe AS (SELECT f.seed, f.fold, e.* FROM folds f JOIN essays e USING (text_id)),
+grid AS (SELECT s.seed, CAST(k.fold AS INTEGER) AS fold FROM {S.seeds_sql()} s CROSS JOIN (SELECT unnest(range(5)) AS fold) k)
+SELECT g.seed, g.fold, count(*) AS n_train, {", ".join(f"round(avg(fe.{t}), 6) AS {t}" for t in T6)}
+FROM grid g JOIN fe ON fe.seed = g.seed AND fe.fold <> g.fold GROUP BY g.seed, g.fold
+""")
+def seed_fold_grid(spark, sf_dir):
+    from foldwise.operators.models import fold_mean_models
+    return round_doubles(fold_mean_models(spark, _folded(spark, sf_dir)))
+
+
+@register("best_step", """
+SELECT seed, fold, step AS best_step, val_mcrmse AS best_value FROM (
+  SELECT CAST(42 + user_id % 3 AS INTEGER) AS seed, CAST(event_id % 5 AS INTEGER) AS fold, event_id AS step, value AS val_mcrmse,
+    row_number() OVER (PARTITION BY 42 + user_id % 3, event_id % 5 ORDER BY value, event_id) AS rn FROM events) WHERE rn = 1
+""")
+def best_step_q(spark, sf_dir):
+    return M.best_step(FX.validation_log(spark, sf_dir))

@@ -42,9 +42,9 @@ def text_id_expr() -> F.Column:
 
 
 def essays(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
-    """Raw train table: text_id, doc_id, full_text, six scores."""
+    """Raw train table: text_id, doc_id, n_chars, full_text, six scores."""
     d = table(spark, sf_dir, "documents")
-    cols = [text_id_expr().alias("text_id"), F.col("doc_id")]
+    cols = [text_id_expr().alias("text_id"), F.col("doc_id"), F.col("n_chars")]
     if with_text:
         cols.append(F.col("text").alias("full_text"))
     cols += [score_expr(t).alias(t) for t in TARGETS]
