@@ -422,3 +422,288 @@ SELECT seed, fold, step AS best_step, val_mcrmse AS best_value FROM (
 """)
 def best_step_q(spark, sf_dir):
     return M.best_step(FX.validation_log(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# OOF assembly, scores, losses (fixture predictions of each fold model)
+# ---------------------------------------------------------------------------
+def _oof_q(where: str = "") -> str:
+    return OOF_SQL + f",\nsc AS (SELECT fe.seed, fe.fold, fe.text_id, {', '.join(f'fe.{t} AS y_{t}, p.{t} AS p_{t}' for t in T6)} " \
+                     f"FROM fe JOIN p USING (seed, fold, text_id) {where})"
+
+
+def _rm_sql(nd=6):
+    rm = [f"sqrt(avg((p_{t} - y_{t}) * (p_{t} - y_{t})))" for t in T6]
+    mean = "(" + " + ".join(rm) + f") / {len(T6)}"
+    r = (lambda x: f"round({x}, {nd})") if nd is not None else (lambda x: x)
+    return ", ".join([f"{r(mean)} AS mcrmse"] + [f"{r(x)} AS {t}" for x, t in zip(rm, T6)])
+
+
+@register("oof_assemble", OOF_SQL + f"""
+SELECT seed, text_id, fold, {T6_SQL} FROM p
+""")
+def oof_assemble(spark, sf_dir):
+    from foldwise.session import shared_path
+    from foldwise.sources.processed import write_table
+    _, oof = _oof(spark, sf_dir)
+    path = shared_path(spark, "oof")
+    write_table(oof, path, "oof", partition_cols=("seed",))
+    return spark.read.parquet(f"{path}/oof")
+
+
+@register("oof_predicted_only", OOF_SQL + f"""
+SELECT seed, text_id, fold, {T6_SQL} FROM p WHERE fold IN (0, 1)
+""")
+def oof_predicted_only(spark, sf_dir):
+    from foldwise.config import DEBUG_FOLDS, TARGETS as TT
+    _, oof = _oof(spark, sf_dir, fold_subset=DEBUG_FOLDS)
+    return oof.where(F.col(TT[0]).isNotNull())
+
+
+@register("mcrmse", _oof_q("WHERE fe.seed = 42") + f" SELECT {_rm_sql()} FROM sc")
+def mcrmse_q(spark, sf_dir):
+    return round_doubles(M.mcrmse(_scored_oof(spark, sf_dir, seeds=[42])))
+
+
+@register("column_rmse", _oof_q("WHERE fe.seed = 42") + f""",
+r AS (SELECT {_rm_sql(None)} FROM sc)
+SELECT target, round(rmse, 6) AS rmse FROM (UNPIVOT (SELECT {T6_SQL} FROM r) ON {T6_SQL} INTO NAME target VALUE rmse)
+""")
+def column_rmse(spark, sf_dir):
+    return round_doubles(M.column_rmse_long(M.mcrmse(_scored_oof(spark, sf_dir, seeds=[42]))))
+
+
+@register("oof_score_by_seed", _oof_q() + f" SELECT seed, {_rm_sql()} FROM sc GROUP BY seed")
+def oof_score_by_seed(spark, sf_dir):
+    return round_doubles(M.mcrmse(_scored_oof(spark, sf_dir), ["seed"]))
+
+
+@register("fold_mcrmse", _oof_q() + f" SELECT seed, fold, {_rm_sql()} FROM sc GROUP BY seed, fold")
+def fold_mcrmse(spark, sf_dir):
+    return round_doubles(M.mcrmse(_scored_oof(spark, sf_dir), ["seed", "fold"]))
+
+
+@register("seed_mean_score", _oof_q() + f""",
+s AS (SELECT seed, {_rm_sql(None)} FROM sc GROUP BY seed)
+SELECT round(avg(mcrmse), 6) AS mcrmse, {", ".join(f"round(avg({t}), 6) AS {t}" for t in T6)} FROM s
+""")
+def seed_mean_score(spark, sf_dir):
+    return round_doubles(M.seed_mean(M.mcrmse(_scored_oof(spark, sf_dir), ["seed"])))
+
+
+_LONG_ERR = " UNION ALL ".join(f"SELECT seed, fold, p_{t} AS pv, y_{t} AS yv FROM sc" for t in T6)
+
+
+@register("smooth_l1", _oof_q() + f""",
+l AS ({_LONG_ERR}), d AS (SELECT seed, abs(pv - yv) AS d FROM l)
+SELECT seed, round(avg(CASE WHEN d < 1.0 THEN 0.5 * d * d / 1.0 ELSE d - 0.5 END), 6) AS smooth_l1 FROM d GROUP BY seed
+""")
+def smooth_l1_q(spark, sf_dir):
+    return round_doubles(M.smooth_l1_mean(_scored_oof(spark, sf_dir), ["seed"], beta=1.0))
+
+
+def _wsl1_sql():
+    terms = []
+    for t, w in zip(T6, M.SMOOTH_L1_WEIGHTS):
+        n = f"abs(p_{t} - y_{t})"
+        terms.append(f"CAST({w!r} AS DOUBLE) * (CASE WHEN {n} < 1.0 THEN (0.5 * {n}) * (0.5 * {n}) / 1.0 ELSE {n} - 0.5 END)")
+    return " + ".join(terms)
+
+
+@register("weighted_smooth_l1", _oof_q() + f"""
+SELECT seed, fold, round(sum({_wsl1_sql()}), 6) AS weighted_smooth_l1 FROM sc GROUP BY seed, fold
+""")
+def weighted_smooth_l1_q(spark, sf_dir):
+    return round_doubles(M.weighted_smooth_l1_sum(_scored_oof(spark, sf_dir), ["seed", "fold"], beta=1.0))
+
+
+@register("rmse_loss", _oof_q() + f""",
+l AS ({_LONG_ERR}), e AS (SELECT seed, sqrt((pv - yv) * (pv - yv) + 1e-9) AS e FROM l)
+SELECT seed, round(avg(e), 6) AS rmse_loss_mean, round(sum(e), 6) AS rmse_loss_sum FROM e GROUP BY seed
+""")
+def rmse_loss_q(spark, sf_dir):
+    return round_doubles(M.rmse_loss(_scored_oof(spark, sf_dir), ["seed"]))
+
+
+# --- A6 / J4 / K4 ---------------------------------------------------------------
+def _test_fold_preds(spark, sf_dir, n_folds=5):
+    t = FX.test_texts(spark, sf_dir).select("text_id", "doc_id", "n_chars")
+    t = t.withColumn("fold", F.explode(F.array(*[F.lit(k) for k in range(n_folds)])))
+    return t.select("text_id", "fold", *FX.fold_prediction_cols("fold"))
+
+
+_ENS_SQL = f"""WITH {S.TEST}, tf AS (SELECT t.*, CAST(k.fold AS INTEGER) AS fold FROM test t CROSS JOIN (SELECT unnest(range(5)) AS fold) k),
+tp AS (SELECT text_id, fold, {S.pred_sql('fold')} FROM tf)"""
+
+
+@register("ensemble_mean", _ENS_SQL + f"""
+SELECT text_id, {", ".join(f"round(avg({t}), 6) AS {t}" for t in T6)}, count(*) AS n_models FROM tp GROUP BY text_id
+""")
+def ensemble_mean(spark, sf_dir):
+    return round_doubles(M.fold_ensemble(_test_fold_preds(spark, sf_dir)))
+
+
+@register("submission", _ENS_SQL + f"""
+SELECT text_id, {", ".join(f"round(avg({t}), 6) AS {t}" for t in T6)} FROM tp GROUP BY text_id
+""")
+def submission(spark, sf_dir):
+    from foldwise.plans.jobs import make_submission
+    from foldwise.session import shared_path
+    from foldwise.sources.csv import read_sample_submission
+    ens = round_doubles(M.fold_ensemble(_test_fold_preds(spark, sf_dir)).drop("n_models"))
+    path = shared_path(spark, "submission")
+    make_submission(FX.submission_template(spark, sf_dir), ens, path)
+    return read_sample_submission(spark, path)
+
+
+# --- M3: fold-mean predictor ---------------------------------------------------------
+_FM_SQL = f"""WITH {S.ESSAYS}, {S.folds_cte()}, fe AS (SELECT f.seed, f.fold, e.* FROM folds f JOIN essays e USING (text_id)),
+grid AS (SELECT s.seed, CAST(k.fold AS INTEGER) AS fold FROM {S.seeds_sql()} s CROSS JOIN (SELECT unnest(range(5)) AS fold) k),
+models AS (SELECT g.seed, g.fold, {", ".join(f"avg(fe.{t}) AS {t}" for t in T6)} FROM grid g JOIN fe ON fe.seed = g.seed AND fe.fold <> g.fold GROUP BY g.seed, g.fold)"""
+
+
+def _fold_mean_oof(spark, sf_dir):
+    from foldwise.operators.models import fold_mean_models, predict_constant
+    folded = _folded(spark, sf_dir)
+    models = fold_mean_models(spark, folded)
+    return folded, predict_constant(folded.select("seed", "text_id", "fold"), models)
+
+
+@register("fold_mean_oof", _FM_SQL + f"""
+SELECT fe.seed, fe.text_id, fe.fold, {", ".join(f"round(m.{t}, 6) AS {t}" for t in T6)} FROM fe JOIN models m USING (seed, fold)
+""")
+def fold_mean_oof(spark, sf_dir):
+    return round_doubles(_fold_mean_oof(spark, sf_dir)[1])
+
+
+@register("fold_mean_score", _FM_SQL + f""",
+sc AS (SELECT fe.seed, fe.fold, {', '.join(f'fe.{t} AS y_{t}, m.{t} AS p_{t}' for t in T6)} FROM fe JOIN models m USING (seed, fold))
+SELECT seed, fold, {_rm_sql()} FROM sc GROUP BY seed, fold
+""")
+def fold_mean_score(spark, sf_dir):
+    folded, oof = _fold_mean_oof(spark, sf_dir)
+    return round_doubles(M.mcrmse(M.align(folded, oof, ["seed", "text_id", "fold"]), ["seed", "fold"]))
+
+
+@register("fold_mean_submission", _FM_SQL + f""", {S.TEST}
+SELECT t.text_id, {", ".join(f"round(avg(m.{t}), 6) AS {t}" for t in T6)}
+FROM test t CROSS JOIN (SELECT * FROM models WHERE seed = 42) m GROUP BY t.text_id
+""")
+def fold_mean_submission(spark, sf_dir):
+    from foldwise.operators.models import fold_mean_models, predict_constant
+    models = fold_mean_models(spark, _folded(spark, sf_dir, seeds=[42]), seeds=[42])
+    t = FX.test_texts(spark, sf_dir).select("text_id").withColumn("seed", F.lit(42))
+    t = t.withColumn("fold", F.explode(F.array(*[F.lit(k) for k in range(5)])))
+    return round_doubles(M.fold_ensemble(predict_constant(t, models)).drop("n_models"))
+
+
+@register("metrics_log", _FM_SQL + f""",
+sc AS (SELECT fe.seed, {', '.join(f'fe.{t} AS y_{t}, m.{t} AS p_{t}' for t in T6)} FROM fe JOIN models m USING (seed, fold)),
+s AS (SELECT seed, {_rm_sql(None).replace(' AS mcrmse', ' AS oof_score')} FROM sc GROUP BY seed),
+per_seed AS (UNPIVOT s ON oof_score, {T6_SQL} INTO NAME metric VALUE value),
+means AS (SELECT avg(oof_score) AS oof_score_seed_mean, {", ".join(f"avg({t}) AS {t}_seed_mean" for t in T6)} FROM s),
+mean_rows AS (UNPIVOT means ON oof_score_seed_mean, {", ".join(f"{t}_seed_mean" for t in T6)} INTO NAME metric VALUE value)
+SELECT 'fold_mean' AS run, seed, metric, round(value, 6) AS value FROM per_seed
+UNION ALL SELECT 'fold_mean', CAST(NULL AS INTEGER), metric, round(value, 6) FROM mean_rows
+""")
+def metrics_log(spark, sf_dir):
+    from foldwise.plans.jobs import score_log
+    folded, oof = _fold_mean_oof(spark, sf_dir)
+    return round_doubles(score_log(M.mcrmse(M.align(folded, oof, ["seed", "text_id", "fold"]), ["seed"]), "fold_mean"))
+
+
+# --- M6 / J3 / P7 with the fold-mean model -------------------------------------------
+_PSEUDO_SQL = f"""WITH {_CORPUS_SQL}, {S.folds_cte(source='labelled')},
+fe AS (SELECT f.seed, f.fold, e.* FROM folds f JOIN labelled e USING (text_id)),
+grid AS (SELECT s.seed, CAST(k.fold AS INTEGER) AS fold FROM {S.seeds_sql()} s CROSS JOIN (SELECT unnest(range(5)) AS fold) k),
+models AS (SELECT g.seed, g.fold, {", ".join(f"avg(fe.{t}) AS {t}" for t in T6)} FROM grid g JOIN fe ON fe.seed = g.seed AND fe.fold <> g.fold GROUP BY g.seed, g.fold),
+pp AS (SELECT m.seed, m.fold, c.text_id, {", ".join(f"round(m.{t}, 6) AS {t}" for t in T6)} FROM cand c CROSS JOIN models m)"""
+
+
+def _pseudo_predictions(spark, sf_dir):
+    from foldwise.plans.jobs import pseudo_label_tables
+    return pseudo_label_tables(spark, FX.labelled_essays(spark, sf_dir), FX.corpus(spark, sf_dir), model="fold_mean")
+
+
+@register("pseudo_predictions", _PSEUDO_SQL + f" SELECT seed, fold, text_id, {T6_SQL} FROM pp")
+def pseudo_predictions(spark, sf_dir):
+    return round_doubles(_pseudo_predictions(spark, sf_dir).select("seed", "fold", "text_id", *T6))
+
+
+@register("pseudo_read", _PSEUDO_SQL + f" SELECT text_id, {T6_SQL} FROM pp WHERE seed = 42 AND fold = 2")
+def pseudo_read(spark, sf_dir):
+    from foldwise.session import shared_path
+    from foldwise.sources.processed import pseudo, write_table
+    root = shared_path(spark, "processed")
+    tbl = round_doubles(_pseudo_predictions(spark, sf_dir)).withColumn("data_version", F.lit("pseudo_1"))
+    write_table(tbl, root, "pseudo", partition_cols=("data_version", "seed", "fold"))
+    return pseudo(spark, root, seed=42, fold=2).select("text_id", *T6)
+
+
+# --- S1: CSV edge -----------------------------------------------------------------
+@register("csv_roundtrip", f"""
+WITH {S.ESSAYS} SELECT text_id, md5(full_text) AS full_text_md5, CAST(length(full_text) AS INTEGER) AS n_chars, {T6_SQL} FROM essays
+""")
+def csv_roundtrip(spark, sf_dir):
+    from foldwise.session import shared_path
+    from foldwise.sources.csv import read_train, write_csv
+    path = shared_path(spark, "raw_train_csv")
+    write_csv(FX.essays(spark, sf_dir).select("text_id", "full_text", *T6), path)
+    back = read_train(spark, path)
+    return back.select("text_id", F.md5("full_text").alias("full_text_md5"), F.length("full_text").alias("n_chars"), *T6)
+
+
+# --- K1 / S2: dataset bundle --------------------------------------------------------
+def _bundle(spark, sf_dir):
+    from foldwise.plans.jobs import build_dataset_bundle
+    from foldwise.session import shared_path
+    root = shared_path(spark, "processed")
+    build_dataset_bundle(FX.essays(spark, sf_dir).select("text_id", "full_text", *T6),
+                         FX.test_texts(spark, sf_dir).select("text_id", "full_text"),
+                         FX.submission_template(spark, sf_dir), root, data_version="vanilla")
+    return root
+
+
+@register("dataset_bundle", f"""
+WITH {S.ESSAYS}, {S.TEST}, s AS {S.seeds_sql()}
+SELECT 'train' AS table_name, seed, count(*) AS n_rows FROM essays CROSS JOIN s GROUP BY seed
+UNION ALL SELECT 'test', CAST(NULL AS INTEGER), count(*) FROM test
+UNION ALL SELECT 'sample_submission', CAST(NULL AS INTEGER), count(*) FROM test
+UNION ALL SELECT 'sample_oof', CAST(NULL AS INTEGER), count(*) FROM essays
+""")
+def dataset_bundle(spark, sf_dir):
+    from foldwise.sources.processed import BUNDLE_TABLES, read_table
+    root = _bundle(spark, sf_dir)
+    parts = []
+    for t in BUNDLE_TABLES:
+        df = read_table(spark, root, t, "vanilla")
+        seed = F.col("seed") if "seed" in df.columns else F.lit(None).cast("int")
+        parts.append(df.groupBy(seed.alias("seed")).agg(F.count(F.lit(1)).alias("n_rows"))
+                       .select(F.lit(t).alias("table_name"), "seed", "n_rows"))
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out
+
+
+@register("processed_read", f"""
+WITH {S.ESSAYS}, {S.folds_cte(seeds=[43])}
+SELECT e.text_id, f.fold, {", ".join("e." + t for t in T6)} FROM essays e JOIN folds f USING (text_id) WHERE f.fold <> 0
+""")
+def processed_read(spark, sf_dir):
+    from foldwise.sources.processed import train
+    root = _bundle(spark, sf_dir)
+    return train(spark, root, "vanilla", 43).where(~F.col("fold").eqNullSafe(0)).select("text_id", "fold", *T6)
+
+
+# --- S4 / P8: text corpus -------------------------------------------------------------
+@register("text_corpus_scan", f"""
+SELECT CAST(item_id AS VARCHAR) AS text_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS full_text,
+  {", ".join(f"CAST(NULL AS DOUBLE) AS {t}" for t in T6)} FROM benchmark
+""")
+def text_corpus_scan(spark, sf_dir):
+    from foldwise.session import shared_path
+    from foldwise.sources.corpus import read_text_corpus, write_text_files
+    path = shared_path(spark, "corpus")
+    write_text_files(FX.table(spark, sf_dir, "benchmark"), path, "item_id", "text")
+    return read_text_corpus(spark, path)

@@ -58,15 +58,15 @@ def labelled_essays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """External text corpus: every document as (text_id, full_text)."""
+    """External text corpus: every document as (text_id, doc_id, n_chars, full_text)."""
     d = table(spark, sf_dir, "documents")
-    return d.select(text_id_expr().alias("text_id"), F.col("doc_id"), F.col("text").alias("full_text"))
+    return d.select(text_id_expr().alias("text_id"), "doc_id", "n_chars", F.col("text").alias("full_text"))
 
 
 def test_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw test table: text_id, doc_id, full_text."""
+    """Raw test table: text_id, doc_id, n_chars, full_text."""
     d = table(spark, sf_dir, "documents").where(F.col("doc_id") % TEST_MODULUS == 0)
-    return d.select(text_id_expr().alias("text_id"), F.col("doc_id"), F.col("text").alias("full_text"))
+    return d.select(text_id_expr().alias("text_id"), "doc_id", "n_chars", F.col("text").alias("full_text"))
 
 
 def submission_template(spark: SparkSession, sf_dir: str) -> DataFrame:

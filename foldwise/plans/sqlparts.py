@@ -53,11 +53,12 @@ def rounded(cols, nd: int = 6) -> str:
     return ", ".join(f"round({c}, {nd}) AS {c}" for c in cols)
 
 
-def mcrmse_select(pred_alias: str = "p", label_alias: str = "e", group: str = "") -> str:
-    """SELECT list computing the six RMSEs + mean, rounded (needs GROUP BY by caller)."""
+def mcrmse_select(pred_alias: str = "p", label_alias: str = "e", group: str = "", nd: int | None = 6) -> str:
+    """SELECT list computing the six RMSEs + mean (needs GROUP BY by caller)."""
     rm = [f"sqrt(avg(({pred_alias}.{t} - {label_alias}.{t}) * ({pred_alias}.{t} - {label_alias}.{t})))" for t in TARGETS]
     mean = "(" + " + ".join(rm) + f") / {len(TARGETS)}"
-    cols = [f"round({mean}, 6) AS mcrmse"] + [f"round({r}, 6) AS {t}" for r, t in zip(rm, TARGETS)]
+    r = (lambda x: f"round({x}, {nd})") if nd is not None else (lambda x: x)
+    cols = [f"{r(mean)} AS mcrmse"] + [f"{r(x)} AS {t}" for x, t in zip(rm, TARGETS)]
     return (group + ", " if group else "") + ", ".join(cols)
 
 
