@@ -707,3 +707,56 @@ def text_corpus_scan(spark, sf_dir):
     path = shared_path(spark, "corpus")
     write_text_files(FX.table(spark, sf_dir, "benchmark"), path, "item_id", "text")
     return read_text_corpus(spark, path)
+
+
+# ---------------------------------------------------------------------------
+# Ridge fold models (rows-only checks; exactness is tested against a direct
+# numpy solve on a small fixture in tests/test_ridge.py)
+# ---------------------------------------------------------------------------
+def _cfg():
+    from foldwise.config import RunConfig
+    return RunConfig(run_name="ridge")
+
+
+@register("cv_fit")
+def cv_fit(spark, sf_dir):
+    from foldwise.operators import ridge
+    from foldwise.plans.jobs import _featurized_folds
+    cfg = _cfg()
+    coefs = ridge.fit_fold_models(spark, _featurized_folds(spark, FX.essays(spark, sf_dir), cfg), cfg)
+    return ridge.coefficients_frame(spark, coefs)
+
+
+@register("cv_oof")
+def cv_oof(spark, sf_dir):
+    from foldwise.plans.jobs import run_experiment
+    return run_experiment(spark, FX.essays(spark, sf_dir), _cfg())[1]
+
+
+@register("experiment_run")
+def experiment_run(spark, sf_dir):
+    from foldwise.plans.jobs import run_experiment
+    return run_experiment(spark, FX.essays(spark, sf_dir), _cfg())[3]
+
+
+@register("test_ensemble")
+def test_ensemble(spark, sf_dir):
+    from foldwise.operators import ridge
+    from foldwise.plans.jobs import _featurized_folds, inference
+    cfg = _cfg()
+    coefs = ridge.fit_fold_models(spark, _featurized_folds(spark, FX.essays(spark, sf_dir), cfg), cfg)
+    return inference(spark, FX.test_texts(spark, sf_dir).select("text_id", "full_text"), coefs,
+                     FX.submission_template(spark, sf_dir), cfg=cfg, seed=42)
+
+
+@register("pseudo_label")
+def pseudo_label(spark, sf_dir):
+    from foldwise.plans.jobs import pseudo_label_tables
+    return pseudo_label_tables(spark, FX.labelled_essays(spark, sf_dir), FX.corpus(spark, sf_dir), model="ridge",
+                               cfg=_cfg())
+
+
+@register("pretrain_finetune")
+def pretrain_finetune_q(spark, sf_dir):
+    from foldwise.plans.jobs import pretrain_finetune
+    return pretrain_finetune(spark, FX.labelled_essays(spark, sf_dir), FX.corpus(spark, sf_dir), _cfg())[2]

@@ -97,3 +97,68 @@ def pseudo_label_tables(spark: SparkSession, train: DataFrame, corpus: DataFrame
         coefs = ridge.fit_fold_models(spark, feats, cfg)
         return ridge.predict_every_fold(spark, ridge.featurize(base, cfg.n_features), coefs, cfg)
     raise ValueError(f"unknown model {model!r}")
+
+
+def _featurized_folds(spark: SparkSession, train: DataFrame, cfg: RunConfig) -> DataFrame:
+    """Features once, then folds for all seeds; checkpointed to the shared folder
+    (fit and OOF prediction both read it; lineage is cut after the shuffle)."""
+    from foldwise.operators import ridge
+    from foldwise.session import checkpoint_dir
+    checkpoint_dir(spark)
+    feats = ridge.featurize(with_variant(train, cfg.data_version, "train"), cfg.n_features)
+    folded = assign_folds(feats, cfg.seeds, cfg.n_folds, cfg.targets)
+    if cfg.train_folds != tuple(range(cfg.n_folds)):
+        folded = folded.where(F.col("fold").isin(list(cfg.train_folds)))
+    return folded.checkpoint(eager=True)
+
+
+def run_experiment(spark: SparkSession, train: DataFrame, cfg: RunConfig = RunConfig(),
+                   priors: dict | None = None):
+    """Fit every (seed, fold) model, assemble OOF, score per seed, log.
+
+    Returns (coefficients dict, OOF DataFrame, per-seed scores, metric log).
+    """
+    from foldwise.operators import ridge
+    folded = _featurized_folds(spark, train, cfg)
+    coefs = ridge.fit_fold_models(spark, folded, cfg, priors)
+    oof = ridge.predict_own_fold(folded, coefs, cfg.targets)
+    scored = M.align(folded.select("seed", "text_id", "fold", *cfg.targets), oof, ["seed", "text_id", "fold"], cfg.targets)
+    scores = M.mcrmse(scored, ["seed"], cfg.targets)
+    return coefs, oof, scores, score_log(scores, cfg.run_name, cfg.targets)
+
+
+def inference(spark: SparkSession, test: DataFrame, coefs: dict, template: DataFrame, path: str | None = None,
+              cfg: RunConfig = RunConfig(), seed: int | None = None) -> DataFrame:
+    """Fold ensemble on the test set: every fold model of ``seed`` (all seeds
+    when None) predicts every row, predictions are averaged per id."""
+    from foldwise.operators import ridge
+    use = {k: v for k, v in coefs.items() if seed is None or k[0] == seed}
+    feats = ridge.featurize(with_variant(test, cfg.data_version, "test"), cfg.n_features)
+    preds = ridge.predict_every_fold(spark, feats, use, cfg)
+    ens = M.fold_ensemble(preds, "text_id", "fold", cfg.targets).drop("n_models")
+    if path is not None:
+        return make_submission(template, ens, path, targets=cfg.targets)
+    return template.select("text_id").join(ens, "text_id", "left")
+
+
+def pretrain_finetune(spark: SparkSession, train: DataFrame, corpus: DataFrame, cfg: RunConfig = RunConfig()):
+    """Pseudo-label pretraining, then fine-tuning on the train folds.
+
+    1. Pseudo tables: corpus minus train labelled by each fold's ridge model.
+    2. Pretrain: ridge on pseudo(seed, fold) alone -> prior B0(seed, fold).
+    3. Fine-tune: ridge on the train folds pulled towards B0 with weight
+       ``prior_lambda`` (the linear analogue of starting from the pretrained
+       weights). Returns the same tuple as ``run_experiment``.
+    """
+    from foldwise.operators import ridge
+    folded = _featurized_folds(spark, train, cfg)
+    coefs0 = ridge.fit_fold_models(spark, folded, cfg)
+    base = ridge.featurize(pseudo_base(train, corpus), cfg.n_features)
+    pseudo = ridge.predict_every_fold(spark, base, coefs0, cfg)
+    pseudo_feats = pseudo.join(base.select("text_id", "features"), "text_id")
+    priors = ridge.fit_direct(pseudo_feats, cfg)
+    coefs = ridge.fit_fold_models(spark, folded, cfg, priors)
+    oof = ridge.predict_own_fold(folded, coefs, cfg.targets)
+    scored = M.align(folded.select("seed", "text_id", "fold", *cfg.targets), oof, ["seed", "text_id", "fold"], cfg.targets)
+    scores = M.mcrmse(scored, ["seed"], cfg.targets)
+    return coefs, oof, scores, score_log(scores, cfg.run_name + "_pseudo_pretrain", cfg.targets)
