@@ -54,8 +54,10 @@ def assign_folds(df: DataFrame, seeds: Sequence[int] = (42,), n_folds: int = N_F
     x = _with_seeds(df, seeds, seed_col)
     kcols = [f"_k{i}" for i in range(len(targets))]
     x = x.withColumns({k: F.coalesce(F.col(t).cast("double"), F.lit(NULL_KEY)) for k, t in zip(kcols, targets)})
-    x = x.withColumn("_h", seeded_key(F.col(seed_col), F.col(id_col)))
-    x = x.withColumn("_b", F.substring("_h", 1, bucket_hex_digits))
+    # non-null keys: every level table then derives from one identical
+    # coarse-count subtree, which Spark computes once and reuses
+    x = x.withColumn("_h", F.coalesce(seeded_key(F.col(seed_col), F.col(id_col)), F.lit("")))
+    x = x.withColumn("_b", F.coalesce(F.substring("_h", 1, bucket_hex_digits), F.lit("")))
     key = [seed_col, *kcols, "_b"]
 
     coarse = x.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))

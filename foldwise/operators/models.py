@@ -42,3 +42,13 @@ def predict_constant(rows: DataFrame, models: DataFrame, keys: Sequence[str] = (
     (seed x fold) table, so the join is a broadcast of a size fixed by the run)."""
     m = models.select(*keys, *targets)
     return rows.drop(*[t for t in targets if t in rows.columns]).join(F.broadcast(m), list(keys))
+
+
+def score_constant(folded: DataFrame, models: DataFrame, keys: Sequence[str] = ("seed", "fold"),
+                   targets: Sequence[str] = TARGETS) -> DataFrame:
+    """Scored table (y_t, p_t) of constant fold models without re-joining rows:
+    labels are already on the folded rows, predictions come from a broadcast
+    of the (seed x fold) model table."""
+    m = models.select(*keys, *[F.col(t).alias(f"p_{t}") for t in targets])
+    rows = folded.select(*keys, "text_id", *[F.col(t).cast("double").alias(f"y_{t}") for t in targets])
+    return rows.join(F.broadcast(m), list(keys))

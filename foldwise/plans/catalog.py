@@ -581,8 +581,10 @@ sc AS (SELECT fe.seed, fe.fold, {', '.join(f'fe.{t} AS y_{t}, m.{t} AS p_{t}' fo
 SELECT seed, fold, {_rm_sql()} FROM sc GROUP BY seed, fold
 """)
 def fold_mean_score(spark, sf_dir):
-    folded, oof = _fold_mean_oof(spark, sf_dir)
-    return round_doubles(M.mcrmse(M.align(folded, oof, ["seed", "text_id", "fold"]), ["seed", "fold"]))
+    from foldwise.operators.models import fold_mean_models, score_constant
+    folded = _folded(spark, sf_dir)
+    scored = score_constant(folded, fold_mean_models(spark, folded))
+    return round_doubles(M.mcrmse(scored, ["seed", "fold"]))
 
 
 @register("fold_mean_submission", _FM_SQL + f""", {S.TEST}
@@ -608,8 +610,10 @@ UNION ALL SELECT 'fold_mean', CAST(NULL AS INTEGER), metric, round(value, 6) FRO
 """)
 def metrics_log(spark, sf_dir):
     from foldwise.plans.jobs import score_log
-    folded, oof = _fold_mean_oof(spark, sf_dir)
-    return round_doubles(score_log(M.mcrmse(M.align(folded, oof, ["seed", "text_id", "fold"]), ["seed"]), "fold_mean"))
+    from foldwise.operators.models import fold_mean_models, score_constant
+    folded = _folded(spark, sf_dir)
+    scored = score_constant(folded, fold_mean_models(spark, folded))
+    return round_doubles(score_log(M.mcrmse(scored, ["seed"]), "fold_mean"))
 
 
 # --- M6 / J3 / P7 with the fold-mean model -------------------------------------------
