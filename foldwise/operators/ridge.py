@@ -1,7 +1,8 @@
 """Per-(seed, fold) ridge models fitted from sufficient statistics.
 
-Features are hashed log term frequencies of the text (``featurize``; one
-vectorised pandas pass per Arrow batch, no shuffle). Fitting needs one scan:
+Features are hashed log term frequencies of the text (``featurize``: words
+split and hashed in the JVM, counted per Arrow batch with one ``bincount``;
+no shuffle). Fitting needs one scan:
 every task folds its rows into augmented Gram matrices ``[1 X Y]^T [1 X Y]``
 per (seed, fold) and emits their upper triangles as long rows; a ``groupBy``
 sums them (partial aggregation first). Train statistics of fold k are the
@@ -17,54 +18,86 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldwise.config import TARGETS, RunConfig
 
-WORD = r"\w+"
+# Words: maximal runs of Unicode letters, digits and underscore, lower-cased.
+WORD_SPLIT = r"[^\p{L}\p{N}_]+"
+HASH_SEED = 42
 
 
-def hashed_log_tf(texts: pd.Series, d: int) -> np.ndarray:
-    """n x d matrix of log(1 + count) of words hashed into d buckets."""
-    n = len(texts)
-    words = texts.fillna("").str.lower().str.findall(WORD)
-    flat = words.explode()
-    flat = flat[flat.notna()]
-    out = np.zeros(n * d, dtype=np.float64)
-    if len(flat):
-        rows = np.asarray(flat.index.to_numpy(), dtype=np.int64)
-        buckets = (pd.util.hash_array(flat.to_numpy(dtype=object)) % np.uint64(d)).astype(np.int64)
-        out += np.bincount(rows * d + buckets, minlength=n * d)
-    return np.log1p(out.reshape(n, d))
+def word_buckets(text, n_features: int):
+    """ARRAY<INT> of hashed word buckets, computed in the JVM (split + xxhash64)."""
+    words = F.filter(F.split(F.lower(text), WORD_SPLIT), lambda w: w != F.lit(""))
+    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(n_features)).cast("int"))
+
+
+def bucket_counts(lists: pa.ListArray, n_features: int) -> np.ndarray:
+    """n x d log(1 + count) matrix from an Arrow list of bucket ids (nulls = no words)."""
+    n = len(lists)
+    lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    rows = np.repeat(np.arange(n, dtype=np.int64), lengths)
+    counts = np.bincount(rows * n_features + values, minlength=n * n_features)
+    return np.log1p(counts.reshape(n, n_features))
+
+
+def _fixed_lists(X: np.ndarray) -> pa.ListArray:
+    n, d = X.shape
+    offsets = pa.array(np.arange(0, n * d + 1, d, dtype=np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(X.astype(np.float32).ravel()))
+
+
+def _matrix(rb: pa.RecordBatch, name: str) -> np.ndarray:
+    col = rb.column(rb.schema.get_field_index(name))
+    n = len(col)
+    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(n, -1) if n else np.zeros((0, 0))
+
+
+def _spread_small_input(df: DataFrame, key: str = "text_id") -> DataFrame:
+    """Hash-spread an input that has fewer partitions than the session has
+    cores (e.g. one large row group), so tokenising is not left to one task.
+    A large input is read in many partitions already and is left where it is
+    (no text shuffle)."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if key in df.columns and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, key)
+    return df
 
 
 def featurize(df: DataFrame, n_features: int, text_col: str = "full_text", out_col: str = "features") -> DataFrame:
-    """Replace the text column by ``features ARRAY<DOUBLE>`` of length n_features."""
-    keep = [f for f in df.schema.fields if f.name != text_col]
-    schema = T.StructType(keep + [T.StructField(out_col, T.ArrayType(T.DoubleType(), False))])
+    """Replace the text column by ``features ARRAY<FLOAT>``: hashed log term
+    frequencies. Words are split and hashed in the JVM; Python only counts
+    bucket ids of each Arrow batch with one ``bincount``."""
+    x = _spread_small_input(df)
+    x = x.withColumn("_bk", word_buckets(F.col(text_col), n_features)).drop(text_col)
+    keep = [f for f in x.schema.fields if f.name != "_bk"]
+    schema = T.StructType(keep + [T.StructField(out_col, T.ArrayType(T.FloatType(), True))])
     names = [f.name for f in keep]
 
     def run(batches):
-        for pdf in batches:
-            pdf = pdf.reset_index(drop=True)
-            X = hashed_log_tf(pdf[text_col], n_features)
-            out = pdf[names].copy()
-            out[out_col] = list(X)
-            yield out
+        for rb in batches:
+            X = bucket_counts(rb.column(rb.schema.get_field_index("_bk")), n_features)
+            cols = [rb.column(rb.schema.get_field_index(n)) for n in names] + [_fixed_lists(X)]
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, out_col])
 
-    return df.mapInPandas(run, schema)
+    return x.mapInArrow(run, schema)
 
 
-def _design(pdf: pd.DataFrame, feat_col: str) -> np.ndarray:
-    X = np.stack(pdf[feat_col].to_numpy()) if len(pdf) else np.zeros((0, 0))
-    return np.hstack([np.ones((len(pdf), 1)), X])
+def _design(X: np.ndarray) -> np.ndarray:
+    return np.hstack([np.ones((X.shape[0], 1)), X])
 
 
 def gram_partials(df: DataFrame, targets: Sequence[str] = TARGETS, key_cols: Sequence[str] = ("seed", "fold"),
                   feat_col: str = "features") -> DataFrame:
-    """Long rows (keys..., i, j, v): upper triangle of each task's Gram matrix per key."""
+    """Long rows (keys..., i, j, v): upper triangle of each task's Gram matrix
+    per key, emitted once at the end of the task."""
     targets, key_cols = list(targets), list(key_cols)
     fields = [df.schema[k] for k in key_cols]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields] + [
@@ -73,10 +106,12 @@ def gram_partials(df: DataFrame, targets: Sequence[str] = TARGETS, key_cols: Seq
 
     def run(batches):
         acc: dict = {}
-        for pdf in batches:
-            if not len(pdf):
+        for rb in batches:
+            if not rb.num_rows:
                 continue
-            Z = np.hstack([_design(pdf, feat_col), pdf[targets].to_numpy(dtype=np.float64)])
+            pdf = rb.select(key_cols).to_pandas()
+            Y = np.column_stack([rb.column(rb.schema.get_field_index(t)).to_numpy(zero_copy_only=False) for t in targets])
+            Z = np.hstack([_design(_matrix(rb, feat_col)), Y.astype(np.float64)])
             for key, idx in pdf.groupby(key_cols, sort=False).indices.items():
                 key = key if isinstance(key, tuple) else (key,)
                 Zi = Z[idx]
@@ -84,12 +119,12 @@ def gram_partials(df: DataFrame, targets: Sequence[str] = TARGETS, key_cols: Seq
                 acc[key] = acc[key] + g if key in acc else g
         for key, g in acc.items():
             iu = np.triu_indices(g.shape[0])
-            out = pd.DataFrame({"i": iu[0].astype(np.int32), "j": iu[1].astype(np.int32), "v": g[iu]})
-            for k, val in zip(key_cols, key):
-                out.insert(0, k, val)
-            yield out[[*key_cols, "i", "j", "v"]]
+            cols = [pa.array(np.full(len(iu[0]), val), type=pa.int32() if isinstance(val, (int, np.integer)) else None)
+                    for val in key]
+            cols += [pa.array(iu[0].astype(np.int32)), pa.array(iu[1].astype(np.int32)), pa.array(g[iu])]
+            yield pa.RecordBatch.from_arrays(cols, names=[*key_cols, "i", "j", "v"])
 
-    return labelled.select(*key_cols, feat_col, *targets).mapInPandas(run, schema)
+    return labelled.select(*key_cols, feat_col, *targets).mapInArrow(run, schema)
 
 
 def gram_tables(df: DataFrame, targets: Sequence[str] = TARGETS, key_cols: Sequence[str] = ("seed", "fold")) -> DataFrame:
@@ -168,20 +203,19 @@ def predict_own_fold(feats_folded: DataFrame, coefs: dict, targets: Sequence[str
     schema = _pred_schema([("seed", T.IntegerType()), (id_col, T.StringType()), ("fold", T.IntegerType())], targets)
 
     def run(batches):
-        for pdf in batches:
-            if not len(pdf):
+        for rb in batches:
+            if not rb.num_rows:
                 continue
-            Z = _design(pdf, feat_col)
-            P = np.full((len(pdf), len(targets)), np.nan)
-            for (s, k), idx in pdf.groupby(["seed", "fold"], sort=False).indices.items():
+            Z = _design(_matrix(rb, feat_col))
+            keys = rb.select(["seed", "fold"]).to_pandas()
+            P = np.full((rb.num_rows, len(targets)), np.nan)
+            for (s, k), idx in keys.groupby(["seed", "fold"], sort=False).indices.items():
                 P[idx] = Z[idx] @ coefs[(int(s), int(k))]
-            out = pd.DataFrame(P, columns=targets)
-            out.insert(0, "fold", pdf["fold"].to_numpy(dtype=np.int32))
-            out.insert(0, id_col, pdf[id_col].to_numpy())
-            out.insert(0, "seed", pdf["seed"].to_numpy(dtype=np.int32))
-            yield out
+            cols = [rb.column(rb.schema.get_field_index(c)) for c in ("seed", id_col, "fold")]
+            cols += [pa.array(P[:, i]) for i in range(len(targets))]
+            yield pa.RecordBatch.from_arrays(cols, names=["seed", id_col, "fold", *targets])
 
-    return feats_folded.select("seed", id_col, "fold", feat_col).mapInPandas(run, schema)
+    return feats_folded.select("seed", id_col, "fold", feat_col).mapInArrow(run, schema)
 
 
 def predict_every_fold(spark: SparkSession, feats: DataFrame, coefs: dict, cfg: RunConfig | None = None,
@@ -192,15 +226,16 @@ def predict_every_fold(spark: SparkSession, feats: DataFrame, coefs: dict, cfg:
     schema = _pred_schema([("seed", T.IntegerType()), ("fold", T.IntegerType()), (id_col, T.StringType())], targets)
 
     def run(batches):
-        for pdf in batches:
-            if not len(pdf):
+        for rb in batches:
+            if not rb.num_rows:
                 continue
-            Z = _design(pdf, feat_col)
+            Z = _design(_matrix(rb, feat_col))
+            ids = rb.column(rb.schema.get_field_index(id_col))
+            n = rb.num_rows
             for s, k in keys:
-                out = pd.DataFrame(Z @ coefs[(s, k)], columns=targets)
-                out.insert(0, id_col, pdf[id_col].to_numpy())
-                out.insert(0, "fold", np.int32(k))
-                out.insert(0, "seed", np.int32(s))
-                yield out
+                P = Z @ coefs[(s, k)]
+                cols = [pa.array(np.full(n, s, dtype=np.int32)), pa.array(np.full(n, k, dtype=np.int32)), ids]
+                cols += [pa.array(P[:, i]) for i in range(len(targets))]
+                yield pa.RecordBatch.from_arrays(cols, names=["seed", "fold", id_col, *targets])
 
-    return feats.select(id_col, feat_col).mapInPandas(run, schema)
+    return feats.select(id_col, feat_col).mapInArrow(run, schema)

@@ -27,7 +27,7 @@ def test_ridge_equals_direct_solve(spark):
     pdf = folded.select("seed", "fold", "features", *TARGETS).toPandas()
     for (s, k), B in coefs.items():
         tr = pdf[(pdf.seed == s) & (pdf.fold != k)]
-        Z = np.hstack([np.ones((len(tr), 1)), np.stack(tr.features.to_numpy())])
+        Z = np.hstack([np.ones((len(tr), 1)), np.stack(tr.features.to_numpy()).astype(np.float64)])
         Y = tr[TARGETS].to_numpy()
         P = np.eye(Z.shape[1]) * CFG.ridge_lambda
         P[0, 0] = 0
@@ -35,12 +35,14 @@ def test_ridge_equals_direct_solve(spark):
         assert np.allclose(B, direct, atol=1e-8)
 
 
-def test_hashed_features_are_stable_and_counted():
-    X = ridge.hashed_log_tf(pd.Series(["a a b", "", None, "B"]), 8)
-    assert X.shape == (4, 8)
-    assert np.isclose(X[0].sum(), np.log1p(2) + np.log1p(1))
-    assert X[1].sum() == 0 and X[2].sum() == 0
-    assert np.allclose(X[3], ridge.hashed_log_tf(pd.Series(["b"]), 8)[0])  # lower-cased
+def test_hashed_features_count_words(spark):
+    df = spark.createDataFrame([("a", "a a, b!"), ("b", ""), ("c", None), ("d", "B")], "text_id string, full_text string")
+    X = {r.text_id: np.array(r.features) for r in ridge.featurize(df, 8).collect()}
+    assert all(len(v) == 8 for v in X.values())
+    assert np.isclose(np.expm1(X["a"]).sum(), 3)
+    assert X["b"].sum() == 0 and X["c"].sum() == 0
+    assert np.allclose(X["d"], ridge.featurize(spark.createDataFrame([("x", "b")], "text_id string, full_text string"), 8)
+                       .collect()[0].features)  # lower-cased
 
 
 def _bump(folded, seed, fold, delta):
