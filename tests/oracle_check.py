@@ -41,6 +41,17 @@ def digest(cols, rows):
     return hashlib.sha256("\n".join(lines).encode()).hexdigest(), lines
 
 
+SPARK_TO_DUCK = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE",
+                 "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
+def _duck_type(t):
+    if t is None:
+        return None
+    t = str(t).upper()
+    return {"STRING": "VARCHAR", "NUMBER": "DOUBLE"}.get(t, t)
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     t0 = time.time()
     df = fn(spark, sf_dir)
@@ -54,8 +65,15 @@ def compare(spark, con, name, fn, sql, sf_dir):
     drows = res.fetchall()
     sh, sl = digest(scols, srows)
     dh, dl = digest(dcols, drows)
+    stypes = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    dtypes = {d[0]: str(d[1]) for d in res.description}
+    type_diff = {c: (stypes.get(c), dtypes.get(c)) for c in set(stypes) | set(dtypes)
+                 if stypes.get(c) != _duck_type(dtypes.get(c))}
     out = {"name": name, "rows": len(srows), "oracle_rows": len(drows),
-           "cols_match": sorted(scols) == sorted(dcols), "hash_match": sh == dh, "sec": round(t1 - t0, 2)}
+           "cols_match": sorted(scols) == sorted(dcols), "hash_match": sh == dh, "types_match": not type_diff,
+           "sec": round(t1 - t0, 2)}
+    if type_diff:
+        out["type_diff"] = type_diff
     if not (out["cols_match"] and out["hash_match"]):
         out["spark_cols"] = sorted(scols)
         out["duck_cols"] = sorted(dcols)
@@ -84,6 +102,8 @@ def main():
         except Exception as e:  # report and continue
             r = {"name": name, "error": repr(e)[:800]}
         ok = r.get("oracle") is None and "error" not in r or (r.get("cols_match") and r.get("hash_match"))
+        if ok and r.get("types_match") is False:
+            print("TYPES " + str(r.get("type_diff")))
         bad += 0 if ok else 1
         print(("OK   " if ok else "FAIL ") + str(r), flush=True)
     print(f"{bad} failing")
