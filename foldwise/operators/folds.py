@@ -16,7 +16,8 @@ Design (replaces the sequential iterative-stratification loop):
 
 Fold sizes differ by at most one; each label value is spread over the folds
 like a systematic sample of the sorted labels. The payload columns travel
-through the one row-level shuffle.
+through the one row-level shuffle (with several seeds, the narrow rows are
+ranked for every seed and the payload is joined back by id once).
 """
 
 from __future__ import annotations
@@ -51,6 +52,14 @@ def assign_folds(df: DataFrame, seeds: Sequence[int] = (42,), n_folds: int = N_F
     Ids must be unique per seed.
     """
     targets = list(targets)
+    payload = [c for c in df.columns if c not in (id_col, seed_col, *targets)]
+    if payload and seed_col not in df.columns and len(seeds) > 1:
+        # several seeds and wide rows: rank the narrow (id, labels) rows for all
+        # seeds, then attach the payload once by id -- one shuffle of the wide
+        # rows instead of one per seed
+        narrow = assign_folds(df.select(id_col, *targets), seeds, n_folds, targets, id_col, seed_col,
+                              fold_col, bucket_hex_digits)
+        return narrow.join(df.drop(*targets), id_col)
     x = _with_seeds(df, seeds, seed_col)
     kcols = [f"_k{i}" for i in range(len(targets))]
     x = x.withColumns({k: F.coalesce(F.col(t).cast("double"), F.lit(NULL_KEY)) for k, t in zip(kcols, targets)})
