@@ -52,7 +52,9 @@ def assign_folds(df: DataFrame, seeds: Sequence[int] = (42,), n_folds: int = N_F
     Ids must be unique per seed.
     """
     targets = list(targets)
-    payload = [c for c in df.columns if c not in (id_col, seed_col, *targets)]
+    wide = ("string", "binary", "array", "map", "struct")
+    payload = [f.name for f in df.schema.fields if f.name not in (id_col, seed_col, *targets)
+               and f.dataType.typeName() in wide]
     if payload and seed_col not in df.columns and len(seeds) > 1:
         # several seeds and wide rows: rank the narrow (id, labels) rows for all
         # seeds, then attach the payload once by id -- one shuffle of the wide

@@ -56,9 +56,11 @@ T6 = list(TARGETS)
 T6_SQL = ", ".join(T6)
 
 
-def _folded(spark, sf_dir, seeds=(42, 43, 44), with_text=False):
+def _folded(spark, sf_dir, seeds=(42, 43, 44), with_text=False, materialized=False):
     from foldwise.operators.folds import assign_folds
-    return assign_folds(FX.essays(spark, sf_dir, with_text=with_text), seeds=seeds)
+    from foldwise.session import materialize
+    folded = assign_folds(FX.essays(spark, sf_dir, with_text=with_text), seeds=seeds)
+    return materialize(folded) if materialized else folded
 
 
 def _own_fold_preds(folded, fold_subset=None):
@@ -69,7 +71,7 @@ def _own_fold_preds(folded, fold_subset=None):
 
 def _oof(spark, sf_dir, seeds=(42, 43, 44), fold_subset=None):
     from foldwise.operators.datasets import oof_template
-    folded = _folded(spark, sf_dir, seeds)
+    folded = _folded(spark, sf_dir, seeds, materialized=True)  # read by three branches
     keys = ["seed", "text_id", "fold"]
     template = oof_template(folded).drop(*T6)
     oof = template.join(_own_fold_preds(folded, fold_subset), keys, "left")
@@ -564,7 +566,7 @@ models AS (SELECT g.seed, g.fold, {", ".join(f"avg(fe.{t}) AS {t}" for t in T6)}
 
 def _fold_mean_oof(spark, sf_dir):
     from foldwise.operators.models import fold_mean_models, predict_constant
-    folded = _folded(spark, sf_dir)
+    folded = _folded(spark, sf_dir, materialized=True)
     models = fold_mean_models(spark, folded)
     return folded, predict_constant(folded.select("seed", "text_id", "fold"), models)
 
@@ -582,7 +584,7 @@ SELECT seed, fold, {_rm_sql()} FROM sc GROUP BY seed, fold
 """)
 def fold_mean_score(spark, sf_dir):
     from foldwise.operators.models import fold_mean_models, score_constant
-    folded = _folded(spark, sf_dir)
+    folded = _folded(spark, sf_dir, materialized=True)
     scored = score_constant(folded, fold_mean_models(spark, folded))
     return round_doubles(M.mcrmse(scored, ["seed", "fold"]))
 
@@ -593,7 +595,7 @@ FROM test t CROSS JOIN (SELECT * FROM models WHERE seed = 42) m GROUP BY t.text_
 """)
 def fold_mean_submission(spark, sf_dir):
     from foldwise.operators.models import fold_mean_models, predict_constant
-    models = fold_mean_models(spark, _folded(spark, sf_dir, seeds=[42]), seeds=[42])
+    models = fold_mean_models(spark, _folded(spark, sf_dir, seeds=[42]), seeds=[42])  # one branch
     t = FX.test_texts(spark, sf_dir).select("text_id").withColumn("seed", F.lit(42))
     t = t.withColumn("fold", F.explode(F.array(*[F.lit(k) for k in range(5)])))
     return round_doubles(M.fold_ensemble(predict_constant(t, models)).drop("n_models"))
@@ -611,7 +613,7 @@ UNION ALL SELECT 'fold_mean', CAST(NULL AS INTEGER), metric, round(value, 6) FRO
 def metrics_log(spark, sf_dir):
     from foldwise.plans.jobs import score_log
     from foldwise.operators.models import fold_mean_models, score_constant
-    folded = _folded(spark, sf_dir)
+    folded = _folded(spark, sf_dir, materialized=True)
     scored = score_constant(folded, fold_mean_models(spark, folded))
     return round_doubles(score_log(M.mcrmse(scored, ["seed"]), "fold_mean"))
 

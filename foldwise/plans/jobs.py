@@ -82,8 +82,8 @@ def pseudo_label_tables(spark: SparkSession, train: DataFrame, corpus: DataFrame
     The table is narrow (ids + targets); texts stay in the pseudo base.
     """
     base = pseudo_base(train, corpus)
-    folded = assign_folds(train, seeds, n_folds)
     if model == "fold_mean":
+        folded = assign_folds(train.select("text_id", *targets), seeds, n_folds, targets)
         from foldwise.operators.models import fold_mean_models, predict_constant
         models = fold_mean_models(spark, folded, seeds, n_folds, targets)
         rows = base.select("text_id")
@@ -93,8 +93,7 @@ def pseudo_label_tables(spark: SparkSession, train: DataFrame, corpus: DataFrame
     if model == "ridge":
         from foldwise.operators import ridge
         cfg = cfg or RunConfig(seeds=tuple(seeds), n_folds=n_folds)
-        feats = ridge.featurize(folded, cfg.n_features)
-        coefs = ridge.fit_fold_models(spark, feats, cfg)
+        coefs = ridge.fit_fold_models(spark, _featurized_folds(spark, train, cfg), cfg)
         return ridge.predict_every_fold(spark, ridge.featurize(base, cfg.n_features), coefs, cfg)
     raise ValueError(f"unknown model {model!r}")
 
@@ -103,13 +102,17 @@ def _featurized_folds(spark: SparkSession, train: DataFrame, cfg: RunConfig) ->
     """Features once, then folds for all seeds; checkpointed to the shared folder
     (fit and OOF prediction both read it; lineage is cut after the shuffle)."""
     from foldwise.operators import ridge
-    from foldwise.session import checkpoint_dir
-    checkpoint_dir(spark)
-    feats = ridge.featurize(with_variant(train, cfg.data_version, "train"), cfg.n_features)
-    folded = assign_folds(feats, cfg.seeds, cfg.n_folds, cfg.targets)
+    from foldwise.session import materialize
+    targets = list(cfg.targets)
+    # folds from the narrow (id, labels) columns of the scan; the fold operator
+    # reads its input more than once, and features are a Python step that
+    # column pruning cannot see through, so they are computed once and joined
+    folds = assign_folds(train.select("text_id", *targets), cfg.seeds, cfg.n_folds, targets)
     if cfg.train_folds != tuple(range(cfg.n_folds)):
-        folded = folded.where(F.col("fold").isin(list(cfg.train_folds)))
-    return folded.checkpoint(eager=True)
+        folds = folds.where(F.col("fold").isin(list(cfg.train_folds)))
+    feats = ridge.featurize(with_variant(train, cfg.data_version, "train").select("text_id", "full_text"),
+                            cfg.n_features)
+    return materialize(folds.join(feats, "text_id"))
 
 
 def run_experiment(spark: SparkSession, train: DataFrame, cfg: RunConfig = RunConfig(),
@@ -153,7 +156,8 @@ def pretrain_finetune(spark: SparkSession, train: DataFrame, corpus: DataFrame,
     from foldwise.operators import ridge
     folded = _featurized_folds(spark, train, cfg)
     coefs0 = ridge.fit_fold_models(spark, folded, cfg)
-    base = ridge.featurize(pseudo_base(train, corpus), cfg.n_features)
+    from foldwise.session import materialize
+    base = materialize(ridge.featurize(pseudo_base(train, corpus).select("text_id", "full_text"), cfg.n_features))
     pseudo = ridge.predict_every_fold(spark, base, coefs0, cfg)
     pseudo_feats = pseudo.join(base.select("text_id", "features"), "text_id")
     priors = ridge.fit_direct(pseudo_feats, cfg)

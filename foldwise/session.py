@@ -62,3 +62,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder for a written table."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Cut lineage: write ``df`` once to the shared checkpoint folder and read it
+    back (a table that several branches read is then computed once, and a lost
+    executor does not recompute its lineage)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
