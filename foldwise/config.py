@@ -47,6 +47,7 @@ class RunConfig:
     """Frozen replacement for the mutable config classes of a run."""
 
     run_name: str = "baseline"
+    model_name: str = "base"   # model variant; the same jobs serve every variant
     data_version: str = "vanilla"
     pooling: str = "mean"
     loss: str = "smooth_l1"

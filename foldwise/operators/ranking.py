@@ -68,8 +68,10 @@ def positions(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence
     checkpoint_dir(spark)
     partition_cols = list(partition_cols)
     keys = [*partition_cols, *order_cols]
-    n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    staged = (df.repartitionByRange(n, *keys)
+    # without an explicit count the range exchange follows the shuffle
+    # partition setting and AQE may coalesce it; ids are read after that
+    ranged = df.repartitionByRange(n_partitions, *keys) if n_partitions else df.repartitionByRange(*keys)
+    staged = (ranged
                 .sortWithinPartitions(*keys)
                 .withColumn("_mid", F.monotonically_increasing_id()))
     staged = staged.checkpoint(eager=True)

@@ -136,3 +136,12 @@ def test_config_coupling_and_debug():
     assert d.train_folds == (0, 1) and d.val_check_interval == 300 // 8
     assert RunConfig(batch_size=1).val_check_interval == 500
     assert RunConfig().as_params()["seeds"] == "42,43,44"
+
+
+def test_params_log_records_every_setting():
+    from foldwise.plans.jobs import params_log
+    rows = params_log(RunConfig(run_name="r1", model_name="large", loss="weighted_smooth_l1"))
+    d = {k: v for _, k, v in rows}
+    assert all(r[0] == "r1" for r in rows)
+    assert d["model_name"] == "large" and d["loss"] == "weighted_smooth_l1" and d["smooth_l1_weights"].startswith("0.21")
+    assert d["val_check_interval"] == "125" and len(rows) >= 20
