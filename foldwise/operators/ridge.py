@@ -4,8 +4,10 @@ Features are hashed log term frequencies of the text (``featurize``: words
 split and hashed in the JVM, counted per Arrow batch with one ``bincount``;
 no shuffle). Fitting needs one scan:
 every task folds its rows into augmented Gram matrices ``[1 X Y]^T [1 X Y]``
-per (seed, fold) and emits their upper triangles as long rows; a ``groupBy``
-sums them (partial aggregation first). Train statistics of fold k are the
+per (seed, fold) and emits their upper triangles packed in 1,024-value chunks;
+a ``groupBy`` on (seed, fold, chunk) sums them element-wise. The Gram stage is
+coalesced to a few tasks per core, so the number of partials per chunk is
+bounded by the cluster, not by the data. Train statistics of fold k are the
 seed total minus fold k, so all (seed, fold) models come from the same
 aggregate. Only (d+7)^2 numbers per (seed, fold) reach the driver, where the
 small systems are solved; coefficients go back to the tasks with the
@@ -46,10 +48,10 @@ def bucket_counts(lists: pa.ListArray, n_features: int) -> np.ndarray:
     return np.log1p(counts.reshape(n, n_features))
 
 
-def _fixed_lists(X: np.ndarray) -> pa.ListArray:
+def _fixed_lists(X: np.ndarray, dtype=np.float32) -> pa.ListArray:
     n, d = X.shape
     offsets = pa.array(np.arange(0, n * d + 1, d, dtype=np.int32))
-    return pa.ListArray.from_arrays(offsets, pa.array(X.astype(np.float32).ravel()))
+    return pa.ListArray.from_arrays(offsets, pa.array(X.astype(dtype).ravel()))
 
 
 def _matrix(rb: pa.RecordBatch, name: str) -> np.ndarray:
@@ -94,15 +96,25 @@ def _design(X: np.ndarray) -> np.ndarray:
     return np.hstack([np.ones((X.shape[0], 1)), X])
 
 
+CHUNK = 1024  # doubles per packed partial row
+
+
 def gram_partials(df: DataFrame, targets: Sequence[str] = TARGETS, key_cols: Sequence[str] = ("seed", "fold"),
-                  feat_col: str = "features") -> DataFrame:
-    """Long rows (keys..., i, j, v): upper triangle of each task's Gram matrix
-    per key, emitted once at the end of the task."""
+                  feat_col: str = "features", max_partials: int | None = None) -> DataFrame:
+    """Packed partial sums: rows (keys..., chunk, vals ARRAY<DOUBLE>[CHUNK]) holding
+    the upper triangle of each task's Gram matrix per key, emitted once at the
+    end of the task. The Gram stage is coalesced (no shuffle) to at most
+    ``max_partials`` tasks (default: 4 x cores), which bounds how many partial
+    matrices the reduce side sees, independently of the data size."""
     targets, key_cols = list(targets), list(key_cols)
     fields = [df.schema[k] for k in key_cols]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields] + [
-        T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("v", T.DoubleType())])
+        T.StructField("chunk", T.IntegerType()), T.StructField("vals", T.ArrayType(T.DoubleType(), False))])
     labelled = df.where(F.greatest(*[F.col(t).isNull() for t in targets]) == F.lit(False)) if targets else df
+    labelled = labelled.select(*key_cols, feat_col, *targets)
+    cap = max_partials or 4 * df.sparkSession.sparkContext.defaultParallelism
+    if labelled.rdd.getNumPartitions() > cap:
+        labelled = labelled.coalesce(cap)
 
     def run(batches):
         acc: dict = {}
@@ -118,31 +130,37 @@ def gram_partials(df: DataFrame, targets: Sequence[str] = TARGETS, key_cols: Seq
                 g = Zi.T @ Zi
                 acc[key] = acc[key] + g if key in acc else g
         for key, g in acc.items():
-            iu = np.triu_indices(g.shape[0])
-            cols = [pa.array(np.full(len(iu[0]), val), type=pa.int32() if isinstance(val, (int, np.integer)) else None)
+            upper = g[np.triu_indices(g.shape[0])]
+            n_chunks = -(-len(upper) // CHUNK)
+            padded = np.zeros(n_chunks * CHUNK)
+            padded[:len(upper)] = upper
+            cols = [pa.array(np.full(n_chunks, val), type=pa.int32() if isinstance(val, (int, np.integer)) else None)
                     for val in key]
-            cols += [pa.array(iu[0].astype(np.int32)), pa.array(iu[1].astype(np.int32)), pa.array(g[iu])]
-            yield pa.RecordBatch.from_arrays(cols, names=[*key_cols, "i", "j", "v"])
+            cols += [pa.array(np.arange(n_chunks, dtype=np.int32)), _fixed_lists(padded.reshape(n_chunks, CHUNK), np.float64)]
+            yield pa.RecordBatch.from_arrays(cols, names=[*key_cols, "chunk", "vals"])
 
-    return labelled.select(*key_cols, feat_col, *targets).mapInArrow(run, schema)
+    return labelled.mapInArrow(run, schema)
 
 
 def gram_tables(df: DataFrame, targets: Sequence[str] = TARGETS, key_cols: Sequence[str] = ("seed", "fold")) -> DataFrame:
-    """Summed Gram entries per key (one aggregate; size (d+7)^2 per key)."""
-    return gram_partials(df, targets, key_cols).groupBy(*key_cols, "i", "j").agg(F.sum("v").alias("v"))
+    """Summed packed Gram chunks per key: element-wise sum of the (bounded
+    number of) partial arrays of each (key, chunk)."""
+    zero = F.array_repeat(F.lit(0.0), CHUNK)
+    summed = F.aggregate(F.collect_list("vals"), zero, lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
+    return gram_partials(df, targets, key_cols).groupBy(*key_cols, "chunk").agg(summed.alias("vals"))
 
 
-def collect_grams(grams: DataFrame, key_cols: Sequence[str] = ("seed", "fold")) -> dict:
-    """Driver-side dense matrices keyed by (seed, fold) -- bounded by d, not rows."""
+def collect_grams(grams: DataFrame, m: int, key_cols: Sequence[str] = ("seed", "fold")) -> dict:
+    """Driver-side dense m x m matrices keyed by (seed, fold) -- bounded by d, not rows."""
     pdf = grams.toPandas()
-    m = int(max(pdf["i"].max(), pdf["j"].max())) + 1 if len(pdf) else 0
+    iu = np.triu_indices(m)
     out = {}
     for key, g in pdf.groupby(list(key_cols)):
         key = key if isinstance(key, tuple) else (key,)
+        upper = np.concatenate([np.asarray(v, dtype=np.float64) for v in g.sort_values("chunk")["vals"]])
         G = np.zeros((m, m))
-        G[g["i"].to_numpy(), g["j"].to_numpy()] = g["v"].to_numpy()
-        G = G + np.triu(G, 1).T
-        out[tuple(int(k) for k in key)] = G
+        G[iu] = upper[:len(iu[0])]
+        out[tuple(int(k) for k in key)] = G + np.triu(G, 1).T
     return out
 
 
@@ -175,13 +193,15 @@ def fit_from_grams(grams: dict, n_targets: int, lam: float, priors: dict | None
 
 def fit_fold_models(spark: SparkSession, feats_folded: DataFrame, cfg: RunConfig, priors: dict | None = None) -> dict:
     """{(seed, fold): (d+1) x n_targets coefficients} for every fold of every seed."""
-    grams = collect_grams(gram_tables(feats_folded, cfg.targets))
+    m = cfg.n_features + 1 + len(cfg.targets)
+    grams = collect_grams(gram_tables(feats_folded, cfg.targets), m)
     return fit_from_grams(grams, len(cfg.targets), cfg.ridge_lambda, priors, cfg.prior_lambda if priors else 0.0)
 
 
 def fit_direct(feats: DataFrame, cfg: RunConfig, key_cols=("seed", "fold")) -> dict:
     """Models fitted on each key's own rows (e.g. pseudo table of (seed, fold))."""
-    grams = collect_grams(gram_tables(feats, cfg.targets, key_cols), key_cols)
+    m = cfg.n_features + 1 + len(cfg.targets)
+    grams = collect_grams(gram_tables(feats, cfg.targets, key_cols), m, key_cols)
     return {k: solve(G, len(cfg.targets), cfg.ridge_lambda) for k, G in grams.items()}
 
 
