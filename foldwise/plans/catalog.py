@@ -636,14 +636,26 @@ def pseudo_predictions(spark, sf_dir):
     return round_doubles(_pseudo_predictions(spark, sf_dir).select("seed", "fold", "text_id", *T6))
 
 
-@register("pseudo_read", _PSEUDO_SQL + f" SELECT text_id, {T6_SQL} FROM pp WHERE seed = 42 AND fold = 2")
+@register("pseudo_read", _PSEUDO_SQL + f"""
+SELECT pp.text_id, md5(c.full_text) AS full_text_md5, {", ".join("pp." + t for t in T6)}
+FROM pp JOIN cand c USING (text_id) WHERE pp.seed = 42 AND pp.fold = 2""")
 def pseudo_read(spark, sf_dir):
+    from foldwise.plans.jobs import read_pseudo, write_pseudo_tables
     from foldwise.session import shared_path
-    from foldwise.sources.processed import pseudo, write_table
     root = shared_path(spark, "processed")
-    tbl = round_doubles(_pseudo_predictions(spark, sf_dir)).withColumn("data_version", F.lit("pseudo_1"))
-    write_table(tbl, root, "pseudo", partition_cols=("data_version", "seed", "fold"))
-    return pseudo(spark, root, seed=42, fold=2).select("text_id", *T6)
+    write_pseudo_tables(spark, FX.labelled_essays(spark, sf_dir), FX.corpus(spark, sf_dir), root)
+    r = round_doubles(read_pseudo(spark, root, seed=42, fold=2))
+    return r.select("text_id", F.md5("full_text").alias("full_text_md5"), *T6)
+
+
+@register("pseudo_split", f"""WITH {_CORPUS_SQL},
+r AS (SELECT text_id, row_number() OVER (ORDER BY md5('42:split:' || text_id), text_id) - 1 AS pos,
+             count(*) OVER () AS n FROM cand)
+SELECT text_id, CASE WHEN pos < ceil(n * 0.2) THEN 'valid' ELSE 'train' END AS split FROM r
+""")
+def pseudo_split(spark, sf_dir):
+    from foldwise.operators.splits import random_split
+    return random_split(_candidates(spark, sf_dir).select("text_id"), seed=42, test_fraction=0.2)
 
 
 # --- S1: CSV edge -----------------------------------------------------------------

@@ -108,8 +108,11 @@ def _featurized_folds(spark: SparkSession, train: DataFrame, cfg: RunConfig) ->
     # reads its input more than once, and features are a Python step that
     # column pruning cannot see through, so they are computed once and joined
     folds = assign_folds(train.select("text_id", *targets), cfg.seeds, cfg.n_folds, targets)
-    if cfg.train_folds != tuple(range(cfg.n_folds)):
-        folds = folds.where(F.col("fold").isin(list(cfg.train_folds)))
+    if cfg.debug:
+        # reduced run: the first debug_rows ids of every fold (models of the
+        # trained folds still learn from all other folds' reduced rows)
+        from foldwise.operators.splits import head_per_group
+        folds = head_per_group(folds, ["seed", "fold"], ["text_id"], cfg.debug_rows)
     feats = ridge.featurize(with_variant(train, cfg.data_version, "train").select("text_id", "full_text"),
                             cfg.n_features)
     return materialize(folds.join(feats, "text_id"))
@@ -124,10 +127,17 @@ def run_experiment(spark: SparkSession, train: DataFrame, cfg: RunConfig = RunCo
     from foldwise.operators import ridge
     folded = _featurized_folds(spark, train, cfg)
     coefs = ridge.fit_fold_models(spark, folded, cfg, priors)
-    oof = ridge.predict_own_fold(folded, coefs, cfg.targets)
-    scored = M.align(folded.select("seed", "text_id", "fold", *cfg.targets), oof, ["seed", "text_id", "fold"], cfg.targets)
-    scores = M.mcrmse(scored, ["seed"], cfg.targets)
-    return coefs, oof, scores, score_log(scores, cfg.run_name, cfg.targets)
+    return (coefs, *_evaluate(folded, coefs, cfg, cfg.run_name))
+
+
+def _evaluate(folded: DataFrame, coefs: dict, cfg: RunConfig, run: str):
+    """OOF of the trained folds, per-seed scores and the metric log."""
+    from foldwise.operators import ridge
+    trained = folded.where(F.col("fold").isin(list(cfg.train_folds)))
+    oof = ridge.predict_own_fold(trained, coefs, cfg.targets)
+    labels = trained.select("seed", "text_id", "fold", *cfg.targets)
+    scores = M.mcrmse(M.align(labels, oof, ["seed", "text_id", "fold"], cfg.targets), ["seed"], cfg.targets)
+    return oof, scores, score_log(scores, run, cfg.targets)
 
 
 def inference(spark: SparkSession, test: DataFrame, coefs: dict, template: DataFrame, path: str | None = None,
@@ -162,7 +172,27 @@ def pretrain_finetune(spark: SparkSession, train: DataFrame, corpus: DataFrame,
     pseudo_feats = pseudo.join(base.select("text_id", "features"), "text_id")
     priors = ridge.fit_direct(pseudo_feats, cfg)
     coefs = ridge.fit_fold_models(spark, folded, cfg, priors)
-    oof = ridge.predict_own_fold(folded, coefs, cfg.targets)
-    scored = M.align(folded.select("seed", "text_id", "fold", *cfg.targets), oof, ["seed", "text_id", "fold"], cfg.targets)
-    scores = M.mcrmse(scored, ["seed"], cfg.targets)
-    return coefs, oof, scores, score_log(scores, cfg.run_name + "_pseudo_pretrain", cfg.targets)
+    return (coefs, *_evaluate(folded, coefs, cfg, cfg.run_name + "_pseudo_pretrain"))
+
+
+def write_pseudo_tables(spark: SparkSession, train: DataFrame, corpus: DataFrame, root: str, model: str = "fold_mean",
+                        seeds: Sequence[int] = SEEDS, n_folds: int = N_FOLDS, cfg: RunConfig | None = None,
+                        data_version: str = "pseudo_1") -> None:
+    """Pseudo base (texts, null targets) once per version, and the pseudo
+    labels of every (seed, fold) as narrow rows partitioned by seed and fold."""
+    v = F.lit(data_version)
+    base = pseudo_base(train, corpus).select("text_id", "full_text",
+                                             *[F.lit(None).cast("double").alias(t) for t in TARGETS])
+    write_table(base.withColumn("data_version", v), root, "pseudo_base", ("data_version",))
+    labels = pseudo_label_tables(spark, train, corpus, model, seeds, n_folds, cfg)
+    write_table(labels.withColumn("data_version", v), root, "pseudo", ("data_version", "seed", "fold"))
+
+
+def read_pseudo(spark: SparkSession, root: str, seed: int, fold: int, data_version: str = "pseudo_1",
+                targets: Sequence[str] = TARGETS) -> DataFrame:
+    """Pseudo table of (seed, fold) with texts: pruned label partitions joined
+    to the base texts by id."""
+    from foldwise.sources.processed import pseudo, read_table
+    labels = pseudo(spark, root, seed, fold, data_version).select("text_id", *targets)
+    texts = read_table(spark, root, "pseudo_base", data_version).select("text_id", "full_text")
+    return labels.join(texts, "text_id").select("text_id", "full_text", *targets)

@@ -145,3 +145,12 @@ def test_params_log_records_every_setting():
     assert all(r[0] == "r1" for r in rows)
     assert d["model_name"] == "large" and d["loss"] == "weighted_smooth_l1" and d["smooth_l1_weights"].startswith("0.21")
     assert d["val_check_interval"] == "125" and len(rows) >= 20
+
+
+def test_debug_run_uses_reduced_rows_and_trained_folds_only(spark):
+    cfg = RunConfig(run_name="dbg", n_features=16, seeds=(42,), debug=True, debug_rows=40)
+    coefs, oof, scores, _ = run_experiment(spark, _train(spark), cfg)
+    pdf = oof.toPandas()
+    assert set(pdf.fold) == {0, 1} and len(pdf) == 2 * 40
+    assert set(coefs) == {(42, k) for k in range(5)}  # every fold model exists; folds 2-4 train them
+    assert scores.count() == 1
