@@ -47,3 +47,28 @@ def test_every_query_has_an_oracle_or_is_model_based():
     assert set(os_) <= set(qs)
     rows_only = set(qs) - set(os_)
     assert rows_only == {"cv_fit", "cv_oof", "experiment_run", "test_ensemble", "pseudo_label", "pretrain_finetune"}
+
+
+def test_head_per_group_limits_each_task_before_the_shuffle(spark):
+    plan = _plan(E.queries()["head_per_fold"](spark, SF01))
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_debug_head_is_a_top_k(spark):
+    plan = _plan(E.queries()["debug_head"](spark, SF01))
+    assert "TakeOrderedAndProject" in plan
+
+
+def test_gram_partials_are_packed_and_bounded(spark):
+    from foldwise.config import RunConfig
+    from foldwise.operators import ridge
+    from foldwise.plans.jobs import _featurized_folds
+    cfg = RunConfig(n_features=16, seeds=(42,))
+    ff = _featurized_folds(spark, FX.essays(spark, SF001), cfg)
+    parts = ridge.gram_partials(ff, max_partials=2)
+    assert parts.rdd.getNumPartitions() <= 2
+    rows = parts.collect()
+    m = 16 + 1 + 6
+    n_chunks = -(-(m * (m + 1) // 2) // ridge.CHUNK)
+    assert all(len(r.vals) == ridge.CHUNK for r in rows)
+    assert len(rows) <= 2 * 5 * n_chunks
