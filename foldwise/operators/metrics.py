@@ -28,11 +28,12 @@ def p(t: str) -> str:
 
 
 def align(labels: DataFrame, preds: DataFrame, keys: Sequence[str], targets: Sequence[str] = TARGETS,
-          how: str = "inner") -> DataFrame:
-    """Join labels and predictions by key into a scored table."""
+          how: str = "inner", carry: Sequence[str] = ()) -> DataFrame:
+    """Join labels and predictions by key into a scored table; ``carry`` keeps
+    extra prediction-side columns (e.g. the validation step)."""
     keys = list(keys)
     lab = labels.select(*keys, *[F.col(t).cast("double").alias(y(t)) for t in targets])
-    pre = preds.select(*keys, *[F.col(t).cast("double").alias(p(t)) for t in targets])
+    pre = preds.select(*keys, *carry, *[F.col(t).cast("double").alias(p(t)) for t in targets])
     return lab.join(pre, keys, how)
 
 

@@ -778,3 +778,51 @@ def pseudo_label(spark, sf_dir):
 def pretrain_finetune_q(spark, sf_dir):
     from foldwise.plans.jobs import pretrain_finetune
     return pretrain_finetune(spark, FX.labelled_essays(spark, sf_dir), FX.corpus(spark, sf_dir), _cfg())[2]
+
+
+
+# --- A4 per validation pass, A13 on it ---------------------------------------------
+def _validation_scores(spark, sf_dir):
+    """MCRMSE of every validation pass (seed, fold, step) over all rows of the pass."""
+    folded = _folded(spark, sf_dir, materialized=True)
+    steps = F.explode(F.array(*[F.lit(st) for st in FX.VALIDATION_STEPS])).alias("step")
+    preds = folded.select("seed", "text_id", "fold", "doc_id", "n_chars", steps)
+    preds = preds.select("seed", "text_id", "fold", "step", *FX.pass_prediction_cols("fold", "step"))
+    labels = folded.select("seed", "text_id", "fold", *T6)
+    scored = M.align(labels, preds, ["seed", "text_id", "fold"], carry=["step"])
+    return M.mcrmse(scored, ["seed", "fold", "step"])
+
+
+_PASS_SQL = OOF_SQL + f""",
+st AS (SELECT CAST(unnest([{", ".join(str(x) for x in FX.VALIDATION_STEPS)}]) AS INTEGER) AS step),
+pp AS (SELECT fe.seed, fe.fold, st.step, {', '.join(f'fe.{t} AS y_{t}' for t in T6)}, {S.pass_pred_sql('fe.fold', 'st.step', prefix='p_')}
+       FROM fe CROSS JOIN st),
+vs AS (SELECT seed, fold, step, {", ".join(f"sqrt(avg((p_{t} - y_{t}) * (p_{t} - y_{t}))) AS {t}" for t in T6)} FROM pp GROUP BY seed, fold, step)"""
+
+
+@register("validation_mcrmse", _PASS_SQL + f"""
+SELECT seed, fold, step, round(({" + ".join(T6)}) / 6, 6) AS mcrmse, {", ".join(f"round({t}, 6) AS {t}" for t in T6)} FROM vs
+""")
+def validation_mcrmse(spark, sf_dir):
+    return round_doubles(_validation_scores(spark, sf_dir))
+
+
+@register("best_validation_step", _PASS_SQL + f"""
+SELECT seed, fold, step AS best_step, round(m, 6) AS best_value FROM (
+  SELECT seed, fold, step, ({" + ".join(T6)}) / 6 AS m,
+         row_number() OVER (PARTITION BY seed, fold ORDER BY ({" + ".join(T6)}) / 6, step) AS rn FROM vs) WHERE rn = 1
+""")
+def best_validation_step(spark, sf_dir):
+    log = _validation_scores(spark, sf_dir).select("seed", "fold", "step", F.col("mcrmse").alias("val_mcrmse"))
+    return round_doubles(M.best_step(log))
+
+
+# --- X6 + X7: one head per target slot (position-slice variant) ---------------------
+@register("slot_heads", f"""WITH {_EMB_SQL}
+SELECT doc, {", ".join(f"round(sum(CASE WHEN pos = {i + 1} THEN v * {_W_SQL.format(i=i)} END) + 3.0, 6) AS {t}" for i, t in enumerate(T6))}
+FROM x WHERE pos BETWEEN 1 AND 6 GROUP BY doc
+""")
+def slot_heads_q(spark, sf_dir):
+    from foldwise.operators.pooling import position_slice, slot_heads
+    sliced = position_slice(FX.token_embeddings(spark, sf_dir))
+    return round_doubles(slot_heads(sliced, FX.head_weights(spark, 64), FX.HEAD_BIAS))

@@ -85,6 +85,21 @@ def fold_prediction_cols(fold_col: str = "fold") -> list:
     return cols
 
 
+VALIDATION_STEPS = (125, 250, 375)  # validation passes of the fixture run
+
+
+def pass_prediction_cols(fold_col: str = "fold", step_col: str = "step") -> list:
+    """Predictions of fold model ``fold_col`` at validation pass ``step_col``."""
+    cols = []
+    for i, t in enumerate(TARGETS):
+        a, b, c = SCORE_COEFFICIENTS[t]
+        cols.append(F.expr(
+            f"round(CAST(2 + (((doc_id * {a} + n_chars * {b}) div {c}) % 9) AS DOUBLE) / 2"
+            f" + CAST(0.1 AS DOUBLE) * CAST(((doc_id * {i + 2} + {fold_col} * 3 + {step_col} div 125) % 7) - 3 AS DOUBLE), 6)"
+        ).alias(t))
+    return cols
+
+
 def documents_scores_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         text_id_expr().alias("text_id"), "doc_id", "n_chars")

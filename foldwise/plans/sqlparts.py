@@ -63,3 +63,11 @@ def mcrmse_select(pred_alias: str = "p", label_alias: str = "e", group: str = ""
 
 
 TOKEN_MASK_MOD = TOKEN_MASK_MODULUS
+
+
+def pass_pred_sql(fold_expr: str = "fold", step_expr: str = "step", prefix: str = "") -> str:
+    parts = []
+    for i, t in enumerate(TARGETS):
+        parts.append(f"round({score_sql(t)} + CAST(0.1 AS DOUBLE) * "
+                     f"CAST(((doc_id * {i + 2} + {fold_expr} * 3 + {step_expr} // 125) % 7) - 3 AS DOUBLE), 6) AS {prefix}{t}")
+    return ", ".join(parts)
