@@ -36,20 +36,21 @@ def exclusive_offsets(counts: DataFrame, group_cols: Sequence[str], levels: Sequ
     prefix: list[str] = []
     parts = []
     n_levels = len(levels)
+    out = None
     for i, level in enumerate(levels):
         level = list(level)
         keys = prefix + level
+        w = (Window.partitionBy(*group_cols, *prefix) if (group_cols or prefix) else Window)
+        w = w.orderBy(*level).rowsBetween(Window.unboundedPreceding, -1)
         if i == n_levels - 1:
-            t = counts.select(*group_cols, *keys, F.col(count_col).alias("_lvl_n"))
+            # the finest level is the count table itself: keep all its columns
+            out = counts.withColumn(f"_off{i}", F.coalesce(F.sum(count_col).over(w), F.lit(0)).cast("bigint"))
         else:
             t = counts.groupBy(*group_cols, *keys).agg(F.sum(count_col).alias("_lvl_n"))
-        w = (Window.partitionBy(*group_cols, *prefix) if (group_cols or prefix) else Window)
-        w = w.orderBy(*level).rowsBetween(Window.unboundedPreceding, -1)
-        t = t.select(*group_cols, *keys, F.coalesce(F.sum("_lvl_n").over(w), F.lit(0)).cast("bigint").alias(f"_off{i}"))
-        parts.append((keys, t))
+            t = t.select(*group_cols, *keys, F.coalesce(F.sum("_lvl_n").over(w), F.lit(0)).cast("bigint").alias(f"_off{i}"))
+            parts.append((keys, t))
         prefix = keys
-    out = counts
-    for keys, t in parts:
+    for keys, t in parts:  # coarser levels: one row per key prefix
         out = out.join(t, [*group_cols, *keys])
     total = sum((F.col(f"_off{i}") for i in range(n_levels)), F.lit(0).cast("bigint"))
     return out.withColumn(out_col, total).drop(*[f"_off{i}" for i in range(n_levels)])
