@@ -51,3 +51,20 @@ def sample_oof(spark, root, data_version, seed):
 def pseudo(spark, root, seed, fold, data_version: str = "pseudo_1"):
     """Pseudo-labelled table of (seed, fold); the version is fixed by the job."""
     return read_table(spark, root, "pseudo", data_version, seed, fold)
+
+
+def append_metrics(log: DataFrame, root: str) -> None:
+    """Append metric rows (run, seed, metric, value) to the run log, one
+    partition per run; re-running a run replaces only that run's rows."""
+    write_table(log, root, "metrics", partition_cols=("run",), mode="overwrite")
+
+
+def append_params(spark: SparkSession, rows, root: str) -> None:
+    """Append a run's (run, key, value) hyper-parameter rows beside the metrics."""
+    df = spark.createDataFrame(list(rows), "run STRING, key STRING, value STRING")
+    write_table(df, root, "params", partition_cols=("run",), mode="overwrite")
+
+
+def read_metrics(spark: SparkSession, root: str, run: str | None = None) -> DataFrame:
+    df = spark.read.parquet(f"{root.rstrip('/')}/metrics")
+    return df if run is None else df.where(F.col("run") == F.lit(run))
