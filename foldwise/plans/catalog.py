@@ -227,7 +227,7 @@ def batch_assign(spark, sf_dir):
 
 
 # --- X1 / X2 ------------------------------------------------------------------
-TOKEN_LEN = 16
+from foldwise.config import MAX_TOKENS as TOKEN_LEN  # the task's own maximum sequence length (2048)
 _TOK_SQL = (f"tok AS (SELECT text_id, body, CAST(len(body) + 2 AS INTEGER) AS n_real FROM (SELECT text_id, "
             f"list_filter(string_split_regex(full_text, '[ \\n\\t]+'), lambda x: x <> '')[1:{TOKEN_LEN - 2}] AS body FROM essays))")
 _SEQ_SQL = "array_to_string(list_concat(list_concat(['[CLS]'], body), ['[SEP]']), ' ')"
