@@ -403,7 +403,7 @@ SELECT c.seed, c.fold, CAST(t.total - c.n_valid AS BIGINT) AS n_train, c.n_valid
   CAST(ceil((t.total - c.n_valid) / 4.0) * 4 AS BIGINT) AS n_steps FROM c JOIN t USING (seed)
 """)
 def step_count(spark, sf_dir):
-    return M.step_counts(_folded(spark, sf_dir))
+    return M.step_counts(_folded(spark, sf_dir, materialized=True))
 
 
 @register("seed_fold_grid", f"""
@@ -414,7 +414,7 @@ FROM grid g JOIN fe ON fe.seed = g.seed AND fe.fold <> g.fold GROUP BY g.seed, g
 """)
 def seed_fold_grid(spark, sf_dir):
     from foldwise.operators.models import fold_mean_models
-    return round_doubles(fold_mean_models(spark, _folded(spark, sf_dir)))
+    return round_doubles(fold_mean_models(spark, _folded(spark, sf_dir, materialized=True)))
 
 
 @register("best_step", """
@@ -595,7 +595,7 @@ FROM test t CROSS JOIN (SELECT * FROM models WHERE seed = 42) m GROUP BY t.text_
 """)
 def fold_mean_submission(spark, sf_dir):
     from foldwise.operators.models import fold_mean_models, predict_constant
-    models = fold_mean_models(spark, _folded(spark, sf_dir, seeds=[42]), seeds=[42])  # one branch
+    models = fold_mean_models(spark, _folded(spark, sf_dir, seeds=[42], materialized=True), seeds=[42])
     t = FX.test_texts(spark, sf_dir).select("text_id").withColumn("seed", F.lit(42))
     t = t.withColumn("fold", F.explode(F.array(*[F.lit(k) for k in range(5)])))
     return round_doubles(M.fold_ensemble(predict_constant(t, models)).drop("n_models"))

@@ -83,7 +83,8 @@ def pseudo_label_tables(spark: SparkSession, train: DataFrame, corpus: DataFrame
     """
     base = pseudo_base(train, corpus)
     if model == "fold_mean":
-        folded = assign_folds(train.select("text_id", *targets), seeds, n_folds, targets)
+        from foldwise.session import materialize
+        folded = materialize(assign_folds(train.select("text_id", *targets), seeds, n_folds, targets))
         from foldwise.operators.models import fold_mean_models, predict_constant
         models = fold_mean_models(spark, folded, seeds, n_folds, targets)
         rows = base.select("text_id")
