@@ -51,3 +51,15 @@ def trim_batches(df: DataFrame, batch_cols=("batch_id",)) -> DataFrame:
     return (df.withColumn("trim_len", trim)
               .withColumn("tokens", F.slice("tokens", 1, F.col("trim_len")))
               .withColumn("mask", F.slice("mask", 1, F.col("trim_len"))))
+
+
+def pad_to_batch_longest(df: DataFrame, batch_cols=("batch_id",)) -> DataFrame:
+    """Dynamic padding: unpadded sequences (``tokenize(pad=False)``) padded to
+    the longest real length of their batch. Equal to padding every row to
+    max_len and then trimming the batch, without building max_len arrays."""
+    w = Window.partitionBy(*batch_cols)
+    n_real = F.size("tokens")
+    out = df.withColumn("trim_len", F.max(n_real).over(w))
+    n_pad = F.col("trim_len") - n_real
+    return (out.withColumn("mask", F.concat(F.array_repeat(F.lit(1), n_real), F.array_repeat(F.lit(0), n_pad)))
+               .withColumn("tokens", F.concat(F.col("tokens"), F.array_repeat(F.lit(PAD_TOKEN), n_pad))))

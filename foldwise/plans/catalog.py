@@ -256,10 +256,12 @@ SELECT fold, batch_id, text_id, trim_len, md5({_SEQ_SQL} || repeat(' [PAD]', tri
 def batch_trim(spark, sf_dir):
     from foldwise.config import BATCH_SIZE
     from foldwise.operators.splits import batches
-    from foldwise.operators.tokens import tokenize, trim_batches
-    folded = _folded(spark, sf_dir, seeds=[42], with_text=True)
-    b = batches(folded.select("fold", "text_id", "full_text"), ["fold"], ["text_id"], BATCH_SIZE)
-    t = trim_batches(tokenize(b, TOKEN_LEN), ["fold", "batch_id"])
+    from foldwise.operators.tokens import pad_to_batch_longest, tokenize
+    folded = _folded(spark, sf_dir, seeds=[42])
+    # batches are numbered on narrow rows; texts join once by id
+    b = batches(folded.select("fold", "text_id"), ["fold"], ["text_id"], BATCH_SIZE)
+    texts = FX.essays(spark, sf_dir).select("text_id", "full_text")
+    t = pad_to_batch_longest(tokenize(b.join(texts, "text_id"), TOKEN_LEN, pad=False), ["fold", "batch_id"])
     return t.select("fold", "batch_id", "text_id", "trim_len", F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 
 

@@ -71,3 +71,11 @@ def test_encode_pad_mask_and_trim(spark):
     b = tokens.tokenize(df, 8).withColumn("batch_id", F.lit(0))
     tr = {r.text_id: r for r in tokens.trim_batches(b).collect()}
     assert tr["a"].trim_len == 6 and len(tr["b"].tokens) == 6 and tr["b"].mask == [1, 1, 1, 0, 0, 0]
+
+
+def test_dynamic_padding_equals_pad_then_trim(spark):
+    rows = [("a", "one two three four five six"), ("b", "x"), ("c", "p q"), ("d", "")]
+    df = spark.createDataFrame(rows, "text_id string, full_text string").withColumn("batch_id", F.lit(0))
+    full = {r.text_id: (r.tokens, r.mask) for r in tokens.trim_batches(tokens.tokenize(df, 6)).collect()}
+    dyn = {r.text_id: (r.tokens, r.mask) for r in tokens.pad_to_batch_longest(tokens.tokenize(df, 6, pad=False)).collect()}
+    assert full == dyn
