@@ -33,6 +33,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        # checkpoint files of DataFrames that are no longer referenced are removed
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if master and master.startswith("local"):
         conf["spark.driver.memory"] = os.environ.get("FOLDWISE_DRIVER_MEMORY", "16g")

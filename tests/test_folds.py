@@ -109,3 +109,22 @@ def test_one_hot_has_column_per_value_and_null_is_zero(spark):
     assert oh["b"]["cohesion_1.0"] == 0
     assert oh["a"]["conventions_1.5"] == 1 and oh["a"]["conventions_2.5"] == 0
     assert len(oh["a"]) == 1 + 1 + 1 + 1 + 1 + 1 + 2
+
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+_score = st.one_of(st.none(), st.sampled_from([1.0, 1.5, 2.0, 3.0, 4.5, 5.0]))
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(*[_score] * 6), min_size=1, max_size=60), st.integers(2, 6), st.integers(0, 999))
+def test_folds_property_random_tables(spark, labels, k, seed):
+    rows = [(f"id{i}", *lab) for i, lab in enumerate(labels)]
+    df = spark.createDataFrame(rows, "text_id string, " + ", ".join(f"{t} double" for t in TARGETS))
+    got = assign_folds(df, seeds=[seed], n_folds=k).select("text_id", "fold").toPandas()
+    assert len(got) == len(rows) and got.text_id.is_unique
+    sizes = got.fold.value_counts().reindex(range(k), fill_value=0)
+    assert sizes.max() - sizes.min() <= 1 and got.fold.between(0, k - 1).all()
+    again = assign_folds(df.repartition(3), seeds=[seed], n_folds=k, bucket_hex_digits=1).select("text_id", "fold").toPandas()
+    assert dict(zip(got.text_id, got.fold)) == dict(zip(again.text_id, again.fold))
