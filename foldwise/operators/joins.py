@@ -13,12 +13,20 @@ def anti_join_null_safe(left: DataFrame, right: DataFrame, key: str, right_key:
 
     Plain ``left_anti`` keeps a null key even when the right side has one, and
     ``NOT IN`` empties the result; null-safe equality gives membership
-    semantics. Spark plans it as an equi-join (broadcast or sort-merge,
-    chosen at runtime from the right side's measured size).
+    semantics. Null keys are not hashed together (that would put every null
+    row in one task): non-null keys take an ordinary anti-join (broadcast or
+    sort-merge, chosen at runtime from the measured right side), and null-key
+    rows are kept unless the right side has a null key -- a flag table of at
+    most one row, broadcast explicitly.
     """
     rk = right_key or key
     r = right.select(F.col(rk).alias("_rk"))
-    return left.join(r, left[key].eqNullSafe(r["_rk"]), "left_anti")
+    non_null = left.where(F.col(key).isNotNull()).join(
+        r.where(F.col("_rk").isNotNull()), F.col(key) == F.col("_rk"), "left_anti")
+    right_null = r.where(F.col("_rk").isNull()).limit(1).select(F.lit(1).alias("_has_null"))
+    nulls = (left.where(F.col(key).isNull()).withColumn("_has_null", F.lit(1))
+             .join(F.broadcast(right_null), "_has_null", "left_anti").drop("_has_null"))
+    return non_null.unionByName(nulls)
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
