@@ -8,7 +8,7 @@ at small scale).
 from __future__ import annotations
 
 from foldwise.config import N_FOLDS, SEEDS, TARGETS
-from foldwise.plans.fixtures import SCORE_COEFFICIENTS, TEST_MODULUS, TOKEN_MASK_MODULUS
+from foldwise.plans.fixtures import SCORE_COEFFICIENTS, TOKEN_MASK_MODULUS
 
 
 def score_sql(t: str) -> str:
@@ -23,7 +23,7 @@ def scores_sql() -> str:
 ESSAYS = (f"essays AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS text_id, doc_id, n_chars, "
           f"text AS full_text, {scores_sql()} FROM documents)")
 TEST = (f"test AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS text_id, doc_id, n_chars, text AS full_text "
-        f"FROM documents WHERE doc_id % {TEST_MODULUS} = 0)")
+        f"FROM documents)")
 
 
 def pred_sql(fold_expr: str = "fold") -> str:

@@ -28,7 +28,7 @@ def test_cli_steps(spark, tmpdir_fresh):
     assert log.where(F.col("metric") == "oof_score_seed_mean").count() == 1
     cli.main(["infer", *common])
     sub = csv.read_sample_submission(spark, f"{d}/out/submission")
-    assert sub.count() == 50 and sub.where(F.col("cohesion").isNull()).count() == 0
+    assert sub.count() == 200 and sub.where(F.col("cohesion").isNull()).count() == 0
     cli.main(["pseudo", *common, "--corpus", f"{d}/corpus"])
     p = processed.pseudo(spark, f"{d}/out/processed", 42, 1)
     assert p.count() == 67  # corpus ids are doc_id stems, never train ids ('d' prefix)
