@@ -110,7 +110,10 @@ def gram_partials(df: DataFrame, targets: Sequence[str] = TARGETS, key_cols: Seq
     fields = [df.schema[k] for k in key_cols]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields] + [
         T.StructField("chunk", T.IntegerType()), T.StructField("vals", T.ArrayType(T.DoubleType(), False))])
-    labelled = df.where(F.greatest(*[F.col(t).isNull() for t in targets]) == F.lit(False)) if targets else df
+    any_null = None
+    for t in targets:
+        any_null = F.col(t).isNull() if any_null is None else (any_null | F.col(t).isNull())
+    labelled = df.where(~any_null) if targets else df
     labelled = labelled.select(*key_cols, feat_col, *targets)
     cap = max_partials or 4 * df.sparkSession.sparkContext.defaultParallelism
     if labelled.rdd.getNumPartitions() > cap:
