@@ -9,7 +9,6 @@ caller names (seed, fold, step, ...).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -143,7 +142,3 @@ def metrics_long(scores: DataFrame, id_cols: Sequence[str], metric_cols: Sequenc
     """Unpivot a wide metric row into (id..., metric, value) log rows."""
     renamed = scores.select(*id_cols, *[F.col(c).alias(f"{prefix}{c}{suffix}") for c in metric_cols])
     return renamed.unpivot(list(id_cols), [f"{prefix}{c}{suffix}" for c in metric_cols], "metric", "value")
-
-
-def training_steps(n_rows: int, batch_size: int = BATCH_SIZE, epochs: int = EPOCHS) -> int:
-    return math.ceil(n_rows / batch_size) * epochs

@@ -100,11 +100,6 @@ def pass_prediction_cols(fold_col: str = "fold", step_col: str = "step") -> list
     return cols
 
 
-def documents_scores_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
-        text_id_expr().alias("text_id"), "doc_id", "n_chars")
-
-
 def validation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validation passes: (seed, fold, step, val_mcrmse) from ``events``."""
     e = table(spark, sf_dir, "events")

@@ -85,3 +85,12 @@ def test_write_text_files_roundtrip(spark, tmpdir_fresh):
     corpus.write_text_files(df, out, "item_id", "text")
     got = {r.text_id: r.full_text for r in corpus.read_text_corpus(spark, out).collect()}
     assert got == {"1": "one\ntwo", "2": "x"}
+
+
+def test_ingest_csv_once_to_parquet(spark, tmpdir_fresh):
+    rows = [(i, t, *[1.0] * 6) for i, t in EDGE_TEXTS[:6]]
+    csv.write_csv(spark.createDataFrame(rows, csv.TRAIN_SCHEMA), os.path.join(tmpdir_fresh, "in"))
+    df = csv.ingest_csv(spark, os.path.join(tmpdir_fresh, "in"), csv.TRAIN_SCHEMA, os.path.join(tmpdir_fresh, "pq"))
+    assert df.count() == 6
+    assert "parquet" in df._jdf.queryExecution().executedPlan().toString().lower()
+    assert {r.text_id: r.full_text for r in df.collect()}["para"] == "first\n\nsecond"

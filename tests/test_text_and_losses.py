@@ -125,3 +125,12 @@ def test_step_count(spark):
     got = {r.fold: (r.n_train, r.n_steps) for r in M.step_counts(df).collect()}
     assert got[0] == (18, math.ceil(18 / 4) * 4)
     assert got[3] == (19, 20)
+
+
+def test_loss_dispatch_by_name(spark):
+    sc = _scored(spark, [(1.0, 1.5), (1.0, 3.0)])
+    assert M.loss(sc, "smooth_l1").collect()[0]["smooth_l1"] == pytest.approx((0.125 + 1.5) / 2)
+    assert M.loss(sc, "weighted_smooth_l1").collect()[0]["weighted_smooth_l1"] > 0
+    assert M.loss(sc, "rmse_loss").collect()[0]["rmse_loss_mean"] == pytest.approx(1.25, rel=1e-6)
+    with pytest.raises(ValueError):
+        M.loss(sc, "mse")
