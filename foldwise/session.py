@@ -38,6 +38,17 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     }
     if master and master.startswith("local"):
         conf["spark.driver.memory"] = os.environ.get("FOLDWISE_DRIVER_MEMORY", "16g")
+    else:
+        # cluster sizing: start every shuffle wide and let AQE coalesce to the
+        # advisory size, so partitions fit executor memory whatever the scale
+        conf.pop("spark.sql.shuffle.partitions")
+        conf.update({
+            "spark.sql.adaptive.coalescePartitions.initialPartitionNum":
+                os.environ.get("FOLDWISE_SHUFFLE_PARTITIONS", "8192"),
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
+            "spark.sql.files.maxPartitionBytes": "256MB",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        })
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
