@@ -59,8 +59,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the session.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder; it is only
-    set here when the session has none (local tests).
+    On a cluster ``spark.checkpoint.dir`` names a shared folder (required);
+    a local session without one gets a fresh temporary folder (tests).
     """
     global _OWN_CHECKPOINT_DIR
     sc = spark.sparkContext
@@ -69,6 +69,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
+                               "(materialised tables and checkpoints are written there)")
         if _OWN_CHECKPOINT_DIR is None:
             _OWN_CHECKPOINT_DIR = tempfile.mkdtemp(prefix="foldwise-ckpt-")
         conf_dir = _OWN_CHECKPOINT_DIR
