@@ -42,7 +42,10 @@ def write_text_files(df: DataFrame, directory: str, id_col: str, text_col: str,
     Runs inside the tasks, so ``directory`` must be a folder every executor
     mounts (the shared checkpoint folder when it is a POSIX path).
     """
+    if "://" in directory and not directory.startswith("file://"):
+        raise ValueError(f"write_text_files needs a mounted (POSIX) folder, got {directory!r}")
     target = directory[len("file:"):] if directory.startswith("file:") else directory
+    target = "/" + target.lstrip("/") if directory.startswith("file:") else target
 
     def write_partition(rows):
         os.makedirs(target, exist_ok=True)

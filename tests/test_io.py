@@ -94,3 +94,9 @@ def test_ingest_csv_once_to_parquet(spark, tmpdir_fresh):
     assert df.count() == 6
     assert "parquet" in df._jdf.queryExecution().executedPlan().toString().lower()
     assert {r.text_id: r.full_text for r in df.collect()}["para"] == "first\n\nsecond"
+
+
+def test_write_text_files_needs_posix_folder(spark):
+    df = spark.createDataFrame([(1, "x")], "item_id long, text string")
+    with pytest.raises(ValueError):
+        corpus.write_text_files(df, "s3a://bucket/corpus", "item_id", "text")
