@@ -214,6 +214,13 @@ def coefficients_frame(spark: SparkSession, coefs: dict, targets: Sequence[str]
     return spark.createDataFrame(rows, "seed INT, fold INT, feature INT, target STRING, coef DOUBLE")
 
 
+def apply_model(model, Z: np.ndarray) -> np.ndarray:
+    """Pluggable fold model: a (d+1) x targets coefficient matrix, or any
+    callable mapping the n x d feature matrix to n x targets predictions
+    (it runs inside the tasks on each Arrow batch)."""
+    return model(Z[:, 1:]) if callable(model) else Z @ model
+
+
 def _pred_schema(key_types, targets):
     return T.StructType([T.StructField(n, t) for n, t in key_types] +
                         [T.StructField(t, T.DoubleType()) for t in targets])
@@ -221,7 +228,8 @@ def _pred_schema(key_types, targets):
 
 def predict_own_fold(feats_folded: DataFrame, coefs: dict, targets: Sequence[str] = TARGETS,
                      id_col: str = "text_id", feat_col: str = "features") -> DataFrame:
-    """OOF: each row predicted by the model of its own (seed, fold)."""
+    """OOF: each row predicted by the model of its own (seed, fold);
+    ``coefs`` maps (seed, fold) to a coefficient matrix or a callable."""
     targets = list(targets)
     schema = _pred_schema([("seed", T.IntegerType()), (id_col, T.StringType()), ("fold", T.IntegerType())], targets)
 
@@ -233,7 +241,7 @@ def predict_own_fold(feats_folded: DataFrame, coefs: dict, targets: Sequence[str
             keys = rb.select(["seed", "fold"]).to_pandas()
             P = np.full((rb.num_rows, len(targets)), np.nan)
             for (s, k), idx in keys.groupby(["seed", "fold"], sort=False).indices.items():
-                P[idx] = Z[idx] @ coefs[(int(s), int(k))]
+                P[idx] = apply_model(coefs[(int(s), int(k))], Z[idx])
             cols = [rb.column(rb.schema.get_field_index(c)) for c in ("seed", id_col, "fold")]
             cols += [pa.array(P[:, i]) for i in range(len(targets))]
             yield pa.RecordBatch.from_arrays(cols, names=["seed", id_col, "fold", *targets])
@@ -256,7 +264,7 @@ def predict_every_fold(spark: SparkSession, feats: DataFrame, coefs: dict, cfg:
             ids = rb.column(rb.schema.get_field_index(id_col))
             n = rb.num_rows
             for s, k in keys:
-                P = Z @ coefs[(s, k)]
+                P = apply_model(coefs[(s, k)], Z)
                 cols = [pa.array(np.full(n, s, dtype=np.int32)), pa.array(np.full(n, k, dtype=np.int32)), ids]
                 cols += [pa.array(P[:, i]) for i in range(len(targets))]
                 yield pa.RecordBatch.from_arrays(cols, names=["seed", "fold", id_col, *targets])

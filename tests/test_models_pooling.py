@@ -154,3 +154,11 @@ def test_debug_run_uses_reduced_rows_and_trained_folds_only(spark):
     assert set(pdf.fold) == {0, 1} and len(pdf) == 2 * 40
     assert set(coefs) == {(42, k) for k in range(5)}  # every fold model exists; folds 2-4 train them
     assert scores.count() == 1
+
+
+def test_pluggable_fold_model_callable(spark):
+    feats = ridge.featurize(_train(spark).select("text_id", "full_text"), 8)
+    models = {(42, k): (lambda X, k=k: np.tile(X.sum(axis=1, keepdims=True) * 0 + k, (1, 6))) for k in range(5)}
+    out = ridge.predict_every_fold(spark, feats, models).toPandas()
+    assert len(out) == 5 * feats.count()
+    assert (out.cohesion == out.fold).all()
