@@ -309,8 +309,8 @@ FROM mp GROUP BY doc
 def linear_head_q(spark, sf_dir):
     from foldwise.operators.pooling import linear_head, mean_pool
     pooled = mean_pool(FX.token_embeddings(spark, sf_dir))
-    dim = 64
-    return round_doubles(linear_head(pooled, FX.head_weights(spark, dim), FX.HEAD_BIAS))
+    weights = FX.head_weights(spark, FX.embedding_dim(spark, sf_dir))
+    return round_doubles(linear_head(pooled, weights, FX.HEAD_BIAS))
 
 
 # --- P5 / P6 --------------------------------------------------------------------
@@ -827,4 +827,4 @@ FROM x WHERE pos BETWEEN 1 AND 6 GROUP BY doc
 def slot_heads_q(spark, sf_dir):
     from foldwise.operators.pooling import position_slice, slot_heads
     sliced = position_slice(FX.token_embeddings(spark, sf_dir))
-    return round_doubles(slot_heads(sliced, FX.head_weights(spark, 64), FX.HEAD_BIAS))
+    return round_doubles(slot_heads(sliced, FX.head_weights(spark, FX.embedding_dim(spark, sf_dir)), FX.HEAD_BIAS))

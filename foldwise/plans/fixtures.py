@@ -130,3 +130,8 @@ def head_weights(spark: SparkSession, dim: int) -> DataFrame:
 
 
 HEAD_BIAS = 3.0
+
+
+def embedding_dim(spark: SparkSession, sf_dir: str) -> int:
+    """Width of the token embeddings (one aggregate row)."""
+    return int(table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding"))).first()[0])
