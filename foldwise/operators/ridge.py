@@ -61,23 +61,12 @@ def _matrix(rb: pa.RecordBatch, name: str) -> np.ndarray:
     return flat.reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def _spread_small_input(df: DataFrame, key: str = "text_id") -> DataFrame:
-    """Hash-spread an input that has fewer partitions than the session has
-    cores (e.g. one large row group), so tokenising is not left to one task.
-    A large input is read in many partitions already and is left where it is
-    (no text shuffle)."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if key in df.columns and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
-    return df
-
-
 def featurize(df: DataFrame, n_features: int, text_col: str = "full_text", out_col: str = "features") -> DataFrame:
     """Replace the text column by ``features ARRAY<FLOAT>``: hashed log term
     frequencies. Words are split and hashed in the JVM; Python only counts
     bucket ids of each Arrow batch with one ``bincount``."""
-    x = _spread_small_input(df)
+    from foldwise.session import spread_small_input
+    x = spread_small_input(df)
     x = x.withColumn("_bk", word_buckets(F.col(text_col), n_features)).drop(text_col)
     keep = [f for f in x.schema.fields if f.name != "_bk"]
     schema = T.StructType(keep + [T.StructField(out_col, T.ArrayType(T.FloatType(), True))])

@@ -33,8 +33,10 @@ def encode(text: Column, max_len: int, pad: bool = True) -> tuple[Column, Column
 
 
 def tokenize(df: DataFrame, max_len: int, text_col: str = "full_text", pad: bool = True) -> DataFrame:
+    """Add ``tokens`` and ``mask`` arrays (see ``encode``)."""
+    from foldwise.session import spread_small_input
     tokens, mask = encode(F.col(text_col), max_len, pad)
-    return df.withColumn("tokens", tokens).withColumn("mask", mask)
+    return spread_small_input(df).withColumn("tokens", tokens).withColumn("mask", mask)
 
 
 def mask_length(mask: Column) -> Column:
