@@ -15,7 +15,14 @@ Design (replaces the sequential iterative-stratification loop):
    partitions.
 
 Fold sizes differ by at most one; each label value is spread over the folds
-like a systematic sample of the sorted labels. The payload columns travel
+like a systematic sample of the sorted labels.
+
+Inputs: targets take few distinct values (scores on a grid, as the one-hot
+stratification implies); bin continuous targets first -- the offset windows
+are bounded by the number of distinct values of one target and of label
+vectors sharing a first target. The input is read more than once (counts and
+rows), so pass a scan or a materialised table rather than an expensive
+lineage such as a Python step. The payload columns travel
 through the one row-level shuffle (with several seeds, the narrow rows are
 ranked for every seed and the payload is joined back by id once).
 """
