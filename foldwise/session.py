@@ -13,13 +13,20 @@ _OWN_CHECKPOINT_DIR = None
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "foldwise") -> SparkSession:
-    """A session tuned for these jobs; on a cluster pass no master."""
+    """A session tuned for these jobs; on a cluster pass no master.
+
+    An already active session is returned as it is (its settings are the
+    caller's). Sizing follows the master the session really runs on: local
+    mode uses one shuffle partition per core; a cluster starts shuffles wide
+    and lets AQE coalesce them.
+    """
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return active
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
-    cores = shuffle_partitions or int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
     conf = {
-        "spark.sql.shuffle.partitions": str(cores),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -38,21 +45,24 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     }
     if master and master.startswith("local"):
         conf["spark.driver.memory"] = os.environ.get("FOLDWISE_DRIVER_MEMORY", "16g")
+    for k, v in conf.items():
+        b = b.config(k, v)
+    spark = b.getOrCreate()
+    spark.sparkContext.setLogLevel("ERROR")
+    if spark.sparkContext.master.startswith("local"):
+        cores = shuffle_partitions or int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
+        spark.conf.set("spark.sql.shuffle.partitions", str(cores))
     else:
         # cluster sizing: start every shuffle wide and let AQE coalesce to the
         # advisory size, so partitions fit executor memory whatever the scale
-        conf.pop("spark.sql.shuffle.partitions")
-        conf.update({
+        for k, v in {
             "spark.sql.adaptive.coalescePartitions.initialPartitionNum":
                 os.environ.get("FOLDWISE_SHUFFLE_PARTITIONS", "8192"),
             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
             "spark.sql.files.maxPartitionBytes": "256MB",
             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
-        })
-    for k, v in conf.items():
-        b = b.config(k, v)
-    spark = b.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+        }.items():
+            spark.conf.set(k, v)
     return spark
 
 

@@ -72,3 +72,11 @@ def test_gram_partials_are_packed_and_bounded(spark):
     n_chunks = -(-(m * (m + 1) // 2) // ridge.CHUNK)
     assert all(len(r.vals) == ridge.CHUNK for r in rows)
     assert len(rows) <= 2 * 5 * n_chunks
+
+
+def test_build_session_keeps_an_active_session_as_it_is(spark):
+    from foldwise.session import build_session
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert build_session() is spark
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) in (None, "None")
