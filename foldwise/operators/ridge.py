@@ -183,10 +183,17 @@ def fit_from_grams(grams: dict, n_targets: int, lam: float, priors: dict | None
     return coefs
 
 
-def fit_fold_models(spark: SparkSession, feats_folded: DataFrame, cfg: RunConfig, priors: dict | None = None) -> dict:
-    """{(seed, fold): (d+1) x n_targets coefficients} for every fold of every seed."""
+def fold_grams(feats_folded: DataFrame, cfg: RunConfig) -> dict:
+    """{(seed, fold): Gram matrix of the fold's own rows} (one scan)."""
     m = cfg.n_features + 1 + len(cfg.targets)
-    grams = collect_grams(gram_tables(feats_folded, cfg.targets), m)
+    return collect_grams(gram_tables(feats_folded, cfg.targets), m)
+
+
+def fit_fold_models(spark: SparkSession, feats_folded: DataFrame, cfg: RunConfig, priors: dict | None = None,
+                    grams: dict | None = None) -> dict:
+    """{(seed, fold): (d+1) x n_targets coefficients} for every fold of every seed;
+    pass ``grams`` from ``fold_grams`` to solve again without another scan."""
+    grams = grams if grams is not None else fold_grams(feats_folded, cfg)
     return fit_from_grams(grams, len(cfg.targets), cfg.ridge_lambda, priors, cfg.prior_lambda if priors else 0.0)
 
 

@@ -166,13 +166,14 @@ def pretrain_finetune(spark: SparkSession, train: DataFrame, corpus: DataFrame,
     """
     from foldwise.operators import ridge
     folded = _featurized_folds(spark, train, cfg)
-    coefs0 = ridge.fit_fold_models(spark, folded, cfg)
+    grams = ridge.fold_grams(folded, cfg)  # one scan; both solves below reuse it
+    coefs0 = ridge.fit_fold_models(spark, folded, cfg, grams=grams)
     from foldwise.session import materialize
     base = materialize(ridge.featurize(pseudo_base(train, corpus).select("text_id", "full_text"), cfg.n_features))
     pseudo = ridge.predict_every_fold(spark, base, coefs0, cfg)
     pseudo_feats = pseudo.join(base.select("text_id", "features"), "text_id")
     priors = ridge.fit_direct(pseudo_feats, cfg)
-    coefs = ridge.fit_fold_models(spark, folded, cfg, priors)
+    coefs = ridge.fit_fold_models(spark, folded, cfg, priors, grams=grams)
     return (coefs, *_evaluate(folded, coefs, cfg, cfg.run_name + "_pseudo_pretrain"))
 
 

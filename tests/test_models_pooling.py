@@ -162,3 +162,14 @@ def test_pluggable_fold_model_callable(spark):
     out = ridge.predict_every_fold(spark, feats, models).toPandas()
     assert len(out) == 5 * feats.count()
     assert (out.cohesion == out.fold).all()
+
+
+def test_prior_pulls_coefficients_towards_it(spark):
+    folded = assign_folds(ridge.featurize(_train(spark).select("text_id", "full_text", *TARGETS), CFG.n_features), CFG.seeds)
+    grams = ridge.fold_grams(folded, CFG)
+    plain = ridge.fit_fold_models(spark, folded, CFG, grams=grams)
+    prior = {k: np.zeros_like(v) for k, v in plain.items()}
+    strong = RunConfig(run_name="t", n_features=16, ridge_lambda=0.5, seeds=(42, 43), prior_lambda=1e6)
+    pulled = ridge.fit_fold_models(spark, folded, strong, prior, grams=grams)
+    k = (42, 0)
+    assert np.abs(pulled[k]).sum() < 1e-2 * np.abs(plain[k]).sum()
