@@ -193,7 +193,11 @@ def fit_fold_models(spark: SparkSession, feats_folded: DataFrame, cfg: RunConfig
                     grams: dict | None = None) -> dict:
     """{(seed, fold): (d+1) x n_targets coefficients} for every fold of every seed;
     pass ``grams`` from ``fold_grams`` to solve again without another scan."""
-    grams = grams if grams is not None else fold_grams(feats_folded, cfg)
+    grams = dict(grams if grams is not None else fold_grams(feats_folded, cfg))
+    m = cfg.n_features + 1 + len(cfg.targets)
+    for s in cfg.seeds:  # a fold without labelled rows still gets its model (all other rows)
+        for k in range(cfg.n_folds):
+            grams.setdefault((int(s), k), np.zeros((m, m)))
     return fit_from_grams(grams, len(cfg.targets), cfg.ridge_lambda, priors, cfg.prior_lambda if priors else 0.0)
 
 

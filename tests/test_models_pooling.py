@@ -173,3 +173,9 @@ def test_prior_pulls_coefficients_towards_it(spark):
     pulled = ridge.fit_fold_models(spark, folded, strong, prior, grams=grams)
     k = (42, 0)
     assert np.abs(pulled[k]).sum() < 1e-2 * np.abs(plain[k]).sum()
+
+
+def test_every_fold_model_exists_even_without_rows(spark):
+    folded = assign_folds(ridge.featurize(_train(spark).select("text_id", "full_text", *TARGETS), CFG.n_features), CFG.seeds)
+    coefs = ridge.fit_fold_models(spark, folded.where("fold <> 3"), CFG)
+    assert set(coefs) == {(s, k) for s in CFG.seeds for k in range(5)}
