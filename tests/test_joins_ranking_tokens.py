@@ -79,3 +79,10 @@ def test_dynamic_padding_equals_pad_then_trim(spark):
     full = {r.text_id: (r.tokens, r.mask) for r in tokens.trim_batches(tokens.tokenize(df, 6)).collect()}
     dyn = {r.text_id: (r.tokens, r.mask) for r in tokens.pad_to_batch_longest(tokens.tokenize(df, 6, pad=False)).collect()}
     assert full == dyn
+
+
+def test_positions_are_reproducible_across_runs(spark):
+    df = spark.range(0, 3000).select((F.col("id") % 7).alias("g"), F.md5(F.col("id").cast("string")).alias("k"))
+    a = ranking.positions(df, ["g"], ["k"]).toPandas().sort_values(["g", "k"]).reset_index(drop=True)
+    b = ranking.positions(df.repartition(5), ["g"], ["k"], n_partitions=11).toPandas().sort_values(["g", "k"]).reset_index(drop=True)
+    assert a.equals(b)
