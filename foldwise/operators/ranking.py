@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwise.session import checkpoint_dir
+from foldwise.session import materialize
 
 _MID_BITS = 33  # monotonically_increasing_id: partition index << 33 | row index
 
@@ -62,11 +62,10 @@ def positions(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence
 
     Give a total order (end ``order_cols`` with a unique id) for a
     reproducible result. Partition columns must be non-null. The numbered
-    rows are checkpointed to the shared folder so the per-partition counts
+    rows are written once to the shared folder so the per-partition counts
     and the rows agree even if a task is re-run.
     """
     spark = df.sparkSession
-    checkpoint_dir(spark)
     partition_cols = list(partition_cols)
     keys = [*partition_cols, *order_cols]
     # without an explicit count the range exchange follows the shuffle
@@ -75,7 +74,7 @@ def positions(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence
     staged = (ranged
                 .sortWithinPartitions(*keys)
                 .withColumn("_mid", F.monotonically_increasing_id()))
-    staged = staged.checkpoint(eager=True)
+    staged = materialize(staged, "positions")  # ids are stored, so counts and rows agree
     pid = F.shiftright(F.col("_mid"), _MID_BITS)
     stats = staged.groupBy(pid.alias("_pid"), *partition_cols).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))

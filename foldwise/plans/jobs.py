@@ -100,7 +100,7 @@ def pseudo_label_tables(spark: SparkSession, train: DataFrame, corpus: DataFrame
 
 
 def _featurized_folds(spark: SparkSession, train: DataFrame, cfg: RunConfig) -> DataFrame:
-    """Features once, then folds for all seeds; checkpointed to the shared folder
+    """Features once, then folds for all seeds; materialised in the shared folder
     (fit and OOF prediction both read it; lineage is cut after the shuffle)."""
     from foldwise.operators import ridge
     from foldwise.session import materialize

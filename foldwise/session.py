@@ -95,12 +95,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df):
-    """Cut lineage: write ``df`` once to the shared checkpoint folder and read it
-    back (a table that several branches read is then computed once, and a lost
-    executor does not recompute its lineage)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df, name: str = "materialized"):
+    """Cut lineage: write ``df`` once as a Parquet table in the shared folder
+    and read it back. A table that several branches read is computed once,
+    a lost executor does not recompute its lineage, and the copy is
+    compressed and columnar (later reads prune columns)."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def spread_small_input(df, key: str = "text_id"):

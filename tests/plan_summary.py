@@ -30,7 +30,7 @@ def shape(df):
         "scans": sum(bool(re.search(r"FileScan|Scan parquet|Scan ExistingRDD|Scan binaryFile", l)) for l in lines),
         "python": sum(bool(re.search(r"MapInArrow|MapInPandas|ArrowEvalPython|PythonMapInArrow", l)) for l in lines),
         "single": len(single),
-        "rdd": "ExistingRDD" in plan or "LogicalRDD" in plan,
+        "rdd": "ExistingRDD" in plan or "LogicalRDD" in plan or "/tables/" in plan,
         "text_read": ",text:" in plan or "<text:" in plan,
     }
 
