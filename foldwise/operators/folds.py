@@ -18,7 +18,7 @@ Fold sizes differ by at most one; each label value is spread over the folds
 like a systematic sample of the sorted labels.
 
 Inputs: targets take few distinct values (scores on a grid, as the one-hot
-stratification implies); bin continuous targets first -- the offset windows
+stratification implies); bin continuous targets (``bin_width``) -- the offset windows
 are bounded by the number of distinct values of one target and of label
 vectors sharing a first target. The input is read more than once (counts and
 rows), so pass a scan or a materialised table rather than an expensive
@@ -52,11 +52,12 @@ def _with_seeds(df: DataFrame, seeds, seed_col: str) -> DataFrame:
 
 def assign_folds(df: DataFrame, seeds: Sequence[int] = (42,), n_folds: int = N_FOLDS,
                  targets: Sequence[str] = TARGETS, id_col: str = "text_id", seed_col: str = "seed",
-                 fold_col: str = "fold", bucket_hex_digits: int = 3) -> DataFrame:
+                 fold_col: str = "fold", bucket_hex_digits: int = 3, bin_width: float | None = None) -> DataFrame:
     """Rows x seeds with ``seed`` and ``fold`` (INT, 0..n_folds-1) added.
 
     If ``df`` already has a ``seed`` column it is used instead of ``seeds``.
-    Ids must be unique per seed.
+    Ids must be unique per seed. ``bin_width`` stratifies continuous targets
+    on the grid ``floor(t / bin_width)`` (the target columns are unchanged).
     """
     targets = list(targets)
     wide = ("string", "binary", "array", "map", "struct")
@@ -67,11 +68,16 @@ def assign_folds(df: DataFrame, seeds: Sequence[int] = (42,), n_folds: int = N_F
         # seeds, then attach the payload once by id -- one shuffle of the wide
         # rows instead of one per seed
         narrow = assign_folds(df.select(id_col, *targets), seeds, n_folds, targets, id_col, seed_col,
-                              fold_col, bucket_hex_digits)
+                              fold_col, bucket_hex_digits, bin_width)
         return narrow.join(df.drop(*targets), id_col)
     x = _with_seeds(df, seeds, seed_col)
     kcols = [f"_k{i}" for i in range(len(targets))]
-    x = x.withColumns({k: F.coalesce(F.col(t).cast("double"), F.lit(NULL_KEY)) for k, t in zip(kcols, targets)})
+    def key(t):
+        v = F.col(t).cast("double")
+        if bin_width:
+            v = F.floor(v / F.lit(float(bin_width))).cast("double")
+        return F.coalesce(v, F.lit(NULL_KEY))
+    x = x.withColumns({k: key(t) for k, t in zip(kcols, targets)})
     # non-null keys: every level table then derives from one identical
     # coarse-count subtree, which Spark computes once and reuses
     x = x.withColumn("_h", F.coalesce(seeded_key(F.col(seed_col), F.col(id_col)), F.lit("")))

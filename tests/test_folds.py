@@ -128,3 +128,19 @@ def test_folds_property_random_tables(spark, labels, k, seed):
     assert sizes.max() - sizes.min() <= 1 and got.fold.between(0, k - 1).all()
     again = assign_folds(df.repartition(3), seeds=[seed], n_folds=k, bucket_hex_digits=1).select("text_id", "fold").toPandas()
     assert dict(zip(got.text_id, got.fold)) == dict(zip(again.text_id, again.fold))
+
+
+def test_continuous_targets_binned(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    vals = rng.uniform(1, 5, size=(3000, 6))
+    rows = [(f"c{i}", *map(float, v)) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "text_id string, " + ", ".join(f"{t} double" for t in TARGETS))
+    pdf = assign_folds(df, seeds=[42], bin_width=0.5).toPandas()
+    sizes = pdf.fold.value_counts()
+    assert sizes.max() - sizes.min() <= 1 and len(pdf) == 3000
+    original = {f"c{i}": float(v[0]) for i, v in enumerate(vals)}
+    assert all(original[i] == c for i, c in zip(pdf.text_id, pdf.cohesion))  # labels are not binned
+    bins = (pdf.cohesion // 0.5)
+    ct = pd.crosstab(bins, pdf.fold).to_numpy()
+    assert (ct.max(axis=1) - ct.min(axis=1)).max() <= 3  # first target: near-perfect spread per bin
