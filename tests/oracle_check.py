@@ -29,7 +29,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "NULL"
-        return repr(round(v, 6) + 0.0)
+        return repr(v + 0.0)  # exact: both sides round in SQL/Spark, nothing is re-rounded here
     if isinstance(v, (list, tuple)):
         return "[" + ",".join(_norm(x) for x in v) + "]"
     return str(v)
