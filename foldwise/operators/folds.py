@@ -108,9 +108,15 @@ def label_domain(df: DataFrame, targets: Sequence[str] = TARGETS) -> dict[str, l
     return {t: sorted(v) for t, v in dom.items()}
 
 
+def one_hot_name(target: str, value: float) -> str:
+    """Column name of one one-hot value: ``cohesion_3_5`` for 3.5 (no dot, so
+    the name needs no quoting in Spark)."""
+    return f"{target}_{value!r}".replace(".", "_")
+
+
 def one_hot_labels(df: DataFrame, targets: Sequence[str] = TARGETS, id_col: str = "text_id",
                    domain: dict[str, list[float]] | None = None) -> DataFrame:
-    """One 0/1 INT column ``<target>_<value>`` per distinct value of each target.
+    """One 0/1 INT column ``<target>_<value>`` (``cohesion_1_0``) per distinct value of each target.
 
     A null target gives zeros in all of its columns. The domain is read from
     the data when not given (a small aggregate, not the rows).
@@ -119,7 +125,7 @@ def one_hot_labels(df: DataFrame, targets: Sequence[str] = TARGETS, id_col: str
     cols = [F.col(id_col)]
     for t in targets:
         for v in domain[t]:
-            cols.append(F.when(F.col(t).cast("double") == F.lit(v), 1).otherwise(0).cast("int").alias(f"{t}_{v!r}"))
+            cols.append(F.when(F.col(t).cast("double") == F.lit(v), 1).otherwise(0).cast("int").alias(one_hot_name(t, v)))
     return df.select(*cols)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from foldwise.config import SAMPLE_OOF_VALUE, TARGETS
 from foldwise.operators import metrics as M
+from foldwise.operators.folds import one_hot_name
 from foldwise.plans import fixtures as FX
 from foldwise.plans import sqlparts as S
 
@@ -114,7 +115,7 @@ _DOMAIN = [1.0 + 0.5 * i for i in range(9)]
 
 @register("label_one_hot", f"""
 WITH {S.ESSAYS}
-SELECT text_id, {", ".join(f'CAST(coalesce({t} = {v!r}, false) AS INTEGER) AS "{t}_{v!r}"' for t in T6 for v in _DOMAIN)}
+SELECT text_id, {", ".join(f"CAST(coalesce({t} = {v!r}, false) AS INTEGER) AS {one_hot_name(t, v)}" for t in T6 for v in _DOMAIN)}
 FROM essays
 """)
 def label_one_hot(spark, sf_dir):

@@ -105,9 +105,9 @@ def test_one_hot_has_column_per_value_and_null_is_zero(spark):
     rows = [("a", 1.0, 2.0, 3.0, 4.0, 5.0, 1.5), ("b", None, 2.0, 3.0, 4.0, 5.0, 2.5)]
     df = spark.createDataFrame(rows, "text_id string, " + ", ".join(f"{t} double" for t in TARGETS))
     oh = {r.text_id: r.asDict() for r in one_hot_labels(df).collect()}
-    assert oh["a"]["cohesion_1.0"] == 1
-    assert oh["b"]["cohesion_1.0"] == 0
-    assert oh["a"]["conventions_1.5"] == 1 and oh["a"]["conventions_2.5"] == 0
+    assert oh["a"]["cohesion_1_0"] == 1
+    assert oh["b"]["cohesion_1_0"] == 0
+    assert oh["a"]["conventions_1_5"] == 1 and oh["a"]["conventions_2_5"] == 0
     assert len(oh["a"]) == 1 + 1 + 1 + 1 + 1 + 1 + 2
 
 
