@@ -50,8 +50,14 @@ def exclusive_offsets(counts: DataFrame, group_cols: Sequence[str], levels: Sequ
             t = t.select(*group_cols, *keys, F.coalesce(F.sum("_lvl_n").over(w), F.lit(0)).cast("bigint").alias(f"_off{i}"))
             parts.append((keys, t))
         prefix = keys
-    for keys, t in parts:  # coarser levels: one row per key prefix
-        out = out.join(t, [*group_cols, *keys])
+    if parts:
+        # combine the coarser (small) level tables first, then join them once
+        # on the keys the finest level's window already partitions by, so the
+        # large finest table is not shuffled again for these joins
+        last_keys, combined = parts[-1]
+        for keys, t in reversed(parts[:-1]):
+            combined = combined.join(t, [*group_cols, *keys])
+        out = out.join(combined, [*group_cols, *last_keys])
     total = sum((F.col(f"_off{i}") for i in range(n_levels)), F.lit(0).cast("bigint"))
     return out.withColumn(out_col, total).drop(*[f"_off{i}" for i in range(n_levels)])
 
