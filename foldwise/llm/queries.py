@@ -23,3 +23,33 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foldwise.llm.quality import quality_rules
 
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learned where crc32(doc_id) mod 4 is not 2."""
+    from pyspark.sql import functions as F
+
+    from foldwise.llm.frames import fold_of
+    from foldwise.llm.langid import fit, identify, training_sample
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold_of(F.col("doc_id"), 4) == 2
+    models = fit(training_sample(docs.where(~held_out)))
+    return identify(docs, models).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_char",
+                                         "rejected")
+
+
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public vocabulary file (installed with the tokenizer files)."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count, ids digest and decoded digest of every document."""
+    from foldwise.llm.bpe import encode_digest
+
+    return encode_digest(table(spark, sf_dir, "documents"), vocabulary())
