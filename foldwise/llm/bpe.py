@@ -202,10 +202,12 @@ class Bpe:
         for k, segment in enumerate(self.special.split(text) if self.special else [text]):
             if k % 2:
                 out.append((1, str(self.added[segment]), segment))
-            elif _NEWER.search(segment):
+                continue
+            normal = self.normalise(segment)
+            if _NEWER.search(normal):
                 out += [self._answer(p) for p in self._split_by_library(segment)]
             else:
-                out += [get(p) or make(p) for p in self.pattern.findall(self.normalise(segment))]
+                out += [get(p) or make(p) for p in self.pattern.findall(normal)]
         return out
 
     def encode(self, text: str | None) -> list[int]:
