@@ -53,3 +53,17 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foldwise.llm.bpe import encode_digest
 
     return encode_digest(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; learned where crc32(doc_id) mod 3 is not 1."""
+    from pyspark.sql import functions as F
+
+    from foldwise.llm.frames import fold_of
+    from foldwise.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold_of(F.col("doc_id"), 3) == 1
+    net = fit(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
+    return score(docs, net).select("doc_id", held_out.alias("held_out"), "score", "predicted", "flagged")

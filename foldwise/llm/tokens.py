@@ -9,7 +9,7 @@ windows have equal hashes in every task of every run.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -84,10 +84,15 @@ class Words:
     first: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
+    _prefix: dict = field(default_factory=dict)
 
-    def hashes(self, lane: int = 0) -> np.ndarray:
+    def hashes(self, lane: int = 0, longest: int | None = None) -> np.ndarray:
+        """Of the words, or of their first ``longest`` bytes."""
         r = _BYTES[lane]
-        return r.spans(r.prefix(r.table[self.data]), self.starts, self.ends)
+        ends = self.ends if longest is None else np.minimum(self.ends, self.starts + longest)
+        if lane not in self._prefix:
+            self._prefix[lane] = r.prefix(r.table[self.data])
+        return r.spans(self._prefix[lane], self.starts, ends)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
