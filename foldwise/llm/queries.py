@@ -67,3 +67,25 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold_of(F.col("doc_id"), 3) == 1
     net = fit(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
     return score(docs, net).select("doc_id", held_out.alias("held_out"), "score", "predicted", "flagged")
+
+
+@query
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a test item, with the edit distance."""
+    from foldwise.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base score and automaton score of every document; learned where
+    crc32(doc_id) mod 10 is not 0."""
+    from pyspark.sql import functions as F
+
+    from foldwise.llm.frames import fold_of
+    from foldwise.llm.lmscore import lm_scores
+
+    held_out = fold_of(F.col("doc_id"), 10) == 0
+    return lm_scores(table(spark, sf_dir, "documents"), ~held_out).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
