@@ -89,3 +89,14 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold_of(F.col("doc_id"), 10) == 0
     return lm_scores(table(spark, sf_dir, "documents"), ~held_out).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeats of 20 words."""
+    from pyspark.sql import functions as F
+
+    from foldwise.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256", F.to_json("spans").alias("spans"))
