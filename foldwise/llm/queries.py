@@ -100,3 +100,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", "kept_sha256", F.to_json("spans").alias("spans"))
+
+
+@query
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and near-duplicate component of every document."""
+    from foldwise.llm.jaccard import near_duplicate_classes
+
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
