@@ -108,3 +108,23 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foldwise.llm.jaccard import near_duplicate_classes
 
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of personal data and all spans of every document."""
+    from pyspark.sql import functions as F
+
+    from foldwise.llm.pii import KINDS, find_personal_data
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"),
+                                                                      s["end"].cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("found", lambda s: s["kind"] == kind))
+
+    base = F.filter("found", lambda s: s["k"] <= len(KINDS))
+    counts = [count(k).cast("long").alias(f"n_{k}") for k in KINDS]
+    return find_personal_data(table(spark, sf_dir, "documents")).select(
+        "doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
