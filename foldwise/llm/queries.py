@@ -128,3 +128,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [count(k).cast("long").alias(f"n_{k}") for k in KINDS]
     return find_personal_data(table(spark, sf_dir, "documents")).select(
         "doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which lines of every document repeat an earlier line."""
+    from foldwise.llm.lines import line_report
+
+    return line_report(table(spark, sf_dir, "documents"))
