@@ -262,9 +262,9 @@ def near(n: str, m: str):
     return (100 * F.least(n, m)) >= (PERCENT * F.greatest(n, m))
 
 
-def near_duplicate_classes(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles and component_id, the least id that
-    is reachable by links."""
+def placed_documents(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, a (hash of the text), n (set size) and its
+    component's number (null: empty set)."""
     rows = materialize(prefix_rows(docs, *heavy_shingles(docs)), "jaccard-rows")
     facts = rows.where("token is null").select("row", "doc_id", "a", "n", "s1", "s2")
     classes = facts.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("rep"))
@@ -306,7 +306,28 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 
     of_row = (of_row.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
               .select("row", F.coalesce("component", "rep").alias("component")))
-    placed = facts.select("row", "doc_id", "n").join(of_row, "row", "left")
+    return facts.select("row", "doc_id", "a", "n").join(of_row, "row", "left").select("doc_id", "a", "n", "component")
+
+
+def near_duplicate_classes(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_shingles and component_id, the least id that
+    is reachable by links."""
+    placed = materialize(placed_documents(docs), "jaccard-placed")
     ids = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return placed.join(ids, "component", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component, the one with the least
+    id (null last, then by a hash of the text). Documents with an empty set
+    stay; rows that repeat id and text count as one."""
+    placed = materialize(placed_documents(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"),
+                                                       F.col("a").alias("_a"), "component"), "jaccard-placed")
+    order = F.struct((F.col("_id") == NULL_ID).alias("z"), "_id", "_a")
+    kept = (placed.where("component is not null").groupBy("component").agg(F.min(order).alias("k")).select("k._id", "k._a")
+            .union(placed.where("component is null").select("_id", "_a").distinct()))
+    n, n_distinct = placed.agg(F.count("*"), F.count_distinct("_id", "_a")).first()
+    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(NULL_ID)), "_a": F.xxhash64(F.coalesce("text", F.lit("")))})
+    out = keyed.join(kept, ["_id", "_a"], "left_semi")
+    return (out if n == n_distinct else out.dropDuplicates(["_id", "_a"])).select(*docs.columns)

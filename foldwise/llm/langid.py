@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.llm.frames import record
-from foldwise.llm.tokens import mix
+from foldwise.llm.tokens import mix, text_chunks
 
 LETTERS = re.compile(r"[^\W\d_]+")
 START, END = 1, 2
@@ -260,20 +260,38 @@ def judge(models: Models, texts: list[str | None], cache: WordCosts) -> tuple[li
     return pred, score, bits, rejected
 
 
-def identify(docs: DataFrame, models: Models, batch_chars: int = 1 << 20) -> DataFrame:
+def _slices(batch: pa.RecordBatch, at: int, limit: int = 1 << 20):
+    """Parts of a batch with about a megabyte of text, and their texts."""
+    texts = batch.column(at)
+    for a, b, _, _ in text_chunks(texts, limit):
+        yield batch.slice(a, b - a), texts.slice(a, b - a).to_pylist()
+
+
+def identify(docs: DataFrame, models: Models) -> DataFrame:
     """One row per document: language, score, bits per character, rejection."""
 
     def run(batches):
         cache = WordCosts(models)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            a = 0
-            while a < len(ids):
-                b, size = a, 0
-                while b < len(ids) and (b == a or size < batch_chars):
-                    size += len(texts[b] or "")
-                    b += 1
-                yield record(_RESULT, ids[a:b], *judge(models, texts[a:b], cache))
-                a = b
+            for part, texts in _slices(batch, 1):
+                yield record(_RESULT, part.column(0), *judge(models, texts, cache))
 
     return docs.select("doc_id", "text").mapInArrow(run, RESULT_SCHEMA)
+
+
+def keep_identified(docs: DataFrame, models: Models) -> DataFrame:
+    """``docs`` without rejected documents, ``lang`` set to the language
+    found; other columns and the order of rows stay."""
+    at, lang = docs.columns.index("text"), docs.columns.index("lang")
+
+    def run(batches):
+        cache = WordCosts(models)
+        for batch in batches:
+            for part, texts in _slices(batch, at):
+                pred, _, _, rejected = judge(models, texts, cache)
+                columns = part.columns
+                columns[lang] = pa.array(pred, pa.string())
+                out = pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+                yield out.filter(pa.array([not r for r in rejected]))
+
+    return docs.mapInArrow(run, docs.schema)
