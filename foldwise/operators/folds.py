@@ -23,8 +23,7 @@ are bounded by the number of distinct values of one target and of label
 vectors sharing a first target. The input is read more than once (counts and
 rows), so pass a scan or a materialised table rather than an expensive
 lineage such as a Python step. The payload columns travel
-through the one row-level shuffle (with several seeds, the narrow rows are
-ranked for every seed and the payload is joined back by id once).
+through the one row-level shuffle.
 """
 
 from __future__ import annotations
@@ -56,20 +55,13 @@ def assign_folds(df: DataFrame, seeds: Sequence[int] = (42,), n_folds: int = N_F
     """Rows x seeds with ``seed`` and ``fold`` (INT, 0..n_folds-1) added.
 
     If ``df`` already has a ``seed`` column it is used instead of ``seeds``.
-    Ids must be unique per seed. ``bin_width`` stratifies continuous targets
+    Every row is kept, also without an id. An id that occurs twice under one
+    seed with equal labels fails the job (its rows meet in the numbering
+    window); callers with wide rows fold the narrow columns and join the
+    rest. ``bin_width`` stratifies continuous targets
     on the grid ``floor(t / bin_width)`` (the target columns are unchanged).
     """
     targets = list(targets)
-    wide = ("string", "binary", "array", "map", "struct")
-    payload = [f.name for f in df.schema.fields if f.name not in (id_col, seed_col, *targets)
-               and f.dataType.typeName() in wide]
-    if payload and seed_col not in df.columns and len(seeds) > 1:
-        # several seeds and wide rows: rank the narrow (id, labels) rows for all
-        # seeds, then attach the payload once by id -- one shuffle of the wide
-        # rows instead of one per seed
-        narrow = assign_folds(df.select(id_col, *targets), seeds, n_folds, targets, id_col, seed_col,
-                              fold_col, bucket_hex_digits, bin_width)
-        return narrow.join(df.drop(*targets), id_col)
     x = _with_seeds(df, seeds, seed_col)
     kcols = [f"_k{i}" for i in range(len(targets))]
     def key(t):
@@ -89,7 +81,10 @@ def assign_folds(df: DataFrame, seeds: Sequence[int] = (42,), n_folds: int = N_F
     offsets = exclusive_offsets(coarse, [seed_col], levels, count_col="_n", out_col="_off").drop("_n")
 
     w = Window.partitionBy(*key).orderBy("_h", id_col)
-    ranked = x.withColumn("_rn", F.row_number().over(w)).join(offsets, key)
+    twice = F.col(id_col).isNotNull() & (F.lag(id_col).over(w) == F.col(id_col))
+    said = F.concat(F.lit(f"duplicate {id_col}: "), F.col(id_col).cast("string"))
+    number = F.when(twice, F.raise_error(said).cast("int")).otherwise(F.row_number().over(w))
+    ranked = x.withColumn("_rn", number).join(offsets, key)
     r = F.col("_off") + F.col("_rn") - F.lit(1)
     blk = F.floor(r / F.lit(n_folds)).cast("bigint")
     shift = hex_prefix_int(seeded_key(F.col(seed_col), F.lit("blk"), blk))
@@ -97,11 +92,19 @@ def assign_folds(df: DataFrame, seeds: Sequence[int] = (42,), n_folds: int = N_F
     return ranked.withColumn(fold_col, fold).drop(*kcols, "_h", "_b", "_rn", "_off")
 
 
+#: one-hot labels make a column per value; beyond this many the target is no
+#: label but a measurement
+MAX_LABEL_VALUES = 1000
+
+
 def label_domain(df: DataFrame, targets: Sequence[str] = TARGETS) -> dict[str, list[float]]:
-    """Distinct non-null values of each target (bounded label domain)."""
+    """Distinct non-null values of each target; an error if the targets have
+    more than ``MAX_LABEL_VALUES`` together."""
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(t).alias("t"), F.col(t).cast("double").alias("v")) for t in targets])).alias("x"))
-    rows = long.select("x.t", "x.v").where(F.col("v").isNotNull()).distinct().collect()
+    rows = long.select("x.t", "x.v").where(F.col("v").isNotNull()).distinct().limit(MAX_LABEL_VALUES + 1).collect()
+    if len(rows) > MAX_LABEL_VALUES:
+        raise ValueError(f"the targets have more than {MAX_LABEL_VALUES} distinct values: bin them first")
     dom: dict[str, list[float]] = {t: [] for t in targets}
     for r in rows:
         dom[r["t"]].append(r["v"])

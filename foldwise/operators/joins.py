@@ -8,25 +8,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: parts over which rows with a null key are spread
+NULL_SALTS = 64
+
+
 def anti_join_null_safe(left: DataFrame, right: DataFrame, key: str, right_key: str | None = None) -> DataFrame:
     """Rows of ``left`` whose key is not in ``right``; a null key matches a null.
 
     Plain ``left_anti`` keeps a null key even when the right side has one, and
     ``NOT IN`` empties the result; null-safe equality gives membership
-    semantics. Null keys are not hashed together (that would put every null
-    row in one task): non-null keys take an ordinary anti-join (broadcast or
-    sort-merge, chosen at runtime from the measured right side), and null-key
-    rows are kept unless the right side has a null key -- a flag table of at
-    most one row, broadcast explicitly.
+    semantics. One equality join reads the left side once: a null key becomes
+    a salt between 0 and ``NULL_SALTS``, so null rows do not meet in one task,
+    and a null on the right stands for every salt.
     """
     rk = right_key or key
     r = right.select(F.col(rk).alias("_rk"))
-    non_null = left.where(F.col(key).isNotNull()).join(
-        r.where(F.col("_rk").isNotNull()), F.col(key) == F.col("_rk"), "left_anti")
-    right_null = r.where(F.col("_rk").isNull()).limit(1).select(F.lit(1).alias("_has_null"))
-    nulls = (left.where(F.col(key).isNull()).withColumn("_has_null", F.lit(1))
-             .join(F.broadcast(right_null), "_has_null", "left_anti").drop("_has_null"))
-    return non_null.unionByName(nulls)
+    salts = F.when(F.col("_rk").isNull(), F.sequence(F.lit(0), F.lit(NULL_SALTS - 1))).otherwise(F.array(F.lit(-1)))
+    r = r.distinct().select("_rk", F.explode(salts).alias("_rs"))
+    l_salt = F.when(F.col(key).isNull(), F.floor(F.rand(1) * NULL_SALTS).cast("int")).otherwise(F.lit(-1))
+    x = left.withColumn("_ls", l_salt)
+    same = x["_ls"].eqNullSafe(r["_rs"]) & x[key].eqNullSafe(r["_rk"])
+    return x.join(r, same, "left_anti").drop("_ls")
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -27,9 +27,10 @@ def p(t: str) -> str:
 
 
 def align(labels: DataFrame, preds: DataFrame, keys: Sequence[str], targets: Sequence[str] = TARGETS,
-          how: str = "inner", carry: Sequence[str] = ()) -> DataFrame:
+          how: str = "left", carry: Sequence[str] = ()) -> DataFrame:
     """Join labels and predictions by key into a scored table; ``carry`` keeps
-    extra prediction-side columns (e.g. the validation step)."""
+    extra prediction-side columns (e.g. the validation step). Every label row
+    stays, so a score can tell that a prediction is missing."""
     keys = list(keys)
     lab = labels.select(*keys, *[F.col(t).cast("double").alias(y(t)) for t in targets])
     pre = preds.select(*keys, *carry, *[F.col(t).cast("double").alias(p(t)) for t in targets])
@@ -37,8 +38,16 @@ def align(labels: DataFrame, preds: DataFrame, keys: Sequence[str], targets: Seq
 
 
 def mcrmse(scored: DataFrame, group_cols: Sequence[str] = (), targets: Sequence[str] = TARGETS) -> DataFrame:
-    """Per group: RMSE of each target (named by the target) and their mean ``mcrmse``."""
-    aggs = [F.sqrt(F.avg(squared_error(F.col(p(t)), F.col(y(t))))).alias(t) for t in targets]
+    """Per group: RMSE of each target (named by the target) and their mean
+    ``mcrmse``. A labelled row without a prediction fails the job: the check is
+    part of the same aggregation."""
+    def rmse(t):
+        missing = F.count(F.when(F.col(y(t)).isNotNull() & F.col(p(t)).isNull(), 1))
+        score = F.sqrt(F.avg(squared_error(F.col(p(t)), F.col(y(t)))))
+        said = F.concat(missing.cast("string"), F.lit(f" labelled rows have no prediction of {t}"))
+        return F.when(missing > 0, F.raise_error(said).cast("double")).otherwise(score)
+
+    aggs = [rmse(t).alias(t) for t in targets]
     out = scored.groupBy(*group_cols).agg(*aggs)
     mean = sum((F.col(t) for t in targets), F.lit(0.0)) / F.lit(float(len(targets)))
     return out.select(*group_cols, mean.alias("mcrmse"), *targets)

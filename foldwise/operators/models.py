@@ -19,20 +19,28 @@ from foldwise.operators.joins import seed_fold_grid
 
 
 def fold_stats(folded: DataFrame, targets: Sequence[str] = TARGETS) -> DataFrame:
-    """Per (seed, fold): row count and label sums (partial aggregation, tiny output)."""
+    """Per (seed, fold): rows, and per target the labels that are not null and
+    their sum (partial aggregation, tiny output)."""
     return folded.groupBy("seed", "fold").agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(F.col(t).cast("double")).alias(f"_s_{t}") for t in targets])
+        F.count(F.lit(1)).alias("_n"), *[F.sum(F.col(t).cast("double")).alias(f"_s_{t}") for t in targets],
+        *[F.count(t).alias(f"_c_{t}") for t in targets])
 
 
 def fold_mean_models(spark: SparkSession, folded: DataFrame, seeds: Sequence[int] = SEEDS,
                      n_folds: int = N_FOLDS, targets: Sequence[str] = TARGETS) -> DataFrame:
-    """(seed, fold, n_train, target means over the other folds)."""
+    """(seed, fold, n_train, target means over the other folds). A null label
+    counts in no mean; a target without labels in the other folds is null."""
     per = fold_stats(folded, targets)
-    tot = per.groupBy("seed").agg(F.sum("_n").alias("_tn"), *[F.sum(f"_s_{t}").alias(f"_ts_{t}") for t in targets])
+    tot = per.groupBy("seed").agg(F.sum("_n").alias("_tn"), *[F.sum(f"_s_{t}").alias(f"_ts_{t}") for t in targets],
+                                  *[F.sum(f"_c_{t}").alias(f"_tc_{t}") for t in targets])
     grid = seed_fold_grid(spark, seeds, range(n_folds))
     g = grid.join(tot, "seed").join(per, ["seed", "fold"], "left")
     n_train = F.col("_tn") - F.coalesce(F.col("_n"), F.lit(0))
-    means = [((F.col(f"_ts_{t}") - F.coalesce(F.col(f"_s_{t}"), F.lit(0.0))) / n_train).alias(t) for t in targets]
+    def mean(t):
+        n = F.col(f"_tc_{t}") - F.coalesce(F.col(f"_c_{t}"), F.lit(0))
+        return F.when(n > 0, (F.col(f"_ts_{t}") - F.coalesce(F.col(f"_s_{t}"), F.lit(0.0))) / n)
+
+    means = [mean(t).alias(t) for t in targets]
     return g.select("seed", "fold", n_train.alias("n_train"), *means)
 
 

@@ -32,17 +32,18 @@ def gem_cls_pool(tokens: DataFrame, doc_col: str = "doc", p: float = 3.0, eps: f
     """[vector at position 0] ++ GeM over positions >= 1 with mask.
 
     GeM_d = (sum(max(v, eps)^p * m) / max(sum(m), eps))^(1/p); position 0 is
-    left out of GeM (its mask counts as 0). Dims 0..D-1 are the first
-    vector, D..2D-1 the GeM part.
+    left out of GeM (its mask counts as 0), so a document of one token has a
+    GeM part of zeros. Dims 0..D-1 are the first vector, D..2D-1 the GeM part;
+    both come from one scan and one aggregation.
     """
-    x = _exploded(tokens, doc_col)
-    cls = x.where(F.col("pos") == 0).select(doc_col, "dim", F.col("v").alias("value"))
-    g = x.where(F.col("pos") > 0)
+    x = _exploded(tokens, doc_col).withColumn("m", F.when(F.col("pos") == 0, F.lit(0.0)).otherwise(F.col("m")))
     num = F.sum(F.pow(F.greatest(F.col("v"), F.lit(eps)), F.lit(float(p))) * F.col("m"))
-    gem = (g.groupBy(doc_col, "dim", "_d")
-            .agg(F.pow(num / F.greatest(F.sum("m"), F.lit(eps)), F.lit(1.0 / p)).alias("value"))
-            .select(doc_col, (F.col("dim") + F.col("_d")).alias("dim"), "value"))
-    return cls.unionByName(gem)
+    both = x.groupBy(doc_col, "dim", "_d").agg(
+        F.count(F.when(F.col("pos") == 0, 1)).alias("_first"), F.max(F.when(F.col("pos") == 0, F.col("v"))).alias("_cls"),
+        F.pow(num / F.greatest(F.sum("m"), F.lit(eps)), F.lit(1.0 / p)).alias("_gem"))
+    halves = F.array(F.struct(F.col("dim").alias("dim"), F.col("_cls").alias("value"), (F.col("_first") > 0).alias("there")),
+                     F.struct((F.col("dim") + F.col("_d")).alias("dim"), F.col("_gem").alias("value"), F.lit(True).alias("there")))
+    return both.select(doc_col, F.explode(halves).alias("h")).where("h.there").select(doc_col, "h.dim", "h.value")
 
 
 def position_slice(tokens: DataFrame, doc_col: str = "doc", first: int = 1, n: int = len(TARGETS)) -> DataFrame:

@@ -5,9 +5,8 @@ split and hashed in the JVM, counted per Arrow batch with one ``bincount``;
 no shuffle). Fitting needs one scan:
 every task folds its rows into augmented Gram matrices ``[1 X Y]^T [1 X Y]``
 per (seed, fold) and emits their upper triangles packed in 1,024-value chunks;
-a ``groupBy`` on (seed, fold, chunk) sums them element-wise. The Gram stage is
-coalesced to a few tasks per core, so the number of partials per chunk is
-bounded by the cluster, not by the data. Train statistics of fold k are the
+a ``groupBy`` on (seed, fold, chunk, place) sums them with partial aggregation.
+Train statistics of fold k are the
 seed total minus fold k, so all (seed, fold) models come from the same
 aggregate. Only (d+7)^2 numbers per (seed, fold) reach the driver, where the
 small systems are solved; coefficients go back to the tasks with the
@@ -65,9 +64,7 @@ def featurize(df: DataFrame, n_features: int, text_col: str = "full_text", out_c
     """Replace the text column by ``features ARRAY<FLOAT>``: hashed log term
     frequencies. Words are split and hashed in the JVM; Python only counts
     bucket ids of each Arrow batch with one ``bincount``."""
-    from foldwise.session import spread_small_input
-    x = spread_small_input(df)
-    x = x.withColumn("_bk", word_buckets(F.col(text_col), n_features)).drop(text_col)
+    x = df.withColumn("_bk", word_buckets(F.col(text_col), n_features)).drop(text_col)
     keep = [f for f in x.schema.fields if f.name != "_bk"]
     schema = T.StructType(keep + [T.StructField(out_col, T.ArrayType(T.FloatType(), True))])
     names = [f.name for f in keep]
@@ -89,12 +86,10 @@ CHUNK = 1024  # doubles per packed partial row
 
 
 def gram_partials(df: DataFrame, targets: Sequence[str] = TARGETS, key_cols: Sequence[str] = ("seed", "fold"),
-                  feat_col: str = "features", max_partials: int | None = None) -> DataFrame:
+                  feat_col: str = "features") -> DataFrame:
     """Packed partial sums: rows (keys..., chunk, vals ARRAY<DOUBLE>[CHUNK]) holding
     the upper triangle of each task's Gram matrix per key, emitted once at the
-    end of the task. The Gram stage is coalesced (no shuffle) to at most
-    ``max_partials`` tasks (default: 4 x cores), which bounds how many partial
-    matrices the reduce side sees, independently of the data size."""
+    end of the task."""
     targets, key_cols = list(targets), list(key_cols)
     fields = [df.schema[k] for k in key_cols]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields] + [
@@ -104,9 +99,6 @@ def gram_partials(df: DataFrame, targets: Sequence[str] = TARGETS, key_cols: Seq
         any_null = F.col(t).isNull() if any_null is None else (any_null | F.col(t).isNull())
     labelled = df.where(~any_null) if targets else df
     labelled = labelled.select(*key_cols, feat_col, *targets)
-    cap = max_partials or 4 * df.sparkSession.sparkContext.defaultParallelism
-    if labelled.rdd.getNumPartitions() > cap:
-        labelled = labelled.coalesce(cap)
 
     def run(batches):
         acc: dict = {}
@@ -135,11 +127,13 @@ def gram_partials(df: DataFrame, targets: Sequence[str] = TARGETS, key_cols: Seq
 
 
 def gram_tables(df: DataFrame, targets: Sequence[str] = TARGETS, key_cols: Sequence[str] = ("seed", "fold")) -> DataFrame:
-    """Summed packed Gram chunks per key: element-wise sum of the (bounded
-    number of) partial arrays of each (key, chunk)."""
-    zero = F.array_repeat(F.lit(0.0), CHUNK)
-    summed = F.aggregate(F.collect_list("vals"), zero, lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
-    return gram_partials(df, targets, key_cols).groupBy(*key_cols, "chunk").agg(summed.alias("vals"))
+    """Summed packed Gram chunks per key. Numbers are summed place by place
+    (each task adds up its own before the shuffle), then the places of a chunk
+    are put together: no buffer grows with the number of tasks."""
+    long = gram_partials(df, targets, key_cols).select(*key_cols, "chunk", F.posexplode("vals").alias("at", "v"))
+    sums = long.groupBy(*key_cols, "chunk", "at").agg(F.sum("v").alias("v"))
+    packed = F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"])
+    return sums.groupBy(*key_cols, "chunk").agg(packed.alias("vals"))
 
 
 def collect_grams(grams: DataFrame, m: int, key_cols: Sequence[str] = ("seed", "fold")) -> dict:

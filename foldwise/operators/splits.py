@@ -63,11 +63,12 @@ def random_split(df: DataFrame, seed: int, test_fraction: float = 0.2, id_col: s
     the ``md5(seed:split:id)`` order (N per group)."""
     x = df.withColumn("_skey", seeded_key(F.lit(int(seed)), F.lit("split"), F.col(id_col)))
     ranked = positions(x, list(group_cols), ["_skey", id_col], name="_pos")
-    sizes = ranked.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-    if not group_cols:  # one group: equi-join on a constant key (a 1-row table)
-        ranked, sizes = ranked.withColumn("_one", F.lit(1)), sizes.withColumn("_one", F.lit(1))
-    joined = ranked.join(sizes, list(group_cols) or ["_one"]).drop("_one")
-    n_valid = F.ceil(F.col("_n") * F.lit(float(test_fraction)) - F.lit(1e-9))
+    if group_cols:
+        sizes = ranked.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
+        joined, size = ranked.join(sizes, list(group_cols)), F.col("_n")
+    else:  # one group: its size is one number, a constant of the plan
+        joined, size = ranked.withColumn("_n", F.lit(0)), F.lit(ranked.count())
+    n_valid = F.ceil(size * F.lit(float(test_fraction)) - F.lit(1e-9))
     return (joined.withColumn(split_col, F.when(F.col("_pos") < n_valid, F.lit("valid")).otherwise(F.lit("train")))
                   .drop("_skey", "_pos", "_n"))
 

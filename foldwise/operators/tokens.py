@@ -16,12 +16,15 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, TOKEN_SPLIT), lambda w: w != F.lit(""))
 
 
-def encode(text: Column, max_len: int, pad: bool = True) -> tuple[Column, Column]:
-    """(tokens, mask): [CLS] + first max_len-2 words + [SEP], padded to max_len.
+def encode(text: Column, max_len: int, pad: bool = True, cut: bool | None = None) -> tuple[Column, Column]:
+    """(tokens, mask): [CLS] + words + [SEP].
 
-    ``pad=False`` (batch size 1) returns the unpadded sequence.
+    Padded mode cuts at ``max_len`` and pads to it. ``pad=False`` (batch size
+    1) neither pads nor cuts; dynamic padding asks for ``cut`` on its own.
     """
-    body = F.slice(words(text), 1, max_len - 2)
+    body = words(text)
+    if pad if cut is None else cut:
+        body = F.slice(body, 1, max_len - 2)
     seq = F.concat(F.array(F.lit(CLS_TOKEN)), body, F.array(F.lit(SEP_TOKEN)))
     n_real = F.size(seq)
     if not pad:
@@ -32,11 +35,11 @@ def encode(text: Column, max_len: int, pad: bool = True) -> tuple[Column, Column
     return tokens, mask
 
 
-def tokenize(df: DataFrame, max_len: int, text_col: str = "full_text", pad: bool = True) -> DataFrame:
+def tokenize(df: DataFrame, max_len: int, text_col: str = "full_text", pad: bool = True,
+             cut: bool | None = None) -> DataFrame:
     """Add ``tokens`` and ``mask`` arrays (see ``encode``)."""
-    from foldwise.session import spread_small_input
-    tokens, mask = encode(F.col(text_col), max_len, pad)
-    return spread_small_input(df).withColumn("tokens", tokens).withColumn("mask", mask)
+    tokens, mask = encode(F.col(text_col), max_len, pad, cut)
+    return df.withColumn("tokens", tokens).withColumn("mask", mask)
 
 
 def mask_length(mask: Column) -> Column:
@@ -56,7 +59,7 @@ def trim_batches(df: DataFrame, batch_cols=("batch_id",)) -> DataFrame:
 
 
 def pad_to_batch_longest(df: DataFrame, batch_cols=("batch_id",)) -> DataFrame:
-    """Dynamic padding: unpadded sequences (``tokenize(pad=False)``) padded to
+    """Dynamic padding: unpadded sequences (``tokenize(pad=False, cut=True)``) padded to
     the longest real length of their batch. Equal to padding every row to
     max_len and then trimming the batch, without building max_len arrays."""
     w = Window.partitionBy(*batch_cols)

@@ -262,7 +262,7 @@ def batch_trim(spark, sf_dir):
     # batches are numbered on narrow rows; texts join once by id
     b = batches(folded.select("fold", "text_id"), ["fold"], ["text_id"], BATCH_SIZE)
     texts = FX.essays(spark, sf_dir).select("text_id", "full_text")
-    t = pad_to_batch_longest(tokenize(b.join(texts, "text_id"), TOKEN_LEN, pad=False), ["fold", "batch_id"])
+    t = pad_to_batch_longest(tokenize(b.join(texts, "text_id"), TOKEN_LEN, pad=False, cut=True), ["fold", "batch_id"])
     return t.select("fold", "batch_id", "text_id", "trim_len", F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 
 

@@ -104,13 +104,3 @@ def materialize(df, name: str = "materialized"):
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
-
-def spread_small_input(df, key: str = "text_id"):
-    """Hash-spread an input that has fewer partitions than the session has
-    cores (e.g. one large row group) before CPU-heavy per-row work, so it is
-    not left to one task. A large input is read in many partitions already
-    and is left where it is (no shuffle of the text)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if key in df.columns and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
-    return df

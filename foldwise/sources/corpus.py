@@ -17,20 +17,27 @@ from foldwise.config import TARGETS
 from foldwise.functions.text import file_stem, universal_newlines
 
 
-def read_text_corpus(spark: SparkSession, directory: str, glob: str = "*.txt", keep_empty: bool = False) -> DataFrame:
+def empty_files(spark: SparkSession, directory: str, glob: str) -> list[str]:
+    """Names of the matching zero-length files, from one listing of the folder
+    by its own file system (the file sources list it on the driver as well)."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    pattern = jvm.org.apache.hadoop.fs.Path(directory.rstrip("/"), glob)
+    found = pattern.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(pattern)
+    return [str(f.getPath().toString()) for f in (found or []) if f.getLen() == 0 and f.isFile()]
+
+
+def read_text_corpus(spark: SparkSession, directory: str, glob: str = "*.txt") -> DataFrame:
     """(text_id, full_text, targets...) for every matching file.
 
-    The binary-file source skips zero-length files; ``keep_empty=True``
-    switches to the whole-text-file reader, which keeps them as ''.
+    The binary-file source skips zero-length files; their names are added
+    with an empty text.
     """
-    if keep_empty:
-        pattern = f"{directory.rstrip('/')}/{glob}"
-        raw = spark.sparkContext.wholeTextFiles(pattern).toDF(["path", "content"])
-        text = F.col("content")
-    else:
-        raw = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-               .option("recursiveFileLookup", "false").load(directory))
-        text = F.decode(F.col("content"), "UTF-8")
+    raw = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
+           .option("recursiveFileLookup", "false").load(directory).select("path", "content"))
+    text = F.decode(F.col("content"), "UTF-8")
+    names = [(n, b"") for n in empty_files(spark, directory, glob)]
+    if names:
+        raw = raw.unionByName(spark.createDataFrame(names, "path STRING, content BINARY"))
     return raw.select(file_stem(F.col("path")).alias("text_id"),
                       universal_newlines(text).alias("full_text"),
                       *[F.lit(None).cast("double").alias(t) for t in TARGETS])

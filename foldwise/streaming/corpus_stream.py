@@ -2,7 +2,7 @@
 
 The batch job scans a finite folder once. When texts keep arriving, the same
 two operators run as a stream: the binary-file source picks up new files
-(``maxFilesPerTrigger`` bounds a micro-batch), and a stream-static left-anti
+(``maxBytesPerTrigger`` bounds a micro-batch), and a stream-static left-anti
 join drops ids that are train ids (null-safe). Output is appended to a
 Parquet table; progress lives in a checkpoint under the shared folder, so a
 restarted or re-run query continues where it stopped (exactly-once file sink).
@@ -21,10 +21,17 @@ from foldwise.session import shared_path
 BINARY_FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
-def corpus_stream(spark: SparkSession, directory: str, glob: str = "*.txt", max_files_per_trigger: int = 1000) -> DataFrame:
-    """Streaming (text_id, full_text, targets) rows for files added to ``directory``."""
+#: no file is too old to be read, whatever its modification time
+ANY_AGE = "36500d"
+
+
+def corpus_stream(spark: SparkSession, directory: str, glob: str = "*.txt", max_bytes_per_trigger: str = "64g") -> DataFrame:
+    """Streaming (text_id, full_text, targets) rows for files added to
+    ``directory``. Zero-length files carry no text and are left out by the
+    file source; the batch reader (``read_text_corpus``) has them."""
     raw = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
-           .option("pathGlobFilter", glob).option("maxFilesPerTrigger", max_files_per_trigger)
+           .option("pathGlobFilter", glob).option("maxFileAge", ANY_AGE)
+           .option("maxBytesPerTrigger", max_bytes_per_trigger)
            .load(directory))
     return raw.select(file_stem(F.col("path")).alias("text_id"),
                       universal_newlines(F.decode(F.col("content"), "UTF-8")).alias("full_text"),

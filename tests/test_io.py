@@ -65,13 +65,11 @@ def test_text_corpus_scan_reads_every_file(spark, tmpdir_fresh):
     _write(tmpdir_fresh, "skip.csv", "not a text file")
     _write(tmpdir_fresh, "empty.txt", "")
     got = {r.text_id: r for r in corpus.read_text_corpus(spark, tmpdir_fresh).collect()}
-    assert len(got) == 37 + 3  # the zero-length file is skipped by the binary source
+    assert len(got) == 37 + 4 and got["empty"].full_text == ""  # a zero-length file is a row, too
     assert got["win"].full_text == "a\nb\nc"
     assert got["A 0+1%.v2"].full_text == "odd name"
     assert got["BB.02"].full_text == "two dots"
     assert all(got["doc3"][t] is None for t in TARGETS)
-    kept = {r.text_id: r for r in corpus.read_text_corpus(spark, tmpdir_fresh, keep_empty=True).collect()}
-    assert kept["empty"].full_text == "" and len(kept) == 41
 
 
 def test_empty_corpus_raises(spark, tmpdir_fresh):

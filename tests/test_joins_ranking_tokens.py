@@ -77,7 +77,7 @@ def test_dynamic_padding_equals_pad_then_trim(spark):
     rows = [("a", "one two three four five six"), ("b", "x"), ("c", "p q"), ("d", "")]
     df = spark.createDataFrame(rows, "text_id string, full_text string").withColumn("batch_id", F.lit(0))
     full = {r.text_id: (r.tokens, r.mask) for r in tokens.trim_batches(tokens.tokenize(df, 6)).collect()}
-    dyn = {r.text_id: (r.tokens, r.mask) for r in tokens.pad_to_batch_longest(tokens.tokenize(df, 6, pad=False)).collect()}
+    dyn = {r.text_id: (r.tokens, r.mask) for r in tokens.pad_to_batch_longest(tokens.tokenize(df, 6, pad=False, cut=True)).collect()}
     assert full == dyn
 
 

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
+from foldwise.plans import catalog
 from foldwise.config import TARGETS
 from foldwise.operators.folds import assign_folds
 from foldwise.plans import fixtures as FX
@@ -43,9 +44,8 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_an_oracle_or_is_model_based():
-    qs, os_ = E.queries(), E.oracle_sql()
-    assert set(os_) <= set(qs)
-    rows_only = set(qs) - set(os_)
+    assert set(E.oracle_sql()) <= set(E.queries())
+    rows_only = set(catalog.QUERIES) - set(catalog.ORACLES)
     assert rows_only == {"cv_fit", "cv_oof", "experiment_run", "test_ensemble", "pseudo_label", "pretrain_finetune"}
 
 
@@ -59,19 +59,49 @@ def test_debug_head_is_a_top_k(spark):
     assert "TakeOrderedAndProject" in plan
 
 
-def test_gram_partials_are_packed_and_bounded(spark):
+def test_gram_partials_are_packed_per_task(spark):
     from foldwise.config import RunConfig
     from foldwise.operators import ridge
     from foldwise.plans.jobs import _featurized_folds
     cfg = RunConfig(n_features=16, seeds=(42,))
     ff = _featurized_folds(spark, FX.essays(spark, SF001), cfg)
-    parts = ridge.gram_partials(ff, max_partials=2)
-    assert parts.rdd.getNumPartitions() <= 2
-    rows = parts.collect()
+    rows = ridge.gram_partials(ff).collect()
     m = 16 + 1 + 6
     n_chunks = -(-(m * (m + 1) // 2) // ridge.CHUNK)
     assert all(len(r.vals) == ridge.CHUNK for r in rows)
-    assert len(rows) <= 2 * 5 * n_chunks
+    assert len(rows) <= ff.rdd.getNumPartitions() * 5 * n_chunks
+    sums = ridge.gram_tables(ff).collect()
+    assert len(sums) == 5 * n_chunks and all(len(r.vals) == ridge.CHUNK for r in sums)
+
+
+def _jobs_started(spark, build):
+    """Jobs that building (not running) a DataFrame starts."""
+    tracker, group = spark.sparkContext.statusTracker(), "built"
+    spark.sparkContext.setJobGroup(group, group)
+    build()
+    n = len(tracker.getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("other", "other")
+    return n
+
+
+def test_building_features_and_tokens_starts_no_job(spark):
+    from foldwise.operators import ridge, tokens
+    essays = FX.essays(spark, SF001)
+    joined = essays.select("text_id", "full_text").join(essays.select("text_id", "cohesion"), "text_id")
+    assert _jobs_started(spark, lambda: ridge.featurize(joined, 16)) == 0
+    assert _jobs_started(spark, lambda: tokens.tokenize(joined, 64)) == 0
+
+
+def test_anti_join_reads_the_left_side_once_without_a_loop(spark):
+    from foldwise.operators.joins import anti_join_null_safe
+    left = spark.read.parquet(f"{SF001}/documents.parquet")
+    plan = _plan(anti_join_null_safe(left, left.select("doc_id").where("doc_id % 2 = 0"), "doc_id"))
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_pseudo_split_has_no_product(spark):
+    plan = _plan(E.queries()["pseudo_split"](spark, SF01))
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 def test_build_session_keeps_an_active_session_as_it_is(spark):
