@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foldwise.llm import oracles
 from foldwise.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op5_ngram_jaccard": oracles.NGRAM_JACCARD,
+}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -94,12 +98,9 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without repeats of 20 words."""
-    from pyspark.sql import functions as F
-
     from foldwise.llm.substrings import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "n_removed", "kept_sha256", F.to_json("spans").alias("spans"))
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
 @query
