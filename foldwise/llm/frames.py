@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwise.llm.tokens import text_chunks
+from foldwise.session import shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,3 +47,27 @@ def text_pass(df: DataFrame, work: Callable, schema: str, text: str = "text") ->
 def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type)
                                        for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+class Scratch:
+    """Intermediate tables in the shared folder that go when the work is done:
+    ``scratch(df, name)`` writes a table and reads it back, the end of the
+    ``with`` block deletes all of them. Nothing lazy that reads them may
+    outlive the block."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(shared_path(self.spark, name))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.parquet(self.paths[-1])
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        sc = self.spark.sparkContext
+        for path in self.paths:
+            place = sc._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
