@@ -28,13 +28,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.llm.components import components
-from foldwise.llm.frames import record
+from foldwise.llm.frames import Scratch, record
 from foldwise.llm.tokens import mix, signed, split_words, text_chunks, windows
+from foldwise.operators.ranking import positions
 from foldwise.session import materialize
 
 K, PERCENT = 5, 80
@@ -124,49 +124,91 @@ def prefixes(doc: np.ndarray, x: np.ndarray, n_docs: int, keys: np.ndarray, weig
     return n, doc[keep], x[keep], tag[keep], level
 
 
-_ROWS = pa.schema([("row", _I), ("doc_id", _I), ("a", _I), ("n", _S), ("s1", _I), ("s2", _I), ("token", _I),
-                   ("tag", _S), ("level", _S), ("hub", _I), ("hub_n", _S), ("hub_tag", _S), ("hub_level", _S),
-                   ("repeated", pa.bool_())])
-_ROWS_SCHEMA = ("row long, doc_id long, a long, n int, s1 long, s2 long, token long, tag int, level int, hub long, "
-                "hub_n int, hub_tag int, hub_level int, repeated boolean")
+_FACTS = pa.schema([("doc_id", _I), ("a", _I), ("n", _S), ("s1", _I), ("s2", _I)])
 
 
-def prefix_rows(docs: DataFrame, keys: np.ndarray, weight: np.ndarray) -> DataFrame:
-    """A row per document (token null) and a row per prefix entry. Entries of
-    one shingle in one task name the first of them as their hub."""
+def document_facts(docs: DataFrame) -> DataFrame:
+    """Per row: id, hash of the text, set size and two sums over its shingles
+    (equal for equal sets)."""
 
     def run(batches):
-        row, held, size = TaskContext.get().partitionId() << 40, [], 0
+        for batch in batches:
+            for p, q, data, begin in text_chunks(batch.column(2)):
+                doc, x = shingles(data, begin)
+                sums = [np.zeros(q - p, dtype=np.uint64) for _ in range(2)]
+                for total, salt in zip(sums, (1, 2)):
+                    np.add.at(total, doc, mix(x ^ np.uint64(0x9E3779B97F4A7C15 * salt & (1 << 64) - 1)))
+                yield record(_FACTS, batch.column(0).slice(p, q - p), batch.column(1).slice(p, q - p),
+                             np.bincount(doc, minlength=q - p), signed(sums[0]), signed(sums[1]))
+
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", F.xxhash64(text).alias("a"), text.alias("text")).mapInArrow(
+        run, "doc_id long, a long, n int, s1 long, s2 long")
+
+
+def keyed(docs: DataFrame, facts: DataFrame, keep: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(row, text) of all documents, and ``facts`` with the same row numbers.
+    Unique ids serve as they are; else documents are numbered by id and hash,
+    and rows that repeat both are one document."""
+    n, n_ids = facts.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    text = F.coalesce("text", F.lit("")).alias("text")
+    if n == n_ids:
+        return docs.select(F.col("doc_id").alias("row"), text), facts.withColumn("row", F.col("doc_id"))
+    one = facts.dropDuplicates(["doc_id", "a"])
+    numbers = keep(positions(one.select("doc_id", "a"), [], ["doc_id", "a"], "row"), "jaccard-numbers")
+    numbers = numbers.withColumnsRenamed({"doc_id": "_d", "a": "_a"})
+    texts = docs.select(F.col("doc_id").alias("id"), text).withColumn("hash", F.xxhash64("text")).dropDuplicates(["id", "hash"])
+    texts = texts.join(numbers, F.col("id").eqNullSafe(F.col("_d")) & (F.col("hash") == F.col("_a"))).select("row", "text")
+    facts = facts.join(numbers, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("a") == F.col("_a")))
+    return keep(texts, "jaccard-texts"), keep(facts.drop("_d", "_a"), "jaccard-facts")
+
+
+# set size, tag, l and whether the shingle was met again, in one number
+def packed(n, tag, level, repeated):
+    return n << 8 | tag << 5 | level << 2 | repeated
+
+
+def unpacked(name: str) -> dict[str, Column]:
+    c = F.col(name)
+    return {"n": F.shiftright(c, 8), "tag": F.shiftright(c, 5).bitwiseAND(F.lit(7)),
+            "level": F.shiftright(c, 2).bitwiseAND(F.lit(7))}
+
+
+_ENTRY = pa.schema([("token", _I), ("row", _I), ("info", _I), ("hub", _I), ("hub_info", _I)])
+_ENTRY_SCHEMA = "token long, row long, info long, hub long, hub_info long"
+
+
+def prefix_entries(texts: DataFrame, keys: np.ndarray, weight: np.ndarray, first: bool) -> DataFrame:
+    """Entries of all prefixes. Of the entries of one shingle in one task only
+    the first is sent on (``first``); the others name it as their hub and stay
+    where they are (not ``first``)."""
+
+    def run(batches):
+        held, size = [], 0
 
         def flush():
             rows, n, token, tag, level = (np.concatenate(c) for c in zip(*held))
             order = np.lexsort((rows, n, token))
-            rows, n, token, tag, level = rows[order], n[order], token[order], tag[order], level[order]
             new = np.ones(len(token), dtype=bool)
-            new[1:] = token[1:] != token[:-1]
-            hub = np.flatnonzero(new)[np.cumsum(new) - 1]
-            repeated = ~new
-            repeated[:-1] |= ~new[1:]
-            for k in range(0, len(token), 1 << 17):
-                s = slice(k, k + (1 << 17))
-                none = pa.nulls(len(token[s]), _I)
-                yield record(_ROWS, rows[s], none, none, n[s], none, none, signed(token)[s], tag[s], level[s],
-                             rows[hub][s], n[hub][s], tag[hub][s], level[hub][s], repeated[s])
+            new[1:] = token[order][1:] != token[order][:-1]
+            again = ~new
+            again[:-1] |= ~new[1:]
+            repeated = np.zeros(len(token), dtype=np.int64)
+            repeated[order] = again
+            hub = np.empty(len(token), dtype=np.int64)
+            hub[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            info = packed(n, tag, level, repeated)
+            pick = np.flatnonzero((hub == np.arange(len(hub))) == first)
+            for k in range(0, len(pick), 1 << 17):
+                s = pick[k:k + (1 << 17)]
+                yield record(_ENTRY, signed(token[s]), rows[s], info[s], rows[hub[s]], info[hub[s]])
 
         for batch in batches:
-            for p, q, data, begin in text_chunks(batch.column(2)):
+            for p, q, data, begin in text_chunks(batch.column(1)):
+                rows = batch.column(0).slice(p, q - p).to_numpy(zero_copy_only=False)
                 doc, x = shingles(data, begin)
-                size_of, d, token, tag, level = prefixes(doc, x, q - p, keys, weight)
-                rows = row + np.arange(q - p)
-                row += q - p
-                sums = [np.zeros(q - p, dtype=np.uint64) for _ in range(2)]
-                for total, salt in zip(sums, (1, 2)):
-                    np.add.at(total, doc, mix(x ^ np.uint64(0x9E3779B97F4A7C15 * salt & (1 << 64) - 1)))
-                none = pa.nulls(q - p, _S)
-                yield record(_ROWS, rows, batch.column(0).slice(p, q - p), batch.column(1).slice(p, q - p), size_of,
-                             signed(sums[0]), signed(sums[1]), pa.nulls(q - p, _I), none, none, pa.nulls(q - p, _I),
-                             none, none, none, pa.nulls(q - p, pa.bool_()))
-                held.append((rows[d], size_of[d], token, tag, level[d]))
+                n, d, token, tag, level = prefixes(doc, x, q - p, keys, weight)
+                held.append((rows[d], n[d], token, tag, level[d]))
                 size += len(d)
                 if size >= FLUSH:
                     yield from flush()
@@ -174,53 +216,38 @@ def prefix_rows(docs: DataFrame, keys: np.ndarray, weight: np.ndarray) -> DataFr
         if size:
             yield from flush()
 
-    text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("a"), text.alias("text")).mapInArrow(run, _ROWS_SCHEMA)
-
-
-_ENTRY_FIELDS = [("token", _I), ("row", _I), ("n", _S), ("tag", _S), ("level", _S), ("repeated", pa.bool_()),
-                 ("hub", _I), ("hub_n", _S), ("hub_tag", _S), ("hub_level", _S)]
-_ENTRY = pa.schema(_ENTRY_FIELDS)
-_ENTRY_SCHEMA = ("token long, row long, n int, tag int, level int, repeated boolean, hub long, hub_n int, hub_tag int, "
-                 "hub_level int")
+    return texts.mapInArrow(run, _ENTRY_SCHEMA)
 
 
 def _with_hubs(batches):
-    """From a stream sorted by shingle: entries of shingles that more than one
-    entry has, each with the first entry of its shingle as hub."""
-    head = held = None  # first entry of the current shingle; the entry not yet decided
+    """From a stream (token, row, info) sorted by shingle: entries of shingles
+    that more than one entry has, each with the first entry of its shingle as
+    hub. The last entry of a batch is decided with the next one."""
+    head = held = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        batch = pa.RecordBatch.from_arrays(batch.columns, schema=_ENTRY)
+        token, row, info = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:3])
         if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        c = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
-        token = c[0]
+            token, row, info = (np.concatenate([[h], c]) for h, c in zip(held, (token, row, info)))
         new = np.ones(len(token), dtype=bool)
         new[1:] = token[1:] != token[:-1]
         if head is not None and head[0] == token[0]:
             new[0] = False
-        at = np.flatnonzero(new)
         which = np.cumsum(new) - 1
-        hubs = []
-        for k in range(1, 5):
-            own = c[k][at]
-            hubs.append(own[which.clip(0)] if len(at) else np.zeros(len(token), dtype=c[k].dtype))
-            if head is not None:
-                hubs[-1] = np.where(which < 0, head[k], hubs[-1])
-        more = ~new | c[5]
+        hub, hub_info = row[new], info[new]
+        if head is not None:  # place -1: the shingle began in an earlier batch
+            hub, hub_info = np.append(hub, head[1]), np.append(hub_info, head[2])
+        hub, hub_info = hub[which], hub_info[which]
+        more = ~new | (info & 1 == 1)
         more[:-1] |= ~new[1:]
-        out = pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(more), *[pa.array(h, type=f.type) for h, f in zip(
-            hubs, list(_ENTRY)[6:])]], schema=_ENTRY)
-        done = out.slice(0, len(token) - 1)
-        done = done.filter(done.column(5))
-        if done.num_rows:
-            yield done
-        head = [token[-1], *[h[-1] for h in hubs]]
-        held = out.slice(len(token) - 1)
-    if held is not None and held.column(5)[0].as_py():
-        yield held
+        done = np.flatnonzero(more[:-1])
+        if len(done):
+            yield record(_ENTRY, token[done], row[done], info[done], hub[done], hub_info[done])
+        head = token[-1], hub[-1], hub_info[-1]
+        held = token[-1], row[-1], info[-1] | int(more[-1])
+    if held is not None and held[2] & 1:
+        yield record(_ENTRY, *[[v] for v in (*held, head[1], head[2])])
 
 
 def _own_set(text: str) -> np.ndarray:
@@ -228,36 +255,35 @@ def _own_set(text: str) -> np.ndarray:
     return shingles(data, np.array([0, len(data)]))[1]
 
 
-def verified(pairs: DataFrame, ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs (u, v) of rows those whose whole texts' sets link."""
-    wanted = ids.join(pairs.select("u").union(pairs.select(F.col("v").alias("u"))).distinct()
-                      .withColumnRenamed("u", "row"), "row", "left_semi")
-    text = F.coalesce("text", F.lit(""))
-    texts = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), text.alias("text"), F.xxhash64(text).alias("a"))
-    texts = materialize(texts.join(wanted.select("row", F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "a"), ["id", "a"])
-                        .select("row", "text"), "jaccard-texts")
-    both = (pairs.join(texts.withColumnsRenamed({"row": "u", "text": "text_u"}), "u")
-            .join(texts.withColumnsRenamed({"row": "v", "text": "text_v"}), "v").select("u", "v", "text_u", "text_v"))
+def verified(pairs: DataFrame, texts: DataFrame, keep: Scratch) -> DataFrame:
+    """Of pairs (u, v) those whose whole texts' sets link. Pairs are dealt out
+    by v, whose own text leads them; a document is v of one task's documents
+    and of one entry per task at most, so no v has all the others."""
+    both = pairs.union(pairs.select("v", "v")).distinct()
+    rows = both.join(texts.withColumnRenamed("row", "u"), "u").select("v", "u", "text")
     schema = pa.schema([("u", _I), ("v", _I)])
 
     def run(batches):
-        last, own = None, None
+        lead, own = None, None
         for batch in batches:
             out = []
-            for u, v, text_u, text_v in zip(*(c.to_pylist() for c in batch.columns)):
-                if v != last:
-                    last, own = v, _own_set(text_v)
-                other = _own_set(text_u)
-                common = len(np.intersect1d(own, other, assume_unique=True))
-                if 100 * common >= PERCENT * (len(own) + len(other) - common):
-                    out.append((u, v))
+            for v, u, _, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if u == v:
+                    lead, own = v, _own_set(text)
+                elif v == lead:
+                    other = _own_set(text)
+                    common = len(np.intersect1d(own, other, assume_unique=True))
+                    if 100 * common >= PERCENT * (len(own) + len(other) - common):
+                        out.append((u, v))
             if out:
                 yield record(schema, [o[0] for o in out], [o[1] for o in out])
 
-    return materialize(both.mapInArrow(run, "u long, v long").distinct(), "jaccard-links")
+    dealt = (rows.select("v", "u", (F.col("u") != F.col("v")).alias("follows"), "text").repartition("v")
+             .sortWithinPartitions("v", "follows"))
+    return keep(dealt.mapInArrow(run, "u long, v long"), "jaccard-links")
 
 
-def near(n: str, m: str):
+def near(n: Column, m: Column) -> Column:
     """Whether two set sizes allow a link."""
     return (100 * F.least(n, m)) >= (PERCENT * F.greatest(n, m))
 
@@ -265,44 +291,51 @@ def near(n: str, m: str):
 def placed_documents(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, a (hash of the text), n (set size) and its
     component's number (null: empty set)."""
-    rows = materialize(prefix_rows(docs, *heavy_shingles(docs)), "jaccard-rows")
-    facts = rows.where("token is null").select("row", "doc_id", "a", "n", "s1", "s2")
+    with Scratch(docs.sparkSession) as keep:
+        return materialize(_placed_documents(docs, keep), "jaccard-placed")
+
+
+def _placed_documents(docs: DataFrame, keep: Scratch) -> DataFrame:
+    texts, facts = keyed(docs, keep(document_facts(docs), "jaccard-facts"), keep)
     classes = facts.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("rep"))
-    of_row = materialize(facts.join(classes, ["s1", "s2", "n"]).select("row", "rep"), "jaccard-classes")
+    of_row = keep(facts.join(classes, ["s1", "s2", "n"]).select("row", "rep").distinct(), "jaccard-classes")
 
-    names = [f.name for f in _ENTRY]
-    entries = rows.where("token is not null")
-    in_lists = materialize(
-        entries.where("hub = row").select(*names).repartition("token").sortWithinPartitions("token", "n", "row")
-        .mapInArrow(_with_hubs, _ENTRY_SCHEMA).union(entries.where("hub <> row").select(*names)), "jaccard-lists")
+    heavy = heavy_shingles(docs)
+    sent = prefix_entries(texts, *heavy, True).select("token", "row", "info")
+    lists = keep(sent.repartition("token").sortWithinPartitions("token", F.shiftright("info", 8), "row")
+                 .mapInArrow(_with_hubs, _ENTRY_SCHEMA).union(prefix_entries(texts, *heavy, False)), "jaccard-lists")
+    reps = of_row.where("row = rep").select("row")
+    in_lists = reps.join(lists.select("row").distinct(), "row", "left_semi")
+    member_texts = keep(texts.join(in_lists, "row"), "jaccard-members")
 
     # round 1: every entry with the first of its list
-    level = F.least("level", "hub_level")
-    pairs = (in_lists.where("row <> hub").where(near("n", "hub_n")).where(F.greatest("tag", "hub_tag") <= level)
+    own, hub = unpacked("info"), unpacked("hub_info")
+    level = F.least(own["level"], hub["level"])
+    pairs = (lists.where("row <> hub").where(near(own["n"], hub["n"])).where(F.greatest(own["tag"], hub["tag"]) <= level)
              .groupBy("row", "hub").agg(F.count("*").alias("shared"), F.min(level).alias("least")).where("shared >= least")
              .join(of_row.withColumnRenamed("rep", "x"), "row")
              .join(of_row.withColumnsRenamed({"row": "hub", "rep": "y"}), "hub")
              .select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct())
-    pairs = materialize(pairs, "jaccard-pairs")
-    links = verified(pairs, facts, docs)
-    joined = components(links)
+    pairs = keep(pairs, "jaccard-pairs")
+    links = verified(pairs, member_texts, keep)
+    joined = components(links, keep)
 
     # round 2: entries of lists in which components still differ, class by class
-    left = (in_lists.join(of_row.where("row = rep").select("row"), "row", "left_semi")
-            .select("token", "row", "n", "tag", "level")
+    left = (lists.select("token", "row", "info").join(reps, "row", "left_semi")
             .join(joined.withColumnRenamed("node", "row"), "row", "left")
             .withColumn("component", F.coalesce("component", "row")))
-    left = materialize(left, "jaccard-left")
+    left = keep(left, "jaccard-left")
     open_lists = left.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    left = materialize(left.join(open_lists.select("token"), "token", "left_semi"), "jaccard-open")
-    other = left.select("token", *[F.col(c).alias(f"{c}_2") for c in ("row", "n", "tag", "level", "component")])
-    level = F.least("level", "level_2")
-    more = (left.join(other, "token").where("row > row_2 and component <> component_2").where(near("n", "n_2"))
-            .where(F.greatest("tag", "tag_2") <= level)
+    left = keep(left.join(open_lists.select("token"), "token", "left_semi"), "jaccard-open")
+    other = left.select("token", *[F.col(c).alias(f"{c}_2") for c in ("row", "info", "component")])
+    two = unpacked("info_2")
+    level = F.least(own["level"], two["level"])
+    more = (left.join(other, "token").where("row > row_2 and component <> component_2").where(near(own["n"], two["n"]))
+            .where(F.greatest(own["tag"], two["tag"]) <= level)
             .groupBy(F.col("row").alias("u"), F.col("row_2").alias("v"))
             .agg(F.count("*").alias("shared"), F.min(level).alias("least")).where("shared >= least").select("u", "v"))
-    more = materialize(more.join(pairs, ["u", "v"], "left_anti"), "jaccard-more")
-    joined = components(links.union(verified(more, facts, docs)))
+    more = keep(more.join(pairs, ["u", "v"], "left_anti"), "jaccard-more")
+    joined = components(links.union(verified(more, member_texts, keep)), keep)
 
     of_row = (of_row.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
               .select("row", F.coalesce("component", "rep").alias("component")))
@@ -312,7 +345,7 @@ def placed_documents(docs: DataFrame) -> DataFrame:
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles and component_id, the least id that
     is reachable by links."""
-    placed = materialize(placed_documents(docs), "jaccard-placed")
+    placed = placed_documents(docs)
     ids = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return placed.join(ids, "component", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -322,8 +355,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, the one with the least
     id (null last, then by a hash of the text). Documents with an empty set
     stay; rows that repeat id and text count as one."""
-    placed = materialize(placed_documents(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"),
-                                                       F.col("a").alias("_a"), "component"), "jaccard-placed")
+    placed = placed_documents(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.col("a").alias("_a"),
+                                           "component")
     order = F.struct((F.col("_id") == NULL_ID).alias("z"), "_id", "_a")
     kept = (placed.where("component is not null").groupBy("component").agg(F.min(order).alias("k")).select("k._id", "k._a")
             .union(placed.where("component is null").select("_id", "_a").distinct()))
