@@ -27,9 +27,9 @@ def with_variant(df: DataFrame, data_version: str, split: str, text_col: str = "
 
     ``paragraph``: blank lines become a marker in train and test.
     ``reg_token``: the target-word prefix goes before the train text only;
-    test text is written untouched.
+    test text is written untouched. ``pseudo_1`` keeps the texts as they are.
     """
-    if data_version == "vanilla":
+    if data_version in ("vanilla", "pseudo_1"):
         return df
     if data_version == "paragraph":
         return df.withColumn(text_col, paragraph_marked(F.col(text_col)))

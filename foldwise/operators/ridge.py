@@ -106,8 +106,8 @@ def gram_partials(df: DataFrame, targets: Sequence[str] = TARGETS, key_cols: Seq
             if not rb.num_rows:
                 continue
             pdf = rb.select(key_cols).to_pandas()
-            Y = np.column_stack([rb.column(rb.schema.get_field_index(t)).to_numpy(zero_copy_only=False) for t in targets])
-            Z = np.hstack([_design(_matrix(rb, feat_col)), Y.astype(np.float64)])
+            Y = [rb.column(rb.schema.get_field_index(t)).to_numpy(zero_copy_only=False).astype(np.float64) for t in targets]
+            Z = np.column_stack([_design(_matrix(rb, feat_col)), *Y])
             for key, idx in pdf.groupby(key_cols, sort=False).indices.items():
                 key = key if isinstance(key, tuple) else (key,)
                 Zi = Z[idx]
@@ -202,6 +202,24 @@ def fit_direct(feats: DataFrame, cfg: RunConfig, key_cols=("seed", "fold")) -> d
     return {k: solve(G, len(cfg.targets), cfg.ridge_lambda) for k, G in grams.items()}
 
 
+def fit_predicted(feats: DataFrame, coefs: dict, cfg: RunConfig) -> dict:
+    """Models fitted on rows that every model of ``coefs`` labelled itself.
+
+    The labels are linear in the features (Y = Z B), so Z'Y = (Z'Z) B: one
+    Gram matrix of the features serves all models, and no row is copied per
+    model. Falls back to nothing when there are no rows.
+    """
+    one = feats.select(F.lit(0).alias("seed"), F.lit(0).alias("fold"), "features")
+    d1 = cfg.n_features + 1
+    grams = collect_grams(gram_tables(one, []), d1)
+    if not grams:
+        return {}
+    (G,) = grams.values()
+    n = len(cfg.targets)
+    pad = np.zeros((n, d1 + n))
+    return {k: solve(np.vstack([np.hstack([G, G @ B]), pad]), n, cfg.ridge_lambda) for k, B in coefs.items()}
+
+
 def coefficients_frame(spark: SparkSession, coefs: dict, targets: Sequence[str] = TARGETS) -> DataFrame:
     rows = [(int(s), int(k), int(f), t, float(B[f, ti]))
             for (s, k), B in sorted(coefs.items()) for f in range(B.shape[0]) for ti, t in enumerate(targets)]

@@ -159,7 +159,8 @@ def pretrain_finetune(spark: SparkSession, train: DataFrame, corpus: DataFrame,
     """Pseudo-label pretraining, then fine-tuning on the train folds.
 
     1. Pseudo tables: corpus minus train labelled by each fold's ridge model.
-    2. Pretrain: ridge on pseudo(seed, fold) alone -> prior B0(seed, fold).
+    2. Pretrain: ridge on pseudo(seed, fold) alone -> prior B0(seed, fold);
+       all of them from one Gram matrix of the base's features.
     3. Fine-tune: ridge on the train folds pulled towards B0 with weight
        ``prior_lambda`` (the linear analogue of starting from the pretrained
        weights). Returns the same tuple as ``run_experiment``.
@@ -170,9 +171,7 @@ def pretrain_finetune(spark: SparkSession, train: DataFrame, corpus: DataFrame,
     coefs0 = ridge.fit_fold_models(spark, folded, cfg, grams=grams)
     from foldwise.session import materialize
     base = materialize(ridge.featurize(pseudo_base(train, corpus).select("text_id", "full_text"), cfg.n_features))
-    pseudo = ridge.predict_every_fold(spark, base, coefs0, cfg)
-    pseudo_feats = pseudo.join(base.select("text_id", "features"), "text_id")
-    priors = ridge.fit_direct(pseudo_feats, cfg)
+    priors = ridge.fit_predicted(base, coefs0, cfg)
     coefs = ridge.fit_fold_models(spark, folded, cfg, priors, grams=grams)
     return (coefs, *_evaluate(folded, coefs, cfg, cfg.run_name + "_pseudo_pretrain"))
 

@@ -36,16 +36,22 @@ def train(spark, root, data_version, seed):
     return read_table(spark, root, "train", data_version, seed)
 
 
+def _seedless(spark, root, table, data_version, seed):
+    """A table that is the same for every seed is stored once per version; a
+    read by seed gives those rows with the seed asked for."""
+    return read_table(spark, root, table, data_version).withColumn("seed", F.lit(int(seed)))
+
+
 def test(spark, root, data_version, seed):
-    return read_table(spark, root, "test", data_version, seed)
+    return _seedless(spark, root, "test", data_version, seed)
 
 
 def sample_submission(spark, root, data_version, seed):
-    return read_table(spark, root, "sample_submission", data_version, seed)
+    return _seedless(spark, root, "sample_submission", data_version, seed)
 
 
 def sample_oof(spark, root, data_version, seed):
-    return read_table(spark, root, "sample_oof", data_version, seed)
+    return _seedless(spark, root, "sample_oof", data_version, seed)
 
 
 def pseudo(spark, root, seed, fold, data_version: str = "pseudo_1"):

@@ -79,3 +79,35 @@ def test_anti_join_keeps_null_keys_unless_the_right_has_one(spark):
     assert anti_join_null_safe(left, right, "k").count() == 201
     right = right.union(spark.createDataFrame([(None,)], "k string"))
     assert [r["k"] for r in anti_join_null_safe(left, right, "k").collect()] == ["b"]
+
+
+def test_priors_from_one_gram_equal_fits_on_labelled_copies(spark):
+    import numpy as np
+
+    from foldwise.config import RunConfig
+    from foldwise.operators import ridge
+    rng = np.random.default_rng(0)
+    cfg = RunConfig(n_features=3)
+    coefs = {(s, k): rng.normal(size=(4, 6)) for s in (42, 43) for k in (0, 1)}
+    base = spark.createDataFrame([(f"t{i}", [float(v) for v in rng.normal(size=3)]) for i in range(40)],
+                                 "text_id string, features array<float>").repartition(3)
+    copies = ridge.predict_every_fold(spark, base, coefs, cfg).join(base, "text_id")
+    direct, one = ridge.fit_direct(copies, cfg), ridge.fit_predicted(base, coefs, cfg)
+    assert set(direct) == set(one)
+    for k in direct:
+        assert np.allclose(direct[k], one[k], atol=1e-8)
+
+
+@pytest.mark.parametrize("version", ["vanilla", "paragraph", "reg_token", "pseudo_1"])
+def test_bundles_read_back_by_version_and_seed(spark, tmpdir_fresh, version):
+    from foldwise.plans.jobs import build_dataset_bundle
+    from foldwise.sources import processed as P
+    train = _essays(spark, [(f"t{i}", float(i % 5)) for i in range(25)])
+    test, template = train.select("text_id", "full_text").limit(4), train.drop("full_text").limit(4)
+    build_dataset_bundle(train, test, template, tmpdir_fresh, version, seeds=(42, 43))
+    for seed in (42, 43):
+        assert P.train(spark, tmpdir_fresh, version, seed).count() == 25
+        assert {r["text_id"] for r in P.test(spark, tmpdir_fresh, version, seed).collect()} == {
+            r["text_id"] for r in test.collect()}
+        assert P.sample_submission(spark, tmpdir_fresh, version, seed).count() == 4
+        assert {r["seed"] for r in P.sample_oof(spark, tmpdir_fresh, version, seed).collect()} == {seed}
