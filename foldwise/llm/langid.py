@@ -231,8 +231,9 @@ def training_sample(docs: DataFrame, max_docs: int = 6000, min_share: float = 0.
     chosen = F.lit(False)
     for lang, n in sorted(held.items()):
         chosen = chosen | ((F.col("lang") == lang) & (place < int(min(1.0, per / n) * (1 << 30))))
-    got = rows.where(chosen).select("lang", "text", place.alias("p"), "doc_id").toPandas()
-    return list(got.sort_values(["p", "doc_id"])[["lang", "text"]].itertuples(index=False, name=None))
+    got = rows.where(chosen).select("lang", "text", place.alias("p"), "doc_id").toArrow()
+    got = got.sort_by([("p", "ascending"), ("doc_id", "ascending")])
+    return list(zip(got["lang"].to_pylist(), got["text"].to_pylist()))
 
 
 RESULT_SCHEMA = "doc_id long, lang_pred string, score double, bits_per_char double, rejected boolean"
