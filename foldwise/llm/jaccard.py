@@ -41,7 +41,7 @@ K, PERCENT = 5, 80
 MAX_LEVEL = 4
 #: what verifying a candidate costs against reading one list entry
 VERIFY_COST = 20
-HEAVY, HEAVY_LOCAL = 1 << 17, 8
+HEAVY, HEAVY_LOCAL = 1 << 19, 2
 FLUSH = 1 << 22
 NULL_ID = -(1 << 63)
 _I, _S = pa.int64(), pa.int32()
@@ -70,7 +70,7 @@ def shingles(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarra
 _COUNT = pa.schema([("token", _I), ("n", _I)])
 
 
-def heavy_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def heavy_shingles(texts: DataFrame, keep: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles (sorted hashes) and in how many texts they
     are, as far as a block of texts holds ``HEAVY_LOCAL`` of them or more."""
 
@@ -92,8 +92,15 @@ def heavy_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield flush()
 
-    top = (texts.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-           .orderBy(F.desc("n"), "token").limit(HEAVY).toArrow())
+    counts = keep(texts.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")),
+                  "jaccard-heavy")
+    # the least count that HEAVY shingles at most reach, from a table of counts
+    by_count = counts.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("c")).toPandas()
+    by_count = by_count.sort_values("n", ascending=False)
+    fits = by_count["n"][by_count["c"].cumsum() <= HEAVY]
+    least = int(fits.min()) if len(fits) else (1 << 16) + 1
+    top = counts.where(F.col("n") >= least).orderBy(F.desc("n")).limit(HEAVY).toArrow() if least > 1 << 16 else \
+        counts.where(F.col("n") >= least).toArrow()
     keys, n = top["token"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(keys)
     return keys[order], n[order]
@@ -300,7 +307,7 @@ def _placed_documents(docs: DataFrame, keep: Scratch) -> DataFrame:
     classes = facts.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("rep"))
     of_row = keep(facts.join(classes, ["s1", "s2", "n"]).select("row", "rep").distinct(), "jaccard-classes")
 
-    heavy = heavy_shingles(docs)
+    heavy = heavy_shingles(docs, keep)
     sent = prefix_entries(texts, *heavy, True).select("token", "row", "info")
     lists = keep(sent.repartition("token").sortWithinPartitions("token", F.shiftright("info", 8), "row")
                  .mapInArrow(_with_hubs, _ENTRY_SCHEMA).union(prefix_entries(texts, *heavy, False)), "jaccard-lists")
