@@ -25,7 +25,7 @@ BINARY_FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, co
 ANY_AGE = "36500d"
 
 
-def corpus_stream(spark: SparkSession, directory: str, glob: str = "*.txt", max_bytes_per_trigger: str = "64g") -> DataFrame:
+def corpus_stream(spark: SparkSession, directory: str, glob: str = "*.txt", max_bytes_per_trigger: int = 64 << 30) -> DataFrame:
     """Streaming (text_id, full_text, targets) rows for files added to
     ``directory``. Zero-length files carry no text and are left out by the
     file source; the batch reader (``read_text_corpus``) has them."""
