@@ -1,48 +1,60 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Words are counted over all training texts; locally frequent bigrams and
-trigrams are summed over all of them. The frequent n-grams become the states
-and arcs of an automaton: an arc carries the n-gram's smoothed log probability,
-a failure arc the weight of backing off to the next shorter history. One
-left-to-right traversal of a text carries the state and adds up the weights.
-
-What the automaton holds is bounded by arithmetic, at any size of corpus: a
-word belongs to it with a share of ``1 / VOCABULARY`` of all training tokens,
-an n-gram with a share of ``1 / NGRAMS``, so there can be no more of them than
-that. Any other word falls back to the unigram model; its exact count comes
-from a join with the table of all word counts, which grows with the corpus.
-Bigram and trigram counts leave out what occurs less often than ``LOCAL`` of a
-block of tokens, so each is low by that share of the corpus at most.
-
-Words are told apart by 64-bit hashes. Rows: a null text counts as empty and
-has the end token alone; repeated rows are scored alike, each on its own; an
-empty table gives no rows; without training texts every probability is that of
-an unseen word. Only ``doc_id`` and ``text`` are read.
+All words, bigrams and trigrams of the training texts are counted exactly; a
+bigram or trigram belongs to the model when it occurs ``LEAST`` times, whatever
+the size of the corpus. Their smoothed log probabilities stand in Spark tables
+that grow with the corpus. The most frequent part is also the states and arcs
+of an automaton, a cache of a size bounded by arithmetic: a word belongs to it
+with a share of ``1 / VOCABULARY`` of all training tokens, an n-gram with a
+share of ``1 / NGRAMS``. An arc carries an n-gram's log probability, a failure
+arc the weight of backing off to the next shorter history; one left-to-right
+traversal of a text carries the state and adds up the weights.
+
+The log probability of a text is a sum over its words and n-grams: each word
+gives its own probability and its backing-off weight as a history, each n-gram
+of the model what it changes. What the automaton leaves out is therefore added
+by joins with the tables, and the score does not depend on the cache's size.
+
+N-grams travel packed as numpy arrays, by parts of their hash, in ``ROUNDS``
+rounds per order, each with a share of all hashes, so that only a share of them
+is in a shuffle at a time.
+
+Words and n-grams are told apart by 64-bit hashes. Rows: a null text counts as
+empty and has the end token alone; repeated rows are scored alike, each on its
+own; an empty table gives no rows; without training texts every probability is
+that of an unseen word. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm.frames import record
-from foldwise.llm.tokens import Words, signed, split_words, text_chunks
+from foldwise.llm.frames import Scratch, record
+from foldwise.llm.tokens import Words, mix, signed, split_words, text_chunks
 from foldwise.session import materialize
 
 ADD = 0.1
-VOCABULARY, NGRAMS, LOCAL = 1 << 20, 1 << 18, 2.0 ** -20
+VOCABULARY, NGRAMS = 1 << 20, 1 << 18
+LEAST = 2  # occurrences of an n-gram of the model
 DISCOUNT = 0.7
 BLOCK_TOKENS = 1 << 22
+ROUNDS, PART_GRAMS, BLOCK_GRAMS = 2, 1 << 20, 1 << 20
 BITS = 21  # of a word's number; the end token is number 0
+END = 1  # the end token's hash
 
 _COUNTS = pa.schema([("word", pa.int64()), ("n", pa.int64())])
-_NGRAMS = pa.schema([("order", pa.int32()), ("code", pa.int64()), ("n", pa.int64())])
+_GRAMS = pa.schema([("key", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("n", pa.int64())])
+_COUNT_PARTS = pa.schema([("part", pa.int32()), ("x", pa.binary()), ("y", pa.binary()), ("n", pa.binary())])
+_TEXT_PARTS = pa.schema([("part", pa.int32()), ("key", pa.binary()), ("n", pa.binary()), ("row", pa.binary())])
+_MORE = pa.schema([("row", pa.int64()), ("more", pa.float64())])
 
 
 def _words(column: pa.Array):
@@ -77,11 +89,13 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Frequent words: sorted hashes, their numbers (from 1) and counts by
-    number; ``tokens``, ``kinds``: all training tokens and distinct ones."""
+    """Frequent words: sorted hashes, their numbers (from 1), counts and
+    backing-off weights by number; ``tokens``, ``kinds``: all training tokens
+    and distinct ones."""
 
     keys: np.ndarray
     counts: np.ndarray
+    rest: np.ndarray
     tokens: int
     kinds: int
 
@@ -103,90 +117,157 @@ def with_end(numbers: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(numbers, ends, 0), w.first + np.arange(len(w.first))
 
 
-def ngram_counts(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(order, code, n) of bigrams and trigrams of frequent words."""
+def _pack(values: np.ndarray) -> bytes:
+    """64-bit values byte plane by byte plane (planes that hardly change
+    compress to nothing)."""
+    return np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T).tobytes()
 
-    def run(batches):
-        held, size = {2: [], 3: []}, 0
 
-        def flush():
-            least = max(1, math.ceil(LOCAL * size))
-            for order, codes in held.items():
-                keys, n = np.unique(np.concatenate(codes), return_counts=True)
-                ok = n >= least
-                yield record(_NGRAMS, np.full(int(ok.sum()), order, dtype=np.int32), keys[ok], n[ok])
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
-        for batch in batches:
-            for _, _, w in _words(batch.column(0)):
-                ids, first = with_end(vocabulary.numbers(w.hashes()), w)
-                ok = (ids[:-1] >= 0) & (ids[1:] >= 0)
-                ok[first[1:-1] - 1] = False  # a pair never crosses texts
-                pairs = ids[:-1] << BITS | ids[1:]
-                held[2].append(pairs[ok])
-                ok3 = ok[:-1] & ok[1:]
-                held[3].append((pairs[:-1][ok3] << BITS) | ids[2:][ok3])
-                size += len(ids)
-                if size >= BLOCK_TOKENS:
-                    yield from flush()
-                    held, size = {2: [], 3: []}, 0
-        if size:
-            yield from flush()
 
-    return (texts.select("text").mapInArrow(run, "order int, code long, n long")
-            .groupBy("order", "code").agg(F.sum("n").alias("n")))
+def _joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return mix(x * np.uint64(0xD6E8FEB86659FD93) + y)
+
+
+def _grams(w: Words, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all n-grams: the hash, the hashes of the two parts it is made of (a
+    pair's words, a triple's pairs) and the number of the text."""
+    words, first = np.insert(w.hashes(), w.first[1:], np.uint64(END)), w.first + np.arange(len(w.first))
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    for _ in range(order - 1):
+        x, y = words[:-1], words[1:]
+        words = _joined(x, y)
+    ok = text[:len(words)] == text[len(text) - len(words):]  # none crosses texts
+    return words[ok], x[ok], y[ok], text[:len(ok)][ok]
+
+
+def _rounds(order: int) -> list[tuple[int, int]]:
+    return [(order, k) for k in range(ROUNDS)]
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+
+
+def _by_part(schema: pa.Schema, part: np.ndarray, columns: list[tuple[np.ndarray, np.ndarray | None]]):
+    """A row per part; ``part`` is sorted. A column comes with the places at
+    which the entries of ``part`` begin in it (None: entry by entry)."""
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, int)
+    ends = np.append(cuts[1:], len(part))
+    out = [part[cuts]]
+    for values, places in columns:
+        a, b = (cuts, ends) if places is None else (places[cuts], places[ends])
+        out.append([_pack(values[i:j]) for i, j in zip(a.tolist(), b.tolist())])
+    return record(schema, *out)
+
+
+@contextmanager
+def _short_lived_shuffles(spark: SparkSession):
+    """Shuffle files of the writes inside go when each write is done."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def ngram_counts(texts: DataFrame, order: int, tokens: int, keep: Scratch) -> DataFrame:
+    """(key, x, y, n) of all pairs or triples seen ``LEAST`` times or more."""
+    parts = tokens // (ROUNDS * PART_GRAMS) + 1
+
+    def blocks(turn):
+        def run(batches):
+            held, size = [], 0
+
+            def flush():
+                key, x, y = (np.concatenate([h[k] for h in held]) for k in range(3))
+                key, at, n = np.unique(key, return_index=True, return_counts=True)
+                part = _part(key, parts)
+                by = np.argsort(part, kind="stable")
+                at = at[by]
+                return _by_part(_COUNT_PARTS, part[by], [(x[at], None), (y[at], None), (n[by], None)])
+
+            for batch in batches:
+                for _, _, w in _words(batch.column(0)):
+                    key, x, y, _ = _grams(w, order)
+                    own = key % np.uint64(ROUNDS) == turn
+                    held.append((key[own], x[own], y[own]))
+                    size += int(own.sum())
+                    if size >= BLOCK_GRAMS:
+                        yield flush()
+                        held, size = [], 0
+            if size:
+                yield flush()
+
+        return run
+
+    def add_up(rows: pa.Table) -> pa.Table:
+        x, y, n = (np.concatenate([_unpack(v.as_buffer()) for v in rows[c]]) for c in ("x", "y", "n"))
+        key, at, inverse = np.unique(_joined(x, y), return_index=True, return_inverse=True)
+        n = np.bincount(inverse, weights=n, minlength=len(key)).astype(np.int64)
+        ok = n >= LEAST
+        return pa.Table.from_batches([record(_GRAMS, signed(key[ok]), signed(x[at[ok]]), signed(y[at[ok]]), n[ok])])
+
+    done = []
+    for _, turn in _rounds(order):
+        found = texts.select("text").mapInArrow(blocks(turn), "part int, x binary, y binary, n binary")
+        found = found.groupBy("part").applyInArrow(lambda rows: add_up(rows), "key long, x long, y long, n long")
+        with _short_lived_shuffles(texts.sparkSession):
+            done.append(keep(found, f"lm-{order}-grams"))
+    return reduce(DataFrame.unionAll, done)
 
 
 @dataclass
 class Model:
+    """The cached part: ``pairs``, ``triples``: sorted codes; probabilities of
+    their last words; ``pair_rest``: the pairs' backing-off weights."""
+
     vocabulary: Vocabulary
     pairs: np.ndarray
-    pair_counts: np.ndarray
+    pair_p: np.ndarray
+    pair_rest: np.ndarray
     triples: np.ndarray
-    triple_counts: np.ndarray
+    triple_p: np.ndarray
+
+
+@dataclass
+class Tables:
+    """What the whole model is: ``words`` (word, n, rest), and the values of
+    all n-grams that the automaton leaves out by order (key, value)."""
+
+    words: DataFrame
+    values: dict[int, DataFrame]
 
 
 class Automaton:
     """States: 0 has no history, a word's state its number + 1, a pair's state
-    a higher number. ``arcs[state << BITS | word]`` is (weight, next state)."""
+    a higher number. ``arcs[state << BITS | word]`` is (weight, next state).
+    A history has a state if backing off from it has a weight."""
 
     def __init__(self, m: Model):
         v = m.vocabulary
-        norm = v.tokens + ADD * (v.kinds + 1)
-        unigram = (v.counts + ADD) / norm
         mask = (1 << BITS) - 1
-        self.root = np.log10(unigram).tolist()
+        self.root = np.log10((v.counts + ADD) / (v.tokens + ADD * (v.kinds + 1))).tolist()
         left, right = m.pairs >> BITS, m.pairs & mask
-        share = np.maximum(m.pair_counts - DISCOUNT, 0) / np.maximum(1, v.counts[left])
-        rest2 = np.clip(1 - np.bincount(left, weights=share, minlength=len(v.counts)), 1e-9, 1)
-        p2 = share + rest2[left] * unigram[right]
-        # pairs that are the history of a triple get states of their own
-        head, tail = m.triples >> BITS, m.triples & mask
-        at = np.searchsorted(m.pairs, head).clip(0, max(0, len(m.pairs) - 1))
-        ok = m.pairs[at] == head if len(m.pairs) else np.zeros(len(head), dtype=bool)
-        at, tail, n = at[ok], tail[ok], m.triple_counts[ok]
-        total = np.maximum(m.pair_counts, np.bincount(at, weights=n, minlength=len(m.pairs)))
-        share3 = np.maximum(n - DISCOUNT, 0) / np.maximum(1, total[at])
-        rest3 = np.clip(1 - np.bincount(at, weights=share3, minlength=len(m.pairs)), 1e-9, 1)
-        # the shorter history's probability of the triple's last word
-        short = (right[at] << BITS) | tail
-        s = np.searchsorted(m.pairs, short).clip(0, max(0, len(m.pairs) - 1))
-        hit = m.pairs[s] == short if len(m.pairs) else np.zeros(len(short), dtype=bool)
-        lower = np.where(hit, p2[s], rest2[right[at]] * unigram[tail]) if len(m.pairs) else np.zeros(0)
-        p3 = share3 + rest3[at] * lower
-        history = np.unique(at)
-        state_of_pair = np.zeros(len(m.pairs), dtype=np.int64)
-        state_of_pair[history] = len(v.counts) + 1 + np.arange(len(history))
-        begins = np.zeros(len(v.counts), dtype=bool)
-        begins[left] = True
-        word_state = np.where(begins, np.arange(len(v.counts)) + 1, 0)
+        word_state = np.where(v.rest < 1, np.arange(len(v.counts)) + 1, 0)
         word_state[0] = 0  # nothing follows the end token
         self.word_state = word_state.tolist()
-        after_pair = np.where(state_of_pair > 0, state_of_pair, word_state[right])
-        arcs = dict(zip((((left + 1) << BITS) | right).tolist(), zip(np.log10(p2).tolist(), after_pair.tolist())))
-        after = np.where(hit, after_pair[s], word_state[tail]) if len(m.pairs) else np.zeros(0, dtype=np.int64)
-        arcs.update(zip(((state_of_pair[at] << BITS) | tail).tolist(), zip(np.log10(p3).tolist(), after.tolist())))
+        history = np.flatnonzero(m.pair_rest < 1)
+        after_pair = word_state[right]
+        after_pair[history] = len(v.counts) + 1 + np.arange(len(history))
+        arcs = dict(zip((((left + 1) << BITS) | right).tolist(), zip(np.log10(m.pair_p).tolist(), after_pair.tolist())))
+        # both pairs of a triple are at least as frequent as the triple
+        at = np.searchsorted(m.pairs, m.triples >> BITS)
+        tail = m.triples & mask
+        then = np.searchsorted(m.pairs, (right[at] << BITS) | tail)
+        arcs.update(zip(((after_pair[at] << BITS) | tail).tolist(),
+                        zip(np.log10(m.triple_p).tolist(), after_pair[then].tolist())))
         self.arcs = arcs
-        self.rest = [0.0, *np.log10(rest2).tolist(), *np.log10(rest3[history]).tolist()]
+        self.rest = [0.0, *np.log10(v.rest).tolist(), *np.log10(m.pair_rest[history]).tolist()]
         self.fail = [0] * (len(v.counts) + 1) + word_state[right[history]].tolist()
 
     def traverse(self, numbers: list[int]) -> float:
@@ -211,44 +292,150 @@ class Automaton:
         return total
 
 
-def learn(texts: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of all ``texts`` and the table of all word counts."""
-    counts = materialize(word_counts(texts), "lm-words")
+def _rest(used: Column, total: Column) -> Column:
+    """What discounting leaves to the shorter history."""
+    return F.coalesce(F.greatest(F.lit(1e-9), F.least(F.lit(1.0), 1 - used / total)), F.lit(1.0))
+
+
+def learn(texts: DataFrame) -> tuple[Model, Tables]:
+    """The model of all ``texts``: its cached part and the tables."""
+    with Scratch(texts.sparkSession) as keep:
+        return _learn(texts, keep)
+
+
+def _learn(texts: DataFrame, keep: Scratch) -> tuple[Model, Tables]:
+    counts = keep(word_counts(texts), "lm-words")
     n_texts = texts.count()
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, kinds = total + n_texts, kinds + (n_texts > 0)
-    least = max(1, math.ceil(tokens / VOCABULARY))
-    top = counts.where(F.col("n") >= least).toArrow()  # VOCABULARY rows at most
+    norm = float(tokens + ADD * (kinds + 1))
+    least, enough = max(1, math.ceil(tokens / VOCABULARY)), max(LEAST, math.ceil(tokens / NGRAMS))
+
+    pairs, triples = (ngram_counts(texts, k, tokens, keep) for k in (2, 3))
+    used = F.sum(F.col("n") - DISCOUNT).alias("used")
+    end = texts.sparkSession.createDataFrame([(END, n_texts)], "word long, n long")
+    words = counts.join(pairs.groupBy(F.col("x").alias("word")).agg(used), "word", "left").select(
+        "word", "n", _rest(F.col("used"), F.col("n")).alias("rest"))
+    words = materialize(words.unionAll(end.withColumn("rest", F.lit(1.0))), "lm-word-weights")
+
+    unigram = (F.col("n") + ADD) / norm
+    left = words.select(F.col("word").alias("x"), F.col("n").alias("n_x"), F.col("rest").alias("rest_x"))
+    right = words.select(F.col("word").alias("y"), unigram.alias("p_y"))
+    cached = F.col("n") >= enough
+    ends = [F.when(cached, F.col(c)).alias(c) for c in "xy"]
+    pairs = (pairs.join(left, "x").join(right, "y")
+             .withColumn("p", (F.col("n") - DISCOUNT) / F.col("n_x") + F.col("rest_x") * F.col("p_y"))
+             .join(triples.groupBy(F.col("x").alias("key")).agg(used), "key", "left")
+             .withColumn("rest", _rest(F.col("used"), F.col("n"))))
+    value = F.log10("p") - F.log10("p_y") - F.log10("rest_x") + F.log10("rest")
+    with _short_lived_shuffles(texts.sparkSession):
+        pairs = materialize(pairs.select("key", *ends, "n", "p", "rest", value.alias("value")), "lm-pair-weights")
+    left = pairs.select(F.col("key").alias("x"), F.col("n").alias("n_x"), F.col("rest").alias("rest_x"))
+    right = pairs.select(F.col("key").alias("y"), F.col("p").alias("p_y"))
+    triples = triples.join(left, "x").join(right, "y").withColumn(
+        "p", (F.col("n") - DISCOUNT) / F.col("n_x") + F.col("rest_x") * F.col("p_y"))
+    value = F.log10("p") - F.log10("p_y") - F.log10("rest_x")
+    with _short_lived_shuffles(texts.sparkSession):
+        triples = materialize(triples.select("key", *ends, "n", "p", value.alias("value")), "lm-triple-weights")
+
+    top = words.where((F.col("n") >= least) & (F.col("word") != END)).toArrow()  # VOCABULARY rows at most
     keys = top["word"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    vocabulary = Vocabulary(keys[order], np.concatenate([[n_texts], top["n"].to_numpy()[order]]), tokens, kinds)
-    grams = materialize(ngram_counts(texts, vocabulary), "lm-ngrams")
-    enough = math.ceil(tokens / NGRAMS)
-    found = []
-    for n in (2, 3):
-        got = grams.where((F.col("order") == n) & (F.col("n") >= max(2, enough))).select("code", "n").toArrow()
-        codes = got["code"].to_numpy()
-        order = np.argsort(codes)
-        found += [codes[order], got["n"].to_numpy()[order]]
-    return Model(vocabulary, *found), counts
+    vocabulary = Vocabulary(keys[order], np.concatenate([[n_texts], top["n"].to_numpy()[order]]),
+                            np.concatenate([[1.0], top["rest"].to_numpy()[order]]), tokens, kinds)
+
+    def numbers(hashes):
+        hashes = hashes.to_numpy().view(np.uint64)
+        return np.where(hashes == END, 0, vocabulary.numbers(hashes))
+
+    got = pairs.where(cached).select("key", "x", "y", "p", "rest").toArrow()  # NGRAMS rows at most, as triples
+    codes = numbers(got["x"]) << BITS | numbers(got["y"])
+    by_key, by_code = np.argsort(got["key"].to_numpy()), np.argsort(codes)
+    more = triples.where(cached).select("x", "y", "p").toArrow()
+    x, y = (by_key[np.searchsorted(got["key"].to_numpy(), more[c].to_numpy(), sorter=by_key)] for c in "xy")
+    threes = codes[x] << BITS | codes[y] & ((1 << BITS) - 1)
+    order = np.argsort(threes)
+    model = Model(vocabulary, codes[by_code], got["p"].to_numpy()[by_code], got["rest"].to_numpy()[by_code],
+                  threes[order], more["p"].to_numpy()[order])
+    return model, Tables(words.where(F.col("word") != END),
+                         {n: t.where(~cached).select("key", "value") for n, t in ((2, pairs), (3, triples))})
+
+
+def ngram_values(texts: DataFrame, values: dict[int, DataFrame], tokens: int) -> list[DataFrame]:
+    """(row, more): the sums of ``values`` over the n-grams of each text (row,
+    text), one table per round. ``tokens``: of all texts."""
+    parts = tokens // (ROUNDS * PART_GRAMS) + 1
+
+    def blocks(order, turn):
+        def run(batches):
+            held, size = [], 0
+
+            def flush():
+                key, row = (np.concatenate([h[k] for h in held]) for k in range(2))
+                part = _part(key, parts)
+                by = np.lexsort((key, part))
+                key, part = key[by], part[by]
+                at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                places = np.append(at, len(key))
+                return _by_part(_TEXT_PARTS, part[at], [(key[at], None), (np.diff(places), None), (row[by], places)])
+
+            for batch in batches:
+                for a, b, w in _words(batch.column(1)):
+                    key, _, _, text = _grams(w, order)
+                    own = key % np.uint64(ROUNDS) == turn
+                    held.append((key[own], batch.column(0).slice(a, b - a).to_numpy()[text[own]]))
+                    size += int(own.sum())
+                    if size >= BLOCK_GRAMS:
+                        yield flush()
+                        held, size = [], 0
+            if size:
+                yield flush()
+
+        return run
+
+    def add_up(found: pa.Table, known: pa.Table) -> pa.Table:
+        keys = known["key"].to_numpy().view(np.uint64)
+        by = np.argsort(keys)
+        keys, value = keys[by], known["value"].to_numpy()[by]
+        rows, sums = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+        if len(keys):
+            for k, n, row in zip(found["key"], found["n"], found["row"]):
+                key = _unpack(k.as_buffer())
+                at = np.searchsorted(keys, key).clip(0, len(keys) - 1)
+                each = np.repeat(np.where(keys[at] == key, value[at], 0.0), _unpack(n.as_buffer()).view(np.int64))
+                own, inverse = np.unique(_unpack(row.as_buffer()).view(np.int64), return_inverse=True)
+                rows.append(own)
+                sums.append(np.bincount(inverse, weights=each, minlength=len(own)))
+        return pa.Table.from_batches([record(_MORE, np.concatenate(rows), np.concatenate(sums))])
+
+    done = []
+    for order, turn in _rounds(2) + _rounds(3):
+        found = texts.mapInArrow(blocks(order, turn), "part int, key binary, n binary, row binary").groupBy("part")
+        part = F.pmod(F.shiftrightunsigned("key", 40), F.lit(parts)).cast("int")
+        known = values[order].where(F.pmod("key", F.lit(ROUNDS)) == turn).withColumn("part", part).groupBy("part")
+        more = found.cogroup(known).applyInArrow(lambda a, b: add_up(a, b), "row long, more double")
+        with _short_lived_shuffles(texts.sparkSession):
+            done.append(materialize(more.groupBy("row").agg(F.sum("more").alias("more")), "lm-more"))
+    return done
 
 
 _ROWS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                    ("base", pa.float64()), ("score", pa.float64()), ("word", pa.int64()), ("n", pa.int64())])
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score). One pass
-    writes a row per document and one per document and infrequent word; the
-    latter get their counts by a join and are added up per document."""
+def score(docs: DataFrame, model: Model, tables: Tables) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of ``docs``
+    (row, doc_id, text; ``row`` is unique). One pass writes a row per document
+    and one per document and infrequent word; the latter get their counts and
+    weights by a join and are added up per document, as are the n-grams that
+    the automaton leaves out."""
     v = model.vocabulary
 
     def run(batches):
         machine = Automaton(model)
         base = np.array([v.base(n) for n in v.counts.tolist()])
-        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for a, b, w in _words(batch.column(1)):
+            for a, b, w in _words(batch.column(2)):
                 hashes = w.hashes()
                 numbers = v.numbers(hashes)
                 ids, first = with_end(numbers, w)
@@ -256,10 +443,9 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 sums = np.add.reduceat(np.where(ids >= 0, base[ids], 0.0), first[:-1])  # no text is without a token
                 flat, cuts = ids.tolist(), first.tolist()
                 scores = [machine.traverse(flat[x:y]) for x, y in zip(cuts, cuts[1:])]
-                rows = row + np.arange(b - a)
-                row += b - a
+                rows = batch.column(0).slice(a, b - a).to_numpy()
                 none = pa.nulls(b - a, pa.int64())
-                yield record(_ROWS, rows, batch.column(0).slice(a, b - a), np.diff(first),
+                yield record(_ROWS, rows, batch.column(1).slice(a, b - a), np.diff(first),
                              np.diff(known) + int(v.counts[0] > 0), sums, scores, none, none)
                 rare = numbers < 0
                 if rare.any():
@@ -273,22 +459,30 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                                  pa.nulls(n, pa.float64()), signed(word[at]), np.diff(np.append(at, len(doc))))
 
     schema = ("row long, doc_id long, n_tokens long, n_known long, base double, score double, word long, n long")
-    rows = materialize(docs.select("doc_id", "text").mapInArrow(run, schema), "lm-rows")
+    rows = materialize(docs.select("row", "doc_id", "text").mapInArrow(run, schema), "lm-rows")
     rare = rows.where("word is not null").select("row", "word", F.col("n").alias("times"))
     count = F.coalesce(F.col("n"), F.lit(0))
     norm = float(v.tokens + ADD * (v.kinds + 1))
     # infrequent words only: what is in the automaton needs no join
     least = max(1, math.ceil(v.tokens / VOCABULARY))
-    added = (rare.join(counts.where(F.col("n") < least), "word", "left").groupBy("row")
+    added = (rare.join(tables.words.where(F.col("n") < least), "word", "left").groupBy("row")
              .agg(F.sum(F.col("times") * F.log10((count + ADD) / F.lit(norm))).alias("more"),
+                  F.sum(F.col("times") * F.log10(F.coalesce("rest", F.lit(1.0)))).alias("more_rest"),
                   F.sum(F.when(count > 0, F.col("times")).otherwise(0)).alias("more_known")))
-    more = F.coalesce(F.col("more"), F.lit(0.0))
-    return (rows.where("word is null").join(added, "row", "left")
+    own = rows.where("word is null").drop("word", "n")
+    tokens = own.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    grams = reduce(DataFrame.unionAll, ngram_values(docs.select("row", "text"), tables.values, tokens))
+    grams = grams.groupBy("row").agg(F.sum("more").alias("more_grams"))
+    more, rest, gram = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("more", "more_rest", "more_grams"))
+    return (own.join(added, "row", "left").join(grams, "row", "left")
             .select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
                     F.lit(int(v.tokens)).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"),
-                    (F.col("score") + more).alias("score")))
+                    (F.col("score") + more + rest + gram).alias("score")))
 
 
 def lm_scores(docs: DataFrame, training: Column) -> DataFrame:
     """Scores of all ``docs`` by a model of those that ``training`` marks."""
-    return score(docs, *learn(docs.where(training)))
+    # read several times: each row keeps its number
+    docs = materialize(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text",
+                                   training.alias("training")), "lm-texts")
+    return score(docs, *learn(docs.where("training")))

@@ -158,6 +158,41 @@ def test_automaton_adds_up_to_one(spark):
         assert known + rest == pytest.approx(1, abs=1e-6)
 
 
+@pytest.mark.parametrize("cache", [1 << 18, 64, 4])
+def test_lm_scores_hold_all_ngrams(spark, monkeypatch, cache):
+    """However small the automaton is, all n-grams seen twice count."""
+    from foldwise.llm import lmscore
+
+    monkeypatch.setattr(lmscore, "NGRAMS", cache)
+    monkeypatch.setattr(lmscore, "VOCABULARY", 4 * cache)
+    monkeypatch.setattr(lmscore, "PART_GRAMS", 100)
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice("abcd") if rng.random() < 0.6 else f"w{rng.randint(0, 30)}" for _ in range(rng.randint(0, 25))))
+            for i in range(150)] + [(200, None), (None, "a b a b a b"), (3, "a b c")]
+    texts = [(x or "").split() + ["</end>"] for i, x in rows if i is not None and i % 4]
+    c1, c2, c3 = (Counter(tuple(t[p:p + k]) for t in texts for p in range(len(t) - k + 1)) for k in (1, 2, 3))
+    norm = sum(c1.values()) + 0.1 * (len(c1) + 1)
+
+    def probability(history, w):
+        if not history:
+            return (c1[w,] + 0.1) / norm
+        counts, total = (c2, c1) if len(history) == 1 else (c3, c2)
+        own = {g: n for g, n in counts.items() if g[:-1] == history and n >= 2}
+        lower = probability(history[1:], w)
+        if not own:
+            return lower
+        share = {g: (n - 0.7) / total[history] for g, n in own.items()}
+        return share.get((*history, w), 0) + (1 - sum(share.values())) * lower
+
+    def want(x):
+        t = (x or "").split() + ["</end>"]
+        return sum(math.log10(probability(tuple(t[max(0, p - 2):p]), w)) for p, w in enumerate(t))
+
+    df = frame(spark, rows)
+    got = lm_scores(df, df["doc_id"] % 4 != 0).collect()
+    assert sorted((str(r["doc_id"]), round(r["score"], 6)) for r in got) == sorted((str(i), round(want(x), 6)) for i, x in rows)
+
+
 def test_quality_counts_match_brute_force(spark):
     rng = random.Random(8)
     rows = [(0, None), (1, ""), (2, "a b\n\na b\n  \n a b"), (None, "é#*x $%&|<> b"), (3, "one two " * 20)]
