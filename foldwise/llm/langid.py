@@ -257,7 +257,8 @@ def judge(models: Models, texts: list[str | None], cache: WordCosts) -> tuple[li
         pred.append(models.langs[j])
         score.append(float(1 / w.sum()))
         bits.append(float(h[j]))
-        rejected.append(bool((h[j] - models.mean[j]) / models.spread[j] * np.sqrt(chars[i]) > models.limit[j]))
+        beyond = h[j] - models.mean[j]
+        rejected.append(bool(beyond > EXCESS and beyond / models.spread[j] * np.sqrt(chars[i]) > models.limit[j]))
     return pred, score, bits, rejected
 
 

@@ -110,6 +110,23 @@ def test_language_models(spark):
     assert {r["lang_pred"] for r in nothing} == {"und"} and {r["score"] for r in nothing} == {0.0}
 
 
+def _syllable_text(rng, lang, n):
+    syllables = {"aa": ["ba", "ke", "lo", "mi"], "bb": ["str", "ung", "ich", "tz"], "cc": ["ou", "vey", "dja", "qi"]}
+    return " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+
+def test_long_clean_texts_are_kept(spark):
+    """A small excess per character does not count more in a longer text."""
+    rng = random.Random(12)
+    text = lambda lang, n: _syllable_text(rng, lang, n)
+    models = fit([(lang, text(lang, 60)) for _ in range(150) for lang in ("aa", "bb")])
+    topic = " ".join(text("aa", 12) + " bamike kestrlo" for _ in range(2000))
+    mixed = " ".join(text("aa", 19) + " " + text("bb", 1) for _ in range(2000))
+    rows = [(1, topic), (2, mixed), (3, "xqj wvf zzq pfy " * 10000), (4, topic[:3000])]
+    assert len(topic) > 130_000 and len(mixed) > 130_000
+    assert sorted(r["doc_id"] for r in keep_identified(frame(spark, rows), models).collect()) == [1, 2, 4]
+
+
 def test_kneser_ney_probabilities_add_up():
     models = fit([("x", "abab abba baba aabb"), ("y", "ba ab"), ("x", "abc"), ("x", "bca"), ("y", "aab")])
     letters = "abc"
