@@ -7,8 +7,9 @@ language with the lowest cross-entropy per character wins; a text whose best
 cross-entropy lies far above what the language's own texts show is rejected.
 
 The models are fitted on a bounded sample of labelled rows (``max_docs``
-documents in expectation over all languages, chosen by a hash of the id);
-every document is scored on its whole text.
+documents in expectation over all languages, chosen by a hash of the id: all
+rows of a rare language, a share of those of a frequent one); every document is
+scored on its whole text.
 
 Rows: a null text or one without a letter gives ``und``, score 0 and is
 rejected; ties go to the first language by name; repeated rows are scored
@@ -213,25 +214,38 @@ def fit(sample: list[tuple[str, str]], order: int = 4) -> Models:
             z = (h - models.mean[j]) / models.spread[j] * np.sqrt(chars[own])
             # beyond twice what any text held back shows
             models.limit[j] = max(8.0, 2 * float(z.max()))
+        else:
+            # too few texts to calibrate: rejected when guessing letters costs less
+            models.mean[j], models.limit[j] = -np.log2(models.uniform) - EXCESS, 0.0
     return models
 
 
-def training_sample(docs: DataFrame, max_docs: int = 6000, min_share: float = 0.001) -> list[tuple[str, str]]:
-    """A bounded sample of labelled rows, evenly over the languages that have
-    ``min_share`` of the rows at least. A document's place in it depends on
-    its id alone."""
+def _most_per_language(counts: list[int], total: int) -> int:
+    """The bound per language with which all languages together give ``total``
+    rows: all rows of the rare ones, as many of each of the others."""
+    counts = sorted(counts)
+    for k, n in enumerate(counts):
+        most = total // (len(counts) - k)
+        if n > most:
+            return max(1, most)
+        total -= n
+    return max(1, *counts)
+
+
+def training_sample(docs: DataFrame, max_docs: int = 6000) -> list[tuple[str, str]]:
+    """A bounded sample of labelled rows of every language: all rows of a rare
+    language, a share of those of a frequent one. A document's place in it
+    depends on its id alone."""
     rows = docs.where("lang is not null and text is not null")
-    held = rows.groupBy("lang").count().collect() if docs.columns else []
-    total = sum(r["count"] for r in held)
-    held = {r["lang"]: r["count"] for r in held if r["count"] >= min_share * total}
+    held = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not held:
         return []
-    per = max(1, max_docs // len(held))
+    per = _most_per_language(list(held.values()), max_docs)
     place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for lang, n in sorted(held.items()):
-        chosen = chosen | ((F.col("lang") == lang) & (place < int(min(1.0, per / n) * (1 << 30))))
-    got = rows.where(chosen).select("lang", "text", place.alias("p"), "doc_id").toArrow()
+    shares = docs.sparkSession.createDataFrame([(lang, int(min(1.0, per / n) * (1 << 30))) for lang, n in sorted(held.items())],
+                                               "lang string, below long")
+    got = rows.select("lang", "text", place.alias("p"), "doc_id").join(F.broadcast(shares), "lang").where(
+        "p < below").drop("below").toArrow()
     got = got.sort_by([("p", "ascending"), ("doc_id", "ascending")])
     return list(zip(got["lang"].to_pylist(), got["text"].to_pylist()))
 

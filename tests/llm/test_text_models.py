@@ -9,7 +9,7 @@ import pytest
 
 from foldwise.llm import decontaminate as D
 from foldwise.llm.bpe import Bpe, encode_digest, encode_documents
-from foldwise.llm.langid import fit, identify, keep_identified
+from foldwise.llm.langid import fit, identify, keep_identified, training_sample
 from foldwise.llm.lmscore import lm_scores
 from foldwise.llm.quality import quality_rules
 from foldwise.llm.queries import vocabulary
@@ -127,6 +127,19 @@ def test_long_clean_texts_are_kept(spark):
     assert sorted(r["doc_id"] for r in keep_identified(frame(spark, rows), models).collect()) == [1, 2, 4]
 
 
+def test_rare_languages_are_learned(spark):
+    rng = random.Random(13)
+    rows = [(i, _syllable_text(rng, lang, 20), lang) for i, lang in enumerate(["aa", "bb"] * 2000)]
+    rows += [(9000 + i, _syllable_text(rng, "cc", 60), "cc") for i in range(3)]
+    sample = training_sample(frame(spark, rows), 1000)
+    assert sorted(x for lang, x in sample if lang == "cc") == sorted(r[1] for r in rows[-3:])
+    assert 800 < len(sample) < 1200
+    new = [(1, _syllable_text(rng, "cc", 40)), (2, _syllable_text(rng, "aa", 40)), (3, "xqj wvf zzq pfy " * 30)]
+    got = {r["doc_id"]: r["lang_pred"] for r in keep_identified(frame(spark, new), fit(sample))
+           .selectExpr("doc_id", "lang lang_pred").collect()}
+    assert got == {1: "cc", 2: "aa"}
+
+
 def test_kneser_ney_probabilities_add_up():
     models = fit([("x", "abab abba baba aabb"), ("y", "ba ab"), ("x", "abc"), ("x", "bca"), ("y", "aab")])
     letters = "abc"
