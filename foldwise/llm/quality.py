@@ -8,8 +8,8 @@ threshold grows with the sampling error of the text's length, and below a
 minimum length a histogram does not judge at all.
 
 Rows: a null text counts as empty; an empty or wordless text has no words and
-fails the base rules; a null or rare language is held against the nearest
-reference; repeated rows are judged alike; an empty table gives no rows. Only
+fails the base rules; a null language is held against the nearest reference;
+repeated rows are judged alike; an empty table gives no rows. Only
 ``doc_id``, ``text`` and ``lang`` are read, so further columns do not matter.
 """
 
@@ -20,12 +20,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.llm.frames import record, text_pass
 from foldwise.llm.tokens import Words, signed, split_words, text_chunks, windows
-from foldwise.session import materialize
 
 # character classes of a byte; the trailing bytes of a code point count nowhere
 LOWER_CASE, UPPER_CASE, DIGIT, SPACE, POINT, SYMBOL, OTHER, FOREIGN, TRAIL = range(9)
@@ -38,6 +37,7 @@ _CLASS[[ord(c) for c in "#*$%&|<>@=+/\\^~_{}[]`"]] = SYMBOL
 _CLASS[0x80:0xC0], _CLASS[0xC0:] = TRAIL, FOREIGN
 _COUNTED_SYMBOL = np.zeros(256, dtype=bool)
 _COUNTED_SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
+BLOCK_WORDS = 1 << 21
 
 REFERENCE_SCHEMA = "lang string, kind string, key long, n long"
 _REFERENCE = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
@@ -45,9 +45,7 @@ _REFERENCE = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("key", pa
 
 @dataclass
 class Rules:
-    """Thresholds. ``word_share``: words rarer than this in a megabyte of one
-    language are not counted towards its reference (so each share is low by
-    at most this much); ``common_words``: bins of the word histogram."""
+    """Thresholds. ``common_words``: bins of the word histogram."""
 
     min_words: int = 20
     max_repeat_percent: int = 30
@@ -57,8 +55,6 @@ class Rules:
     min_chars_to_judge: int = 400
     min_words_to_judge: int = 60
     common_words: int = 64
-    word_share: float = 1 / 2000
-    min_lang_share: float = 0.001
 
 
 @dataclass
@@ -78,14 +74,22 @@ def _class_counts(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
         .reshape(n, N_CLASSES + 1)[:, :N_CLASSES]
 
 
-def language_counts(docs: DataFrame, rules: Rules) -> DataFrame:
+def language_counts(docs: DataFrame) -> DataFrame:
     """Counts behind the references: per language the documents, the
-    characters by class and the common words, summed over all documents."""
-    share = rules.word_share
+    characters by class and all words, summed over all documents."""
 
     def run(batches):
+        totals, held, size = defaultdict(int), defaultdict(list), 0
+
+        def flush():
+            rows = list(totals.items())
+            yield record(_REFERENCE, *[[k[i] for k, _ in rows] for i in range(3)], [n for _, n in rows])
+            for lang, counts in held.items():
+                keys, at = np.unique(np.concatenate([k for k, _ in counts]), return_inverse=True)
+                n = np.bincount(at, weights=np.concatenate([c for _, c in counts]), minlength=len(keys)).astype(np.int64)
+                yield record(_REFERENCE, [lang] * len(keys), ["word"] * len(keys), keys, n)
+
         for batch in batches:
-            totals = defaultdict(int)
             langs = batch.column(0)
             codes = langs.dictionary_encode()
             names, code = codes.dictionary.to_pylist(), codes.indices.fill_null(-1).to_numpy()
@@ -101,43 +105,38 @@ def language_counts(docs: DataFrame, rules: Rules) -> DataFrame:
                         totals[names[c], "char", k] += int(n)
                     keys, n = np.unique(hashes[own[doc]], return_counts=True)
                     totals[names[c], "words", 0] += int(n.sum())
-                    often = n >= share * max(1, n.sum())
-                    for k, v in zip(keys[often].tolist(), n[often].tolist()):
-                        totals[names[c], "word", k] += v
-            rows = list(totals.items())
-            yield record(_REFERENCE, *[[k[i] for k, _ in rows] for i in range(3)], [n for _, n in rows])
+                    held[names[c]].append((keys, n))
+                    size += len(keys)
+                if size >= BLOCK_WORDS:
+                    yield from flush()
+                    totals, held, size = defaultdict(int), defaultdict(list), 0
+        yield from flush()
 
     return (docs.select("lang", "text").mapInArrow(run, REFERENCE_SCHEMA)
             .groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
 
 
 def learn_references(docs: DataFrame, rules: Rules | None = None) -> References:
-    """References of every language that holds ``min_lang_share`` of the
-    documents (a thousand languages at most); each is a few numbers."""
+    """References of every language; each is a few numbers."""
     rules = rules or Rules()
-    counts = language_counts(docs, rules)
-    counts = materialize(counts, "quality-references")
-    big = counts.where("kind = 'docs'")
-    total = big.agg(F.sum("n")).first()[0] or 0
-    held = [r["lang"] for r in big.where(F.col("n") >= rules.min_lang_share * total).orderBy("lang").collect()]
-    refs = References()
-    chars = []
-    for lang in held:
-        own = counts.where(F.col("lang") == lang)
-        c = np.zeros(N_CLASSES)
-        n_words = 1
-        for r in own.where("kind in ('char', 'words')").collect():
-            if r["kind"] == "char":
-                c[r["key"]] = r["n"]
-            else:
-                n_words = max(1, r["n"])
-        top = own.where("kind = 'word'").orderBy(F.desc("n"), "key").limit(rules.common_words).collect()
-        refs.langs.append(lang)
-        chars.append(c / max(1.0, c.sum()))
-        order = np.argsort(np.array([r["key"] for r in top], dtype=np.int64), kind="stable")
-        refs.words.append(np.array([r["key"] for r in top], dtype=np.int64)[order])
-        refs.shares.append(np.array([r["n"] / n_words for r in top])[order])
-    refs.chars = np.array(chars).reshape(len(held), N_CLASSES)
+    place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key"))
+    # the first rows of a language are found in every partition before any shuffle
+    most = max(rules.common_words, N_CLASSES)
+    counts = language_counts(docs).withColumn("place", place).where(F.col("place") <= most)
+    chars, n_words, top = defaultdict(lambda: np.zeros(N_CLASSES)), {}, defaultdict(list)
+    for r in counts.collect():
+        if r["kind"] == "char":
+            chars[r["lang"]][r["key"]] = r["n"]
+        elif r["kind"] == "words":
+            n_words[r["lang"]] = max(1, r["n"])
+        elif r["kind"] == "word" and r["place"] <= rules.common_words:
+            top[r["lang"]].append((r["key"], r["n"]))
+    refs = References(sorted(n_words))
+    for lang in refs.langs:
+        words = sorted(top[lang])
+        refs.words.append(np.array([k for k, _ in words], dtype=np.int64))
+        refs.shares.append(np.array([n / n_words[lang] for _, n in words], dtype=np.float64))
+    refs.chars = np.array([chars[lang] / max(1.0, chars[lang].sum()) for lang in refs.langs]).reshape(-1, N_CLASSES)
     return refs
 
 
@@ -200,6 +199,8 @@ def judge(docs: DataFrame, refs: References, rules: Rules | None = None) -> Data
     """One row per document: counts, base rules, distances and the verdict."""
     r = rules or Rules()
 
+    known = {lang: k for k, lang in enumerate(refs.langs)}
+
     def work(rows, data, begin):
         n_docs = len(begin) - 1
         w = split_words(data, begin)
@@ -217,8 +218,7 @@ def judge(docs: DataFrame, refs: References, rules: Rules | None = None) -> Data
         classes = _class_counts(data, begin)
         n_chars = classes.sum(1)
         shares = classes / np.maximum(1, n_chars)[:, None]
-        lang = np.array([refs.langs.index(x) if x in refs.langs else -1 for x in rows.column(2).to_pylist()],
-                        dtype=np.int64)
+        lang = np.array([known.get(x, -1) for x in rows.column(2).to_pylist()], dtype=np.int64)
         char_d, word_d = np.full((2, n_docs), np.inf)
         for k in range(len(refs.langs)):
             mine = (lang == k) | (lang < 0)

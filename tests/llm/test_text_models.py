@@ -260,6 +260,25 @@ def test_quality_drops_what_diverges(spark):
     assert not got.pop(900) and all(got.values())
 
 
+def test_quality_references_of_rare_languages(spark):
+    """Documents of a language with few rows are held against their own kind,
+    and all words count, however rows fall into chunks."""
+    from foldwise.llm.quality import learn_references
+
+    rng = random.Random(14)
+    common = {"en": ["the", "of", "and", "to", "in"], "zz": ["qua", "vel", "dor"]}
+    prose = lambda lang: " ".join(rng.choice(common[lang]) if rng.random() < 0.5 else
+                                  "%s%s" % (lang, rng.randint(0, 3000)) for _ in range(120))
+    rows = [(i, prose("en"), "en") for i in range(3000)] + [(9000 + i, prose("zz"), "zz") for i in range(2)]
+    refs = learn_references(frame(spark, rows))
+    assert refs.langs == ["en", "zz"]
+    for k, lang in enumerate(refs.langs):
+        counts = Counter(w for _, x, own in rows if own == lang for w in x.split())
+        want = sorted((n / sum(counts.values()) for n in counts.values()), reverse=True)[:64]
+        assert sorted(refs.shares[k], reverse=True) == pytest.approx(want)
+    assert all(r["kept"] for r in quality_rules(frame(spark, rows)).where("doc_id >= 9000").collect())
+
+
 def test_toxicity_learns_inflected_words(spark):
     rng = random.Random(10)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
