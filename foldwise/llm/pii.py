@@ -2,13 +2,13 @@
 
 Protected entities are e-mail addresses, IP addresses, payment cards and phone
 numbers. Where they stand is found by patterns and checked by rules. Then the
-corpus tells which other terms give an entity away: a term that stands near the
-entity in some documents discloses it by the ratio of their pointwise mutual
-information to the entity's information,
+corpus tells which other terms give an entity away: a term that stands anywhere
+in documents with the entity (outside e-mail addresses) discloses it by the
+ratio of their pointwise mutual information to the entity's information,
 
     log2(n(e,t) N / (n(e) n(t))) / log2(N / n(e)),
 
-counted in documents. The ratio is 1 for a term that occurs in no document
+counted in documents (rows of the table). The ratio is 1 for a term that occurs in no document
 without the entity. In every document that holds the entity, terms from
 ``GENERALISE`` on are replaced by their kind and terms from ``REMOVE`` on go.
 Pairs need ``SUPPORT`` different texts, so a chance meeting discloses nothing;
@@ -42,7 +42,6 @@ KINDS = list(PATTERNS)
 HINTS = {"email": "@", "ip": ".", "phone": "+"}
 GENERALISE, REMOVE = 0.6, 0.9
 SUPPORT = 3
-WINDOW = 10
 NOT_LETTERS = r"[^\p{L}]+"
 TERM_KINDS = ["generalised", "removed"]
 
@@ -76,51 +75,56 @@ def located(df: DataFrame, keys: list[str], text: str, pattern: Column) -> DataF
     return rows.withColumn("start", (ends - F.length("value")).cast("long"))
 
 
-def _near(text: str, last: bool) -> Column:
-    """Terms (lower-cased runs of letters) at one end of a stretch of text."""
-    words = F.filter(F.split(F.lower(F.col(text)), NOT_LETTERS), lambda x: x != "")
-    n = F.size(words)
-    return F.slice(words, F.greatest(F.lit(1), n - (WINDOW - 1)) if last else F.lit(1), F.lit(WINDOW))
+def _terms(text: Column) -> Column:
+    """Distinct lower-cased runs of letters outside e-mail addresses (no other
+    entity holds letters)."""
+    plain = F.when(F.contains(text, F.lit(HINTS["email"])), F.regexp_replace(text, F.lit(PATTERNS["email"]), F.lit(" ")))
+    return F.array_remove(F.array_distinct(F.split(F.lower(F.coalesce(plain, text)), NOT_LETTERS)), "")
 
 
 def holders(docs: DataFrame) -> DataFrame:
-    """(doc_id, a, text): the distinct documents that may hold an entity; a
-    is a hash of the text."""
+    """(doc_id, a, text, copies): the distinct documents that may hold an
+    entity and the number of their rows; a is a hash of the text."""
     text = F.coalesce("text", F.lit(""))
-    return materialize(docs.select("doc_id", text.alias("text")).where(F.col("text").rlike("[0-9@]"))
-                       .withColumn("a", F.xxhash64("text")).dropDuplicates(["doc_id", "a"]), "pii-holders")
+    rows = docs.select("doc_id", text.alias("text")).where(F.col("text").rlike("[0-9@]")).withColumn("a", F.xxhash64("text"))
+    copies = F.count("*").alias("copies")
+    return materialize(rows.groupBy("doc_id", "a").agg(F.first("text").alias("text"), copies), "pii-holders")
 
 
 def entities(held: DataFrame) -> DataFrame:
-    """A row per valid match: doc_id, a, kind, value, start, and the terms
-    near it."""
+    """A row per valid match: doc_id, a, kind, value, start."""
     out = None
     for kind, pattern in PATTERNS.items():
         has = F.contains("text", F.lit(HINTS[kind])) if kind in HINTS else F.lit(True)
         rows = located(held.where(has), ["doc_id", "a"], "text", F.lit(pattern)).where(valid(kind, F.col("value")))
-        rows = rows.select("doc_id", "a", F.lit(kind).alias("kind"), "value", "start",
-                           F.array_union(_near("before", True), _near("after", False)).alias("terms"))
+        rows = rows.select("doc_id", "a", F.lit(kind).alias("kind"), "value", "start")
         out = rows if out is None else out.unionAll(rows)
     return materialize(out, "pii-entities")
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
+def disclosing_terms(docs: DataFrame, held: DataFrame, found: DataFrame) -> DataFrame:
     """(entity, term, disclosure) of all terms that disclose an entity by
-    ``GENERALISE`` or more."""
+    ``GENERALISE`` or more. Entities, terms and their meetings are all counted
+    in rows of ``docs``, whole texts each."""
     entity = F.concat_ws(":", "kind", F.lower("value"))
-    met = found.select(entity.alias("entity"), "doc_id", "a", "terms")
-    n_entity = met.groupBy("entity").agg(F.count_distinct("a", F.coalesce("doc_id", F.lit(-1))).alias("n_e"),
-                                         F.approx_count_distinct("a").alias("texts"))
+    texts = held.groupBy("a").agg(F.first("text").alias("text"))
+    copies = held.select(F.col("doc_id").alias("d"), F.col("a").alias("b"), "copies")
+    met = (found.select(entity.alias("entity"), "doc_id", "a").distinct()
+           .join(copies, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("a") == F.col("b")))
+           .groupBy("entity", "a").agg(F.sum("copies").alias("copies")))
+    met = materialize(met, "pii-met")
     # an entity in too few texts has no pair with support
-    known = n_entity.where(F.col("texts") >= SUPPORT - 1).select("entity", "n_e")
-    pairs = (met.join(known, "entity").select("entity", "n_e", "doc_id", "a", F.explode("terms").alias("term")).distinct()
-             .groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et"), F.count_distinct("a").alias("texts"))
+    known = met.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).where(
+        F.col("texts") >= SUPPORT).select("entity", "n_e")
+    known = met.join(known, "entity")
+    texts = texts.join(known.select("a").distinct(), "a").select("a", _terms(F.col("text")).alias("terms"))
+    pairs = (known.join(texts, "a").select("entity", "n_e", "copies", F.explode("terms").alias("term"))
+             .groupBy("entity", "n_e", "term").agg(F.sum("copies").alias("n_et"), F.count("*").alias("texts"))
              .where(F.col("texts") >= SUPPORT))
     pairs = materialize(pairs, "pii-pairs")
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), NOT_LETTERS))).alias("term"))
-    n_term = words.groupBy("term").agg(F.count("*").alias("n_t"))
+    n_term = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     total = docs.agg(F.count("*").alias("n")).where("n > 0")
-    ratio = (F.log2(F.col("n_et") * F.col("n") / (F.col("n_e") * F.greatest("n_t", "n_et")))
+    ratio = (F.log2(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t")))
              / F.log2(F.col("n") / F.col("n_e")))
     return (pairs.join(n_term, "term").join(F.broadcast(total)).where(F.col("n") > F.col("n_e"))
             .select("entity", "term", ratio.alias("disclosure")).where(F.col("disclosure") >= GENERALISE))
@@ -132,7 +136,7 @@ def spans(docs: DataFrame) -> DataFrame:
     found = entities(held)
     base = found.select("doc_id", "a", "kind", "start", (F.col("start") + F.length("value")).alias("end"), "value")
     entity = F.concat_ws(":", "kind", F.lower("value"))
-    told = (found.select("doc_id", "a", entity.alias("entity")).distinct().join(disclosing_terms(docs, found), "entity")
+    told = (found.select("doc_id", "a", entity.alias("entity")).distinct().join(disclosing_terms(docs, held, found), "entity")
             .groupBy("doc_id", "a", "term").agg(F.max("disclosure").alias("disclosure"))
             .groupBy("doc_id", "a", F.when(F.col("disclosure") >= REMOVE, "removed").otherwise("generalised").alias("kind"))
             # longest first: of two alternatives the pattern takes the first

@@ -58,5 +58,14 @@ def test_disclosing_terms_go_only_where_the_entity_is(spark):
     assert got[12] == "we write tea near to for a town"
 
 
+def test_terms_far_from_the_entity_disclose_it(spark):
+    filler = " ".join(["we write tea near to for a town"] * 5)
+    rows = [(i, f"Ravenna {filler} {i} bob@x.org") for i in range(4)] + [(0, f"Ravenna {filler} 0 bob@x.org")]
+    rows += [(20 + i, f"{filler} {i}") for i in range(30)]
+    got = sanitise(frame(spark, rows)).collect()
+    assert sorted(r["text"] for r in got if r["doc_id"] < 20) == sorted(f" {filler} {i} [email]" for i in [0, 0, 1, 2, 3])
+    assert all(r["text"] == f"{filler} {r['doc_id'] - 20}" for r in got if r["doc_id"] >= 20)
+
+
 def test_empty_table(spark):
     assert find_personal_data(frame(spark, []).limit(0)).collect() == []
