@@ -1,13 +1,12 @@
-"""Substring dedup by seed and extend.
+"""Substring dedup by seeds and window hashes.
 
 A repeat is a window of ``LENGTH`` words that also begins earlier (smaller
 document, or earlier in the same one). Seeds: every window of words holds a
 winnowed anchor, the k-gram with the least hash among those of the window, and
 equal windows hold the same one. Anchors are joined over the corpus; those
-that occur once cannot lie in a repeat. Around the others the match is extended
-both ways, one word at a time: every window that the anchor stands for is
-looked up by a 128-bit hash, and all but the earliest of equal windows are
-repeats. Consecutive repeats merge into maximal spans.
+that occur once cannot lie in a repeat. No match is extended from the others:
+every window that such an anchor stands for is looked up by a 96-bit hash, and
+all but the earliest of equal windows are repeats. Consecutive repeats merge into maximal spans.
 
 Skew: a task sends one row per anchor, whatever number of copies it holds, and
 finds the others to be repeated by itself; exact copies of a whole document
