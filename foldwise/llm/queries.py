@@ -137,3 +137,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foldwise.llm.lines import line_report
 
     return line_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two vocabularies in every document."""
+    from foldwise.llm.alignment import alignment_digest
+
+    return alignment_digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"),
+                            vocabulary("piece_bpe_32k.model"))
