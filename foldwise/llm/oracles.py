@@ -38,3 +38,23 @@ reach(node, met) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.node, e.y FR
 SELECT s.doc_id, CAST(n AS BIGINT) AS n_shingles, min(met) AS component_id
 FROM sets s JOIN reach r ON r.node = s.doc_id GROUP BY s.doc_id, n
 """
+
+SOURCE_MIX = rf"""
+WITH d AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE
+                WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight FROM s),
+o AS (SELECT 2 * source_size / weight AS stop,
+             sum(2 * source_size) OVER (ORDER BY 2 * source_size / weight, source NULLS LAST) - 2 * source_size AS full_before,
+             sum(weight) OVER (ORDER BY 2 * source_size / weight DESC, source DESC NULLS FIRST) AS open_weight FROM w),
+l AS (SELECT arg_min((t - full_before) / open_weight, stop) AS level FROM o, (SELECT 1.5::DOUBLE * sum(size) AS t FROM d)
+      WHERE (t - full_before) / open_weight < stop),
+g AS (SELECT source, source_size, least(weight * coalesce(level, 0), CAST(2 * source_size AS DOUBLE)) AS target
+      FROM w, l),
+p AS (SELECT doc_id, size, g.*, least(CAST(floor(target + 0.5) AS BIGINT), 2 * source_size) AS words,
+             CAST(sum(size) OVER (PARTITION BY g.source ORDER BY md5('12:' || coalesce(CAST(doc_id AS VARCHAR), '')),
+                                  doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS off
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE
+       words // source_size * size + greatest(0, least(off + size, words % source_size) - off) END AS taken FROM p
+"""

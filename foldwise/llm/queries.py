@@ -13,6 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op5_ngram_jaccard": oracles.NGRAM_JACCARD,
+    "op12_source_mix": oracles.SOURCE_MIX,
 }
 
 
@@ -146,3 +147,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return alignment_digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"),
                             vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix of all sources takes."""
+    from foldwise.llm.mixing import mix_digest
+
+    return mix_digest(table(spark, sf_dir, "documents"))
