@@ -58,3 +58,34 @@ p AS (SELECT doc_id, size, g.*, least(CAST(floor(target + 0.5) AS BIGINT), 2 * s
 SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE
        words // source_size * size + greatest(0, least(off + size, words % source_size) - off) END AS taken FROM p
 """
+
+FILTER_AUDIT = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {WORDS} AS ws FROM documents),
+lab AS (SELECT doc_id, coalesce(max(CASE WHEN quality = 1 THEN 1 END), 0) AS good,
+               coalesce(max(CASE WHEN toxic = 1 THEN 1 END), 0) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, doc_id, CASE WHEN len(ws) < 50 THEN 1 ELSE 0 END
+             + CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 2 ELSE 0 END
+             + CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) THEN 4 ELSE 0 END
+             + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+             + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM d),
+c AS (SELECT part, mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n
+      FROM m LEFT JOIN lab USING (doc_id) GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, 1 << (ascii(filter_order[step]) - 65) AS own,
+             coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65))), 0) AS bef
+      FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+r AS (SELECT part, filter_order, step, own,
+             sum(CASE WHEN mask & CAST(bef + own AS BIGINT) = 0 THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN mask & CAST(bef AS BIGINT) = 0 AND mask & own > 0 THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN mask & CAST(bef AS BIGINT) > 0 AND mask & own > 0 THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN mask & CAST(bef AS BIGINT) = 0 AND mask & own > 0 THEN n * good ELSE 0 END) AS good_lost,
+             sum(CASE WHEN mask & CAST(bef AS BIGINT) = 0 AND mask & own > 0 THEN n * toxic ELSE 0 END) AS toxic_lost
+      FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+"""

@@ -14,6 +14,7 @@ ORACLES: dict[str, str] = {
     "op2_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op5_ngram_jaccard": oracles.NGRAM_JACCARD,
     "op12_source_mix": oracles.SOURCE_MIX,
+    "op13_filter_audit": oracles.FILTER_AUDIT,
 }
 
 
@@ -155,3 +156,11 @@ def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foldwise.llm.mixing import mix_digest
 
     return mix_digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every filter removes at every step of every order, per source."""
+    from foldwise.llm.audit import filter_audit
+
+    return filter_audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
