@@ -83,7 +83,7 @@ def collected(df):
 def test_audit_matches_plain_version(spark, files):
     """In one micro-batch, and in five with smaller ids arriving later."""
     rows, labels = sample()
-    got = AU.filter_audit(spark, stored(spark, rows, files), spark.createDataFrame(labels, LABELS), files=1)
+    got = AU.filter_audit(spark, stored(spark, rows, files), spark.createDataFrame(labels, LABELS), batches=5)
     assert collected(got) == plain(rows, labels)
 
 
@@ -101,16 +101,16 @@ def test_smaller_ids_retract_what_was_counted(spark):
     long = " ".join(f"w{k}" for k in range(60))
     batches = [[(9, long, "a"), (7, long, "b")], [(8, long, "a")], [(3, long, "a"), (4, long, "b")]]
     labels = AU.label_flags(spark.createDataFrame([(7, 1, 0)], LABELS))
-    counters, state, path = (shared_path(spark, f"audit-{x}") for x in ("c", "s", "d.parquet"))
+    folder, path = (shared_path(spark, f"audit-{x}") for x in ("stream", "d.parquet"))
     seen = []
     for rows in batches:
         seen += rows
         spark.createDataFrame([(*r, "x", 3, "k") for r in rows], SCHEMA).coalesce(1).write.mode("append").parquet(path)
-        AU.count_masks(spark, path, labels, counters, state)
-        got = Counter({(r["part"], r["flags"]): r["n"] for r in AU.read_counters(spark, counters).collect()})
+        AU.count_masks(spark, path, labels, folder)
+        got = Counter({(r["part"], r["flags"]): r["n"] for r in AU.read_counters(spark, folder).collect()})
         least = min(i for i, _, _ in seen)
         assert got == Counter((p, (16 if i > least else 0) | (32 if i == 7 else 0)) for i, _, p in seen)
-    deltas = spark.read.parquet(counters).where("batch = 2 and n < 0").collect()
+    deltas = spark.read.parquet(f"{folder}/counters").where("batch = 2 and n < 0").collect()
     assert [(r["part"], r["flags"], r["n"]) for r in deltas] == [("b", 32, -1)]
 
 
