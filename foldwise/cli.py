@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import argparse
 import json
+from dataclasses import replace
 
-from foldwise.config import RunConfig
+from foldwise.config import LOSSES, RunConfig
 
 
 def _cfg(a) -> RunConfig:
     return RunConfig(run_name=a.run_name, data_version=a.data_version, pooling=a.pooling,
-                     seeds=tuple(a.seeds), debug=a.debug, n_features=a.n_features)
+                     seeds=tuple(a.seeds), debug=a.debug, n_features=a.n_features, loss=a.loss)
 
 
 def _raw(spark, a):
@@ -37,6 +38,7 @@ def main(argv=None) -> dict:
     p.add_argument("--run-name", dest="run_name", default="baseline")
     p.add_argument("--data-version", dest="data_version", default="vanilla")
     p.add_argument("--pooling", default="mean")
+    p.add_argument("--loss", default="smooth_l1", choices=LOSSES)
     p.add_argument("--seeds", type=int, nargs="+", default=[42, 43, 44])
     p.add_argument("--seed", type=int, default=42, help="seed whose fold models predict the test set")
     p.add_argument("--n-features", dest="n_features", type=int, default=128)
@@ -70,9 +72,9 @@ def main(argv=None) -> dict:
         processed.append_params(spark, jobs.params_log(cfg), f"{out}/runs")
         result["scores"] = [r.asDict() for r in scores.orderBy("seed").collect()]
     elif a.step == "infer":
-        from foldwise.operators import ridge
         _, test, template = _raw(spark, a)
-        coefs = ridge.fit_fold_models(spark, jobs._featurized_folds(spark, train, cfg), cfg)
+        cfg = replace(cfg, seeds=(a.seed,))
+        coefs, _ = jobs.fit_run(spark, jobs._featurized_folds(spark, train, cfg), cfg)
         jobs.inference(spark, test, coefs, template, f"{out}/submission", cfg, seed=a.seed)
         result["submission"] = f"{out}/submission"
     elif a.step == "pseudo":

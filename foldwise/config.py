@@ -39,7 +39,7 @@ PAD_TOKEN = "[PAD]"
 
 DATA_VERSIONS = ("vanilla", "paragraph", "reg_token")
 POOLINGS = ("mean", "gem_cls", "reg_token")
-LOSSES = ("smooth_l1", "weighted_smooth_l1", "rmse_loss")
+LOSSES = ("smooth_l1", "weighted_smooth_l1", "rmse_loss", "squared")
 
 
 @dataclass(frozen=True)
@@ -62,6 +62,12 @@ class RunConfig:
     n_features: int = 128
     ridge_lambda: float = 1.0
     prior_lambda: float = 10.0
+    # penalties of the pretraining fit and weights of its prior to choose from
+    penalties: tuple = (0.1, 1.0, 10.0, 100.0)
+    prior_weights: tuple = (1.0, 10.0, 100.0, 1000.0)
+    # iterations of a fit whose loss is not squared, and the change that ends it
+    max_steps: int = 25
+    tolerance: float = 1e-6
     debug: bool = False
     debug_rows: int = DEBUG_ROWS
     targets: tuple = field(default_factory=lambda: tuple(TARGETS))

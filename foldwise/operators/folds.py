@@ -72,7 +72,12 @@ def assign_folds(df: DataFrame, seeds: Sequence[int] = (42,), n_folds: int = N_F
     x = x.withColumns({k: key(t) for k, t in zip(kcols, targets)})
     # non-null keys: every level table then derives from one identical
     # coarse-count subtree, which Spark computes once and reuses
-    x = x.withColumn("_h", F.coalesce(seeded_key(F.col(seed_col), F.col(id_col)), F.lit("")))
+    # rows without an id come first; among themselves they are ordered by all
+    # their columns, so those that differ in any are spread over sub-buckets
+    # too (equal ones may change places)
+    columns = F.xxhash64(*[F.col(c) for c in df.columns if c != seed_col])
+    unnamed = F.concat(F.lit("!"), seeded_key(F.col(seed_col), F.lit("null"), columns))
+    x = x.withColumn("_h", F.coalesce(seeded_key(F.col(seed_col), F.col(id_col)), unnamed))
     x = x.withColumn("_b", F.coalesce(F.substring("_h", 1, bucket_hex_digits), F.lit("")))
     key = [seed_col, *kcols, "_b"]
 

@@ -139,6 +139,16 @@ def fold_ensemble(preds: DataFrame, key: str = "text_id", model_col: str = "fold
                                   F.count(F.lit(1)).alias("n_models"))
 
 
+def checked_ensemble(ensembled: DataFrame, n_models: int, key: str = "text_id",
+                     targets: Sequence[str] = TARGETS) -> DataFrame:
+    """The ensemble without its model count; a row whose mean is not of exactly
+    ``n_models`` predictions fails the job that reads it."""
+    said = F.concat(F.lit(f"incomplete ensemble: {n_models} models expected, "), F.col("n_models").cast("string"))
+    right = F.col("n_models") == F.lit(n_models)
+    return ensembled.select(key, *[F.when(right, F.col(t)).otherwise(F.raise_error(said).cast("double")).alias(t)
+                                   for t in targets])
+
+
 def assert_complete(ensembled: DataFrame, n_models: int) -> None:
     """Raise if some key did not get exactly ``n_models`` predictions (action)."""
     bad = ensembled.where(F.col("n_models") != F.lit(n_models)).limit(1).collect()

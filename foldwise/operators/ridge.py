@@ -20,6 +20,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,38 +48,46 @@ def bucket_counts(lists: pa.ListArray, n_features: int) -> np.ndarray:
     return np.log1p(counts.reshape(n, n_features))
 
 
-def _fixed_lists(X: np.ndarray, dtype=np.float32) -> pa.ListArray:
+def fixed_lists(X: np.ndarray, dtype=np.float32) -> pa.ListArray:
     n, d = X.shape
     offsets = pa.array(np.arange(0, n * d + 1, d, dtype=np.int32))
     return pa.ListArray.from_arrays(offsets, pa.array(X.astype(dtype).ravel()))
 
 
-def _matrix(rb: pa.RecordBatch, name: str) -> np.ndarray:
+def matrix(rb: pa.RecordBatch, name: str) -> np.ndarray:
     col = rb.column(rb.schema.get_field_index(name))
     n = len(col)
     flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def featurize(df: DataFrame, n_features: int, text_col: str = "full_text", out_col: str = "features") -> DataFrame:
+def featurize(df: DataFrame, n_features: int, text_col: str = "full_text", out_col: str = "features",
+              row_col: str | None = None) -> DataFrame:
     """Replace the text column by ``features ARRAY<FLOAT>``: hashed log term
     frequencies. Words are split and hashed in the JVM; Python only counts
-    bucket ids of each Arrow batch with one ``bincount``."""
+    bucket ids of each Arrow batch with one ``bincount``. ``row_col`` adds a
+    number that is unique among the rows; write the table before reading it
+    twice."""
     x = df.withColumn("_bk", word_buckets(F.col(text_col), n_features)).drop(text_col)
     keep = [f for f in x.schema.fields if f.name != "_bk"]
-    schema = T.StructType(keep + [T.StructField(out_col, T.ArrayType(T.FloatType(), True))])
+    extra = [T.StructField(row_col, T.LongType())] if row_col else []
+    schema = T.StructType(keep + [T.StructField(out_col, T.ArrayType(T.FloatType(), True))] + extra)
     names = [f.name for f in keep]
 
     def run(batches):
+        row = TaskContext.get().partitionId() << 33
         for rb in batches:
             X = bucket_counts(rb.column(rb.schema.get_field_index("_bk")), n_features)
-            cols = [rb.column(rb.schema.get_field_index(n)) for n in names] + [_fixed_lists(X)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, out_col])
+            cols = [rb.column(rb.schema.get_field_index(n)) for n in names] + [fixed_lists(X)]
+            if row_col:
+                cols.append(pa.array(np.arange(row, row + rb.num_rows)))
+                row += rb.num_rows
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return x.mapInArrow(run, schema)
 
 
-def _design(X: np.ndarray) -> np.ndarray:
+def design(X: np.ndarray) -> np.ndarray:
     return np.hstack([np.ones((X.shape[0], 1)), X])
 
 
@@ -107,7 +116,7 @@ def gram_partials(df: DataFrame, targets: Sequence[str] = TARGETS, key_cols: Seq
                 continue
             pdf = rb.select(key_cols).to_pandas()
             Y = [rb.column(rb.schema.get_field_index(t)).to_numpy(zero_copy_only=False).astype(np.float64) for t in targets]
-            Z = np.column_stack([_design(_matrix(rb, feat_col)), *Y])
+            Z = np.column_stack([design(matrix(rb, feat_col)), *Y])
             for key, idx in pdf.groupby(key_cols, sort=False).indices.items():
                 key = key if isinstance(key, tuple) else (key,)
                 Zi = Z[idx]
@@ -120,7 +129,7 @@ def gram_partials(df: DataFrame, targets: Sequence[str] = TARGETS, key_cols: Seq
             padded[:len(upper)] = upper
             cols = [pa.array(np.full(n_chunks, val), type=pa.int32() if isinstance(val, (int, np.integer)) else None)
                     for val in key]
-            cols += [pa.array(np.arange(n_chunks, dtype=np.int32)), _fixed_lists(padded.reshape(n_chunks, CHUNK), np.float64)]
+            cols += [pa.array(np.arange(n_chunks, dtype=np.int32)), fixed_lists(padded.reshape(n_chunks, CHUNK), np.float64)]
             yield pa.RecordBatch.from_arrays(cols, names=[*key_cols, "chunk", "vals"])
 
     return labelled.mapInArrow(run, schema)
@@ -130,7 +139,12 @@ def gram_tables(df: DataFrame, targets: Sequence[str] = TARGETS, key_cols: Seque
     """Summed packed Gram chunks per key. Numbers are summed place by place
     (each task adds up its own before the shuffle), then the places of a chunk
     are put together: no buffer grows with the number of tasks."""
-    long = gram_partials(df, targets, key_cols).select(*key_cols, "chunk", F.posexplode("vals").alias("at", "v"))
+    return sum_partials(gram_partials(df, targets, key_cols), key_cols)
+
+
+def sum_partials(partials: DataFrame, key_cols: Sequence[str]) -> DataFrame:
+    """Sums of packed (keys..., chunk, vals) rows, place by place."""
+    long = partials.select(*key_cols, "chunk", F.posexplode("vals").alias("at", "v"))
     sums = long.groupBy(*key_cols, "chunk", "at").agg(F.sum("v").alias("v"))
     packed = F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"])
     return sums.groupBy(*key_cols, "chunk").agg(packed.alias("vals"))
@@ -239,26 +253,32 @@ def _pred_schema(key_types, targets):
 
 
 def predict_own_fold(feats_folded: DataFrame, coefs: dict, targets: Sequence[str] = TARGETS,
-                     id_col: str = "text_id", feat_col: str = "features") -> DataFrame:
+                     id_col: str = "text_id", feat_col: str = "features", labels: bool = False) -> DataFrame:
     """OOF: each row predicted by the model of its own (seed, fold);
-    ``coefs`` maps (seed, fold) to a coefficient matrix or a callable."""
+    ``coefs`` maps (seed, fold) to a coefficient matrix or a callable.
+    ``labels`` keeps each row's labels beside its predictions (``y_<target>``),
+    so they need no join by id (ids may be null)."""
     targets = list(targets)
-    schema = _pred_schema([("seed", T.IntegerType()), (id_col, T.StringType()), ("fold", T.IntegerType())], targets)
+    seen = [f"y_{t}" for t in targets] if labels else []
+    schema = _pred_schema([("seed", T.IntegerType()), (id_col, T.StringType()), ("fold", T.IntegerType())],
+                          [*targets, *seen])
 
     def run(batches):
         for rb in batches:
             if not rb.num_rows:
                 continue
-            Z = _design(_matrix(rb, feat_col))
+            Z = design(matrix(rb, feat_col))
             keys = rb.select(["seed", "fold"]).to_pandas()
             P = np.full((rb.num_rows, len(targets)), np.nan)
             for (s, k), idx in keys.groupby(["seed", "fold"], sort=False).indices.items():
                 P[idx] = apply_model(coefs[(int(s), int(k))], Z[idx])
             cols = [rb.column(rb.schema.get_field_index(c)) for c in ("seed", id_col, "fold")]
             cols += [pa.array(P[:, i]) for i in range(len(targets))]
-            yield pa.RecordBatch.from_arrays(cols, names=["seed", id_col, "fold", *targets])
+            cols += [rb.column(rb.schema.get_field_index(c)) for c in seen]
+            yield pa.RecordBatch.from_arrays(cols, names=["seed", id_col, "fold", *targets, *seen])
 
-    return feats_folded.select("seed", id_col, "fold", feat_col).mapInArrow(run, schema)
+    known = [F.col(t).cast("double").alias(f"y_{t}") for t in targets] if labels else []
+    return feats_folded.select("seed", id_col, "fold", feat_col, *known).mapInArrow(run, schema)
 
 
 def predict_every_fold(spark: SparkSession, feats: DataFrame, coefs: dict, cfg: RunConfig | None = None,
@@ -272,7 +292,7 @@ def predict_every_fold(spark: SparkSession, feats: DataFrame, coefs: dict, cfg:
         for rb in batches:
             if not rb.num_rows:
                 continue
-            Z = _design(_matrix(rb, feat_col))
+            Z = design(matrix(rb, feat_col))
             ids = rb.column(rb.schema.get_field_index(id_col))
             n = rb.num_rows
             for s, k in keys:
@@ -282,3 +302,32 @@ def predict_every_fold(spark: SparkSession, feats: DataFrame, coefs: dict, cfg:
                 yield pa.RecordBatch.from_arrays(cols, names=["seed", "fold", id_col, *targets])
 
     return feats.select(id_col, feat_col).mapInArrow(run, schema)
+
+
+def predict_ensemble(feats: DataFrame, coefs: dict, targets: Sequence[str] = TARGETS, id_col: str = "text_id",
+                     feat_col: str = "features") -> DataFrame:
+    """(id, targets, n_models): the mean over all given models, taken for each
+    row inside the task. The mean of linear models is one model with their mean
+    coefficients; other models are averaged row by row. ``n_models`` says how
+    many models each row's mean is of."""
+    targets, models = list(targets), [coefs[k] for k in sorted(coefs)]
+    linear = [m for m in models if not callable(m)]
+    others = [m for m in models if callable(m)]
+    mean = np.mean(linear, axis=0) if linear else None
+    schema = T.StructType([*_pred_schema([(id_col, T.StringType())], targets).fields,
+                           T.StructField("n_models", T.IntegerType())])
+
+    def run(batches):
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            Z = design(matrix(rb, feat_col))
+            total = np.zeros((rb.num_rows, len(targets))) if mean is None else apply_model(mean, Z) * len(linear)
+            for m in others:
+                total = total + apply_model(m, Z)
+            P = total / len(models)
+            cols = [rb.column(rb.schema.get_field_index(id_col)), *[pa.array(P[:, i]) for i in range(len(targets))],
+                    pa.array(np.full(rb.num_rows, len(models), dtype=np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    return feats.select(id_col, feat_col).mapInArrow(run, schema)

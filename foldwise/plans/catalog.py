@@ -9,6 +9,7 @@ Floating results are rounded to 6 decimals on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -658,7 +659,9 @@ SELECT text_id, CASE WHEN pos < ceil(n * 0.2) THEN 'valid' ELSE 'train' END AS s
 """)
 def pseudo_split(spark, sf_dir):
     from foldwise.operators.splits import random_split
-    return random_split(_candidates(spark, sf_dir).select("text_id"), seed=42, test_fraction=0.2)
+    from foldwise.session import materialize
+    ids = materialize(_candidates(spark, sf_dir).select("text_id"), "pseudo-ids")  # read once per round
+    return random_split(ids, seed=42, test_fraction=0.2)
 
 
 # --- S1: CSV edge -----------------------------------------------------------------
@@ -736,7 +739,7 @@ def text_corpus_scan(spark, sf_dir):
 # ---------------------------------------------------------------------------
 def _cfg():
     from foldwise.config import RunConfig
-    return RunConfig(run_name="ridge")
+    return RunConfig(run_name="ridge", loss="squared")
 
 
 @register("cv_fit")
@@ -764,7 +767,7 @@ def experiment_run(spark, sf_dir):
 def test_ensemble(spark, sf_dir):
     from foldwise.operators import ridge
     from foldwise.plans.jobs import _featurized_folds, inference
-    cfg = _cfg()
+    cfg = replace(_cfg(), seeds=(42,))  # the submission's seed
     coefs = ridge.fit_fold_models(spark, _featurized_folds(spark, FX.essays(spark, sf_dir), cfg), cfg)
     return inference(spark, FX.test_texts(spark, sf_dir).select("text_id", "full_text"), coefs,
                      FX.submission_template(spark, sf_dir), cfg=cfg, seed=42)

@@ -8,6 +8,9 @@ dynamic: rewriting one seed replaces that seed's partitions only.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,10 +62,27 @@ def pseudo(spark, root, seed, fold, data_version: str = "pseudo_1"):
     return read_table(spark, root, "pseudo", data_version, seed, fold)
 
 
+METRIC_KEY = ("run", "seed", "fold", "step", "metric")
+
+
 def append_metrics(log: DataFrame, root: str) -> None:
-    """Append metric rows (run, seed, metric, value) to the run log, one
-    partition per run; re-running a run replaces only that run's rows."""
-    write_table(log, root, "metrics", partition_cols=("run",), mode="overwrite")
+    """Add metric rows (run, seed, [fold, step,] metric, value) to the run log.
+    A row replaces the logged one of the same key (nulls are equal), all other
+    rows of its run stay; other runs' partitions are not touched."""
+    from foldwise.session import materialize
+    spark = log.sparkSession
+    for c in ("fold", "step"):
+        if c not in log.columns:
+            log = log.withColumn(c, F.lit(None).cast("int"))
+    fresh = materialize(log.select(*METRIC_KEY, "value"), "metrics")
+    merged = fresh
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/metrics")
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        old = read_metrics(spark, root).select(*METRIC_KEY, "value").join(fresh.select("run").distinct(), "run", "left_semi")
+        same = [F.col(f"o.{c}").eqNullSafe(F.col(f"f.{c}")) for c in METRIC_KEY]
+        kept = old.alias("o").join(fresh.alias("f"), reduce(and_, same), "left_anti")
+        merged = materialize(kept.unionByName(fresh), "metrics")  # read before its partitions are replaced
+    write_table(merged, root, "metrics", partition_cols=("run",), mode="overwrite")
 
 
 def append_params(spark: SparkSession, rows, root: str) -> None:
