@@ -846,3 +846,10 @@ def pseudo_base_stream(spark, sf_dir):
     q = start_pseudo_base(spark, folder, FX.labelled_essays(spark, sf_dir).select("text_id"), out, once=True)
     q.awaitTermination()
     return spark.read.parquet(out).select("text_id", F.md5("full_text").alias("full_text_md5"))
+
+
+# --- M1-M8, G3, K6, A13 on one feature, with SQL -------------------------------------
+from foldwise.plans import length_queries
+
+QUERIES |= length_queries.QUERIES
+ORACLES |= length_queries.SQL
