@@ -30,7 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.config import N_FOLDS, TARGETS
@@ -49,6 +49,23 @@ def _with_seeds(df: DataFrame, seeds, seed_col: str) -> DataFrame:
     return df.withColumn(seed_col, F.explode(F.array(*[F.lit(s) for s in seeds])))
 
 
+def label_key(t: str, bin_width: float | None = None) -> Column:
+    """A target's value as a non-null key (null sorts first), on a grid if asked."""
+    v = F.col(t).cast("double")
+    if bin_width:
+        v = F.floor(v / F.lit(float(bin_width))).cast("double")
+    return F.coalesce(v, F.lit(NULL_KEY))
+
+
+def seeded_row_hash(df: DataFrame, seed_col: str, id_col: str) -> Column:
+    """``md5(seed:id)``. Rows without an id come first; among themselves they
+    are ordered by all columns of ``df``, so those that differ in any are
+    spread over sub-buckets too (equal ones may change places)."""
+    columns = F.xxhash64(*[F.col(c) for c in df.columns if c != seed_col])
+    unnamed = F.concat(F.lit("!"), seeded_key(F.col(seed_col), F.lit("null"), columns))
+    return F.coalesce(seeded_key(F.col(seed_col), F.col(id_col)), unnamed)
+
+
 def assign_folds(df: DataFrame, seeds: Sequence[int] = (42,), n_folds: int = N_FOLDS,
                  targets: Sequence[str] = TARGETS, id_col: str = "text_id", seed_col: str = "seed",
                  fold_col: str = "fold", bucket_hex_digits: int = 3, bin_width: float | None = None) -> DataFrame:
@@ -64,20 +81,10 @@ def assign_folds(df: DataFrame, seeds: Sequence[int] = (42,), n_folds: int = N_F
     targets = list(targets)
     x = _with_seeds(df, seeds, seed_col)
     kcols = [f"_k{i}" for i in range(len(targets))]
-    def key(t):
-        v = F.col(t).cast("double")
-        if bin_width:
-            v = F.floor(v / F.lit(float(bin_width))).cast("double")
-        return F.coalesce(v, F.lit(NULL_KEY))
-    x = x.withColumns({k: key(t) for k, t in zip(kcols, targets)})
+    x = x.withColumns({k: label_key(t, bin_width) for k, t in zip(kcols, targets)})
     # non-null keys: every level table then derives from one identical
     # coarse-count subtree, which Spark computes once and reuses
-    # rows without an id come first; among themselves they are ordered by all
-    # their columns, so those that differ in any are spread over sub-buckets
-    # too (equal ones may change places)
-    columns = F.xxhash64(*[F.col(c) for c in df.columns if c != seed_col])
-    unnamed = F.concat(F.lit("!"), seeded_key(F.col(seed_col), F.lit("null"), columns))
-    x = x.withColumn("_h", F.coalesce(seeded_key(F.col(seed_col), F.col(id_col)), unnamed))
+    x = x.withColumn("_h", seeded_row_hash(df, seed_col, id_col))
     x = x.withColumn("_b", F.coalesce(F.substring("_h", 1, bucket_hex_digits), F.lit("")))
     key = [seed_col, *kcols, "_b"]
 

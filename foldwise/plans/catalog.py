@@ -98,6 +98,14 @@ def stratified_folds(spark, sf_dir):
     return _folded(spark, sf_dir).select("seed", "text_id", "fold")
 
 
+@register("balanced_folds")
+def balanced_folds(spark, sf_dir):
+    """Folds whose label balance is repaired by swaps (no SQL: tested by its balance)."""
+    from foldwise.operators.balance import assign_balanced_folds
+    narrow = FX.essays(spark, sf_dir, with_text=False).select("text_id", *T6)
+    return assign_balanced_folds(narrow, seeds=(42, 43, 44)).select("seed", "text_id", "fold")
+
+
 # --- A14 --------------------------------------------------------------------
 @register("fold_balance", f"""
 WITH {S.ESSAYS}, {S.folds_cte()},
