@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from foldwise.config import N_FOLDS, TARGETS
 from foldwise.functions.hashing import hex_prefix_int, seeded_key
-from foldwise.operators.ranking import exclusive_offsets
+from foldwise.operators.ranking import exclusive_offsets, positions
 
 NULL_KEY = float("-inf")  # a null label sorts first, as NULLS FIRST does
 
@@ -68,7 +68,8 @@ def seeded_row_hash(df: DataFrame, seed_col: str, id_col: str) -> Column:
 
 def assign_folds(df: DataFrame, seeds: Sequence[int] = (42,), n_folds: int = N_FOLDS,
                  targets: Sequence[str] = TARGETS, id_col: str = "text_id", seed_col: str = "seed",
-                 fold_col: str = "fold", bucket_hex_digits: int = 3, bin_width: float | None = None) -> DataFrame:
+                 fold_col: str = "fold", bucket_hex_digits: int = 3, bin_width: float | None = None,
+                 quantile_bins: int | None = None) -> DataFrame:
     """Rows x seeds with ``seed`` and ``fold`` (INT, 0..n_folds-1) added.
 
     If ``df`` already has a ``seed`` column it is used instead of ``seeds``.
@@ -76,8 +77,12 @@ def assign_folds(df: DataFrame, seeds: Sequence[int] = (42,), n_folds: int = N_F
     seed with equal labels fails the job (its rows meet in the numbering
     window); callers with wide rows fold the narrow columns and join the
     rest. ``bin_width`` stratifies continuous targets
-    on the grid ``floor(t / bin_width)`` (the target columns are unchanged).
+    on the grid ``floor(t / bin_width)`` (the target columns are unchanged);
+    ``quantile_bins`` does so on that many bins of about equal size per target,
+    for any number of distinct values (``quantile_folds``).
     """
+    if quantile_bins:
+        return quantile_folds(df, seeds, n_folds, targets, id_col, seed_col, fold_col, quantile_bins)
     targets = list(targets)
     x = _with_seeds(df, seeds, seed_col)
     kcols = [f"_k{i}" for i in range(len(targets))]
@@ -98,10 +103,56 @@ def assign_folds(df: DataFrame, seeds: Sequence[int] = (42,), n_folds: int = N_F
     number = F.when(twice, F.raise_error(said).cast("int")).otherwise(F.row_number().over(w))
     ranked = x.withColumn("_rn", number).join(offsets, key)
     r = F.col("_off") + F.col("_rn") - F.lit(1)
+    return ranked.withColumn(fold_col, _dealt(r, seed_col, n_folds)).drop(*kcols, "_h", "_b", "_rn", "_off")
+
+
+#: relative rank error of the quantile sketches is 1 / ACCURACY
+ACCURACY = 10_000
+
+
+def quantile_bounds(df: DataFrame, targets: Sequence[str] = TARGETS, bins: int = 32) -> dict[str, list[float]]:
+    """Up to ``bins - 1`` ascending bounds per target from mergeable quantile
+    sketches: every task sketches its rows, sketches of fixed size are merged,
+    and only the bounds reach the driver. All targets in one pass."""
+    shares = [i / bins for i in range(1, bins)]
+    row = df.agg(*[F.percentile_approx(F.col(t).cast("double"), shares, ACCURACY).alias(t) for t in targets]).first()
+    return {t: sorted(set(row[t] or [])) for t in targets}
+
+
+def quantile_key(t: str, bounds: Sequence[float]) -> Column:
+    """The bin of a value: how many bounds lie below it; -1 for a null."""
+    v = F.col(t).cast("double")
+    below = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b < v)) if bounds else F.lit(0)
+    return F.when(v.isNull(), F.lit(-1)).otherwise(below)
+
+
+def quantile_folds(df: DataFrame, seeds: Sequence[int] = (42,), n_folds: int = N_FOLDS,
+                   targets: Sequence[str] = TARGETS, id_col: str = "text_id", seed_col: str = "seed",
+                   fold_col: str = "fold", bins: int = 32) -> DataFrame:
+    """``assign_folds`` for continuous targets: rows ordered by their bins and
+    the seeded hash of the id, consecutive ranks dealt to the folds.
+
+    Labels may be as many as rows, so nothing is numbered per label vector:
+    ranks come from one range partitioning (``ranking.positions``), whose only
+    window is over a row per range partition. Every row is kept, also without
+    an id; an id that occurs twice under one seed counts as two rows.
+    """
+    targets = list(targets)
+    bounds = quantile_bounds(df, targets, bins)
+    x = _with_seeds(df, seeds, seed_col)
+    keys = [f"_k{i}" for i in range(len(targets))]
+    x = x.withColumns({k: quantile_key(t, bounds[t]) for k, t in zip(keys, targets)})
+    x = x.withColumn("_h", seeded_row_hash(df, seed_col, id_col))
+    ranked = positions(x, [seed_col], [*keys, "_h", id_col], name="_r")
+    return ranked.withColumn(fold_col, _dealt(F.col("_r"), seed_col, n_folds)).drop(*keys, "_h", "_r")
+
+
+def _dealt(r: Column, seed_col: str, n_folds: int) -> Column:
+    """Fold of global rank ``r``: every block of ``n_folds`` ranks is dealt to
+    all folds, rotated by a seeded amount."""
     blk = F.floor(r / F.lit(n_folds)).cast("bigint")
     shift = hex_prefix_int(seeded_key(F.col(seed_col), F.lit("blk"), blk))
-    fold = F.pmod(r + shift, F.lit(n_folds)).cast("int")
-    return ranked.withColumn(fold_col, fold).drop(*kcols, "_h", "_b", "_rn", "_off")
+    return F.pmod(r + shift, F.lit(n_folds)).cast("int")
 
 
 #: one-hot labels make a column per value; beyond this many the target is no
@@ -144,6 +195,39 @@ def one_hot_labels(df: DataFrame, targets: Sequence[str] = TARGETS, id_col: str
     return df.select(*cols)
 
 
+def label_dictionary(df: DataFrame, targets: Sequence[str] = TARGETS) -> DataFrame:
+    """(target, value, place): every distinct non-null value of every target
+    with its place, from 0, in the order of its rows (most first, smaller value
+    first among equals). Distributed: counts by partial aggregation, places by
+    range partitioning, nothing collected."""
+    values = _long_labels(df, targets, []).where(F.col("value").isNotNull())
+    counts = values.groupBy("target", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("_less", -F.col("n"))
+    return positions(counts, ["target"], ["_less", "value"], name="place").drop("_less", "n")
+
+
+def _long_labels(df: DataFrame, targets: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("value")) for t in targets])
+    return df.select(*keep, F.explode(pairs).alias("_x")).select(*keep, "_x.target", "_x.value")
+
+
+def sparse_labels(df: DataFrame, targets: Sequence[str] = TARGETS, id_col: str = "text_id",
+                  dictionary: DataFrame | None = None) -> DataFrame:
+    """(id, labels): one-hot labels of any domain as one array per row, with the
+    place of each target's value in ``label_dictionary`` (null for a null).
+
+    One join of narrow (id, target, value) rows with the dictionary, and one
+    group-by of at most as many rows as targets per id. A value that holds a
+    large share of all rows is split by AQE's skew join. Ids must be unique and
+    not null.
+    """
+    targets = list(targets)
+    dictionary = label_dictionary(df, targets) if dictionary is None else dictionary
+    placed = _long_labels(df, targets, [id_col]).join(dictionary, ["target", "value"], "left")
+    per = placed.groupBy(id_col).agg(*[F.max(F.when(F.col("target") == t, F.col("place"))).alias(f"_p{i}")
+                                       for i, t in enumerate(targets)])
+    return per.select(id_col, F.array(*[F.col(f"_p{i}") for i in range(len(targets))]).alias("labels"))
+
+
 def fold_balance(folded: DataFrame, targets: Sequence[str] = TARGETS, seed_col: str = "seed",
                  fold_col: str = "fold") -> DataFrame:
     """Rows per (seed, target, value, fold): what stratification balances."""

@@ -98,6 +98,43 @@ def stratified_folds(spark, sf_dir):
     return _folded(spark, sf_dir).select("seed", "text_id", "fold")
 
 
+_MEASURED = ("n_chars", "doc_id")   # continuous targets: nearly as many values as rows
+
+
+@register("sparse_label_places", f"""
+WITH {S.ESSAYS}, long AS (SELECT text_id, 'n_chars' AS target, CAST(n_chars AS DOUBLE) AS value FROM essays
+  UNION ALL SELECT text_id, 'doc_id', CAST(doc_id AS DOUBLE) FROM essays),
+dict AS (SELECT target, value, row_number() OVER (PARTITION BY target ORDER BY count(*) DESC, value) - 1 AS place
+  FROM long GROUP BY target, value)
+SELECT text_id, max(CASE WHEN target = 'n_chars' THEN place END) AS n_chars_place,
+  max(CASE WHEN target = 'doc_id' THEN place END) AS doc_id_place FROM long JOIN dict USING (target, value) GROUP BY text_id
+""")
+def sparse_label_places(spark, sf_dir):
+    """One-hot labels of two targets with any number of values, as places."""
+    from foldwise.operators.folds import sparse_labels
+    out = sparse_labels(FX.essays(spark, sf_dir, with_text=False), _MEASURED)
+    return out.select("text_id", *[F.col("labels")[i].alias(f"{t}_place") for i, t in enumerate(_MEASURED)])
+
+
+_BIN_SQL = ("len(list_filter(list_distinct(list_transform(range(1, 32), lambda i: {a}[CAST(ceil(i / 32.0 * n) AS INTEGER)])), "
+            "lambda b: b < {c}))")
+
+
+@register("quantile_folds", f"""
+WITH {S.ESSAYS}, q AS (SELECT list(n_chars ORDER BY n_chars) AS a, list(doc_id ORDER BY doc_id) AS b, count(*) AS n FROM essays),
+binned AS MATERIALIZED (SELECT text_id, {_BIN_SQL.format(a="a", c="n_chars")} AS k0, {_BIN_SQL.format(a="b", c="doc_id")} AS k1 FROM essays, q)
+SELECT seed, text_id, CAST((r + ('0x' || substr(md5(CAST(seed AS VARCHAR) || ':blk:' || CAST(r // 5 AS VARCHAR)), 1, 8))::BIGINT) % 5
+  AS INTEGER) AS fold FROM (SELECT s.seed, text_id, row_number() OVER (PARTITION BY s.seed ORDER BY k0, k1,
+  md5(CAST(s.seed AS VARCHAR) || ':' || text_id), text_id) - 1 AS r FROM binned CROSS JOIN {S.seeds_sql()} s)
+""")
+def quantile_folds_q(spark, sf_dir):
+    """Folds stratified on continuous targets. The SQL takes exact quantiles,
+    which the sketches give for up to 10,000 rows."""
+    from foldwise.operators.folds import assign_folds
+    narrow = FX.essays(spark, sf_dir, with_text=False).select("text_id", *_MEASURED)
+    return assign_folds(narrow, seeds=(42, 43, 44), targets=_MEASURED, quantile_bins=32).select("seed", "text_id", "fold")
+
+
 @register("balanced_folds")
 def balanced_folds(spark, sf_dir):
     """Folds whose label balance is repaired by swaps (no SQL: tested by its balance)."""
@@ -360,8 +397,8 @@ cand AS (SELECT * FROM corpus c WHERE NOT EXISTS (SELECT 1 FROM labelled l WHERE
 
 
 def _candidates(spark, sf_dir):
-    from foldwise.operators.joins import anti_join_null_safe
-    return anti_join_null_safe(FX.corpus(spark, sf_dir), FX.labelled_essays(spark, sf_dir).select("text_id"), "text_id")
+    from foldwise.plans.jobs import pseudo_base
+    return pseudo_base(FX.labelled_essays(spark, sf_dir), FX.corpus(spark, sf_dir))
 
 
 @register("pseudo_candidates", f"WITH {_CORPUS_SQL} SELECT text_id, md5(full_text) AS full_text_md5 FROM cand")

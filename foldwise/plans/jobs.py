@@ -20,7 +20,7 @@ from foldwise.config import N_FOLDS, SEEDS, TARGETS, RunConfig
 from foldwise.operators import metrics as M
 from foldwise.operators.datasets import sample_oof, with_variant
 from foldwise.operators.folds import assign_folds
-from foldwise.operators.joins import anti_join_null_safe
+from foldwise.operators.joins import anti_join_prefiltered
 from foldwise.sources.csv import write_csv
 from foldwise.sources.processed import write_table
 
@@ -69,8 +69,9 @@ def params_log(cfg: RunConfig) -> list[tuple[str, str, str]]:
 
 
 def pseudo_base(train: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Corpus rows whose id is not a train id (null-safe); computed once for all seeds."""
-    return anti_join_null_safe(corpus, train.select("text_id"), "text_id")
+    """Corpus rows whose id is not a train id (null-safe); computed once for all seeds.
+    Texts that a filter of the train ids rules out are not shuffled."""
+    return anti_join_prefiltered(corpus, train.select("text_id"), "text_id")
 
 
 def pseudo_label_tables(spark: SparkSession, train: DataFrame, corpus: DataFrame, model: str = "fold_mean",

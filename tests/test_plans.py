@@ -46,7 +46,7 @@ def test_entry_smoke(spark):
 def test_every_query_has_an_oracle_or_is_model_based():
     assert set(E.oracle_sql()) <= set(E.queries())
     rows_only = set(catalog.QUERIES) - set(catalog.ORACLES)
-    assert rows_only == {"cv_fit", "cv_oof", "experiment_run", "test_ensemble", "pseudo_label", "pretrain_finetune"}
+    assert rows_only == {"balanced_folds", "cv_fit", "cv_oof", "experiment_run", "test_ensemble", "pseudo_label", "pretrain_finetune"}
 
 
 def test_head_per_group_limits_each_task_before_the_shuffle(spark):
