@@ -354,8 +354,8 @@ SELECT doc, {", ".join(f"round(sum(value * {_W_SQL.format(i=i)}) + 3.0, 6) AS {t
 FROM mp GROUP BY doc
 """)
 def linear_head_q(spark, sf_dir):
-    from foldwise.operators.pooling import linear_head, mean_pool
-    pooled = mean_pool(FX.token_embeddings(spark, sf_dir))
+    from foldwise.operators.pooling import linear_head, mean_vectors
+    pooled = mean_vectors(FX.token_embeddings(spark, sf_dir))
     weights = FX.head_weights(spark, FX.embedding_dim(spark, sf_dir))
     return round_doubles(linear_head(pooled, weights, FX.HEAD_BIAS))
 
@@ -874,8 +874,8 @@ SELECT doc, {", ".join(f"round(sum(CASE WHEN pos = {i + 1} THEN v * {_W_SQL.form
 FROM x WHERE pos BETWEEN 1 AND 6 GROUP BY doc
 """)
 def slot_heads_q(spark, sf_dir):
-    from foldwise.operators.pooling import position_slice, slot_heads
-    sliced = position_slice(FX.token_embeddings(spark, sf_dir))
+    from foldwise.operators.pooling import slot_heads, slot_vectors
+    sliced = slot_vectors(FX.token_embeddings(spark, sf_dir))
     return round_doubles(slot_heads(sliced, FX.head_weights(spark, FX.embedding_dim(spark, sf_dir)), FX.HEAD_BIAS))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -99,8 +100,31 @@ def materialize(df, name: str = "materialized"):
     """Cut lineage: write ``df`` once as a Parquet table in the shared folder
     and read it back. A table that several branches read is computed once,
     a lost executor does not recompute its lineage, and the copy is
-    compressed and columnar (later reads prune columns)."""
+    compressed and columnar (later reads prune columns). The table is deleted
+    when the driver's process ends."""
     path = shared_path(df.sparkSession, name)
+    _WRITTEN.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
+
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def delete_table(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@atexit.register
+def _delete_written() -> None:
+    """Written tables last as long as the driver's session; results that read
+    them are lazy. A session that was stopped before leaves them behind."""
+    for spark, path in _WRITTEN:
+        try:
+            if spark._jsc.sc().isStopped():
+                continue
+            delete_table(spark, path)
+        except Exception:  # the JVM is gone already: nothing can be deleted any more
+            return
+

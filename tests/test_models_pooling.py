@@ -179,3 +179,29 @@ def test_every_fold_model_exists_even_without_rows(spark):
     folded = assign_folds(ridge.featurize(_train(spark).select("text_id", "full_text", *TARGETS), CFG.n_features), CFG.seeds)
     coefs = ridge.fit_fold_models(spark, folded.where("fold <> 3"), CFG)
     assert set(coefs) == {(s, k) for s in CFG.seeds for k in range(5)}
+
+
+def test_pooling_awkward_rows(spark):
+    """Null masks and vectors, a document without position 0, one of one token."""
+    rows = [("a", 0, 1, [1.0, 2.0]), ("a", 1, None, [9.0, 9.0]), ("a", 2, 1, [3.0, 4.0]), ("a", 3, 1, None),
+            ("b", 1, 1, [2.0, 2.0]), ("c", 0, 1, [5.0, 6.0]), (None, 0, 0, [7.0, 7.0])]
+    df = spark.createDataFrame(rows, "doc string, pos int, mask int, embedding array<float>").repartition(3)
+    mean = {r["doc"]: r["vector"] for r in pooling.mean_vectors(df).collect()}
+    assert mean == {"a": [2.0, 3.0], "b": [2.0, 2.0], "c": [5.0, 6.0], None: [0.0, 0.0]}
+    gem = {}
+    for r in pooling.gem_cls_pool(df).collect():
+        gem.setdefault(r["doc"], {})[r["dim"]] = round(r["value"], 6)
+    assert gem["a"] == {0: 1.0, 1: 2.0, 2: 3.0, 3: 4.0} and gem["b"] == {2: 2.0, 3: 2.0}
+    assert gem["c"] == {0: 5.0, 1: 6.0, 2: 0.0, 3: 0.0}
+    assert pooling.mean_pool(df.limit(0)).count() == 0
+
+
+def test_pooling_shuffles_one_row_per_document_and_batch(spark):
+    from foldwise.session import materialize
+    tk = materialize(_tokens(spark))
+    for out in (pooling.mean_pool(tk), pooling.linear_head(pooling.mean_vectors(tk), FX.head_weights(spark, 64), 3.0),
+                pooling.slot_heads(pooling.slot_vectors(tk), FX.head_weights(spark, 64), 3.0)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        keyed = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+        assert all("dim" not in line and "slot" not in line for line in keyed)
+        assert len(keyed) == 1 and "hashpartitioning(doc" in keyed[0]
