@@ -11,9 +11,10 @@ documents in expectation over all languages, chosen by a hash of the id: all
 rows of a rare language, a share of those of a frequent one); every document is
 scored on its whole text.
 
-Rows: a null text or one without a letter gives ``und``, score 0 and is
-rejected; ties go to the first language by name; repeated rows are scored
-alike; without any labelled row every text is ``und``; an empty table gives no
+Rows: a null text or one without a letter (Unicode category L) gives ``und``,
+score 0 and is rejected; ties go to the first language by name; repeated rows
+are scored alike; without any labelled row every text is ``und`` and none is
+rejected, as nothing is known to hold against it; an empty table gives no
 rows. Only ``doc_id``, ``text`` and, for learning, ``lang`` are read.
 """
 
@@ -31,7 +32,10 @@ from pyspark.sql import functions as F
 from foldwise.llm.frames import record
 from foldwise.llm.tokens import mix, text_chunks
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: numbers that are no decimal digits (½, ², Ⅷ) are word characters, but no letters
+_NUMBERS = "".join(re.escape(c) for c in map(chr, range(0x110000))
+                   if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 START, END = 1, 2
 UNKNOWN = "und"
 #: bits per character beyond the language's mean below which nothing is
@@ -263,7 +267,7 @@ def judge(models: Models, texts: list[str | None], cache: WordCosts) -> tuple[li
     cost, chars = cache.rows(words) if models.langs else (np.zeros((len(texts), 0)), np.zeros(len(texts)))
     for i, ws in enumerate(words):
         if not ws or not models.langs:
-            pred.append(UNKNOWN), score.append(0.0), bits.append(None), rejected.append(True)
+            pred.append(UNKNOWN), score.append(0.0), bits.append(None), rejected.append(bool(models.langs))
             continue
         h = cost[i] / chars[i]
         j = int(np.argmin(h))

@@ -108,6 +108,21 @@ def test_language_models(spark):
     assert kept == sorted([str(i) for i in range(40)] + ["None", "0"])
     nothing = identify(frame(spark, rows), fit([])).collect()
     assert {r["lang_pred"] for r in nothing} == {"und"} and {r["score"] for r in nothing} == {0.0}
+    assert keep_identified(frame(spark, rows), fit([])).count() == len(rows)
+
+
+def test_only_letters_make_a_language(spark):
+    """Category L counts: no numbers of any kind, no marks, no symbols."""
+    import unicodedata
+
+    from foldwise.llm.langid import LETTERS
+
+    assert all(bool(LETTERS.fullmatch(chr(c))) == (unicodedata.category(chr(c))[0] == "L")
+               for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    models = fit([("x", "abab abba baba aabb"), ("y", "ba ab")] * 10)
+    rows = [(i, t) for i, t in enumerate(["½ ² ③ Ⅷ", "一 丁", "12 ٣", "_ __", "½a"])]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify(frame(spark, rows), models).collect()}
+    assert [got[i] == ("und", 0.0) for i in range(5)] == [True, False, True, True, False]
 
 
 def _syllable_text(rng, lang, n):
