@@ -20,6 +20,7 @@ rows. Only ``doc_id``, ``text`` and, for learning, ``lang`` are read.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -236,24 +237,48 @@ def _most_per_language(counts: list[int], total: int) -> int:
     return max(1, *counts)
 
 
-def training_sample(docs: DataFrame, max_docs: int = 6000) -> list[tuple[str, str]]:
-    """A bounded sample of labelled rows of every language: all rows of a rare
-    language, a share of those of a frequent one. A document's place in it
-    depends on its id alone."""
+def sampled_rows(docs: DataFrame, max_docs: int = 6000) -> DataFrame | None:
+    """(lang, text, p, doc_id): a bounded sample of labelled rows of every
+    language: all rows of a rare language, a share of those of a frequent one.
+    A document's place ``p`` in it depends on its id alone."""
     rows = docs.where("lang is not null and text is not null")
     held = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not held:
-        return []
+        return None
     per = _most_per_language(list(held.values()), max_docs)
     place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30))
     shares = docs.sparkSession.createDataFrame([(lang, int(min(1.0, per / n) * (1 << 30))) for lang, n in sorted(held.items())],
                                                "lang string, below long")
-    got = rows.select("lang", "text", place.alias("p"), "doc_id").join(F.broadcast(shares), "lang").where(
-        "p < below").drop("below").toArrow()
+    return rows.select("lang", "text", place.alias("p"), F.col("doc_id").cast("long").alias("doc_id")).join(
+        F.broadcast(shares), "lang").where("p < below").drop("below")
+
+
+def _in_order(got: pa.Table) -> list[tuple[str, str]]:
     got = got.sort_by([("p", "ascending"), ("doc_id", "ascending")])
     return list(zip(got["lang"].to_pylist(), got["text"].to_pylist()))
 
 
+def training_sample(docs: DataFrame, max_docs: int = 6000) -> list[tuple[str, str]]:
+    """The bounded sample as (language, text) in the order of its places."""
+    rows = sampled_rows(docs, max_docs)
+    return [] if rows is None else _in_order(rows.toArrow())
+
+
+def fitted(docs: DataFrame, max_docs: int = 6000, order: int = 4) -> Models:
+    """``fit(training_sample(docs))`` inside one task, as the sample is bounded:
+    only the models come to the driver, not the texts and their n-grams."""
+    rows = sampled_rows(docs, max_docs)
+
+    def run(batches):
+        got = list(batches)
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(_in_order(pa.Table.from_batches(got)), order))],
+                                                       type=pa.binary())], names=["models"])
+
+    out = [] if rows is None else rows.repartition(1).mapInArrow(run, "models binary").collect()
+    return pickle.loads(bytes(out[0]["models"])) if out else fit([], order)
+
+
 RESULT_SCHEMA = "doc_id long, lang_pred string, score double, bits_per_char double, rejected boolean"
 _RESULT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()),
                      ("bits_per_char", pa.float64()), ("rejected", pa.bool_())])

@@ -37,11 +37,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     from foldwise.llm.frames import fold_of
-    from foldwise.llm.langid import fit, identify, training_sample
+    from foldwise.llm.langid import fitted, identify
 
     docs = table(spark, sf_dir, "documents")
     held_out = fold_of(F.col("doc_id"), 4) == 2
-    models = fit(training_sample(docs.where(~held_out)))
+    models = fitted(docs.where(~held_out))
     return identify(docs, models).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_char",
                                          "rejected")
 

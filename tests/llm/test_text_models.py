@@ -9,7 +9,7 @@ import pytest
 
 from foldwise.llm import decontaminate as D
 from foldwise.llm.bpe import Bpe, encode_digest, encode_documents
-from foldwise.llm.langid import fit, identify, keep_identified, training_sample
+from foldwise.llm.langid import fit, fitted, identify, keep_identified, training_sample
 from foldwise.llm.lmscore import lm_scores
 from foldwise.llm.quality import quality_rules
 from foldwise.llm.queries import vocabulary
@@ -149,6 +149,9 @@ def test_rare_languages_are_learned(spark):
     sample = training_sample(frame(spark, rows), 1000)
     assert sorted(x for lang, x in sample if lang == "cc") == sorted(r[1] for r in rows[-3:])
     assert 800 < len(sample) < 1200
+    own, other = fitted(frame(spark, rows), 1000), fit(sample)
+    assert own.langs == other.langs and all(np.array_equal(a, b) for a, b in zip(own.terms + own.rest, other.terms + other.rest))
+    assert fitted(frame(spark, rows).where("lang is null")).langs == []
     new = [(1, _syllable_text(rng, "cc", 40)), (2, _syllable_text(rng, "aa", 40)), (3, "xqj wvf zzq pfy " * 30)]
     got = {r["doc_id"]: r["lang_pred"] for r in keep_identified(frame(spark, new), fit(sample))
            .selectExpr("doc_id", "lang lang_pred").collect()}
