@@ -33,10 +33,9 @@ from pyspark.sql import functions as F
 from foldwise.llm.frames import record
 from foldwise.llm.tokens import mix, text_chunks
 
-#: numbers that are no decimal digits (½, ², Ⅷ) are word characters, but no letters
-_NUMBERS = "".join(re.escape(c) for c in map(chr, range(0x110000))
-                   if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+#: runs of word characters other than decimal digits: letters, but also other
+#: numbers (½, ², Ⅷ), which ``letter_words`` takes out
+RUNS = re.compile(r"[^\W\d_]+")
 START, END = 1, 2
 UNKNOWN = "und"
 #: bits per character beyond the language's mean below which nothing is
@@ -139,7 +138,11 @@ class WordCosts(dict):
 
 
 def letter_words(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    """Runs of letters (Unicode category L), lower-cased."""
+    words = RUNS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, words)):
+        return words
+    return [part for w in words for part in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 def _one_language(counts: Counter, order: int) -> list[dict]:
