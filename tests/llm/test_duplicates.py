@@ -227,6 +227,16 @@ def test_lines_of_a_hot_group_and_a_shared_phrase(spark):
     assert len(gone & set(range(320, 440))) >= 108
 
 
+def test_lines_of_very_many_words_match_when_equal(spark):
+    """More words than a lane of the SimHash counts: found when equal, and no
+    overflow stops the job."""
+    huge = " ".join(f"w{i}" for i in range(140_000))
+    half = " ".join(f"v{i}" for i in range(40_000))
+    rows = [(1, huge), (2, huge), (3, huge.replace("w", "u")), (4, half), (5, half.replace("v7 ", "vx "))]
+    got = {r["doc_id"]: r["n_removed"] for r in line_report(frame(spark, rows, 2)).collect()}
+    assert {i: got[i] for i in (1, 2, 3, 4, 5)} == {1: 0, 2: 1, 3: 0, 4: 0, 5: 1}
+
+
 def test_lines_with_clashing_columns_and_very_long_texts(spark):
     long = " ".join("z%d" % (i * i % 7919) for i in range(60_000))
     rows = [(1, long, 5), (2, "a b c d\n" + long, 6), (2, "a b c d", 7), (None, None, 8)]
