@@ -11,8 +11,9 @@ Test items are taken in blocks of bounded size; each block is one pass over
 all documents, so any number of items is handled.
 
 Rows: null or empty texts and items without a word match nothing; repeated
-items are matched under each of their ids; repeated documents match alike;
-empty tables give no rows. Only ``doc_id``, ``text``, ``item_id`` are read.
+items are matched under each of their ids, items without an id under a null
+one; repeated documents match alike; empty tables give no rows. Only
+``doc_id``, ``text``, ``item_id`` are read.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ class Items:
     """A block of test items: word hashes of each, and the pieces by length:
     sorted hashes with the item and the piece's place in it."""
 
-    ids: list[int]
+    ids: list[int | None]
     words: list[np.ndarray]
     budget: list[int]
     pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -54,7 +55,7 @@ def cut(n: int, parts: int) -> list[tuple[int, int]]:
     return list(zip(at, at[1:]))
 
 
-def prepare(rows: list[tuple[int, str]], similarity: float = SIMILARITY) -> Items:
+def prepare(rows: list[tuple[int | None, str]], similarity: float = SIMILARITY) -> Items:
     ids, words, budgets = [], [], []
     found = defaultdict(list)
     texts = pa.array([t for _, t in rows], type=pa.large_string())
@@ -152,10 +153,10 @@ def matches(items: Items, hashes: np.ndarray, first: np.ndarray, peq: dict[int,
             for (d, i), (s, lo, end) in sorted(best.items())]
 
 
-def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
     """Blocks of items of bounded size, read partition by partition."""
     rows, words = [], 0
-    for r in benchmark.where("text is not null and item_id is not null").select("item_id", "text").toLocalIterator():
+    for r in benchmark.where("text is not null").select("item_id", "text").toLocalIterator():
         rows.append((r["item_id"], r["text"]))
         words += len(r["text"]) // 4
         if len(rows) >= BLOCK_ITEMS or words >= BLOCK_WORDS:

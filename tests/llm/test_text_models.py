@@ -89,6 +89,15 @@ def test_items_in_several_blocks(spark, monkeypatch):
     assert got == [(i, i) for i in range(5)]
 
 
+def test_items_without_id_are_found(spark):
+    item = "seven quick foxes jump over the lazy brown dogs today"
+    items = spark.createDataFrame([(None, item), (None, None), (3, "")], "item_id long, text string")
+    docs = [(1, f"so {item} indeed"), (2, "nothing of the kind"), (None, item)]
+    assert sorted((str(r["doc_id"]), r["item_id"], r["distance"]) for r in D.leaks(frame(spark, docs), items).collect()) == [
+        ("1", None, 0), ("None", None, 0)]
+    assert [r["doc_id"] for r in D.remove_leaks(frame(spark, docs), items).collect()] == [2]
+
+
 def test_language_models(spark):
     rng = random.Random(3)
     syllables = {"aa": ["ba", "ke", "lo", "mi"], "bb": ["str", "ung", "ich", "tz"]}
