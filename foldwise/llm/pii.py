@@ -14,6 +14,13 @@ without the entity. In every document that holds the entity, terms from
 Pairs need ``SUPPORT`` different texts, so a chance meeting discloses nothing;
 documents without an entity are left alone.
 
+Most entities stand in one document only, so what gives away that one is near
+is counted as well: every entity belongs to its kind and to a narrower class
+(mail domain, first three parts of an IP address, first six digits of a card or
+phone number), and terms disclose these classes by the same ratio. Classes hold
+many documents and meet many terms, so such a pair also needs ``EVIDENCE`` bits:
+its documents times its pointwise mutual information.
+
 Rows: a null text counts as empty and has no spans; rows that repeat id and
 text get the same result each; null ids take part; a text of any length is
 searched whole, in time linear in its length; an empty table gives no rows.
@@ -42,6 +49,8 @@ KINDS = list(PATTERNS)
 HINTS = {"email": "@", "ip": ".", "phone": "+"}
 GENERALISE, REMOVE = 0.6, 0.9
 SUPPORT = 3
+#: bits; a chance of one in four million for documents that meet at random
+EVIDENCE = 22
 NOT_LETTERS = r"[^\p{L}]+"
 TERM_KINDS = ["generalised", "removed"]
 
@@ -102,32 +111,46 @@ def entities(held: DataFrame) -> DataFrame:
     return materialize(out, "pii-entities")
 
 
+def protected(found: DataFrame) -> DataFrame:
+    """doc_id, a, entity, wide: what the entities of a document stand for: each
+    by itself, and (``wide``) its kind and its narrower class."""
+    digits = F.regexp_replace("value", "[^0-9]", "")
+    part = (F.when(F.col("kind") == "email", F.lower(F.substring_index("value", "@", -1)))
+            .when(F.col("kind") == "ip", F.substring_index("value", ".", 3)).otherwise(F.substring(digits, 1, 6)))
+    names = F.array(F.struct(F.concat_ws(":", "kind", F.lower("value")).alias("entity"), F.lit(False).alias("wide")),
+                    F.struct(F.concat_ws(":", F.lit("class"), "kind", part).alias("entity"), F.lit(True).alias("wide")),
+                    F.struct(F.concat_ws(":", F.lit("kind"), "kind").alias("entity"), F.lit(True).alias("wide")))
+    return found.select("doc_id", "a", F.explode(names).alias("name")).select("doc_id", "a", "name.*").distinct()
+
+
 def disclosing_terms(docs: DataFrame, held: DataFrame, found: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) of all terms that disclose an entity by
-    ``GENERALISE`` or more. Entities, terms and their meetings are all counted
-    in rows of ``docs``, whole texts each."""
-    entity = F.concat_ws(":", "kind", F.lower("value"))
-    texts = held.groupBy("a").agg(F.first("text").alias("text"))
+    """(a, term, disclosure) of all terms of the texts a that disclose an
+    entity of theirs, or its class, by ``GENERALISE`` or more. Entities, terms
+    and their meetings are all counted in rows of ``docs``, whole texts each."""
     copies = held.select(F.col("doc_id").alias("d"), F.col("a").alias("b"), "copies")
-    met = (found.select(entity.alias("entity"), "doc_id", "a").distinct()
-           .join(copies, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("a") == F.col("b")))
-           .groupBy("entity", "a").agg(F.sum("copies").alias("copies")))
+    met = (protected(found).join(copies, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("a") == F.col("b")))
+           .groupBy("entity", "wide", "a").agg(F.sum("copies").alias("copies")))
     met = materialize(met, "pii-met")
     # an entity in too few texts has no pair with support
     known = met.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).where(
         F.col("texts") >= SUPPORT).select("entity", "n_e")
     known = met.join(known, "entity")
+    texts = held.groupBy("a").agg(F.first("text").alias("text"))
     texts = texts.join(known.select("a").distinct(), "a").select("a", _terms(F.col("text")).alias("terms"))
-    pairs = (known.join(texts, "a").select("entity", "n_e", "copies", F.explode("terms").alias("term"))
-             .groupBy("entity", "n_e", "term").agg(F.sum("copies").alias("n_et"), F.count("*").alias("texts"))
+    met_terms = materialize(known.join(texts, "a").select("entity", "wide", "n_e", "a", "copies", F.explode("terms").alias("term")),
+                            "pii-met-terms")
+    pairs = (met_terms.groupBy("entity", "wide", "n_e", "term").agg(F.sum("copies").alias("n_et"), F.count("*").alias("texts"))
              .where(F.col("texts") >= SUPPORT))
     pairs = materialize(pairs, "pii-pairs")
     n_term = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     total = docs.agg(F.count("*").alias("n")).where("n > 0")
-    ratio = (F.log2(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t")))
-             / F.log2(F.col("n") / F.col("n_e")))
-    return (pairs.join(n_term, "term").join(F.broadcast(total)).where(F.col("n") > F.col("n_e"))
-            .select("entity", "term", ratio.alias("disclosure")).where(F.col("disclosure") >= GENERALISE))
+    shared = F.log2(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t")))
+    telling = (pairs.join(n_term, "term").join(F.broadcast(total)).where(F.col("n") > F.col("n_e"))
+               .where(~F.col("wide") | (F.col("n_et") * shared >= EVIDENCE))
+               .select("entity", "term", (shared / F.log2(F.col("n") / F.col("n_e"))).alias("disclosure"))
+               .where(F.col("disclosure") >= GENERALISE))
+    telling = materialize(telling, "pii-telling")
+    return met_terms.join(telling, ["entity", "term"]).groupBy("a", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -135,15 +158,12 @@ def spans(docs: DataFrame) -> DataFrame:
     held = holders(docs)
     found = entities(held)
     base = found.select("doc_id", "a", "kind", "start", (F.col("start") + F.length("value")).alias("end"), "value")
-    entity = F.concat_ws(":", "kind", F.lower("value"))
-    told = (found.select("doc_id", "a", entity.alias("entity")).distinct().join(disclosing_terms(docs, held, found), "entity")
-            .groupBy("doc_id", "a", "term").agg(F.max("disclosure").alias("disclosure"))
-            .groupBy("doc_id", "a", F.when(F.col("disclosure") >= REMOVE, "removed").otherwise("generalised").alias("kind"))
+    told = (disclosing_terms(docs, held, found)
+            .groupBy("a", F.when(F.col("disclosure") >= REMOVE, "removed").otherwise("generalised").alias("kind"))
             # longest first: of two alternatives the pattern takes the first
             .agg(F.array_join(F.sort_array(F.collect_set("term"), asc=False), "|").alias("terms")))
     told = materialize(told, "pii-told")
-    same = held["doc_id"].eqNullSafe(told["doc_id"]) & (held["a"] == told["a"])
-    texts = held.join(told, same).select(held["doc_id"], held["a"], "text", "kind", F.concat(
+    texts = held.join(told, "a").select("doc_id", "a", "text", "kind", F.concat(
         F.lit(r"(?iu)(?<!\p{L})(?:"), "terms", F.lit(r")(?!\p{L})")).alias("pattern"))
     terms = located(texts, ["doc_id", "a", "kind"], "text", F.col("pattern"))
     return base.unionAll(terms.select("doc_id", "a", "kind", "start", (F.col("start") + F.length("value")).alias("end"),

@@ -1,9 +1,10 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 
-from foldwise.llm.pii import find_personal_data, sanitise
+from foldwise.llm.pii import EVIDENCE, GENERALISE, SUPPORT, find_personal_data, sanitise
 
 from .conftest import frame
 
@@ -67,5 +68,59 @@ def test_terms_far_from_the_entity_disclose_it(spark):
     assert all(r["text"] == f"{filler} {r['doc_id'] - 20}" for r in got if r["doc_id"] >= 20)
 
 
+def _disclosed(rows):
+    """(doc_id, term) by the documented ratio, entity by entity, in plain Python."""
+    def names(text):
+        out = {}
+        for kind, start, end in brute(text):
+            value = text[start:end]
+            digits = re.sub("[^0-9]", "", value)
+            part = {"email": value.lower().split("@")[-1], "ip": value.rsplit(".", 1)[0]}.get(kind, digits[:6])
+            out |= {f"{kind}:{value.lower()}": False, f"class:{kind}:{part}": True, f"kind:{kind}": True}
+        return out
+
+    def terms(text):
+        return set(re.findall("[a-z]+", re.sub(PATTERNS["email"], " ", text).lower()))
+
+    n, gone = len(rows), set()
+    facts = [(i, x, names(x), terms(x)) for i, x in rows]
+    for entity, wide in {(e, w) for _, _, own, _ in facts for e, w in own.items()}:
+        holding = [f for f in facts if entity in f[2]]
+        if len(holding) == n:
+            continue
+        for term in set().union(*(f[3] for f in holding)):
+            both = [f for f in holding if term in f[3]]
+            shared = math.log2(len(both) * n / (len(holding) * sum(term in f[3] for f in facts)))
+            if (len({f[1] for f in both}) >= SUPPORT and shared / math.log2(n / len(holding)) >= GENERALISE
+                    and (not wide or len(both) * shared >= EVIDENCE)):
+                gone |= {(f[0], term) for f in both}
+    return gone
+
+
+def test_terms_of_unique_entities_match_brute_force(spark):
+    """Every entity is unique: its kind or class is what the terms disclose."""
+    rng, rows = random.Random(8), []
+    for i in range(240):
+        words = [rng.choice("tea town we write near rain road boat".split()) for _ in range(8)]
+        if i % 8 == 0:
+            words += ["mailbox", f"u{i}@{rng.choice(['x.org', 'y.net'])}"] + (["Zurich"] if i % 3 == 0 else [])
+        elif i % 8 == 1:
+            words += ["gateway", f"10.{i % 3}.7.{i}"]
+        elif i % 8 == 2:
+            words += ["town", "hotline", f"+1 202 555 {1000 + i}"]
+        elif i % 40 == 3:
+            words += ["mailbox"]
+        rows.append((i, " ".join(words)))
+    rows += [(300, None), (301, "")]
+    got = {(r["doc_id"], s["kind"], s["start"], s["end"]) for r in find_personal_data(frame(spark, rows)).collect()
+           for s in r["found"]}
+    text = dict(rows)
+    terms = {(i, text[i][a:b].lower()) for i, kind, a, b in got if kind in ("generalised", "removed")}
+    assert terms == _disclosed([(i, x or "") for i, x in rows])
+    assert {t for _, t in terms} >= {"mailbox", "gateway", "hotline"} and "tea" not in {t for _, t in terms}
+    # documents without an entity keep all their terms
+    assert all(brute(text[i]) for i, _ in terms)
+
+
 def test_empty_table(spark):
     assert find_personal_data(frame(spark, []).limit(0)).collect() == []
