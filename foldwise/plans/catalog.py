@@ -883,12 +883,12 @@ def slot_heads_q(spark, sf_dir):
 @register("pseudo_base_stream", f"WITH {_CORPUS_SQL} SELECT text_id, md5(full_text) AS full_text_md5 FROM cand")
 def pseudo_base_stream(spark, sf_dir):
     from foldwise.session import shared_path
-    from foldwise.sources.corpus import write_text_files
+    from foldwise.sources.corpus import pack_texts
     from foldwise.streaming.corpus_stream import start_pseudo_base
     folder = shared_path(spark, "corpus_files")
-    write_text_files(FX.corpus(spark, sf_dir), folder, "text_id", "full_text")
+    pack_texts(FX.corpus(spark, sf_dir), folder, "text_id", "full_text")
     out = shared_path(spark, "pseudo_base_stream")
-    q = start_pseudo_base(spark, folder, FX.labelled_essays(spark, sf_dir).select("text_id"), out, once=True)
+    q = start_pseudo_base(spark, folder, FX.labelled_essays(spark, sf_dir).select("text_id"), out, once=True, packed=True)
     q.awaitTermination()
     return spark.read.parquet(out).select("text_id", F.md5("full_text").alias("full_text_md5"))
 

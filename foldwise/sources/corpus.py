@@ -43,6 +43,16 @@ def read_text_corpus(spark: SparkSession, directory: str, glob: str = "*.txt") -
                       *[F.lit(None).cast("double").alias(t) for t in TARGETS])
 
 
+def pack_texts(df: DataFrame, directory: str, id_col: str, text_col: str, suffix: str = ".txt") -> None:
+    """Write the files of ``write_text_files`` as rows (path, content) of a few
+    Parquet files, so that no listing grows with the number of texts. As in a
+    folder, every name is there once; rows that share an id give one of their
+    texts (the greatest)."""
+    path = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("None")), F.lit(suffix)).alias("path")
+    content = F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("content")
+    df.select(path, content).groupBy("path").agg(F.max("content").alias("content")).write.parquet(directory)
+
+
 def write_text_files(df: DataFrame, directory: str, id_col: str, text_col: str, suffix: str = ".txt") -> None:
     """Write one UTF-8 file per row, named ``<id><suffix>`` (fixture helper).
 
