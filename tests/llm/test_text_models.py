@@ -329,6 +329,39 @@ def test_toxicity_learns_inflected_words(spark):
     assert {r["score"] for r in score(frame(spark, rows), None).collect()} == {0.5}
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    from foldwise.llm.toxicity import fit as fit_toxicity
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
+    # 40 toxic words, each in 20 of 2,400 texts: no small sample holds all of them
+    rows, toxic = [], []
+    for i in range(2400):
+        bad = i % 3 == 0
+        w = [word() for _ in range(30)] + (["zq" + "wxyz"[i // 3 % 4] + "uvstrnmlkj"[i // 12 % 10] + "x"] * 2 if bad else [])
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+        toxic.append((i, int(bad)))
+    rows += [(None, "no id"), (9000, None)]
+    labels = spark.createDataFrame(toxic + [(None, 1), (9000, 1), (8000, 1), (1, None)], "doc_id long, toxic int")
+    # one shard: the model of the texts in memory
+    own = fit_toxicity(frame(spark, rows[:600]), labels, Settings())
+    docs, seen = frame(spark, rows), []
+    place = {r[0]: r[1] for r in docs.selectExpr("doc_id", "pmod(xxhash64(doc_id, 3), 1 << 30)").collect()}
+    for i in sorted(range(600), key=lambda i: (place[i], i)):
+        seen.append((rows[i][1], toxic[i][1]))
+    plain = train([t for t, _ in seen], [y for _, y in seen], Settings())
+    assert np.array_equal(own.embed, plain.embed) and np.array_equal(own.out, plain.out) and own.out_bias == plain.out_bias
+    # many shards of rows beyond every bound
+    net = fit_toxicity(docs, labels, Settings(kind_rows=20, shard_rows=300))
+    fresh = [(i, " ".join([word() for _ in range(30)] + ["zq" + a + b + "x"] * 2))
+             for i, (a, b) in enumerate((a, b) for a in "wxyz" for b in "uvstrnmlkj")]
+    clean = [(100 + i, " ".join(word() for _ in range(32))) for i in range(200)]
+    got = {r["doc_id"]: r["predicted"] for r in score(frame(spark, fresh + clean), net).collect()}
+    assert sum(got[i] for i, _ in fresh) >= 38 and sum(got[i] for i, _ in clean) <= 4
+    assert fit_toxicity(docs, labels.where("toxic = 1")) is None
+
+
 def test_pooling_matches_a_plain_loop():
     from foldwise.llm.tokens import text_chunks
     from foldwise.llm.toxicity import WIDTHS, _start
