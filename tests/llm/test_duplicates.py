@@ -5,6 +5,8 @@ import random
 from collections import defaultdict
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from foldwise.llm.components import components
 from foldwise.llm.jaccard import keep_first, near_duplicate_classes
 from foldwise.llm.lines import dedup_lines, line_report
@@ -249,6 +251,26 @@ def test_lines_with_clashing_columns_and_very_long_texts(spark):
     assert out[5]["text"] == long and sorted((out[6]["text"], out[7]["text"])) == ["", "a b c d"] and out[8]["text"] is None
 
 
+def test_lines_of_a_large_bucket_are_all_compared(spark, monkeypatch):
+    """Pairs that share one key only, with many lines unlike them all."""
+    from foldwise.llm import lines as L
+    from foldwise.llm.frames import Scratch
+
+    monkeypatch.setattr(L, "SQUARE", 8)
+    rng = random.Random(21)
+    texts = []
+    for i in range(30):
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(6)]
+        texts += [" ".join(words), " ".join(words)[:-1] + "z"]
+    docs = frame(spark, list(enumerate(texts)))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("a"), F.lit(0).alias("line"), F.col("doc_id").alias("id"),
+                        F.lit(0).cast("long").alias("sim"), F.length("text").alias("length"),
+                        F.array(F.lit(7).cast("long")).alias("keys"))
+    with Scratch(spark) as keep:
+        links = {(r["u"], r["v"]) for r in L.similar_lines(docs, lines, keep).collect()}
+    assert links == {(2 * i + 1, 2 * i) for i in range(30)}
+
+
 def test_components_of_paths_and_cycles(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 105), (105, 103), (103, 100), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
