@@ -1,7 +1,7 @@
 """Per-(seed, fold) ridge models fitted from sufficient statistics.
 
 Features are hashed log term frequencies of the text (``featurize``: words
-split and hashed in the JVM, counted per Arrow batch with one ``bincount``;
+split and hashed in the JVM, counted per run of rows with one ``bincount``;
 no shuffle). Fitting needs one scan:
 every task folds its rows into augmented Gram matrices ``[1 X Y]^T [1 X Y]``
 per (seed, fold) and emits their upper triangles packed in 1,024-value chunks;
@@ -43,11 +43,27 @@ def bucket_counts(lists: pa.ListArray, n_features: int) -> np.ndarray:
     n = len(lists)
     lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    rows = np.repeat(np.arange(n, dtype=np.int64), lengths)
-    counts = np.bincount(rows * n_features + values, minlength=n * n_features)
+    cells = np.repeat(np.arange(0, n * n_features, n_features, dtype=np.int64), lengths)
+    cells += values
+    counts = np.bincount(cells, minlength=n * n_features)
     return np.log1p(counts.reshape(n, n_features))
 
 
+#: words that ``featurize`` counts at a time: memory does not grow with a batch
+WORDS_AT_ONCE = 1 << 18
+
+
+def runs_of_rows(lists: pa.ListArray, most: int):
+    """(begin, end) of successive rows that hold ``most`` values together, or
+    of one row that holds more."""
+    ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin, before = 0, 0
+    while begin < len(lists):
+        end = max(begin + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield begin, end
+        begin, before = end, int(ends[end - 1])
+
+
 def fixed_lists(X: np.ndarray, dtype=np.float32) -> pa.ListArray:
     n, d = X.shape
     offsets = pa.array(np.arange(0, n * d + 1, d, dtype=np.int32))
@@ -65,7 +81,7 @@ def featurize(df: DataFrame, n_features: int, text_col: str = "full_text", out_c
               row_col: str | None = None) -> DataFrame:
     """Replace the text column by ``features ARRAY<FLOAT>``: hashed log term
     frequencies. Words are split and hashed in the JVM; Python only counts
-    bucket ids of each Arrow batch with one ``bincount``. ``row_col`` adds a
+    bucket ids of runs of rows, each with one ``bincount``. ``row_col`` adds a
     number that is unique among the rows; write the table before reading it
     twice."""
     x = df.withColumn("_bk", word_buckets(F.col(text_col), n_features)).drop(text_col)
@@ -76,13 +92,16 @@ def featurize(df: DataFrame, n_features: int, text_col: str = "full_text", out_c
 
     def run(batches):
         row = TaskContext.get().partitionId() << 33
-        for rb in batches:
-            X = bucket_counts(rb.column(rb.schema.get_field_index("_bk")), n_features)
-            cols = [rb.column(rb.schema.get_field_index(n)) for n in names] + [fixed_lists(X)]
-            if row_col:
-                cols.append(pa.array(np.arange(row, row + rb.num_rows)))
-                row += rb.num_rows
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+        for whole in batches:
+            at = whole.schema.get_field_index("_bk")
+            for begin, end in runs_of_rows(whole.column(at), WORDS_AT_ONCE):
+                rb = whole.slice(begin, end - begin)
+                X = bucket_counts(rb.column(at), n_features)
+                cols = [rb.column(rb.schema.get_field_index(n)) for n in names] + [fixed_lists(X)]
+                if row_col:
+                    cols.append(pa.array(np.arange(row, row + rb.num_rows)))
+                    row += rb.num_rows
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return x.mapInArrow(run, schema)
 

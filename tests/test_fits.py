@@ -236,3 +236,24 @@ def test_ensemble_is_the_mean_of_its_models_and_checked(spark, train):
         M.checked_ensemble(ridge.predict_ensemble(feats, models), 5).collect()
     with pytest.raises(ValueError, match="incomplete ensemble"):
         jobs.inference(spark, train, {(42, 0): models[42, 0]}, train, cfg=SQUARED, seed=42)
+
+
+def test_features_are_counted_in_runs_of_bounded_size(spark, monkeypatch):
+    import pyarrow as pa
+
+    from foldwise.operators import ridge
+
+    lists = pa.array([[0] * 5, None, [], [1, 2], [0] * 9, [3], [], [2] * 4], type=pa.list_(pa.int32()))
+    runs = list(ridge.runs_of_rows(lists, 6))
+    assert runs == [(0, 3), (3, 4), (4, 5), (5, 8)]
+    assert list(ridge.runs_of_rows(lists.slice(3), 6)) == [(0, 1), (1, 2), (2, 5)]
+    whole = ridge.bucket_counts(lists, 4)
+    assert np.array_equal(np.vstack([ridge.bucket_counts(lists.slice(a, b - a), 4) for a, b in runs]), whole)
+    # no call sees a whole batch of many words
+    rows = [(i, f"w{i % 7} " * (i % 50)) for i in range(300)] + [(None, None)]
+    df = spark.createDataFrame(rows, "id long, full_text string").coalesce(1)
+    want = sorted(ridge.featurize(df, 4, row_col="row").collect(), key=lambda r: r["row"])
+    seen = ridge.runs_of_rows
+    monkeypatch.setattr(ridge, "runs_of_rows", lambda lists, most: seen(lists, 100))
+    got = sorted(ridge.featurize(df, 4, row_col="row").collect(), key=lambda r: r["row"])
+    assert got == want and len({r["row"] for r in got}) == 301
