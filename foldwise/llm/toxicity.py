@@ -42,8 +42,8 @@ class Settings:
     the rest shapes the model."""
 
     kind_rows: int = 2000
-    shard_rows: int = 8000
-    shard_chars: int = 32 << 20
+    shard_rows: int = 4000
+    shard_chars: int = 16 << 20
     buckets: int = 1 << 17
     dim: int = 12
     filters: int = 12
