@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from foldwise.llm.frames import Scratch, record, text_pass
 from foldwise.llm.tokens import split_words, text_chunks
+from foldwise.session import short_lived_shuffles
 
 WIDTHS = (1, 2, 3)
 #: a word's embedding is the sum of those of the word and of these prefixes
@@ -274,7 +275,8 @@ def _sums(packed: DataFrame, work, settings: Settings) -> dict[int, tuple[np.nda
                 sums = np.zeros((len(mask), 0))
         return pa.Table.from_batches([record(_PARTIAL, [part], [0], [sums.tobytes()], [seen.tobytes()])])
 
-    got = packed.mapInArrow(own, _SUMS).groupBy("part").applyInArrow(total, _SUMS).toArrow()
+    with short_lived_shuffles(packed.sparkSession):
+        got = packed.mapInArrow(own, _SUMS).groupBy("part").applyInArrow(total, _SUMS).toArrow()
     out = {}
     for part, sums, seen in zip(*(got[c].to_pylist() for c in ("part", "vals", "seen"))):
         seen = np.frombuffer(seen, dtype=np.int64)
@@ -364,6 +366,14 @@ def calibrate(net: Cnn, packed: DataFrame, s: Settings) -> None:
             net.thresholds[str(name)] = float(GRID[np.lexsort((np.abs(GRID - s.common_threshold), -f1))[0]])
 
 
+def _dealt(docs: DataFrame, known: DataFrame, shards: int) -> DataFrame:
+    """The rows of ``docs`` with a known label, their places and shards. Joined
+    the same way whatever the size: a broadcast of labels serves small tables only."""
+    place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30))
+    rows = docs.select("doc_id", "text", "lang").join(known.hint("merge"), "doc_id").withColumn("place", place)
+    return rows.withColumn("shard", F.shiftright(F.col("place") * shards, 30).cast("int"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Cnn | None:
     """A model of all labelled documents. An id's place in the order of rows,
     and with it its shard, depends on the id alone. Only sums over the shards
@@ -379,9 +389,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     share = np.minimum(1.0, s.kind_rows / n)
     weights, epochs = share * n.sum() / (share * n).sum(), _epochs(int(n.sum()), s)
     shards = max(-(-int(n.sum()) // s.shard_rows), -(-(sizes[0][1] + sizes[1][1]) // s.shard_chars))
-    place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30))
-    rows = given.select("doc_id", "text", "lang").join(known, "doc_id").withColumn("place", place).withColumn(
-        "shard", F.shiftright(F.col("place") * shards, 30).cast("int"))
+    rows = _dealt(given, known, shards)
     with Scratch(docs.sparkSession) as keep:
         packed = keep(_packed(rows), "toxicity-shards")
         counts, _ = _spread(_sums(packed, _count_shard(s), s), 2)

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foldwise.llm import decontaminate as D
 from foldwise.llm.bpe import Bpe, encode_digest, encode_documents
@@ -362,6 +363,36 @@ def test_toxicity_learns_from_all_labelled_rows(spark):
     assert fit_toxicity(docs, labels.where("toxic = 1")) is None
 
 
+def test_toxicity_joins_labels_alike_whatever_the_size(spark):
+    from foldwise.llm.toxicity import _dealt
+
+    labels, name = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"), "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10MB")
+    try:
+        rows = _dealt(frame(spark, [(1, "a"), (2, "b"), (3, "c")]), labels, 4)
+        assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    assert sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows.collect()) == [(1, "a", 1), (2, "b", 0)]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from foldwise.llm.frames import Scratch
+    from foldwise.session import materialize
+
+    def files():
+        found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(k).getName() for k in range(found.size()) if found.apply(k).getName().startswith("shuffle_")}
+
+    df, before = spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count(), files()
+    with Scratch(spark) as keep:
+        assert keep(df, "shuffled").count() == 7 and materialize(df, "shuffled").count() == 7
+        left = files() - before
+    # the counts that read the tables shuffle a row a task, the writes nothing any more
+    assert len({x.split("_")[1] for x in left}) <= 2
+
+
 def test_pooling_matches_a_plain_loop():
     from foldwise.llm.tokens import text_chunks
     from foldwise.llm.toxicity import WIDTHS, _start
