@@ -11,9 +11,14 @@ before a pair is verified. For a pair the smaller l of the two counts.
 Equal sets are one class from the start. Candidates then come in two rounds.
 First, in every list of documents that share a shingle, each is paired with the
 list's first only; verified pairs make components. Second, pairs of one list
-whose components still differ are all enumerated; what is linked already needs
+whose components still differ are all met; what is linked already needs
 no pair. So no link is lost and copies never give all their pairs.
 
+Each set has a sketch of ``SKETCH`` bits, the parities of its shingles by hash.
+Bits in which two sketches differ stand for a shingle each that only one of the
+sets holds, and sets that link differ in a ninth of their sizes' sum at most. So
+a pair whose sketches differ in more bits is no candidate, and none is lost.
+
 The order by weight uses the ``HEAVY`` most frequent shingles of all texts
 (a bounded table, with counts summed over tasks); it changes the cost of the
 join, never its result.
@@ -26,6 +31,8 @@ Only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -43,6 +50,9 @@ MAX_LEVEL = 4
 VERIFY_COST = 20
 HEAVY, HEAVY_LOCAL = 1 << 19, 2
 FLUSH = 1 << 22
+#: bits of a sketch, in longs
+SKETCH = 1024
+BITS = [f"b{k}" for k in range(SKETCH // 64)]
 NULL_ID = -(1 << 63)
 _I, _S = pa.int64(), pa.int32()
 
@@ -131,12 +141,20 @@ def prefixes(doc: np.ndarray, x: np.ndarray, n_docs: int, keys: np.ndarray, weig
     return n, doc[keep], x[keep], tag[keep], level
 
 
-_FACTS = pa.schema([("doc_id", _I), ("a", _I), ("n", _S), ("s1", _I), ("s2", _I)])
+_FACTS = pa.schema([("doc_id", _I), ("a", _I), ("n", _S), ("s1", _I), ("s2", _I), *((b, _I) for b in BITS)])
+
+
+def sketches(doc: np.ndarray, x: np.ndarray, n_docs: int) -> np.ndarray:
+    """Per text ``SKETCH`` parities as longs, of how many shingles have a hash
+    that goes to the bit."""
+    bit = (mix(x ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(SKETCH)).astype(np.int64)
+    odd = np.bincount(doc * SKETCH + bit, minlength=n_docs * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n_docs, SKETCH), axis=1).view(np.int64)
 
 
 def document_facts(docs: DataFrame) -> DataFrame:
-    """Per row: id, hash of the text, set size and two sums over its shingles
-    (equal for equal sets)."""
+    """Per row: id, hash of the text, set size, two sums over its shingles
+    (equal for equal sets) and its sketch."""
 
     def run(batches):
         for batch in batches:
@@ -146,11 +164,12 @@ def document_facts(docs: DataFrame) -> DataFrame:
                 for total, salt in zip(sums, (1, 2)):
                     np.add.at(total, doc, mix(x ^ np.uint64(0x9E3779B97F4A7C15 * salt & (1 << 64) - 1)))
                 yield record(_FACTS, batch.column(0).slice(p, q - p), batch.column(1).slice(p, q - p),
-                             np.bincount(doc, minlength=q - p), signed(sums[0]), signed(sums[1]))
+                             np.bincount(doc, minlength=q - p), signed(sums[0]), signed(sums[1]),
+                             *np.ascontiguousarray(sketches(doc, x, q - p).T))
 
     text = F.coalesce("text", F.lit(""))
     return docs.select("doc_id", F.xxhash64(text).alias("a"), text.alias("text")).mapInArrow(
-        run, "doc_id long, a long, n int, s1 long, s2 long")
+        run, "doc_id long, a long, n int, s1 long, s2 long, " + ", ".join(f"{b} long" for b in BITS))
 
 
 def keyed(docs: DataFrame, facts: DataFrame, keep: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -267,7 +286,8 @@ def verified(pairs: DataFrame, texts: DataFrame, keep: Scratch) -> DataFrame:
     by v, whose own text leads them; a document is v of one task's documents
     and of one entry per task at most, so no v has all the others."""
     both = pairs.union(pairs.select("v", "v")).distinct()
-    rows = both.join(texts.withColumnRenamed("row", "u"), "u").select("v", "u", "text")
+    # merged whatever the size: a broadcast of the pairs would do for few only
+    rows = both.join(texts.withColumnRenamed("row", "u").hint("merge"), "u").select("v", "u", "text")
     schema = pa.schema([("u", _I), ("v", _I)])
 
     def run(batches):
@@ -295,6 +315,14 @@ def near(n: Column, m: Column) -> Column:
     return (100 * F.least(n, m)) >= (PERCENT * F.greatest(n, m))
 
 
+def alike(x: str, y: str, n: Column, m: Column) -> Column:
+    """Whether the sketches of two sets of ``n`` and ``m`` shingles (columns
+    that end in ``x`` and ``y``) allow a link: 100 * common >= PERCENT * union,
+    with the symmetric difference for common and union."""
+    differ = reduce(Column.__add__, [F.bit_count(F.col(b + x).bitwiseXOR(F.col(b + y))) for b in BITS])
+    return (100 + PERCENT) * differ <= (100 - PERCENT) * (n + m)
+
+
 def placed_documents(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, a (hash of the text), n (set size) and its
     component's number (null: empty set)."""
@@ -312,8 +340,7 @@ def _placed_documents(docs: DataFrame, keep: Scratch) -> DataFrame:
     lists = keep(sent.repartition("token").sortWithinPartitions("token", F.shiftright("info", 8), "row")
                  .mapInArrow(_with_hubs, _ENTRY_SCHEMA).union(prefix_entries(texts, *heavy, False)), "jaccard-lists")
     reps = of_row.where("row = rep").select("row")
-    in_lists = reps.join(lists.select("row").distinct(), "row", "left_semi")
-    member_texts = keep(texts.join(in_lists, "row"), "jaccard-members")
+    sets = keep(facts.select("row", "n", *BITS).join(reps, "row").dropDuplicates(["row"]), "jaccard-sets")
 
     # round 1: every entry with the first of its list
     own, hub = unpacked("info"), unpacked("hub_info")
@@ -323,8 +350,10 @@ def _placed_documents(docs: DataFrame, keep: Scratch) -> DataFrame:
              .join(of_row.withColumnRenamed("rep", "x"), "row")
              .join(of_row.withColumnsRenamed({"row": "hub", "rep": "y"}), "hub")
              .select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct())
-    pairs = keep(pairs, "jaccard-pairs")
-    links = verified(pairs, member_texts, keep)
+    for end in "uv":
+        pairs = pairs.join(sets.withColumnsRenamed({c: c + end for c in ("n", *BITS)}).withColumnRenamed("row", end), end)
+    pairs = keep(pairs.where(alike("u", "v", F.col("nu"), F.col("nv"))).select("u", "v"), "jaccard-pairs")
+    links = verified(pairs, texts, keep)
     joined = components(links, keep)
 
     # round 2: entries of lists in which components still differ, class by class
@@ -333,16 +362,17 @@ def _placed_documents(docs: DataFrame, keep: Scratch) -> DataFrame:
             .withColumn("component", F.coalesce("component", "row")))
     left = keep(left, "jaccard-left")
     open_lists = left.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    left = keep(left.join(open_lists.select("token"), "token", "left_semi"), "jaccard-open")
-    other = left.select("token", *[F.col(c).alias(f"{c}_2") for c in ("row", "info", "component")])
+    left = left.join(open_lists.select("token"), "token", "left_semi")
+    left = keep(left.join(sets.drop("n"), "row"), "jaccard-open")
+    other = left.select("token", *[F.col(c).alias(f"{c}_2") for c in ("row", "info", "component", *BITS)])
     two = unpacked("info_2")
     level = F.least(own["level"], two["level"])
     more = (left.join(other, "token").where("row > row_2 and component <> component_2").where(near(own["n"], two["n"]))
-            .where(F.greatest(own["tag"], two["tag"]) <= level)
+            .where(F.greatest(own["tag"], two["tag"]) <= level).where(alike("", "_2", own["n"], two["n"]))
             .groupBy(F.col("row").alias("u"), F.col("row_2").alias("v"))
             .agg(F.count("*").alias("shared"), F.min(level).alias("least")).where("shared >= least").select("u", "v"))
     more = keep(more.join(pairs, ["u", "v"], "left_anti"), "jaccard-more")
-    joined = components(links.union(verified(more, member_texts, keep)), keep)
+    joined = components(links.union(verified(more, texts, keep)), keep)
 
     of_row = (of_row.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
               .select("row", F.coalesce("component", "rep").alias("component")))

@@ -66,6 +66,35 @@ def test_jaccard_hot_groups(spark):
     assert got == brute_classes(rows)
 
 
+def test_sketches_never_differ_more_than_the_sets():
+    import numpy as np
+    from foldwise.llm.jaccard import SKETCH, sketches
+
+    rng = np.random.default_rng(4)
+    for size in (1, 5, 40, 400, 4000):
+        a = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        b = np.concatenate([a[size // 8:], rng.integers(0, 1 << 63, size // 9, dtype=np.uint64)])
+        got = sketches(np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b]), 3)
+        assert got.shape == (3, SKETCH // 64) and not got[2].any()
+        differ = sum(int(x).bit_count() for x in (got[0] ^ got[1]).view(np.uint64))
+        assert differ <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_jaccard_meets_no_pairs_of_a_shared_template(spark, monkeypatch):
+    """Documents that share a passage and are far from similar: their texts
+    are not compared pair by pair."""
+    from foldwise.llm import jaccard
+
+    rng, compared = random.Random(8), []
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join(f"w{rng.randrange(9000)}" for _ in range(60)) + " " + passage) for i in range(120)]
+    own = jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *a: compared.append(pairs.count()) or own(pairs, *a))
+    monkeypatch.setattr(jaccard, "HEAVY", 0)  # no weights: the passage's shingles are in prefixes
+    got = sorted((tuple(r) for r in near_duplicate_classes(frame(spark, rows)).collect()), key=str)
+    assert got == brute_classes(rows) and sum(compared) < 120
+
+
 def test_keep_first_keeps_one_of_each_component(spark, near_copies):
     rows = near_copies + near_copies[:30] + [(3, "another text under a known id and more words")]
     kept = sorted((r["doc_id"], r["text"] or "") for r in keep_first(frame(spark, rows)).collect())
