@@ -8,11 +8,13 @@ document picks l by the candidates its prefix is estimated to bring: where many
 are expected the prefix is longer and as many shared shingles are demanded
 before a pair is verified. For a pair the smaller l of the two counts.
 
-Equal sets are one class from the start. Candidates then come in two rounds.
+Equal sets are one class from the start. Candidates then come in three rounds.
 First, in every list of documents that share a shingle, each is paired with the
-list's first only; verified pairs make components. Second, pairs of one list
-whose components still differ are all met; what is linked already needs
-no pair. So no link is lost and copies never give all their pairs.
+list's first only; verified pairs make components. Second, documents that are
+beside each other in a list and of two components are paired, one pair for each
+two components. Third, pairs of one list whose components still differ are all
+met; what is linked already needs no pair. So no link is lost and copies never
+give all their pairs.
 
 Each set has a sketch of ``SKETCH`` bits, the parities of its shingles by hash.
 Bits in which two sketches differ stand for a shingle each that only one of the
@@ -35,7 +37,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.llm.components import components
@@ -53,6 +55,8 @@ FLUSH = 1 << 22
 #: bits of a sketch, in longs
 SKETCH = 1024
 BITS = [f"b{k}" for k in range(SKETCH // 64)]
+#: bits that mark the texts of pairs
+MARKS = 1 << 23
 NULL_ID = -(1 << 63)
 _I, _S = pa.int64(), pa.int32()
 
@@ -281,11 +285,24 @@ def _own_set(text: str) -> np.ndarray:
     return shingles(data, np.array([0, len(data)]))[1]
 
 
+def _marked(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """``texts`` without most of those that are not among ``rows``: the bits of
+    a table of bounded size tell by a hash which may be, so that few texts
+    meet the pairs in a shuffle."""
+    place = F.xxhash64(rows.columns[0]).bitwiseAND(F.lit(MARKS - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    marks = rows.groupBy(F.shiftright(place, 6).alias("mark")).agg(F.bit_or(one).alias("marks"))
+    place = F.xxhash64("row").bitwiseAND(F.lit(MARKS - 1))
+    held = F.call_function("shiftright", F.col("marks"), place.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return texts.join(F.broadcast(marks), F.shiftright(place, 6) == F.col("mark")).where(held).select(*texts.columns)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, keep: Scratch) -> DataFrame:
     """Of pairs (u, v) those whose whole texts' sets link. Pairs are dealt out
     by v, whose own text leads them; a document is v of one task's documents
     and of one entry per task at most, so no v has all the others."""
     both = pairs.union(pairs.select("v", "v")).distinct()
+    texts = _marked(texts, both.select("u"))
     # merged whatever the size: a broadcast of the pairs would do for few only
     rows = both.join(texts.withColumnRenamed("row", "u").hint("merge"), "u").select("v", "u", "text")
     schema = pa.schema([("u", _I), ("v", _I)])
@@ -323,6 +340,37 @@ def alike(x: str, y: str, n: Column, m: Column) -> Column:
     return (100 + PERCENT) * differ <= (100 - PERCENT) * (n + m)
 
 
+def _open_entries(entries: DataFrame, joined: DataFrame) -> DataFrame:
+    """Entries (token, row, info) of lists in which components differ, with the
+    component. ``joined``: (node, component) so far."""
+    rows = entries.join(joined.withColumnRenamed("node", "row"), "row", "left").withColumn(
+        "component", F.coalesce("component", "row"))
+    mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    return rows.join(mixed.select("token"), "token", "left_semi")
+
+
+def _neighbours(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): entries that follow each other in a list, by size and in a mixed
+    order, and are of two components, as far as sizes and sketches allow a
+    link; of each two components the pair that meets most often."""
+    own, before = unpacked("info"), unpacked("before.info")
+    facts = F.struct("row", "info", "component")
+    met = []
+    for order in ([own["n"], F.col("row")], [F.xxhash64("row"), F.col("row")]):
+        rows = entries.withColumn("before", F.lag(facts).over(Window.partitionBy("token").orderBy(*order)))
+        rows = rows.where(F.col("component") != F.col("before.component")).where(near(own["n"], before["n"]))
+        ends = F.struct("row", "component"), F.struct("before.row", "before.component")
+        met.append(rows.select(F.greatest(*ends).alias("x"), F.least(*ends).alias("y")))
+    pairs = met[0].union(met[1]).groupBy("x", "y").agg(F.count("*").alias("times")).select(
+        F.col("x.row").alias("u"), F.col("y.row").alias("v"), "times",
+        F.least("x.component", "y.component").alias("lo"), F.greatest("x.component", "y.component").alias("hi"))
+    for end in "uv":
+        pairs = pairs.join(sets.withColumnsRenamed({c: c + end for c in ("n", *BITS)}).withColumnRenamed("row", end), end)
+    pairs = pairs.where(alike("u", "v", F.col("nu"), F.col("nv")))
+    best = pairs.groupBy("lo", "hi").agg(F.max(F.struct("times", "u", "v")).alias("best"))
+    return best.select("best.u", "best.v")
+
+
 def placed_documents(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, a (hash of the text), n (set size) and its
     component's number (null: empty set)."""
@@ -356,13 +404,14 @@ def _placed_documents(docs: DataFrame, keep: Scratch) -> DataFrame:
     links = verified(pairs, texts, keep)
     joined = components(links, keep)
 
-    # round 2: entries of lists in which components still differ, class by class
-    left = (lists.select("token", "row", "info").join(reps, "row", "left_semi")
-            .join(joined.withColumnRenamed("node", "row"), "row", "left")
-            .withColumn("component", F.coalesce("component", "row")))
-    left = keep(left, "jaccard-left")
-    open_lists = left.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    left = left.join(open_lists.select("token"), "token", "left_semi")
+    # round 2: neighbours in lists in which components still differ, class by class
+    left = keep(_open_entries(lists.select("token", "row", "info").join(reps, "row", "left_semi"), joined), "jaccard-left")
+    beside = keep(_neighbours(left, sets).join(pairs, ["u", "v"], "left_anti"), "jaccard-beside")
+    links = links.union(verified(beside, texts, keep))
+    pairs, joined = pairs.union(beside), components(links, keep)
+
+    # round 3: all entries of lists in which components differ even now
+    left = _open_entries(left.drop("component"), joined)
     left = keep(left.join(sets.drop("n"), "row"), "jaccard-open")
     other = left.select("token", *[F.col(c).alias(f"{c}_2") for c in ("row", "info", "component", *BITS)])
     two = unpacked("info_2")

@@ -95,6 +95,30 @@ def test_jaccard_meets_no_pairs_of_a_shared_template(spark, monkeypatch):
     assert got == brute_classes(rows) and sum(compared) < 120
 
 
+def test_jaccard_joins_groups_before_it_meets_all_their_pairs(spark, monkeypatch):
+    import foldwise.llm.jaccard as jaccard
+
+    # every list's first is a document of one shingle, which links with no other
+    common = [f"w{i}" for i in range(100)]
+    rows = [(k, " ".join(common + [f"d{k}x{j}" for j in range(4)])) for k in range(40)]
+    rows += [(100 + i, " ".join(common[i:i + 5])) for i in range(96)]
+    compared = []
+    own = jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *a: compared.append(pairs.count()) or own(pairs, *a))
+    got = sorted(tuple(r) for r in near_duplicate_classes(frame(spark, rows)).collect())
+    assert got == [(k, 100, 0) for k in range(40)] + [(100 + i, 1, 100 + i) for i in range(96)]
+    assert sum(compared) < 150  # of 780 pairs
+
+
+def test_only_texts_of_pairs_meet_them(spark):
+    from foldwise.llm.jaccard import _marked
+
+    texts = spark.range(3000).selectExpr("id - 1500 as row", "'x' as text")
+    wanted = [(-1500,), (-1,), (0,), (7,), (1499,)]
+    got = {r["row"] for r in _marked(texts, spark.createDataFrame(wanted, "u long")).collect()}
+    assert got >= {w for w, in wanted} and len(got) < 30
+
+
 def test_keep_first_keeps_one_of_each_component(spark, near_copies):
     rows = near_copies + near_copies[:30] + [(3, "another text under a known id and more words")]
     kept = sorted((r["doc_id"], r["text"] or "") for r in keep_first(frame(spark, rows)).collect())
