@@ -9,7 +9,7 @@ two tokens again. Following the stored last tokens back from the whole piece
 gives the ids.
 
 Rows: a null text counts as empty and has no tokens; repeated pieces are
-served from a cache that is emptied when full; a piece of any length is
+served from a cache of bounded size; a piece of any length is
 handled whole; an empty table gives no rows. Only ``doc_id`` and ``text`` are
 read. The vocabulary file's path is a parameter.
 """
@@ -63,7 +63,7 @@ class Bpe:
     """Encoder for a tokenizer file with NFC / white space / lower-case
     normalisation, pattern splitting, byte-level symbols and a word-end mark."""
 
-    def __init__(self, path: str, cache_limit: int = 500_000):
+    def __init__(self, path: str, cache_limit: int = 300_000):
         self.path, self.library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -91,7 +91,9 @@ class Bpe:
                 s = self._own(token)
                 self.matcher.add_word(s, (len(s), i))
         self.matcher.make_automaton()
+        # two generations: what is not asked for again goes with the older one
         self.cache: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
         self.cache_limit = cache_limit
 
     def _own(self, token: str) -> str:
@@ -181,10 +183,10 @@ class Bpe:
         return len(ids), " ".join(map(str, ids)), " ".join([self.names[i] for i in ids])
 
     def _piece(self, piece: str) -> tuple[int, str, str]:
-        if len(self.cache) >= self.cache_limit:
-            self.cache.clear()
-        got = self._answer("".join([self.symbols[b] for b in piece.encode("utf-8")]))
+        got = self.older.get(piece) or self._answer("".join([self.symbols[b] for b in piece.encode("utf-8")]))
         if len(piece) <= 64:
+            if len(self.cache) >= self.cache_limit // 2:
+                self.older, self.cache = self.cache, {}
             self.cache[piece] = got
         return got
 

@@ -41,6 +41,8 @@ UNKNOWN = "und"
 #: bits per character beyond the language's mean below which nothing is
 #: rejected, however long the text (a mix of known languages stays below)
 EXCESS = 0.75
+#: words whose symbols are held at a time
+WORDS_AT_ONCE = 4096
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -126,7 +128,9 @@ class WordCosts(dict):
         if need > len(self.table):
             self.table = np.vstack([self.table, np.zeros((max(need, len(self.table)), self.table.shape[1]))])
         base = len(self)
-        self.table[base:need, :-1] = self.models.word_costs(new)
+        for a in range(0, len(new), WORDS_AT_ONCE):
+            part = self.models.word_costs(new[a:a + WORDS_AT_ONCE])
+            self.table[base + a:base + a + len(part), :-1] = part
         self.table[base:need, -1] = [len(w) + 1 for w in new]
         self.update(zip(new, range(base, need)))
         out = np.zeros((len(words), self.table.shape[1]))
@@ -149,24 +153,31 @@ def _one_language(counts: Counter, order: int) -> list[dict]:
     """Per order: n-gram hashes with adjusted counts and context hashes with
     their totals and numbers of kinds."""
     words = sorted(counts)
-    place, grams, word = _grams(words, order)
-    weight = np.array([counts[w] for w in words], dtype=np.float64)[word]
-    out = []
-    for k in range(order):
-        ok = place >= max(1, k)
-        key, first, inverse = np.unique(grams[k][ok], return_index=True, return_inverse=True)
-        raw = np.bincount(inverse, weights=weight[ok], minlength=len(key))
-        spots = np.flatnonzero(ok)[first]
-        if k + 1 < order:
-            # continuation count: kinds of symbols that come before the n-gram;
-            # an n-gram that begins a word has none and keeps its count
-            longer = place >= k + 1
-            kinds = np.unique(np.stack([grams[k][longer], grams[k + 1][longer]], axis=1), axis=0)[:, 0]
-            kind, n = np.unique(kinds, return_counts=True)
-            at, hit = _lookup(kind, key)
-            raw = np.where(hit & (place[spots] > k), n[at] if len(kind) else 0, raw)
-        context = grams[k - 1][spots - 1] if k else np.zeros(len(spots), dtype=np.uint64)
-        out.append({"key": key, "count": raw, "context": context})
+    held = [[] for _ in range(order)]
+    for a in range(0, len(words), WORDS_AT_ONCE):
+        part = words[a:a + WORDS_AT_ONCE]
+        place, grams, word = _grams(part, order)
+        weight = np.array([counts[w] for w in part], dtype=np.float64)[word]
+        for k in range(order):
+            ok = place >= max(1, k)
+            key, first, inverse = np.unique(grams[k][ok], return_index=True, return_inverse=True)
+            spots = np.flatnonzero(ok)[first]
+            none = np.zeros(len(spots), dtype=np.uint64)
+            held[k].append((key, np.bincount(inverse, weights=weight[ok], minlength=len(key)),
+                            grams[k - 1][spots - 1] if k else none, grams[k - 1][spots] if k else none, place[spots] > k))
+    out, shorter = [], []
+    for own in held:
+        key, raw, context, tail, inside = map(np.concatenate, zip(*own))
+        key, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        raw = np.bincount(inverse, weights=raw, minlength=len(key))
+        out.append({"key": key, "count": raw, "context": context[first], "inside": inside[first]})
+        shorter.append(tail[first])
+    for own, tails in zip(out, shorter[1:]):
+        # continuation count: kinds of symbols that come before the n-gram;
+        # an n-gram that begins a word has none and keeps its count
+        kind, n = np.unique(tails, return_counts=True)
+        at, hit = _lookup(kind, own["key"])
+        own["count"] = np.where(hit & own["inside"], n[at] if len(kind) else 0, own["count"])
     return out
 
 

@@ -419,3 +419,34 @@ def test_empty_tables(spark):
     assert lm_scores(empty, empty["doc_id"] > 0).collect() == []
     assert identify(empty, fit([])).collect() == [] and score(empty, None).collect() == []
     assert encode_digest(empty, vocabulary()).collect() == []
+
+
+def test_language_models_do_not_depend_on_how_many_words_are_held(monkeypatch):
+    from foldwise.llm import langid
+
+    rng = random.Random(12)
+    sample = [(lang, " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(40)))
+              for lang, letters in (("a", "abcdefgh"), ("b", "efghijkl")) for _ in range(60)]
+    held, sizes = langid._grams, []
+    monkeypatch.setattr(langid, "_grams", lambda words, order: sizes.append(len(words)) or held(words, order))
+    whole = langid.fit(sample)
+    monkeypatch.setattr(langid, "WORDS_AT_ONCE", 7)
+    sizes.clear()
+    parts = langid.fit(sample)
+    assert max(sizes) <= 7
+    for name in ("keys", "terms", "contexts", "rest"):
+        assert all((x == y).all() for x, y in zip(getattr(whole, name), getattr(parts, name), strict=True))
+    assert (abs(whole.mean - parts.mean) < 1e-9).all()
+
+
+def test_bpe_cache_is_bounded_and_keeps_what_is_asked_for_again(monkeypatch):
+    rng = random.Random(13)
+    often = [f"often{k}" for k in "abcde"]
+    texts = [" ".join([*often, *("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(20))]) for _ in range(60)]
+    small, large = Bpe(vocabulary(), 100), Bpe(vocabulary())
+    asked, own = Counter(), small._answer
+    monkeypatch.setattr(small, "_answer", lambda s: asked.update([s]) or own(s))
+    for t in texts:
+        assert small.encode(t) == large.encode(t)
+        assert len(small.cache) + len(small.older) <= small.cache_limit
+    assert [asked[w] for w in often] == [1] * 5
