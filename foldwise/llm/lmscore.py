@@ -17,7 +17,8 @@ by joins with the tables, and the score does not depend on the cache's size.
 
 N-grams travel packed as numpy arrays, by parts of their hash, in ``ROUNDS``
 rounds per order, each with a share of all hashes, so that only a share of them
-is in a shuffle at a time.
+is in a shuffle at a time. Texts are copied only where ids do not tell rows
+apart, and counts go as soon as the weights made of them are written.
 
 Words and n-grams are told apart by 64-bit hashes. Rows: a null text counts as
 empty and has the end token alone; repeated rows are scored alike, each on its
@@ -46,13 +47,16 @@ LEAST = 2  # occurrences of an n-gram of the model
 DISCOUNT = 0.7
 BLOCK_TOKENS = 1 << 22
 ROUNDS, PART_GRAMS, BLOCK_GRAMS = 2, 1 << 20, 1 << 20
+MAY_BITS = 22  # of a table that tells which codes may be arcs
 BITS = 21  # of a word's number; the end token is number 0
 END = 1  # the end token's hash
 
 _COUNTS = pa.schema([("word", pa.int64()), ("n", pa.int64())])
 _GRAMS = pa.schema([("key", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("n", pa.int64())])
 _COUNT_PARTS = pa.schema([("part", pa.int32()), ("x", pa.binary()), ("y", pa.binary()), ("n", pa.binary())])
-_TEXT_PARTS = pa.schema([("part", pa.int32()), ("key", pa.binary()), ("n", pa.binary()), ("row", pa.binary())])
+_TEXT_PARTS = pa.schema([("part", pa.int32()), ("key", pa.binary()), ("n", pa.binary()), ("row", pa.binary()),
+                         ("block", pa.int64())])
+_BLOCK_SUMS = pa.schema([("block", pa.int64()), ("row", pa.binary()), ("more", pa.binary())])
 _MORE = pa.schema([("row", pa.int64()), ("more", pa.float64())])
 
 
@@ -102,8 +106,12 @@ class Vocabulary:
         """Number of each word, -1 for words that are not frequent."""
         if not len(self.keys):
             return np.full(len(hashes), -1, dtype=np.int64)
+        by = np.argsort(hashes)  # a sorted search stays in the cache
+        hashes = hashes[by]
         at = np.searchsorted(self.keys, hashes).clip(0, len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, at + 1, -1)
+        out = np.empty(len(hashes), dtype=np.int64)
+        out[by] = np.where(self.keys[at] == hashes, at + 1, -1)
+        return out
 
     def base(self, n) -> float:
         return math.log10((n + ADD) / (self.tokens + ADD * (self.kinds + 1)))
@@ -142,24 +150,41 @@ def _grams(w: Words, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return words[ok], x[ok], y[ok], text[:len(ok)][ok]
 
 
+def _sums(row: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows and their sums."""
+    own, inverse = np.unique(row, return_inverse=True)
+    return own, np.bincount(inverse, weights=each, minlength=len(own))
+
+
 def _rounds(order: int) -> list[tuple[int, int]]:
     return [(order, k) for k in range(ROUNDS)]
 
 
 def _part(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((keys >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+    """The part of each key, by its upper bits: sorted keys lie part by part."""
+    return ((keys >> np.uint64(33)) * np.uint64(parts) >> np.uint64(31)).astype(np.int64)
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts ``keys`` and the places in it at which a key begins."""
+    by = np.argsort(keys)
+    ordered = keys[by]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return by, np.flatnonzero(new)
 
 
-def _by_part(schema: pa.Schema, part: np.ndarray, columns: list[tuple[np.ndarray, np.ndarray | None]]):
+def _by_part(schema: pa.Schema, part: np.ndarray, columns: list[tuple[np.ndarray, np.ndarray | None]], *same: int):
     """A row per part; ``part`` is sorted. A column comes with the places at
-    which the entries of ``part`` begin in it (None: entry by entry)."""
+    which the entries of ``part`` begin in it (None: entry by entry); ``same``
+    are the values of columns that all rows have alike."""
     cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, int)
     ends = np.append(cuts[1:], len(part))
     out = [part[cuts]]
     for values, places in columns:
         a, b = (cuts, ends) if places is None else (places[cuts], places[ends])
         out.append([_pack(values[i:j]) for i, j in zip(a.tolist(), b.tolist())])
-    return record(schema, *out)
+    return record(schema, *out, *(np.full(len(cuts), v) for v in same))
 
 
 def ngram_counts(texts: DataFrame, order: int, tokens: int, keep: Scratch) -> DataFrame:
@@ -172,11 +197,9 @@ def ngram_counts(texts: DataFrame, order: int, tokens: int, keep: Scratch) -> Da
 
             def flush():
                 key, x, y = (np.concatenate([h[k] for h in held]) for k in range(3))
-                key, at, n = np.unique(key, return_index=True, return_counts=True)
-                part = _part(key, parts)
-                by = np.argsort(part, kind="stable")
-                at = at[by]
-                return _by_part(_COUNT_PARTS, part[by], [(x[at], None), (y[at], None), (n[by], None)])
+                by, places = _runs(key)
+                n, at = np.diff(np.append(places, len(key))), by[places]
+                return _by_part(_COUNT_PARTS, _part(key[at], parts), [(x[at], None), (y[at], None), (n, None)])
 
             for batch in batches:
                 for _, _, w in _words(batch.column(0)):
@@ -194,10 +217,12 @@ def ngram_counts(texts: DataFrame, order: int, tokens: int, keep: Scratch) -> Da
 
     def add_up(rows: pa.Table) -> pa.Table:
         x, y, n = (np.concatenate([_unpack(v.as_buffer()) for v in rows[c]]) for c in ("x", "y", "n"))
-        key, at, inverse = np.unique(_joined(x, y), return_index=True, return_inverse=True)
-        n = np.bincount(inverse, weights=n, minlength=len(key)).astype(np.int64)
+        key = _joined(x, y)
+        by, places = _runs(key)
+        n = np.add.reduceat(n[by].view(np.int64), places)  # no part is without an n-gram
         ok = n >= LEAST
-        return pa.Table.from_batches([record(_GRAMS, signed(key[ok]), signed(x[at[ok]]), signed(y[at[ok]]), n[ok])])
+        at = by[places[ok]]
+        return pa.Table.from_batches([record(_GRAMS, signed(key[at]), signed(x[at]), signed(y[at]), n[ok])])
 
     done = []
     for _, turn in _rounds(order):
@@ -231,51 +256,75 @@ class Tables:
 
 class Automaton:
     """States: 0 has no history, a word's state its number + 1, a pair's state
-    a higher number. ``arcs[state << BITS | word]`` is (weight, next state).
-    A history has a state if backing off from it has a weight."""
+    a higher number. ``arcs`` are sorted codes ``state << BITS | word`` with
+    their weights. A history has a state if backing off from it has a weight."""
 
     def __init__(self, m: Model):
         v = m.vocabulary
         mask = (1 << BITS) - 1
-        self.root = np.log10((v.counts + ADD) / (v.tokens + ADD * (v.kinds + 1))).tolist()
+        self.root = np.log10((v.counts + ADD) / (v.tokens + ADD * (v.kinds + 1)))
         left, right = m.pairs >> BITS, m.pairs & mask
         word_state = np.where(v.rest < 1, np.arange(len(v.counts)) + 1, 0)
         word_state[0] = 0  # nothing follows the end token
-        self.word_state = word_state.tolist()
+        self.word_state = word_state
         history = np.flatnonzero(m.pair_rest < 1)
         after_pair = word_state[right]
         after_pair[history] = len(v.counts) + 1 + np.arange(len(history))
-        arcs = dict(zip((((left + 1) << BITS) | right).tolist(), zip(np.log10(m.pair_p).tolist(), after_pair.tolist())))
         # both pairs of a triple are at least as frequent as the triple
         at = np.searchsorted(m.pairs, m.triples >> BITS)
-        tail = m.triples & mask
-        then = np.searchsorted(m.pairs, (right[at] << BITS) | tail)
-        arcs.update(zip(((after_pair[at] << BITS) | tail).tolist(),
-                        zip(np.log10(m.triple_p).tolist(), after_pair[then].tolist())))
-        self.arcs = arcs
-        self.rest = [0.0, *np.log10(v.rest).tolist(), *np.log10(m.pair_rest[history]).tolist()]
-        self.fail = [0] * (len(v.counts) + 1) + word_state[right[history]].tolist()
+        codes = np.concatenate([((left + 1) << BITS) | right, (after_pair[at] << BITS) | (m.triples & mask)])
+        order = np.argsort(codes)
+        self.arcs = codes[order]
+        self.weight = np.log10(np.concatenate([m.pair_p, m.triple_p]))[order]
+        self.after = np.concatenate([after_pair, np.zeros(len(m.triples), dtype=np.int64)])[order]
+        self.rest = np.concatenate([[0.0], np.log10(v.rest), np.log10(m.pair_rest[history])])
+        # which codes can be arcs, by a hash: most are none
+        self.may = np.zeros(1 << MAY_BITS, dtype=bool)
+        self.may[self._place(self.arcs)] = True
+
+    def _place(self, codes: np.ndarray) -> np.ndarray:
+        return codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - MAY_BITS)
+
+    def _arcs(self, states: np.ndarray, words: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the places ``where``: those that have an arc, and the arcs."""
+        codes = states[where] << BITS | words[where]
+        may = np.flatnonzero(self.may[self._place(codes)])
+        codes, where = codes[may], where[may]
+        if not len(codes):
+            return where, codes
+        at = np.searchsorted(self.arcs, codes).clip(0, len(self.arcs) - 1)
+        hit = self.arcs[at] == codes
+        return where[hit], at[hit]
+
+    def walk(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Log10 weight at every place of the texts that begin at ``first`` in
+        the word numbers ``ids``. The state before a place follows from the two
+        words before it, so all places step at once: from the state along an
+        arc, or along failure arcs to the word's state and to no history. A
+        word that is not frequent (-1) has no arc anywhere; its own
+        probability is left to the caller."""
+        known = ids >= 0
+        short = np.zeros(len(ids), dtype=np.int64)  # the state of the word before, and after each word
+        ends = np.where(known, self.word_state[ids], 0)
+        short[1:] = ends[:-1]
+        short[first[first < len(ids)]] = 0
+        # arcs of words' states: weights where no longer history has an arc, and the state after them
+        place, arc = self._arcs(short, ids, np.flatnonzero((short > 0) & known))
+        by_word = np.where(known, self.root[ids], 0.0) + self.rest[short]
+        by_word[place] = self.weight[arc]
+        ends[place] = self.after[arc]
+        state = np.zeros(len(ids), dtype=np.int64)
+        state[1:] = ends[:-1]
+        state[first[first < len(ids)]] = 0
+        deep = np.flatnonzero(state != short)
+        by_word[deep] += self.rest[state[deep]]
+        place, arc = self._arcs(state, ids, deep[known[deep]])
+        by_word[place] = self.weight[arc]
+        return by_word
 
     def traverse(self, numbers: list[int]) -> float:
-        """Log10 weight of a text's word numbers. A word that is not frequent
-        (-1) has no arc anywhere: the traversal falls back to no history and
-        the word's own probability is left to the caller."""
-        arcs, rest, fail, root, word_state = self.arcs.get, self.rest, self.fail, self.root, self.word_state
-        total, state = 0.0, 0
-        for w in numbers:
-            while state:
-                hit = arcs(state << BITS | w) if w >= 0 else None
-                if hit:
-                    weight, state = hit
-                    total += weight
-                    break
-                total += rest[state]
-                state = fail[state]
-            else:
-                if w >= 0:
-                    total += root[w]
-                    state = word_state[w]
-        return total
+        """Log10 weight of one text's word numbers."""
+        return float(self.walk(np.array(numbers, dtype=np.int64), np.zeros(1, dtype=np.int64)).sum())
 
 
 def _rest(used: Column, total: Column) -> Column:
@@ -303,24 +352,31 @@ def _learn(texts: DataFrame, keep: Scratch) -> tuple[Model, Tables]:
     words = counts.join(pairs.groupBy(F.col("x").alias("word")).agg(used), "word", "left").select(
         "word", "n", _rest(F.col("used"), F.col("n")).alias("rest"))
     words = materialize(words.unionAll(end.withColumn("rest", F.lit(1.0))), "lm-word-weights")
+    keep.free("lm-words")
 
     unigram = (F.col("n") + ADD) / norm
     left = words.select(F.col("word").alias("x"), F.col("n").alias("n_x"), F.col("rest").alias("rest_x"))
     right = words.select(F.col("word").alias("y"), unigram.alias("p_y"))
     cached = F.col("n") >= enough
-    ends = [F.when(cached, F.col(c)).alias(c) for c in "xy"]
-    pairs = (pairs.join(left, "x").join(right, "y")
-             .withColumn("p", (F.col("n") - DISCOUNT) / F.col("n_x") + F.col("rest_x") * F.col("p_y"))
-             .join(triples.groupBy(F.col("x").alias("key")).agg(used), "key", "left")
+    x, y = (F.when(cached, F.col(c)).alias(c) for c in "xy")
+
+    def changed(grams: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+        """(key, x, y, n, p, value): the probability of the last word and what
+        it changes. A join carries on only what later steps need."""
+        share = ((F.col("n") - DISCOUNT) / F.col("n_x")).alias("share")
+        p = (F.col("share") + F.col("rest_x") * F.col("p_y")).alias("p")
+        value = (F.log10("p") - F.log10("p_y") - F.log10("rest_x")).alias("value")
+        met = grams.join(left, "x").select("key", x, "y", "n", share, "rest_x").join(right, "y")
+        return met.select("key", "x", y, "n", p, "p_y", "rest_x").select("key", "x", "y", "n", "p", value)
+
+    pairs = (changed(pairs, left, right).join(triples.groupBy(F.col("x").alias("key")).agg(used), "key", "left")
              .withColumn("rest", _rest(F.col("used"), F.col("n"))))
-    value = F.log10("p") - F.log10("p_y") - F.log10("rest_x") + F.log10("rest")
-    pairs = materialize(pairs.select("key", *ends, "n", "p", "rest", value.alias("value")), "lm-pair-weights")
+    value = (F.col("value") + F.log10("rest")).alias("value")
+    pairs = materialize(pairs.select("key", "x", "y", "n", "p", "rest", value), "lm-pair-weights")
+    keep.free("lm-2-grams")
     left = pairs.select(F.col("key").alias("x"), F.col("n").alias("n_x"), F.col("rest").alias("rest_x"))
     right = pairs.select(F.col("key").alias("y"), F.col("p").alias("p_y"))
-    triples = triples.join(left, "x").join(right, "y").withColumn(
-        "p", (F.col("n") - DISCOUNT) / F.col("n_x") + F.col("rest_x") * F.col("p_y"))
-    value = F.log10("p") - F.log10("p_y") - F.log10("rest_x")
-    triples = materialize(triples.select("key", *ends, "n", "p", value.alias("value")), "lm-triple-weights")
+    triples = materialize(changed(triples, left, right), "lm-triple-weights")
 
     top = words.where((F.col("n") >= least) & (F.col("word") != END)).toArrow()  # VOCABULARY rows at most
     keys = top["word"].to_numpy().view(np.uint64)
@@ -356,12 +412,11 @@ def ngram_values(texts: DataFrame, values: dict[int, DataFrame], tokens: int) ->
 
             def flush():
                 key, row = (np.concatenate([h[k] for h in held]) for k in range(2))
-                part = _part(key, parts)
-                by = np.lexsort((key, part))
-                key, part = key[by], part[by]
-                at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                places = np.append(at, len(key))
-                return _by_part(_TEXT_PARTS, part[at], [(key[at], None), (np.diff(places), None), (row[by], places)])
+                by, at = _runs(key)
+                places, key = np.append(at, len(key)), key[by[at]]
+                # a text is in one block; its number tells blocks apart
+                return _by_part(_TEXT_PARTS, _part(key, parts), [(key, None), (np.diff(places), None), (row[by], places)],
+                                row.min() if len(row) else 0)
 
             for batch in batches:
                 for a, b, w in _words(batch.column(1)):
@@ -381,24 +436,36 @@ def ngram_values(texts: DataFrame, values: dict[int, DataFrame], tokens: int) ->
         keys = known["key"].to_numpy().view(np.uint64)
         by = np.argsort(keys)
         keys, value = keys[by], known["value"].to_numpy()[by]
-        rows, sums = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+        blocks, rows, sums = [], [], []
         if len(keys):
-            for k, n, row in zip(found["key"], found["n"], found["row"]):
+            for k, n, row, block in zip(found["key"], found["n"], found["row"], found["block"]):
                 key = _unpack(k.as_buffer())
                 at = np.searchsorted(keys, key).clip(0, len(keys) - 1)
-                each = np.repeat(np.where(keys[at] == key, value[at], 0.0), _unpack(n.as_buffer()).view(np.int64))
-                own, inverse = np.unique(_unpack(row.as_buffer()).view(np.int64), return_inverse=True)
-                rows.append(own)
-                sums.append(np.bincount(inverse, weights=each, minlength=len(own)))
-        return pa.Table.from_batches([record(_MORE, np.concatenate(rows), np.concatenate(sums))])
+                # n-grams without a value change no sum
+                hit, n = keys[at] == key, _unpack(n.as_buffer()).view(np.int64)
+                each = np.repeat(value[at[hit]], n[hit])
+                row = _unpack(row.as_buffer()).view(np.int64)[np.repeat(hit, n)]
+                if len(row):
+                    own, more = _sums(row, each)
+                    blocks.append(block.as_py())
+                    rows.append(_pack(own))
+                    sums.append(more.tobytes())
+        return pa.Table.from_batches([record(_BLOCK_SUMS, blocks, rows, sums)])
+
+    def of_block(found: pa.Table) -> pa.Table:
+        row = np.concatenate([_unpack(r.as_buffer()) for r in found["row"]]).view(np.int64)
+        return pa.Table.from_batches([record(_MORE, *_sums(row, np.concatenate(
+            [np.frombuffer(m.as_buffer(), dtype=np.float64) for m in found["more"]])))])
 
     done = []
     for order, turn in _rounds(2) + _rounds(3):
-        found = texts.mapInArrow(blocks(order, turn), "part int, key binary, n binary, row binary").groupBy("part")
-        part = F.pmod(F.shiftrightunsigned("key", 40), F.lit(parts)).cast("int")
+        found = texts.mapInArrow(blocks(order, turn), "part int, key binary, n binary, row binary, block long").groupBy("part")
+        part = F.shiftright(F.shiftrightunsigned("key", 33) * F.lit(parts), 31).cast("int")
         known = values[order].where(F.pmod("key", F.lit(ROUNDS)) == turn).withColumn("part", part).groupBy("part")
-        more = found.cogroup(known).applyInArrow(lambda a, b: add_up(a, b), "row long, more double")
-        done.append(materialize(more.groupBy("row").agg(F.sum("more").alias("more")), "lm-more"))
+        # a row per block and part: a row per text and part would be more of them the more parts there are
+        more = found.cogroup(known).applyInArrow(lambda a, b: add_up(a, b), "block long, row binary, more binary")
+        more = more.groupBy("block").applyInArrow(lambda rows: of_block(rows), "row long, more double")
+        done.append(materialize(more, "lm-more"))
     return done
 
 
@@ -424,8 +491,7 @@ def score(docs: DataFrame, model: Model, tables: Tables) -> DataFrame:
                 ids, first = with_end(numbers, w)
                 known = np.concatenate([[0], np.cumsum(numbers >= 0)])[w.first]
                 sums = np.add.reduceat(np.where(ids >= 0, base[ids], 0.0), first[:-1])  # no text is without a token
-                flat, cuts = ids.tolist(), first.tolist()
-                scores = [machine.traverse(flat[x:y]) for x, y in zip(cuts, cuts[1:])]
+                scores = np.add.reduceat(machine.walk(ids, first), first[:-1])
                 rows = batch.column(0).slice(a, b - a).to_numpy()
                 none = pa.nulls(b - a, pa.int64())
                 yield record(_ROWS, rows, batch.column(1).slice(a, b - a), np.diff(first),
@@ -464,8 +530,12 @@ def score(docs: DataFrame, model: Model, tables: Tables) -> DataFrame:
 
 
 def lm_scores(docs: DataFrame, training: Column) -> DataFrame:
-    """Scores of all ``docs`` by a model of those that ``training`` marks."""
-    # read several times: each row keeps its number
-    docs = materialize(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text",
-                                   training.alias("training")), "lm-texts")
+    """Scores of all ``docs`` by a model of those that ``training`` marks.
+    ``docs`` is read several times: unique ids tell its rows apart as they are;
+    else the rows are numbered and written, so that each keeps its number."""
+    n, n_ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    own = F.col("doc_id").cast("long") if n == n_ids else F.monotonically_increasing_id()
+    docs = docs.select(own.alias("row"), "doc_id", "text", training.alias("training"))
+    if n != n_ids:
+        docs = materialize(docs, "lm-texts")
     return score(docs, *learn(docs.where("training")))
