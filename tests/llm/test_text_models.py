@@ -253,6 +253,67 @@ def test_lm_scores_hold_all_ngrams(spark, monkeypatch, cache):
     assert sorted((str(r["doc_id"]), round(r["score"], 6)) for r in got) == sorted((str(i), round(want(x), 6)) for i, x in rows)
 
 
+def test_texts_are_copied_only_where_ids_repeat(spark, monkeypatch):
+    """Unique ids tell rows apart; else the rows are numbered and written once.
+    The scores are those of one model either way."""
+    from foldwise.llm import lmscore
+
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice("abcde") for _ in range(rng.randint(0, 20)))) for i in range(60)]
+    written, own = [], lmscore.materialize
+    monkeypatch.setattr(lmscore, "materialize", lambda df, name: written.append(name) or own(df, name))
+
+    def scores(rows):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        return sorted((x, round(r["base_score"], 6), round(r["score"], 6)) for r, x in
+                      ((r, dict(rows)[r["doc_id"]]) for r in lm_scores(df, df["text"] < "d").collect()))
+
+    alone = scores(rows)
+    assert "lm-texts" not in written
+    again = scores(rows + [(0, rows[0][1])] if rows[0][1] >= "d" else [(None, "e e")] + rows)
+    assert "lm-texts" in written and len(again) == len(alone) + 1
+    assert [s for s in alone if s not in again] == []
+
+
+def test_all_places_step_as_one_traversal_does(spark):
+    """The states that the last two words give are those of a walk word by word."""
+    import numpy as np
+
+    from foldwise.llm.lmscore import BITS, Automaton, learn
+
+    rng = random.Random(13)
+    df = spark.createDataFrame([(i, " ".join(rng.choice("aabbcdef") for _ in range(rng.randint(0, 25)))) for i in range(80)],
+                               "doc_id long, text string")
+    machine = Automaton(learn(df)[0])
+    arcs = dict(zip(machine.arcs.tolist(), zip(machine.weight.tolist(), range(len(machine.arcs)))))
+    words = len(machine.word_state)
+
+    def by_word(numbers):
+        total, last = 0.0, []
+        for w in numbers:
+            short = machine.word_state[last[-1]] if last and last[-1] >= 0 else 0
+            states = [short] if short else []
+            if len(last) > 1 and last[-1] >= 0 and last[-2] >= 0:
+                hit = arcs.get(int(machine.word_state[last[-2]]) << BITS | last[-1])
+                if machine.word_state[last[-2]] and hit and machine.after[hit[1]] > words:
+                    states.insert(0, machine.after[hit[1]])
+            for state in states:
+                if w >= 0 and int(state) << BITS | w in arcs:
+                    total += arcs[int(state) << BITS | w][0]
+                    break
+                total += machine.rest[state]
+            else:
+                total += machine.root[w] if w >= 0 else 0.0
+            last.append(w)
+        return total
+
+    assert len(machine.arcs) > 20
+    texts = [[rng.randrange(-1, words) or -1 for _ in range(rng.randint(0, 12))] + [0] for _ in range(200)]
+    first = np.cumsum([0] + [len(t) for t in texts])
+    got = np.add.reduceat(machine.walk(np.array(sum(texts, [])), first), first[:-1])
+    assert np.allclose(got, [by_word(t) for t in texts])
+
+
 def test_quality_counts_match_brute_force(spark):
     rng = random.Random(8)
     rows = [(0, None), (1, ""), (2, "a b\n\na b\n  \n a b"), (None, "é#*x $%&|<> b"), (3, "one two " * 20)]
