@@ -14,7 +14,10 @@ list's first only; verified pairs make components. Second, documents that are
 beside each other in a list and of two components are paired, one pair for each
 two components. Third, pairs of one list whose components still differ are all
 met; what is linked already needs no pair. So no link is lost and copies never
-give all their pairs.
+give all their pairs. The third round meets a pair at the first shingle that both
+1-prefixes hold, not at all of them: a run of shingles that follow each other in
+both is met at its first, and only as far up as the places before it can belong
+to one of the sets alone.
 
 Each set has a sketch of ``SKETCH`` bits, the parities of its shingles by hash.
 Bits in which two sketches differ stand for a shingle each that only one of the
@@ -55,6 +58,8 @@ FLUSH = 1 << 22
 #: bits of a sketch, in longs
 SKETCH = 1024
 BITS = [f"b{k}" for k in range(SKETCH // 64)]
+#: bits of a shingle's place in its set; places beyond count as the last
+PLACE_BITS = 25
 #: bits that mark the texts of pairs
 MARKS = 1 << 23
 NULL_ID = -(1 << 63)
@@ -121,8 +126,8 @@ def heavy_shingles(texts: DataFrame, keep: Scratch) -> tuple[np.ndarray, np.ndar
 
 
 def prefixes(doc: np.ndarray, x: np.ndarray, n_docs: int, keys: np.ndarray, weight: np.ndarray):
-    """Set sizes, and for the entries of all prefixes: text, shingle, the
-    least l whose prefix has the entry, and the text's own l."""
+    """Set sizes, and for the entries of all prefixes: text, shingle, its
+    place in the set (from 1), the least l whose prefix has it; each text's l."""
     n = np.bincount(doc, minlength=n_docs)
     df = np.zeros(len(x), dtype=np.int64)
     if len(keys):
@@ -132,7 +137,8 @@ def prefixes(doc: np.ndarray, x: np.ndarray, n_docs: int, keys: np.ndarray, weig
     doc, x, df = doc[order], x[order], df[order]
     first = np.concatenate([[0], np.cumsum(n)])
     need = (PERCENT * n + 99) // 100
-    tag = np.maximum(1, np.arange(len(x)) - (first[:-1] + n - need)[doc] + 1)
+    place = np.arange(1, len(x) + 1) - first[doc]
+    tag = np.maximum(1, place - (n - need)[doc])
     others = np.concatenate([[0], np.cumsum(np.maximum(df - 1, 0))])
     costs = []
     for level in range(1, MAX_LEVEL + 1):
@@ -142,7 +148,7 @@ def prefixes(doc: np.ndarray, x: np.ndarray, n_docs: int, keys: np.ndarray, weig
         costs.append(np.where(level <= np.maximum(1, need), entries * (1 + VERIFY_COST / level), np.inf))
     level = np.argmin(np.array(costs), axis=0) + 1
     keep = tag <= level[doc]
-    return n, doc[keep], x[keep], tag[keep], level
+    return n, doc[keep], x[keep], place[keep], tag[keep], level
 
 
 _FACTS = pa.schema([("doc_id", _I), ("a", _I), ("n", _S), ("s1", _I), ("s2", _I), *((b, _I) for b in BITS)])
@@ -193,15 +199,15 @@ def keyed(docs: DataFrame, facts: DataFrame, keep: Scratch) -> tuple[DataFrame,
     return keep(texts, "jaccard-texts"), keep(facts.drop("_d", "_a"), "jaccard-facts")
 
 
-# set size, tag, l and whether the shingle was met again, in one number
-def packed(n, tag, level, repeated):
-    return n << 8 | tag << 5 | level << 2 | repeated
+# set size, place (as far as it fits), tag, l and whether the shingle was met again, in one number
+def packed(n, place, tag, level, repeated):
+    return n << 8 + PLACE_BITS | np.minimum(place, (1 << PLACE_BITS) - 1) << 8 | tag << 5 | level << 2 | repeated
 
 
 def unpacked(name: str) -> dict[str, Column]:
     c = F.col(name)
-    return {"n": F.shiftright(c, 8), "tag": F.shiftright(c, 5).bitwiseAND(F.lit(7)),
-            "level": F.shiftright(c, 2).bitwiseAND(F.lit(7))}
+    return {"n": F.shiftright(c, 8 + PLACE_BITS), "place": F.shiftright(c, 8).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)),
+            "tag": F.shiftright(c, 5).bitwiseAND(F.lit(7)), "level": F.shiftright(c, 2).bitwiseAND(F.lit(7))}
 
 
 _ENTRY = pa.schema([("token", _I), ("row", _I), ("info", _I), ("hub", _I), ("hub_info", _I)])
@@ -217,7 +223,7 @@ def prefix_entries(texts: DataFrame, keys: np.ndarray, weight: np.ndarray, first
         held, size = [], 0
 
         def flush():
-            rows, n, token, tag, level = (np.concatenate(c) for c in zip(*held))
+            rows, n, token, place, tag, level = (np.concatenate(c) for c in zip(*held))
             order = np.lexsort((rows, n, token))
             new = np.ones(len(token), dtype=bool)
             new[1:] = token[order][1:] != token[order][:-1]
@@ -227,7 +233,7 @@ def prefix_entries(texts: DataFrame, keys: np.ndarray, weight: np.ndarray, first
             repeated[order] = again
             hub = np.empty(len(token), dtype=np.int64)
             hub[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            info = packed(n, tag, level, repeated)
+            info = packed(n, place, tag, level, repeated)
             pick = np.flatnonzero((hub == np.arange(len(hub))) == first)
             for k in range(0, len(pick), 1 << 17):
                 s = pick[k:k + (1 << 17)]
@@ -237,8 +243,8 @@ def prefix_entries(texts: DataFrame, keys: np.ndarray, weight: np.ndarray, first
             for p, q, data, begin in text_chunks(batch.column(1)):
                 rows = batch.column(0).slice(p, q - p).to_numpy(zero_copy_only=False)
                 doc, x = shingles(data, begin)
-                n, d, token, tag, level = prefixes(doc, x, q - p, keys, weight)
-                held.append((rows[d], n[d], token, tag, level[d]))
+                n, d, token, place, tag, level = prefixes(doc, x, q - p, keys, weight)
+                held.append((rows[d], n[d], token, place, tag, level[d]))
                 size += len(d)
                 if size >= FLUSH:
                     yield from flush()
@@ -371,6 +377,26 @@ def _neighbours(entries: DataFrame, sets: DataFrame) -> DataFrame:
     return best.select("best.u", "best.v")
 
 
+def _open_pairs(entries: DataFrame, sets: DataFrame, keep: Scratch) -> DataFrame:
+    """(u, v), u > v: all pairs of one list and two components, as far as
+    sizes, places and sketches allow a link. Of the shingles that two sets
+    share the first one makes the pair, so most others need not: all shingles
+    before it in either order are in one set only, a ninth of the sizes' sum at
+    most, so it is in both 1-prefixes; and no common one is just before it.
+    ``entries``: (token, row, info, component) of 1-prefixes, all that are of
+    lists in which components differ."""
+    own, two = unpacked("info"), unpacked("info_2")
+    before = F.lag("token").over(Window.partitionBy("row").orderBy(own["place"], "token"))
+    x = keep(entries.withColumn("before", before).join(sets.drop("n"), "row"), "jaccard-open")
+    y = x.select("token", *[F.col(c).alias(f"{c}_2") for c in ("row", "info", "component", "before", *BITS)])
+    single = own["place"] + two["place"] - 2
+    return (x.join(y, "token").where("row > row_2 and component <> component_2").where(near(own["n"], two["n"]))
+            .where(F.coalesce(F.col("before") != F.col("before_2"), F.lit(True)))
+            .where((100 + PERCENT) * single <= (100 - PERCENT) * (own["n"] + two["n"]))
+            .where(alike("", "_2", own["n"], two["n"]))
+            .select(F.col("row").alias("u"), F.col("row_2").alias("v")))
+
+
 def placed_documents(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, a (hash of the text), n (set size) and its
     component's number (null: empty set)."""
@@ -385,7 +411,7 @@ def _placed_documents(docs: DataFrame, keep: Scratch) -> DataFrame:
 
     heavy = heavy_shingles(docs, keep)
     sent = prefix_entries(texts, *heavy, True).select("token", "row", "info")
-    lists = keep(sent.repartition("token").sortWithinPartitions("token", F.shiftright("info", 8), "row")
+    lists = keep(sent.repartition("token").sortWithinPartitions("token", unpacked("info")["n"], "row")
                  .mapInArrow(_with_hubs, _ENTRY_SCHEMA).union(prefix_entries(texts, *heavy, False)), "jaccard-lists")
     reps = of_row.where("row = rep").select("row")
     sets = keep(facts.select("row", "n", *BITS).join(reps, "row").dropDuplicates(["row"]), "jaccard-sets")
@@ -410,16 +436,9 @@ def _placed_documents(docs: DataFrame, keep: Scratch) -> DataFrame:
     links = links.union(verified(beside, texts, keep))
     pairs, joined = pairs.union(beside), components(links, keep)
 
-    # round 3: all entries of lists in which components differ even now
-    left = _open_entries(left.drop("component"), joined)
-    left = keep(left.join(sets.drop("n"), "row"), "jaccard-open")
-    other = left.select("token", *[F.col(c).alias(f"{c}_2") for c in ("row", "info", "component", *BITS)])
-    two = unpacked("info_2")
-    level = F.least(own["level"], two["level"])
-    more = (left.join(other, "token").where("row > row_2 and component <> component_2").where(near(own["n"], two["n"]))
-            .where(F.greatest(own["tag"], two["tag"]) <= level).where(alike("", "_2", own["n"], two["n"]))
-            .groupBy(F.col("row").alias("u"), F.col("row_2").alias("v"))
-            .agg(F.count("*").alias("shared"), F.min(level).alias("least")).where("shared >= least").select("u", "v"))
+    # round 3: entries of 1-prefixes in lists in which components differ even now
+    left = _open_entries(left.drop("component").where(own["tag"] == 1), joined)
+    more = _open_pairs(left, sets, keep).distinct()
     more = keep(more.join(pairs, ["u", "v"], "left_anti"), "jaccard-more")
     joined = components(links.union(verified(more, texts, keep)), keep)
 

@@ -110,6 +110,30 @@ def test_jaccard_joins_groups_before_it_meets_all_their_pairs(spark, monkeypatch
     assert sum(compared) < 150  # of 780 pairs
 
 
+def test_jaccard_meets_a_pair_once_a_run_of_common_shingles(spark):
+    """Two sets that link share most of their prefixes; the pair is not met at every common shingle."""
+    import numpy as np
+
+    from foldwise.llm import jaccard
+    from foldwise.llm.frames import Scratch
+
+    rng = np.random.default_rng(6)
+    common = rng.integers(1, 1 << 63, 300, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([common, rng.integers(1, 1 << 63, 20, dtype=np.uint64)])) for _ in range(2)]
+    doc, x = np.repeat([0, 1], 320), np.concatenate(sets)
+    n, d, token, place, tag, level = jaccard.prefixes(doc, x, 2, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    info = jaccard.packed(n[d], place, tag, level[d], 1)
+    rows = [(t, r, i, r) for t, r, i, k in zip(token.view(np.int64).tolist(), d.tolist(), info.tolist(), tag) if k == 1]
+    entries = spark.createDataFrame(rows, "token long, row long, info long, component long")
+    bits = jaccard.sketches(doc, x, 2).tolist()
+    facts = spark.createDataFrame([(r, 320, *bits[r]) for r in range(2)],
+                                  "row long, n int, " + ", ".join(f"{b} long" for b in jaccard.BITS))
+    both = len(set(t for t, r, *_ in rows if r == 0) & set(t for t, r, *_ in rows if r == 1))
+    with Scratch(spark) as keep:
+        met = [tuple(r) for r in jaccard._open_pairs(entries, facts, keep).collect()]
+    assert set(met) == {(1, 0)} and both > 50 and len(met) <= 16
+
+
 def test_only_texts_of_pairs_meet_them(spark):
     from foldwise.llm.jaccard import _marked
 
