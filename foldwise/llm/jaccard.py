@@ -58,8 +58,8 @@ FLUSH = 1 << 22
 #: bits of a sketch, in longs
 SKETCH = 1024
 BITS = [f"b{k}" for k in range(SKETCH // 64)]
-#: bits of a shingle's place in its set; places beyond count as the last
-PLACE_BITS = 25
+#: parts of a 1-prefix that tell roughly where a shingle is in it
+PLACES = 16
 #: bits that mark the texts of pairs
 MARKS = 1 << 23
 NULL_ID = -(1 << 63)
@@ -126,8 +126,9 @@ def heavy_shingles(texts: DataFrame, keep: Scratch) -> tuple[np.ndarray, np.ndar
 
 
 def prefixes(doc: np.ndarray, x: np.ndarray, n_docs: int, keys: np.ndarray, weight: np.ndarray):
-    """Set sizes, and for the entries of all prefixes: text, shingle, its
-    place in the set (from 1), the least l whose prefix has it; each text's l."""
+    """Set sizes, and for the entries of all prefixes: text, shingle, in which
+    of ``PLACES`` equal parts of the 1-prefix it is, the least l whose prefix has
+    it; each text's l."""
     n = np.bincount(doc, minlength=n_docs)
     df = np.zeros(len(x), dtype=np.int64)
     if len(keys):
@@ -137,8 +138,9 @@ def prefixes(doc: np.ndarray, x: np.ndarray, n_docs: int, keys: np.ndarray, weig
     doc, x, df = doc[order], x[order], df[order]
     first = np.concatenate([[0], np.cumsum(n)])
     need = (PERCENT * n + 99) // 100
-    place = np.arange(1, len(x) + 1) - first[doc]
-    tag = np.maximum(1, place - (n - need)[doc])
+    place = np.arange(len(x)) - first[doc]
+    tag = np.maximum(1, place + 1 - (n - need)[doc])
+    place = np.minimum(place * PLACES // (n - need + 1)[doc], PLACES - 1)
     others = np.concatenate([[0], np.cumsum(np.maximum(df - 1, 0))])
     costs = []
     for level in range(1, MAX_LEVEL + 1):
@@ -199,14 +201,14 @@ def keyed(docs: DataFrame, facts: DataFrame, keep: Scratch) -> tuple[DataFrame,
     return keep(texts, "jaccard-texts"), keep(facts.drop("_d", "_a"), "jaccard-facts")
 
 
-# set size, place (as far as it fits), tag, l and whether the shingle was met again, in one number
+# set size, part of the 1-prefix, tag, l and whether the shingle was met again, in one number
 def packed(n, place, tag, level, repeated):
-    return n << 8 + PLACE_BITS | np.minimum(place, (1 << PLACE_BITS) - 1) << 8 | tag << 5 | level << 2 | repeated
+    return n << 12 | place << 8 | tag << 5 | level << 2 | repeated
 
 
 def unpacked(name: str) -> dict[str, Column]:
     c = F.col(name)
-    return {"n": F.shiftright(c, 8 + PLACE_BITS), "place": F.shiftright(c, 8).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)),
+    return {"n": F.shiftright(c, 12), "place": F.shiftright(c, 8).bitwiseAND(F.lit(PLACES - 1)),
             "tag": F.shiftright(c, 5).bitwiseAND(F.lit(7)), "level": F.shiftright(c, 2).bitwiseAND(F.lit(7))}
 
 
@@ -382,14 +384,17 @@ def _open_pairs(entries: DataFrame, sets: DataFrame, keep: Scratch) -> DataFrame
     sizes, places and sketches allow a link. Of the shingles that two sets
     share the first one makes the pair, so most others need not: all shingles
     before it in either order are in one set only, a ninth of the sizes' sum at
-    most, so it is in both 1-prefixes; and no common one is just before it.
+    most, so it is in both 1-prefixes; and no common one is just before it
+    (entries in order of the prefix's parts, whatever their order inside a part).
     ``entries``: (token, row, info, component) of 1-prefixes, all that are of
     lists in which components differ."""
     own, two = unpacked("info"), unpacked("info_2")
     before = F.lag("token").over(Window.partitionBy("row").orderBy(own["place"], "token"))
     x = keep(entries.withColumn("before", before).join(sets.drop("n"), "row"), "jaccard-open")
     y = x.select("token", *[F.col(c).alias(f"{c}_2") for c in ("row", "info", "component", "before", *BITS)])
-    single = own["place"] + two["place"] - 2
+    # at least so many shingles are before it
+    single = reduce(Column.__add__, [F.floor(c["place"] * (c["n"] - F.ceil(PERCENT * c["n"] / 100) + 1) / PLACES)
+                                     for c in (own, two)])
     return (x.join(y, "token").where("row > row_2 and component <> component_2").where(near(own["n"], two["n"]))
             .where(F.coalesce(F.col("before") != F.col("before_2"), F.lit(True)))
             .where((100 + PERCENT) * single <= (100 - PERCENT) * (own["n"] + two["n"]))
@@ -429,12 +434,14 @@ def _placed_documents(docs: DataFrame, keep: Scratch) -> DataFrame:
     pairs = keep(pairs.where(alike("u", "v", F.col("nu"), F.col("nv"))).select("u", "v"), "jaccard-pairs")
     links = verified(pairs, texts, keep)
     joined = components(links, keep)
+    keep.free("jaccard-heavy")
 
     # round 2: neighbours in lists in which components still differ, class by class
     left = keep(_open_entries(lists.select("token", "row", "info").join(reps, "row", "left_semi"), joined), "jaccard-left")
     beside = keep(_neighbours(left, sets).join(pairs, ["u", "v"], "left_anti"), "jaccard-beside")
     links = links.union(verified(beside, texts, keep))
     pairs, joined = pairs.union(beside), components(links, keep)
+    keep.free("jaccard-lists")
 
     # round 3: entries of 1-prefixes in lists in which components differ even now
     left = _open_entries(left.drop("component").where(own["tag"] == 1), joined)
