@@ -348,6 +348,62 @@ def test_lines_of_a_large_bucket_are_all_compared(spark, monkeypatch):
     assert links == {(2 * i + 1, 2 * i) for i in range(30)}
 
 
+def test_lines_of_a_group_are_not_all_compared(spark, monkeypatch):
+    """A group of lines by replaced words and one that has a word more: of the
+    pairs between them one is compared by the edit distance."""
+    from foldwise.llm import lines as L
+
+    rng, compared, rows = random.Random(12), [], []
+    for k in range(6):
+        base = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(40)]
+        for i in range(12):
+            w = list(base)
+            w[i % 6 * 5] = "x%d" % i
+            rows.append((100 * k + i, " ".join(w if i < 6 else w[:20] + ["put", "in"] + w[20:])))
+    own = L._verified
+    monkeypatch.setattr(L, "_verified", lambda pairs, *a: compared.append(pairs.count()) or own(pairs, *a))
+    gone = {r["doc_id"] for r in line_report(frame(spark, rows)).where("n_removed > 0").collect()}
+    assert gone == {100 * k + i for k in range(6) for i in range(1, 12)}
+    assert 6 <= sum(compared) <= 6 * 4  # of 6 * 36 pairs
+
+
+def test_bounds_of_long_lines_agree_with_the_edit_distance(spark, monkeypatch):
+    """Pairs looked at piece by piece and by their letters first, with codes by hash and by place."""
+    from foldwise.llm import lines as L
+    from foldwise.llm.frames import Scratch
+
+    rng, rows = random.Random(31), []
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 9)))
+    for i in range(60):
+        x = [word("abc\u00e9") for _ in range(rng.randint(5, 30))]
+        y = [w for w in x if rng.random() > 0.1] if i % 3 else [word("xyz") for _ in x]
+        for _ in range(rng.randint(0, 4)):
+            y.insert(rng.randint(0, len(y)), word("abcx"))
+        rows.append((2 * i + 1, 2 * i, x, y, int(max(len(" ".join(x)), len(" ".join(y))) * 0.2 + 1e-9)))
+    want = {u for u, _, x, y, most in rows if edit_distance(" ".join(x), " ".join(y)) <= most}
+    assert 10 < len(want) < 50
+    pairs = spark.createDataFrame(rows, "u long, v long, xs array<string>, ys array<string>, budget int")
+    for size, code in ((0, L._code), (0, lambda piece: F.lit(1 << 16)), (1 << 40, L._code)):
+        monkeypatch.setattr(L, "LARGE_PAIR", size)
+        monkeypatch.setattr(L, "_code", code)
+        with Scratch(spark) as keep:
+            assert {r["u"] for r in L._verified(pairs, keep, "links").collect()} == want
+
+
+def test_lines_of_repeated_rows_take_the_facts_of_the_first_place(spark):
+    from foldwise.llm import lines as L
+    from foldwise.llm.frames import Scratch
+
+    text = " ".join(f"word{i}" for i in range(12))
+    docs = frame(spark, [(1, "one two three four five\n" + text), (2, text), (2, text), (3, "six"), (3, "six")])
+    with Scratch(spark) as keep:
+        hashes = keep(L.line_hashes(docs).withColumn("row", F.monotonically_increasing_id()), "hashes")
+        got = {r["n"]: r for r in L._distinct_lines(hashes, keep).collect()}
+        place = {r["row"]: (r["doc_id"], r["line"]) for r in hashes.collect()}
+    assert sorted(got) == [2, 5, 12] and got[12]["times"] == 2 and any(got[12][f"x{g}"] for g in range(10))
+    assert place[got[12]["id"]] in {(1, 1), (2, 0)}
+
+
 def test_components_of_paths_and_cycles(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 105), (105, 103), (103, 100), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
